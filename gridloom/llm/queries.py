@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import quality
+from gridloom.llm import bpe, lengths, quality, tokenbin
+from gridloom.runtime import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +19,35 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality.STATS, "base_failed", "kept")
 
 
+def tokenizer() -> str:
+    """The vocabulary file that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    path = Scratch(spark, "tokens").path
+    manifest = tokenbin.write(docs, path, tokenizer(), end_id=2)
+    return tokenbin.read(spark, path, manifest, docs.schema["doc_id"].dataType)
+
+
+def op8_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.histogram(_table(spark, sf_dir, "documents"), tokenizer())
+
+
+def op10_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = bpe.encode(_table(spark, sf_dir, "documents"), tokenizer())
+    return bpe.digests(bpe.decode(ids, tokenizer()), tokenizer())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_host_rules": op5_host_rules,
+        "op6_token_planes": op6_token_planes,
+        "op8_length_histogram": op8_length_histogram,
+        "op10_word_table_bpe": op10_word_table_bpe,
     }
 
 
