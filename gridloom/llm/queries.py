@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, lengths, quality, tokenbin
+from gridloom.llm import bpe, jaccard, lengths, quality, tokenbin
 from gridloom.runtime import Scratch
 
 
@@ -37,6 +37,10 @@ def op8_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.histogram(_table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op9_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(_table(spark, sf_dir, "documents"))
+
+
 def op10_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode(_table(spark, sf_dir, "documents"), tokenizer())
     return bpe.digests(bpe.decode(ids, tokenizer()), tokenizer())
@@ -47,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_host_rules": op5_host_rules,
         "op6_token_planes": op6_token_planes,
         "op8_length_histogram": op8_length_histogram,
+        "op9_vertical_jaccard": op9_vertical_jaccard,
         "op10_word_table_bpe": op10_word_table_bpe,
     }
 
@@ -54,4 +59,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_host_rules": quality.SQL,
+        "op9_vertical_jaccard": jaccard.SQL,
     }
