@@ -59,6 +59,14 @@ class Scratch:
         df.write.mode("overwrite").option("compression", codec).parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
+    def bucketed(self, name: str, df: DataFrame, column: str, codec: str = "none") -> DataFrame:
+        """Like ``table``, but bucketed by ``column`` into as many buckets as there are shuffle partitions, so that later joins and groups by it need not move these rows."""
+        known = f"gridloom_{uuid.uuid4().hex}"
+        df.write.format("parquet").option("path", f"{self.path}/{name}").option("compression", codec).bucketBy(partitions(self.spark), column).saveAsTable(known)
+        out = self.spark.table(known)
+        self.spark.sql(f"DROP TABLE {known}")  # forgets the name; the files stay, and the plan has them
+        return out
+
     def drop(self, name: str) -> None:
         """Delete a table or folder that no later plan reads."""
         with contextlib.suppress(Exception):
