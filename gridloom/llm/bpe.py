@@ -36,7 +36,7 @@ from gridloom.llm.textkern import slices
 from gridloom.runtime import Scratch, partitions, ship
 
 #: Text bytes of a block: what one task holds at a time.
-BLOCK = 32 << 20
+BLOCK = 16 << 20
 #: Words, over all blocks, that a shard is made for.
 SHARD_WORDS = 1_000_000
 #: Words that a worker keeps with their ids; more only cost encoding them again.
@@ -272,7 +272,7 @@ def _joined(kind: pa.DataType):
                 cut = np.concatenate(([0], np.cumsum(words)))
                 a = 0
                 while a < len(docs):
-                    b = max(a + 1, int(np.searchsorted(cut, cut[a] + 500_000, "right")) - 1)
+                    b = max(a + 1, int(np.searchsorted(cut, cut[a] + 200_000, "right")) - 1)
                     own = codes[cut[a] : cut[b]]
                     n = size[own]
                     value = tokens[ragged(start[own], n)].astype(np.int32)
@@ -291,7 +291,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     scratch = Scratch(spark, "bpe")
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = picked.schema["id"].dataType
-    blocks = scratch.table("blocks", _blocks(picked, tokenizer), codec="none")
+    blocks = scratch.bucketed("blocks", _blocks(picked, tokenizer), "block")
     total = blocks.agg(F.sum("n_words")).first()[0] or 0
     shards = max(partitions(spark), -(-total // SHARD_WORDS))
     dealt = _dealt(blocks.select("block", "words"), shards)
