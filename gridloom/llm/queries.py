@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, jaccard, lengths, quality, tokenbin
+from gridloom.llm import bpe, jaccard, lengths, quality, secrets, tokenbin
 from gridloom.runtime import Scratch
 
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_nested_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", *quality.STATS, "base_failed", "kept")
@@ -48,6 +52,7 @@ def op10_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_nested_secrets": op4_nested_secrets,
         "op5_host_rules": op5_host_rules,
         "op6_token_planes": op6_token_planes,
         "op8_length_histogram": op8_length_histogram,
