@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, jaccard, lengths, quality, secrets, tokenbin
+from gridloom.llm import bpe, jaccard, lengths, quality, secrets, tokenbin, urls
 from gridloom.runtime import Scratch
 
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
 def op4_nested_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def op10_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_url_models": op2_url_models,
         "op4_nested_secrets": op4_nested_secrets,
         "op5_host_rules": op5_host_rules,
         "op6_token_planes": op6_token_planes,
