@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, jaccard, lengths, quality, secrets, tokenbin, urls
+from gridloom.llm import bpe, jaccard, lengths, quality, secrets, tokenbin, urls, warc
 from gridloom.runtime import Scratch
 
 
@@ -18,6 +18,11 @@ def op2_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
 
 
+def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.archive(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_nested_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ def op10_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_url_models": op2_url_models,
+        "op3_arc_to_warc": op3_arc_to_warc,
         "op4_nested_secrets": op4_nested_secrets,
         "op5_host_rules": op5_host_rules,
         "op6_token_planes": op6_token_planes,
@@ -68,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_arc_to_warc": warc.SQL,
         "op5_host_rules": quality.SQL,
         "op9_vertical_jaccard": jaccard.SQL,
     }
