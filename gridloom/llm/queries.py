@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, jaccard, lengths, quality, secrets, tokenbin, urls, warc
+from gridloom.llm import bpe, decontam, jaccard, lengths, quality, secrets, tokenbin, urls, warc
 from gridloom.runtime import Scratch
 
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("doc_key")
+
+
 def op2_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
 
@@ -61,6 +65,7 @@ def op10_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_leaked_items": op1_leaked_items,
         "op2_url_models": op2_url_models,
         "op3_arc_to_warc": op3_arc_to_warc,
         "op4_nested_secrets": op4_nested_secrets,
@@ -74,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_leaked_items": decontam.SQL,
         "op3_arc_to_warc": warc.SQL,
         "op5_host_rules": quality.SQL,
         "op9_vertical_jaccard": jaccard.SQL,
