@@ -18,6 +18,8 @@ Only components are asked for, so no group is expanded into all its pairs: in
 the first rounds sets are paired with one set of each place where they meet;
 what these links join is one component, and the last round pairs only sets of
 different components. Dropping those pairs loses no link between components.
+Sets whose overlaps with one centre show that they cannot link are not paired
+either.
 
 Null and empty texts have no shingles and link with nothing; texts of fewer
 words than a shingle have one, their whole sequence. Repeated rows are copies.
@@ -39,9 +41,9 @@ from gridloom.llm.textkern import mix, shingle_sets, slices
 from gridloom.runtime import Scratch, partitions, release, ship
 
 #: Shingles of a fragment; a task holds one fragment at a time. More text needs larger ones.
-FRAGMENT = 1_500_000
+FRAGMENT = 1_000_000
 #: Shingles of a block of documents, which one task holds before it deals them out.
-BLOCK = 3_000_000
+BLOCK = 1_000_000
 #: The most frequent shingles, put last in the order: at most so many are sent to all tasks.
 FREQUENT = 131_072
 #: A shingle may be in that list if so many classes, or blocks of them, have it.
@@ -300,7 +302,7 @@ def _candidates_sets(docs: DataFrame, k: int, percent: int, words, frequent) ->
 
 
 def _cut_sets(sets: DataFrame, fragments: int, column: str, extra: list[str], words=None) -> DataFrame:
-    """The parts of each set by fragment: class, size of the part, its hashes and ``extra`` long columns."""
+    """The parts of each set by fragment: class, size of the part, its hashes with their places in the set's list, and ``extra`` long columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,19 +314,20 @@ def _cut_sets(sets: DataFrame, fragments: int, column: str, extra: list[str], wo
             size = np.array([len(x) // 8 for x in raw], np.int64)
             h = np.frombuffer(b"".join(raw), np.uint64)
             owner = np.repeat(np.arange(len(raw)), size)
+            place = ranged(np.zeros(len(raw), np.int64), size).astype(np.uint64)
             f = fragment_of(h, fragments)
             order = np.argsort(f, kind="stable")
-            f, h, owner = f[order], h[order], owner[order]
+            f, h, owner, place = f[order], h[order], owner[order], place[order]
             cut = np.searchsorted(f, np.arange(fragments + 1))
             columns = {c: batch.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("class", *extra)}
             rows = []
             for g in np.flatnonzero(np.diff(cut)).tolist():
                 start, n = runs(owner[cut[g] : cut[g + 1]])
                 who = owner[cut[g] + start]
-                rows.append((g, pack(n), pack(h[cut[g] : cut[g + 1]]), *(pack(c[who]) for c in columns.values())))
-            yield _rows(["fragment", "sizes", "hashes", *columns], [pa.int64(), *[pa.binary()] * (2 + len(columns))], rows)
+                rows.append((g, pack(n), pack(h[cut[g] : cut[g + 1]]), pack(place[cut[g] : cut[g + 1]]) if extra else None, *(pack(c[who]) for c in columns.values())))
+            yield _rows(["fragment", "sizes", "hashes", "places", *columns], [pa.int64(), *[pa.binary()] * (3 + len(columns))], rows)
 
-    return sets.mapInArrow(run, "fragment bigint, sizes binary, hashes binary, class binary" + "".join(f", {c} binary" for c in extra))
+    return sets.mapInArrow(run, "fragment bigint, sizes binary, hashes binary, places binary, class binary" + "".join(f", {c} binary" for c in extra))
 
 
 def _column(table: pa.Table, name: str) -> np.ndarray:
@@ -337,7 +340,11 @@ def _fits(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _meet(percent: int, step: int):
-    """Pairs of sets that meet in one fragment.
+    """Pairs of sets that meet in one fragment and can link.
+
+    Sets whose first common shingle is in places i and j of their prefixes
+    share at most min(n - i, m - j). At later common shingles this is less
+    than it should be, but the pair is then found at the first.
 
     Steps 0 and 1: each set with one set of about its size at each shingle,
     which the step picks. Step 2: all with all of other components.
@@ -346,13 +353,24 @@ def _meet(percent: int, step: int):
     def run(table: pa.Table) -> pa.Table:
         sizes = _column(table, "sizes").astype(np.int64)
         h = _column(table, "hashes")
-        one = {name: _column(table, name).view(np.int64) for name in ("class", "n", "component")}
+        one = {name: _column(table, name).view(np.int64) for name in ("class", "n", "component", "centre", "inside")}
         who = np.repeat(np.arange(len(sizes)), sizes)
         ids = one["class"]
         found: list[np.ndarray] = []
 
-        def keep(a: np.ndarray, b: np.ndarray) -> None:
-            ok = (one["component"][a] != one["component"][b]) & _fits(one["n"][a], one["n"][b], percent)
+        place = _column(table, "places").view(np.int64)
+
+        def keep(x: np.ndarray, y: np.ndarray) -> None:
+            """Pairs of entries of the lists."""
+            a, b = who[x], who[y]
+            na, nb = one["n"][a], one["n"][b]
+            most = np.minimum(na - place[x], nb - place[y])
+            ok = (one["component"][a] != one["component"][b]) & _fits(na, nb, percent) & ((100 + percent) * most >= percent * (na + nb))
+            a, b = a[ok], b[ok]
+            # both were counted against one centre: they share no more than the smaller part inside it and the smaller outside
+            (na, nb), (ia, ib) = ((one[c][a], one[c][b]) for c in ("n", "inside"))
+            most = np.minimum(ia, ib) + np.minimum(na - ia, nb - ib)
+            ok = (one["centre"][a] != one["centre"][b]) | (100 * most >= percent * (na + nb - most))
             a, b = a[ok], b[ok]
             swap = ids[a] > ids[b]
             low, high = np.where(swap, b, a), np.where(swap, a, b)
@@ -365,11 +383,11 @@ def _meet(percent: int, step: int):
             rank[np.argsort(mix(ids.view(np.uint64) + U(step * GOLD & (1 << 64) - 1)) if step else ids, kind="stable")] = np.arange(len(ids))
             order = np.lexsort((rank[who], band[who], h))
             hs, w = h[order], who[order]
-            new = np.ones(len(w), bool)
+            new = np.ones(len(w), bool)  # a new shingle or size class
             if len(w):
                 new[1:] = (hs[1:] != hs[:-1]) | (band[w][1:] != band[w][:-1])
-            first = w[np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))] if len(w) else w
-            keep(w, first)
+            first = order[np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))] if len(w) else w
+            keep(order, first)
         else:
             order = np.lexsort((one["component"][who], h))
             hs, w = h[order], who[order]
@@ -390,7 +408,7 @@ def _meet(percent: int, step: int):
             while a < len(live):
                 b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + 2_000_000, "right")))
                 own = live[a:b]
-                keep(np.repeat(w[own], size[own]), w[ranged(after[own], size[own])])
+                keep(np.repeat(order[own], size[own]), order[ranged(after[own], size[own])])
                 a = b
         code = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
         x, y = code // max(len(ids), 1), code % max(len(ids), 1)
@@ -461,14 +479,16 @@ def class_links(docs: DataFrame, own: DataFrame, scratch: Scratch, k: int, perce
     if not total:
         return None
     cuts = max(partitions(spark), -(-total // FRAGMENT))
-    links, found = None, None
+    links, found, centres = None, None, None
     for step in range(3):
         prefix = sets.select("class", "n", "prefix")
-        if found is None:
-            prefix = prefix.withColumn("component", F.col("class"))
-        else:
-            prefix = prefix.join(found, prefix["class"] == found["node"], "left").select("class", "n", "prefix", F.coalesce("component", "class").alias("component"))
-        met = _cut_sets(prefix, cuts, "prefix", ["n", "component"]).groupBy("fragment").applyInArrow(_meet(percent, step), "a bigint, b bigint, na bigint, nb bigint")
+        if found is not None:
+            prefix = prefix.join(found.withColumnRenamed("node", "class"), "class", "left")
+        if centres is not None:
+            prefix = prefix.join(centres, "class", "left")
+        own_value = {"component": "class", "centre": "class", "inside": "n"}
+        prefix = prefix.select("class", "n", "prefix", *(F.coalesce(c, o).alias(c) if c in prefix.columns else F.col(o).alias(c) for c, o in own_value.items()))
+        met = _cut_sets(prefix, cuts, "prefix", ["n", *own_value]).groupBy("fragment").applyInArrow(_meet(percent, step), "a bigint, b bigint, na bigint, nb bigint")
         pairs = scratch.table(f"pairs-{step}", met.distinct())
         if pairs.isEmpty():
             continue
@@ -476,10 +496,12 @@ def class_links(docs: DataFrame, own: DataFrame, scratch: Scratch, k: int, perce
         near = spark.sparkContext.broadcast(key_filter(ends, "class"))
         left = _cut_sets(sets.select("class", "hashes"), cuts, "hashes", [], near)
         counted = left.groupBy("fragment").cogroup(_spread(pairs, cuts).groupBy("fragment")).applyInArrow(_count, "a bigint, b bigint, overlap bigint")
-        summed = counted.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
-        linked = summed.join(pairs, ["a", "b"]).where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
-        new = scratch.table(f"links-{step}", linked)
+        counted = scratch.table(f"counted-{step}", counted.groupBy("a", "b").agg(F.sum("overlap").alias("overlap")).join(pairs, ["a", "b"]))
         release(spark)
+        if step == 0:  # there the smaller class of a pair is the one that the other was paired with
+            least = counted.groupBy(F.col("b").alias("class")).agg(F.min(F.struct("a", "overlap")).alias("c"))
+            centres = scratch.table("centres", least.select("class", F.col("c.a").alias("centre"), F.col("c.overlap").alias("inside")))
+        new = counted.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
         if new.isEmpty():
             continue
         links = new if links is None else links.union(new)
