@@ -1,19 +1,340 @@
-"""The raster queries and their SQL."""
+"""The raster queries over the star-schema tables, and their SQL.
+
+The tables hold no images, so columns are written as raster files, read back
+by the engine, and compared with plain SQL over the columns.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gridloom.functions import classify, geometry, pixels
+from gridloom.functions.domains import CODE
+from gridloom.operators import rasters
+from gridloom.operators import samples as S
+from gridloom.runtime import ship
+from gridloom.sources import scan
+
+CODECS = {"none": 1, "lzw": 5, "deflate": 8, "packbits": 32773, "zstd": 50000}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _decoded_samples(files: DataFrame, exact: bool = False) -> DataFrame:
+    return scan.samples(scan.decode(files), exact)
+
+
+def _vectors(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    """Embeddings as float rasters of one row, written and read back."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    files = rasters.encode_arrays(rows, "embedding", "f4", F.col("vec_id").cast("string"), **how)
+    return _decoded_samples(files).select(F.col("path").cast("bigint").alias("vec_id"), F.col("x").cast("bigint").alias("x"), "value")
+
+
+def round_trip_f32(codec: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: _vectors(spark, sf_dir, compression=CODECS[codec])
+
+
+RT_SQL = "SELECT vec_id::BIGINT AS vec_id, (x - 1)::BIGINT AS x, embedding[x]::DOUBLE AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS x FROM embeddings)"
+
+
+def rt_f32_fpred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, sf_dir, compression=8, predictor=3)
+
+
+def rt_f32_big(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, sf_dir, compression=8, big=True)
+
+
+def _user_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's values in hundredths, in order of event, as 16-bit numbers."""
+    e = _table(spark, sf_dir, "events").select("user_id", "event_id", F.round(F.col("value") * 100).cast("bigint").alias("v"))
+    return e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "v"))).alias("s")).select("user_id", F.col("s.v").alias("v"))
+
+
+def rt_u16_hpred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = rasters.encode_arrays(_user_rows(spark, sf_dir), "v", "u2", F.col("user_id").cast("string"), compression=5, predictor=2)
+    return _decoded_samples(files).select(F.col("path").cast("bigint").alias("user_id"), F.col("x").cast("bigint").alias("x"), F.col("value").cast("bigint").alias("v"))
+
+
+USER_SQL = "SELECT user_id::BIGINT AS user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::BIGINT AS x, round(value * 100)::BIGINT AS v FROM events"
+
+
+def rt_u64_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """64-bit samples beyond what a double holds."""
+    rows = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.lit(9007199254740993).cast("bigint") + F.col("o_orderkey"))).alias("v"))
+    files = rasters.encode_arrays(rows, "v", "u8", F.col("o_custkey").cast("string"), compression=8, predictor=2, big=True)
+    return _decoded_samples(files, True).select(F.col("path").cast("bigint").alias("o_custkey"), F.col("x").cast("bigint").alias("x"), F.col("exact").cast("bigint").alias("v"))
+
+
+def rt_i32_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.struct("c_custkey", F.round(F.col("c_acctbal") * 100).cast("int").alias("v")))).alias("s")).select("c_nationkey", F.col("s.v").alias("v"))
+    files = rasters.encode_arrays(rows, "v", "i4", F.col("c_nationkey").cast("string"), compression=32773, predictor=2)
+    return _decoded_samples(files).select(F.col("path").cast("bigint").alias("c_nationkey"), F.col("x").cast("bigint").alias("x"), F.col("value").cast("bigint").alias("v"))
+
+
+def hpred_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events").select(F.col("user_id").cast("bigint").alias("user_id"), F.col("event_id").cast("bigint").alias("event_id"), F.round(F.col("value") * 100).cast("bigint").alias("v"))
+    return pixels.horizontal(e, ["user_id"], "event_id", "v", 16).select("user_id", "event_id", "difference")
+
+
+def hpred_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = hpred_forward(spark, sf_dir)
+    return pixels.undo_horizontal(d, ["user_id"], "event_id", "difference", 16).select("user_id", "event_id", "value")
+
+
+def _over_rows(rows: DataFrame, kernel) -> DataFrame:
+    """(user_id, x, v) of an array column v after a kernel on a row of samples."""
+    ship(rows.sparkSession)
+
+    @F.arrow_udf("array<bigint>")
+    def run(column: pa.Array) -> pa.Array:
+        flat, cut = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+        parts = [kernel(flat[a:b]).astype(np.int64) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        sizes = np.cumsum([0, *map(len, parts)])
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+
+    return rows.select(F.col("user_id").cast("bigint").alias("user_id"), F.posexplode(run("v")).alias("x", "v")).select("user_id", F.col("x").cast("bigint").alias("x"), "v")
+
+
+def pack_unpack_12b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def kernel(v: np.ndarray) -> np.ndarray:
+        row = (v & 4095).astype(np.uint16)[None, :]
+        return S.unpack_bits(S.pack_bits(row, 12), row.shape[1], 12)[0]
+
+    return _over_rows(_user_rows(spark, sf_dir), kernel)
+
+
+def byte_swap_u16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events")
+    return e.select(F.col("event_id").cast("bigint").alias("event_id"), pixels.byte_swap(F.round(F.col("value") * 100).cast("bigint"), 2).alias("v"))
+
+
+def invert_gray8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").cast("bigint").alias("p_partkey"), pixels.invert(pixels.mask(F.col("p_size").cast("bigint"), 8), 8).alias("v"))
+
+
+def lab_rebias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").cast("bigint").alias("p_partkey"), pixels.lab_bias(F.pmod(F.col("p_partkey").cast("bigint"), F.lit(256))).alias("a"), pixels.lab_bias(F.col("p_size").cast("bigint")).alias("b"))
+
+
+def palette_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Region keys of nations as palette indices, regions as the colour map."""
+    n, r = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
+    colors = r.select(F.col("r_regionkey").alias("index"), F.col("r_name").alias("color"))
+    return pixels.palette(n, colors, "n_regionkey").select(F.col("n_nationkey").cast("bigint").alias("n_nationkey"), "n_name", "color")
+
+
+def tile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint").alias("p_partkey"), (F.col("p_size") * 3 + 1).cast("bigint").alias("width"), (F.col("p_partkey") % 70 + 1).cast("bigint").alias("height"), F.lit(16).alias("chunk_width"), F.lit(16).alias("chunk_height"), F.lit(1).alias("planes"))
+    return geometry.explode_chunks(p).select("p_partkey", *(F.col(c).cast("bigint").alias(c) for c in ("chunk_index", "x0", "y0", "data_width", "data_height")))
+
+
+def strip_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.lit(1000).cast("bigint").alias("width"), (F.col("o_custkey") % 97 + 1).cast("bigint").alias("height"))
+    row = geometry.row_bytes(F.col("width"), F.lit(8), F.lit(3))
+    o = o.withColumn("chunk_width", F.col("width")).withColumn("chunk_height", geometry.rows_per_strip(row, F.lit(1), 30_000)).withColumn("planes", F.lit(1))
+    return geometry.explode_chunks(o).select("o_orderkey", *(F.col(c).cast("bigint").alias(c) for c in ("chunk_index", "y0", "data_height")))
+
+
+def bytes_md5(codec: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Texts as bytes of strips through a codec."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        d = _table(spark, sf_dir, "documents").where("octet_length(text) > 0").select("doc_id", F.col("text").cast("binary").alias("raw"))
+
+        @F.arrow_udf("binary")
+        def through(column: pa.Array) -> pa.Array:
+            from gridloom.operators.codecs import Job, decode, encode
+
+            return pa.array([decode(CODECS[codec], encode(CODECS[codec], x), Job(len(x), 1, 1, len(x))) for x in column.to_pylist()], pa.binary())
+
+        out = d.withColumn("raw", through("raw"))
+        return out.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("raw").alias("md5"), F.octet_length("raw").cast("bigint").alias("n"))
+
+    return query
+
+
+def tag_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _table(spark, sf_dir, "pages").where("url is not null")
+    files = rasters.encode_tags(p, {"url": (CODE["ImageDescription"], 2)}, F.col("page_id").cast("string"))
+    t = scan.tags(files).where(F.col("tag") == CODE["ImageDescription"])
+    return t.select(F.col("path").cast("bigint").alias("page_id"), F.col("value.str").alias("url"))
+
+
+def tag_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of several field types, inline and not, in a 64-bit file."""
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", (F.lit(-7) - F.col("o_custkey") % 1000).alias("small"))
+    files = rasters.encode_tags(o, {"o_orderkey": (65000, 16), "o_custkey": (65001, 4), "o_totalprice": (65002, 12), "small": (65003, 8)}, F.col("o_orderkey").cast("string"), big=True)
+    t = scan.tags(files).select("path", "tag", F.get("value.ints", 0).cast("bigint").alias("i"), F.get("value.doubles", 0).alias("d"))
+    pick = lambda tag, c: F.max(F.when(F.col("tag") == tag, F.col(c)))
+    return t.groupBy(F.col("path").cast("bigint").alias("o_orderkey")).agg(pick(65000, "i").alias("key"), pick(65001, "i").alias("o_custkey"), pick(65002, "d").alias("o_totalprice"), pick(65003, "i").alias("small"))
+
+
+def multipage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of a conversation as the pages of a file."""
+    c = _table(spark, sf_dir, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    pages = c.select(F.col("conv_id").cast("string").alias("file"), (F.row_number().over(w) - 1).alias("page_index"), (F.col("turn") + 1).cast("int").alias("width"), F.lit(1).alias("height"), F.lit(1).alias("bands"), F.lit("u1").alias("dtype"), F.lit("Gray").alias("color"), F.rpad(F.lit(""), (F.col("turn") + 1).cast("int"), F.lit("x")).cast("binary").alias("data"))
+    p = scan.pages(rasters.encode_files(pages))
+    return p.select(F.col("path").cast("bigint").alias("conv_id"), F.col("page_index").cast("bigint").alias("page_index"), F.col("width").cast("bigint").alias("width"))
+
+
+def color_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The colour type of 2 000 combinations of page properties."""
+    k = F.col("p_partkey").cast("bigint")
+    photo = F.get(F.array(*(F.lit(x) for x in (0, 1, 2, 3, 4, 5, 6, 8, 9, 10, 32844, 32845))), F.pmod(k, F.lit(12)).cast("int"))
+    one = _table(spark, sf_dir, "part").select(k.alias("p_partkey"), photo.alias("photometric"), (F.pmod(F.floor(k / 12), F.lit(6)) + 1).cast("int").alias("samples"), F.when(F.pmod(F.floor(k / 72), F.lit(2)) == 0, F.array().cast("array<int>")).otherwise(F.array(F.pmod(F.floor(k / 144), F.lit(3)).cast("int"))).alias("extra"), F.when(F.pmod(F.floor(k / 432), F.lit(2)) == 0, 8).otherwise(32).alias("bits"), F.when(F.pmod(F.floor(k / 864), F.lit(2)) == 0, 1).otherwise(3).alias("format"))
+    return one.select("p_partkey", F.coalesce(classify.color_type(F.col("photometric"), F.col("samples"), F.col("extra"), F.col("bits"), F.col("format")), F.lit("none")).alias("color"))
+
+
+COLOR_SQL = """
+WITH k AS (SELECT p_partkey::BIGINT AS k FROM part),
+c AS (SELECT k, [0, 1, 2, 3, 4, 5, 6, 8, 9, 10, 32844, 32845][k % 12 + 1] AS photo, (k // 12) % 6 + 1 AS s, (k // 72) % 2 AS e, (k // 144) % 3 AS x, CASE WHEN (k // 432) % 2 = 0 THEN 8 ELSE 32 END AS b, CASE WHEN (k // 864) % 2 = 0 THEN 1 ELSE 3 END AS f FROM k)
+SELECT k AS p_partkey, CASE
+  WHEN photo = 2 AND s - e = 3 THEN CASE WHEN e = 1 AND x IN (1, 2) THEN 'RGBA' ELSE 'RGB' END WHEN photo = 2 AND s - e = 4 THEN 'RGBA'
+  WHEN photo = 5 AND s - e = 4 THEN CASE WHEN e = 1 AND x IN (1, 2) THEN 'CMYKA' ELSE 'CMYK' END WHEN photo = 5 AND s - e = 5 THEN 'CMYKA'
+  WHEN photo = 6 AND s - e = 3 THEN 'YCbCr' WHEN photo IN (0, 1) THEN CASE WHEN s = 1 THEN 'Gray' ELSE 'Multiband' END
+  WHEN photo = 9 AND s - e = 3 AND f = 1 THEN 'Lab' WHEN photo = 8 AND s - e = 3 AND b = 8 THEN 'Lab'
+  WHEN photo = 32844 AND s = 1 AND b = 32 AND f = 3 THEN 'Gray' WHEN photo = 32845 AND s = 3 AND b = 32 AND f = 3 THEN 'RGB'
+  WHEN photo = 3 THEN 'Palette' WHEN photo = 4 THEN 'Gray' ELSE 'none' END AS color FROM c
+"""
+
+
+def rle_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events").select(F.col("user_id").cast("bigint").alias("user_id"), F.col("event_id").cast("bigint").alias("event_id"), "event_type")
+    return pixels.runs(e, ["user_id"], "event_id", "event_type")
+
+
+def planar_vs_chunky(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices and discounts as two bands, interleaved in a file, and taken apart again."""
+    rows = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", F.array((F.col("o_orderkey") % 256).cast("bigint"), (F.col("o_orderkey") / 7 % 256).cast("bigint"), (F.col("o_custkey") % 256).cast("bigint")).alias("v")))).alias("s")).select("o_custkey", F.flatten(F.col("s.v")).alias("v"))
+    files = rasters.encode_arrays(rows, "v", "u1", F.col("o_custkey").cast("string"), compression=8, predictor=2, bands=3, color="RGB")
+    s = _decoded_samples(files)
+    return s.groupBy(F.col("path").cast("bigint").alias("o_custkey"), F.col("band").cast("bigint").alias("band")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("bigint")).alias("total"))
+
+
+PLANAR_SQL = """
+SELECT o_custkey::BIGINT AS o_custkey, band::BIGINT AS band, count(*)::BIGINT AS n, sum(v)::BIGINT AS total FROM (
+  SELECT o_custkey, 0 AS band, o_orderkey % 256 AS v FROM orders UNION ALL SELECT o_custkey, 1, trunc((o_orderkey / 7) % 256)::BIGINT FROM orders UNION ALL SELECT o_custkey, 2, o_custkey % 256 FROM orders) GROUP BY 1, 2
+"""
+
+
+def region_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles that rectangles overlap, by an equi-join on grid cells."""
+    page = spark.createDataFrame([(1024, 768, 64, 64, 1)], "width bigint, height bigint, chunk_width int, chunk_height int, planes int")
+    tiles = geometry.explode_chunks(page)
+    p = _table(spark, sf_dir, "part")
+    left, top = F.pmod(F.col("p_partkey") * 37, F.lit(1000)), F.pmod(F.col("p_partkey") * 53, F.lit(700))
+    regions = p.select(F.col("p_partkey").cast("bigint").alias("p_partkey"), left.alias("left"), top.alias("top"), (left + F.col("p_size") * 3).alias("right"), (top + F.col("p_size") * 2).alias("bottom"))
+    hit = geometry.region_chunks(tiles, regions, 64, 64)
+    area = (F.least("right", F.col("x0") + F.col("data_width")) - F.greatest("left", "x0")) * (F.least("bottom", F.col("y0") + F.col("data_height")) - F.greatest("top", "y0"))
+    return hit.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n_tiles"), F.sum(area.cast("bigint")).alias("area"))
+
+
+REGION_SQL = """
+WITH r AS (SELECT p_partkey, (p_partkey * 37) % 1000 AS l, (p_partkey * 53) % 700 AS t, (p_partkey * 37) % 1000 + p_size * 3 AS r, (p_partkey * 53) % 700 + p_size * 2 AS b FROM part),
+g AS (SELECT x * 64 AS x0, y * 64 AS y0 FROM range(16) a(x), range(12) c(y))
+SELECT p_partkey::BIGINT AS p_partkey, count(*)::BIGINT AS n_tiles, sum((least(r, x0 + 64) - greatest(l, x0)) * (least(b, y0 + 64) - greatest(t, y0)))::BIGINT AS area
+FROM r JOIN g ON l < x0 + 64 AND r > x0 AND t < y0 + 64 AND b > y0 GROUP BY 1
+"""
+
+
+def limits_permissive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as images that may be too large for the limits: errors are rows."""
+    d = _table(spark, sf_dir, "documents").where("octet_length(text) > 0").select(F.col("doc_id").cast("string").alias("file"), F.lit(0).alias("page_index"), F.octet_length("text").cast("int").alias("width"), F.lit(1).alias("height"), F.lit(1).alias("bands"), F.lit("u1").alias("dtype"), F.lit("Gray").alias("color"), F.col("text").cast("binary").alias("data"))
+    out = scan.decode(rasters.encode_files(d, compression=8), scan.Options.of(maxDecodedBytes=2000))
+    return out.select(F.col("path").cast("bigint").alias("doc_id"), F.coalesce("error_kind", F.lit("ok")).alias("state"), F.coalesce(F.octet_length("data"), F.lit(0)).cast("bigint").alias("n"))
+
+
+def ifd_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of directories, some led back to an earlier one: how far each goes and how it ends."""
+    ship(spark)
+    rows = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("bigint").alias("s_suppkey"))
+
+    @F.arrow_udf("binary")
+    def chain(column: pa.Array) -> pa.Array:
+        import struct
+
+        from gridloom.operators.encode import ORDER, RasterWriter, tag
+
+        out = []
+        for k in column.to_pylist():
+            w = RasterWriter()
+            at = [w.directory({CODE["ImageWidth"]: tag(4, i)}) for i in range(k % 5 + 1)]
+            if k % 3 == 0:  # the last leads to the one in the middle
+                struct.pack_into(ORDER + "I", w.raw, w.link, at[len(at) // 2])
+            out.append(w.finish())
+        return pa.array(out, pa.binary())
+
+    files = rows.select(F.col("s_suppkey").cast("string").alias("path"), chain("s_suppkey").alias("content"))
+    t = scan.tags(files)
+    return t.groupBy(F.col("path").cast("bigint").alias("s_suppkey")).agg(F.sum(F.when(F.col("tag") == CODE["ImageWidth"], 1).otherwise(0)).cast("bigint").alias("n"), F.coalesce(F.max("error_kind"), F.lit("end")).alias("ends"))
+
+
+def codec_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored strips of the vectors by codec name, through the chunk table and the domain table."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    from gridloom.functions.domains import names
+
+    out = None
+    for code in (1, 8):
+        files = rasters.encode_arrays(rows, "embedding", "f4", F.concat(F.lit(f"{code}/"), F.col("vec_id").cast("string")), compression=code)
+        p = scan.pages(files)
+        out = p if out is None else out.unionByName(p)
+    return out.join(F.broadcast(names(spark, "compression")), F.col("compression") == F.col("code")).groupBy("name").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.col("width") * F.col("height")).alias("samples"), F.max("bits").cast("bigint").alias("bits"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    """Every vector as a float raster, written, read back and summed."""
+    s = _vectors(spark, sf_dir, compression=8, predictor=3)
+    return s.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    out = {f"rt_f32_{c}": round_trip_f32(c) for c in CODECS}
+    out |= {f"bytes_md5_{c}": bytes_md5(c) for c in ("lzw", "deflate", "packbits", "zstd")}
+    for f in (rt_f32_fpred, rt_f32_big, rt_u16_hpred, rt_u64_exact, rt_i32_signed, hpred_forward, hpred_inverse, pack_unpack_12b, byte_swap_u16, invert_gray8, lab_rebias, palette_lookup, tile_grid, strip_grid, tag_ascii, tag_scalars, multipage, ifd_cycles, color_classify, rle_runs, planar_vs_chunky, region_join, limits_permissive, codec_sizes):
+        out[f.__name__] = f
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out = {f"rt_f32_{c}": RT_SQL for c in CODECS} | {"rt_f32_fpred": RT_SQL, "rt_f32_big": RT_SQL}
+    out |= {f"bytes_md5_{c}": "SELECT doc_id::BIGINT AS doc_id, md5(text) AS md5, octet_length(encode(text))::BIGINT AS n FROM documents WHERE octet_length(encode(text)) > 0" for c in ("lzw", "deflate", "packbits", "zstd")}
+    return out | {
+        "rt_u16_hpred": USER_SQL,
+        "rt_u64_exact": "SELECT o_custkey::BIGINT AS o_custkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::BIGINT AS x, (9007199254740993 + o_orderkey)::BIGINT AS v FROM orders",
+        "rt_i32_signed": "SELECT c_nationkey::BIGINT AS c_nationkey, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)::BIGINT AS x, round(c_acctbal * 100)::BIGINT AS v FROM customer",
+        "hpred_forward": "SELECT user_id::BIGINT AS user_id, event_id::BIGINT AS event_id, ((v - coalesce(lag(v) OVER (PARTITION BY user_id ORDER BY event_id), 0)) % 65536 + 65536) % 65536 AS difference FROM (SELECT user_id, event_id, round(value * 100)::BIGINT AS v FROM events)",
+        "hpred_inverse": "SELECT user_id::BIGINT AS user_id, event_id::BIGINT AS event_id, round(value * 100)::BIGINT AS value FROM events",
+        "pack_unpack_12b": f"SELECT user_id, x, v & 4095 AS v FROM ({USER_SQL})",
+        "byte_swap_u16": "SELECT event_id::BIGINT AS event_id, (v & 255) * 256 + (v >> 8) AS v FROM (SELECT event_id, round(value * 100)::BIGINT AS v FROM events)",
+        "invert_gray8": "SELECT p_partkey::BIGINT AS p_partkey, (255 - (p_size & 255))::BIGINT AS v FROM part",
+        "lab_rebias": "SELECT p_partkey::BIGINT AS p_partkey, ((p_partkey % 256 + 128) % 256)::BIGINT AS a, ((p_size + 128) % 256)::BIGINT AS b FROM part",
+        "palette_lookup": "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, r_name AS color FROM nation JOIN region ON n_regionkey = r_regionkey",
+        "tile_grid": "WITH p AS (SELECT p_partkey::BIGINT AS p_partkey, p_size * 3 + 1 AS w, p_partkey % 70 + 1 AS h FROM part), g AS (SELECT *, (w + 15) // 16 AS a, unnest(range(((w + 15) // 16) * ((h + 15) // 16))) AS i FROM p) SELECT p_partkey, i::BIGINT AS chunk_index, (i % a * 16)::BIGINT AS x0, (i // a * 16)::BIGINT AS y0, least(16, w - i % a * 16)::BIGINT AS data_width, least(16, h - i // a * 16)::BIGINT AS data_height FROM g",
+        "strip_grid": "WITH o AS (SELECT o_orderkey::BIGINT AS o_orderkey, o_custkey % 97 + 1 AS h FROM orders), g AS (SELECT *, unnest(range((h + 9) // 10)) AS i FROM o) SELECT o_orderkey, i::BIGINT AS chunk_index, (i * 10)::BIGINT AS y0, least(10, h - i * 10)::BIGINT AS data_height FROM g",
+        "tag_ascii": "SELECT page_id::BIGINT AS page_id, url FROM pages WHERE url IS NOT NULL",
+        "tag_scalars": "SELECT o_orderkey::BIGINT AS o_orderkey, o_orderkey::BIGINT AS key, o_custkey::BIGINT AS o_custkey, o_totalprice::DOUBLE AS o_totalprice, (-7 - o_custkey % 1000)::BIGINT AS small FROM orders",
+        "multipage": "SELECT conv_id::BIGINT AS conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS page_index, (turn + 1)::BIGINT AS width FROM conversations",
+        "ifd_cycles": "WITH RECURSIVE s AS (SELECT s_suppkey::BIGINT AS k, s_suppkey % 5 + 1 AS n FROM supplier), walk(k, n, steps) AS (SELECT k, n, 1 FROM s UNION ALL SELECT k, n, steps + 1 FROM walk WHERE steps < n) SELECT k AS s_suppkey, max(steps)::BIGINT AS n, CASE WHEN k % 3 = 0 THEN 'CycleInOffsets' ELSE 'end' END AS ends FROM walk GROUP BY k",
+        "color_classify": COLOR_SQL,
+        "rle_runs": "WITH m AS (SELECT user_id, event_id, event_type, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), r AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM m) SELECT user_id::BIGINT AS user_id, min(event_id)::BIGINT AS start, any_value(event_type) AS value, count(*)::BIGINT AS n FROM r GROUP BY user_id, r",
+        "planar_vs_chunky": PLANAR_SQL,
+        "region_join": REGION_SQL,
+        "limits_permissive": "SELECT doc_id::BIGINT AS doc_id, CASE WHEN n > 2000 THEN 'LimitsExceeded' ELSE 'ok' END AS state, CASE WHEN n > 2000 THEN 0 ELSE n END AS n FROM (SELECT doc_id, octet_length(encode(text))::BIGINT AS n FROM documents WHERE octet_length(encode(text)) > 0)",
+        "codec_sizes": "SELECT name, count(*)::BIGINT AS pages, sum(len(embedding))::BIGINT AS samples, 32::BIGINT AS bits FROM embeddings, (VALUES ('None'), ('Deflate')) c(name) GROUP BY name",
+    }
+
+
