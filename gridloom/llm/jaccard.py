@@ -38,18 +38,24 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import graph
 from gridloom.llm.textkern import mix, shingle_sets, slices
-from gridloom.runtime import Scratch, partitions, release, ship
+from gridloom.runtime import Scratch, release, ship
 
 #: Shingles of a fragment; a task holds one fragment at a time. More text needs larger ones.
-FRAGMENT = 1_000_000
+FRAGMENT = 2_500_000
+#: There are at least so many fragments.
+FRAGMENTS = 40
 #: Shingles of a block of documents, which one task holds before it deals them out.
 BLOCK = 1_000_000
 #: The most frequent shingles, put last in the order: at most so many are sent to all tasks.
 FREQUENT = 131_072
 #: A shingle may be in that list if so many classes, or blocks of them, have it.
 FREQUENT_FROM = 16
+#: Keys of documents up to so many are sent to all tasks.
+BROADCAST_KEYS = 2_000_000
 #: Bits of the filter that names the classes that stay: at most 16 MB.
 FILTER_BITS = 1 << 27
+#: The step that pairs all sets that are left; those before only try some.
+LAST = 4
 U = np.uint64
 GOLD = 0x9E3779B97F4A7C15
 
@@ -346,8 +352,9 @@ def _meet(percent: int, step: int):
     share at most min(n - i, m - j). At later common shingles this is less
     than it should be, but the pair is then found at the first.
 
-    Steps 0 and 1: each set with one set of about its size at each shingle,
-    which the step picks. Step 2: all with all of other components.
+    Step 0: each set with the first set of about its size at each shingle.
+    Then: at each shingle with some set of the component that has most sets
+    there, if it is another one. Step LAST: with all sets of other components.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -376,18 +383,29 @@ def _meet(percent: int, step: int):
             low, high = np.where(swap, b, a), np.where(swap, a, b)
             found.append(np.unique(low * len(ids) + high))
 
-        if step < 2:
-            # sets at a shingle, by size class and by the step's order; each is paired with the first of its class
+        if step == 0:
             band = np.floor(np.log(one["n"]) / np.log(100 / percent)).astype(np.int64) if len(ids) else ids
-            rank = np.empty(len(ids), np.int64)
-            rank[np.argsort(mix(ids.view(np.uint64) + U(step * GOLD & (1 << 64) - 1)) if step else ids, kind="stable")] = np.arange(len(ids))
-            order = np.lexsort((rank[who], band[who], h))
+            order = np.lexsort((ids[who], band[who], h))
             hs, w = h[order], who[order]
             new = np.ones(len(w), bool)  # a new shingle or size class
             if len(w):
                 new[1:] = (hs[1:] != hs[:-1]) | (band[w][1:] != band[w][:-1])
             first = order[np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))] if len(w) else w
             keep(order, first)
+        elif step < LAST:
+            order = np.lexsort((one["component"][who], h))
+            hs, comp = h[order], one["component"][who][order]
+            list_start, list_size = runs(hs)
+            new = np.ones(len(hs), bool)
+            if len(hs):
+                new[1:] = (hs[1:] != hs[:-1]) | (comp[1:] != comp[:-1])
+            start = np.flatnonzero(new)
+            size = np.diff(start, append=len(hs))
+            of_list = np.searchsorted(list_start, start, "right") - 1
+            best = start[np.lexsort((size, of_list))][np.flatnonzero(np.diff(of_list, append=-1))] if len(start) else start
+            most = size[np.searchsorted(start, best)]
+            place_in = mix(ids[who[order]].view(np.uint64) ^ hs ^ U(step)) % np.maximum(np.repeat(most, list_size), 1).astype(np.uint64)
+            keep(order, order[np.repeat(best, list_size) + place_in.astype(np.int64)])
         else:
             order = np.lexsort((one["component"][who], h))
             hs, w = h[order], who[order]
@@ -461,7 +479,7 @@ def class_links(docs: DataFrame, own: DataFrame, scratch: Scratch, k: int, perce
     ``docs`` has (id, key, text), ``own`` is ``members`` of it.
     """
     spark = docs.sparkSession
-    fragments = max(partitions(spark), -(-int(own.agg(F.sum("n_shingles")).first()[0] or 0) // FRAGMENT))
+    fragments = max(FRAGMENTS, -(-int(own.agg(F.sum("n_shingles")).first()[0] or 0) // FRAGMENT))
     dealt = _deal(docs, k, fragments)
     partial = scratch.table("partial", dealt.groupBy("fragment").applyInArrow(_share, "block bigint, present binary, shared binary, table binary, hash bigint, seen bigint"))
     release(spark)
@@ -478,9 +496,9 @@ def class_links(docs: DataFrame, own: DataFrame, scratch: Scratch, k: int, perce
     total = int(sets.agg(F.sum("n")).first()[0] or 0)
     if not total:
         return None
-    cuts = max(partitions(spark), -(-total // FRAGMENT))
+    cuts = max(FRAGMENTS, -(-total // FRAGMENT))
     links, found, centres = None, None, None
-    for step in range(3):
+    for step in range(LAST + 1):
         prefix = sets.select("class", "n", "prefix")
         if found is not None:
             prefix = prefix.join(found.withColumnRenamed("node", "class"), "class", "left")
@@ -509,17 +527,12 @@ def class_links(docs: DataFrame, own: DataFrame, scratch: Scratch, k: int, perce
     return found
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
-    """A row per document: ``doc_id``, ``n_shingles``, ``component_id``.
-
-    Documents link when 100 * common shingles >= ``percent`` * all shingles of
-    both; the component is the smallest id that links lead to. Rows with a
-    null id keep a row, and the component of the others in it if there are.
-    """
+def _components(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, Scratch]:
+    """(id, key, n_shingles, component_id) per row; the key is a hash of id and text."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "jaccard")
-    picked = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("key"), F.col(text_col).alias("text"))
+    picked = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     own = scratch.table("members", members(picked, k))
     found = class_links(picked, own, scratch, k, percent)
     classes = own.where("class is not null").groupBy("class").agg(F.min("id").alias("least"))
@@ -530,7 +543,40 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         classes = both.join(least, "component").select("class", "component_id")
     else:
         classes = classes.select("class", F.col("least").alias("component_id"))
-    return own.join(classes, "class", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    return own.join(classes, "class", "left").select("id", "key", "n_shingles", F.coalesce("component_id", "id").alias("component_id")), scratch
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
+    """A row per document: ``doc_id``, ``n_shingles``, ``component_id``.
+
+    Documents link when 100 * common shingles >= ``percent`` * all shingles of
+    both; the component is the smallest id that links lead to. Rows with a
+    null id keep a row, and the component of the others in it if there are.
+    """
+    found, _ = _components(docs, id_col, text_col, k, percent)
+    return found.select(F.col("id").alias(id_col), "n_shingles", "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
+    """One document of each component, that with the smallest id, with all columns; of rows that repeat its id and text, one.
+
+    Documents without words stay. The keys of those that go are broadcast if
+    they are few enough, else joined by a shuffle.
+    """
+    found, scratch = _components(docs, id_col, text_col, k, percent)
+    found = scratch.table("found", found)
+    key = F.xxhash64(docs[id_col], docs[text_col])
+    gone = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("_gone")).distinct()
+    n = gone.count()
+    kept = docs.join(F.broadcast(gone) if n <= BROADCAST_KEYS else gone, key == F.col("_gone"), "left_anti")
+    again = found.where((F.col("n_shingles") > 0) & F.col("id").eqNullSafe(F.col("component_id"))).groupBy("key").count().where("count > 1").select(F.col("key").alias("_again"))
+    n = again.count()
+    if not n:
+        return kept
+    again = F.broadcast(again) if n <= BROADCAST_KEYS else again
+    kept_key = F.xxhash64(kept[id_col], kept[text_col])
+    one = kept.join(again, kept_key == F.col("_again"), "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(again, kept_key == F.col("_again"), "left_anti").unionByName(one)
 
 
 SQL = r"""

@@ -28,6 +28,8 @@ MIN_WORDS = 10
 REPEAT_PERCENT = 20
 #: A host goes if its shrunk failure rate is above this.
 REJECT_RATE = 0.5
+#: Rejected hosts up to so many are sent to all tasks.
+BROADCAST_HOSTS = 500_000
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -87,6 +89,11 @@ def text_stats(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     return out
 
 
+def fails(stats: np.ndarray) -> np.ndarray:
+    """The base rules on rows of ``text_stats``."""
+    return (stats[:, 0] < MIN_WORDS) | (100 * stats[:, 4] > REPEAT_PERCENT * stats[:, 0])
+
+
 def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """A row per document: id, host, the columns of STATS and ``base_failed``."""
     ship(docs.sparkSession)
@@ -97,9 +104,8 @@ def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             for a, b, offsets, data in slices(batch.column("text")):
                 x = text_stats(offsets, data)
-                failed = (x[:, 0] < MIN_WORDS) | (100 * x[:, 4] > REPEAT_PERCENT * x[:, 0])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), batch.column("host").slice(a, b - a), *(pa.array(x[:, k]) for k in range(len(STATS))), pa.array(failed)],
+                    [batch.column("doc_id").slice(a, b - a), batch.column("host").slice(a, b - a), *(pa.array(x[:, k]) for k in range(len(STATS))), pa.array(fails(x))],
                     ["doc_id", "host", *STATS, "base_failed"],
                 )
 
@@ -124,6 +130,23 @@ def host_rates(stats: DataFrame, reject_rate: float = REJECT_RATE) -> DataFrame:
     return hosts.select("host", "n_docs", "n_failed", shrunk.alias("host_rate"), (shrunk > reject_rate).alias("host_rejected"))
 
 
+def keep(docs: DataFrame, text_col: str = "text", host_col: str = "source", reject_rate: float = REJECT_RATE) -> DataFrame:
+    """The documents that neither fail the base rules nor come from a rejected host, with all their columns; no text is moved."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    stats = scratch.table("stats", document_stats(docs.select(F.lit(None).cast("int").alias("_none"), host_col, text_col), "_none", text_col, host_col).select("host", "base_failed"))
+    bad = scratch.table("hosts", host_rates(stats, reject_rate).where("host_rejected").select(F.col("host").alias("_host")))
+    if bad.count() <= BROADCAST_HOSTS:
+        bad = F.broadcast(bad)
+
+    @F.arrow_udf("boolean")
+    def failed(column: pa.Array) -> pa.Array:
+        out = [text_stats(offsets, data) for _, _, offsets, data in slices(column)]
+        x = np.concatenate(out) if out else np.zeros((0, len(STATS)), np.int64)
+        return pa.array(fails(x))
+
+    return docs.where(~failed(F.col(text_col))).join(bad, F.col(host_col).cast("string").eqNullSafe(F.col("_host")), "left_anti")
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", reject_rate: float = REJECT_RATE) -> DataFrame:
     """A row per document: id, STATS, base_failed, host, host_rate, kept."""
     scratch = Scratch(docs.sparkSession, "quality")

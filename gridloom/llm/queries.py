@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import bpe, decontam, jaccard, lengths, quality, secrets, tokenbin, urls, warc
+from gridloom.llm import bpe, decontam, jaccard, kneser, lengths, quality, secrets, tokenbin, urls, warc
 from gridloom.runtime import Scratch
 
 
@@ -50,6 +50,10 @@ def op6_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read(spark, path, manifest, docs.schema["doc_id"].dataType)
 
 
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.histogram(_table(spark, sf_dir, "documents"), tokenizer())
 
@@ -71,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_nested_secrets": op4_nested_secrets,
         "op5_host_rules": op5_host_rules,
         "op6_token_planes": op6_token_planes,
+        "op7_kneser_ney": op7_kneser_ney,
         "op8_length_histogram": op8_length_histogram,
         "op9_vertical_jaccard": op9_vertical_jaccard,
         "op10_word_table_bpe": op10_word_table_bpe,
