@@ -92,7 +92,10 @@ def register(code: int, decoder: Decoder | None = None, encoder: Encoder | None
 def decode(compression: int, raw: bytes, job: Job) -> bytes:
     if compression not in DECODERS:
         raise RasterError("UnsupportedCompressionMethod", COMPRESSION.get(compression, compression))
-    return DECODERS[compression](raw, job)
+    try:
+        return DECODERS[compression](raw, job)
+    except (IndexError, KeyError, ValueError) as e:  # damaged data lead a codec out of its tables
+        raise RasterError("IoError", f"damaged {COMPRESSION.get(compression, compression)} data: {e!r}") from None
 
 
 def encode(compression: int, raw: bytes, level: int = 0) -> bytes:

@@ -28,6 +28,8 @@ def _planes(raw: bytes, at: int, n: int, depth: int, reference_order: bool) -> t
             at += 1
             if head >= 128:
                 m = min(head - 126, n - i)
+                if at >= len(raw):
+                    raise RasterError("IoError", "a log-luminance row is cut")
                 out[i : i + m, column] = raw[at]
                 at += 1
             else:

@@ -33,7 +33,7 @@ def decode_rows(page: Page, chunk: int, raw: bytes, limits: Limits = Limits(), r
     if row_bytes * page.chunk_height > limits.decoded:
         raise RasterError("LimitsExceeded", row_bytes * page.chunk_height)
     stored = page.chunk_height if page.kind == "Tile" else h
-    if page.kind == "Tile" and page.bits < 8 and page.chunk_width * page.bits * page.chunk_samples % 8:
+    if page.across > 1 and page.chunk_width * page.bits * page.chunk_samples % 8:
         raise RasterError("MisalignedTileBoundaries")
     job = Job(page.chunk_width, stored, page.chunk_samples, row_bytes, page.fill_order, page.jpeg_tables, reference_order)
     flat = decode(page.compression, raw, job)

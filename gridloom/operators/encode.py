@@ -146,6 +146,8 @@ class RasterWriter:
             CODE["ResolutionUnit"]: tag(3, res[0]),
             CODE["Predictor"]: tag(3, predictor),
         }
+        if photometric == 6:
+            out[CODE["ChromaSubsampling"]] = tag(3, [1, 1])
         if alphas or extra:
             out[CODE["ExtraSamples"]] = tag(3, [*alphas, *extra])
         return self.directory(lead | out | (tags or {}), placed=placed)

@@ -150,25 +150,23 @@ def read_page(src: Source, head: Header, directory: Directory, limits: Limits =
         raise RasterError("InvalidCountForTag", "ChromaSubsampling")
     planes = samples if planar == 2 else 1
 
-    strip = [many(n, "u64") for n in ("StripOffsets", "StripByteCounts")]
-    tile = [many(n, "u64") for n in ("TileOffsets", "TileByteCounts")]
-    if tags.entry(CODE["TileWidth"]) is not None or tags.entry(CODE["TileLength"]) is not None:
+    has = lambda *t: all(tags.entry(CODE[x]) is not None for x in t)
+    strips, tiles = ("StripOffsets", "StripByteCounts"), ("TileOffsets", "TileByteCounts")
+    tiled = has("TileWidth") or has("TileLength")
+    if tiled and (has(*tiles) or has(*strips)):  # tiles may be listed under the tags of strips
         kind, cw, ch = "Tile", need("TileWidth", "u32"), need("TileLength", "u32")
         if not cw or not ch:
             raise RasterError("InvalidTagValueType", "a tile without size")
-        offsets, counts = (t if t is not None else s for t, s in zip(tile, strip, strict=True))
-        if offsets is None or counts is None:
-            raise RasterError("RequiredTagNotFound", "TileOffsets or TileByteCounts")
-        expected = -(-width // cw) * -(-height // ch) * planes
-    elif strip[0] is not None and strip[1] is not None:
+        offsets, counts = (many(n, "u64") for n in (tiles if has(*tiles) else strips))
+    elif not tiled and has(*strips):
         kind, cw, ch = "Strip", width, get("RowsPerStrip", "u32", height)
         if not ch:
-            raise RasterError("InvalidTagValueType", "RowsPerStrip")
+            raise RasterError("InconsistentSizesEncountered", "RowsPerStrip")
         ch = min(ch, height)
-        offsets, counts = strip
-        expected = -(-height // ch) * planes
+        offsets, counts = (many(n, "u64") for n in strips)
     else:
         raise RasterError("StripTileTagConflict")
+    expected = -(-width // cw) * -(-height // ch) * planes
     if len(offsets) != len(counts) or len(offsets) != expected:
         raise RasterError("InconsistentSizesEncountered" if len(offsets) != len(counts) else "IncorrectChunkCount", f"{len(offsets)} offsets, {len(counts)} counts, {expected} chunks")
     if compression in (34676, 34677):
