@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,8 @@ from gridloom.runtime import Scratch, release, ship
 
 #: Shingles of a fragment; a task holds one fragment at a time. More text needs larger ones.
 FRAGMENT = 2_500_000
+#: Hashes of sets that a task cuts up at a time.
+PART = 500_000
 #: There are at least so many fragments.
 FRAGMENTS = 40
 #: Shingles of a block of documents, which one task holds before it deals them out.
@@ -54,6 +57,8 @@ FREQUENT_FROM = 16
 BROADCAST_KEYS = 2_000_000
 #: Bits of the filter that names the classes that stay: at most 16 MB.
 FILTER_BITS = 1 << 27
+#: How many sets of the largest component a set tries in each step before.
+TRIALS = 6
 #: The step that pairs all sets that are left; those before only try some.
 LAST = 4
 U = np.uint64
@@ -118,20 +123,21 @@ def _bits(key: np.ndarray, size: int) -> list[np.ndarray]:
     return [(mix(h + U(k * GOLD & (1 << 64) - 1)) & U(size - 1)).astype(np.int64) for k in range(3)]
 
 
-def key_filter(keys: DataFrame, column: str) -> np.ndarray:
-    """A Bloom filter over a long column, built in parallel; its size is bounded."""
-    n = keys.count()
+def key_filter(keys: DataFrame, *columns: str) -> np.ndarray:
+    """A Bloom filter over long columns, built in parallel; its size is bounded."""
+    n = keys.count() * len(columns)
     size = min(FILTER_BITS, 1 << max(12, int(16 * n).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.zeros(size // 64, np.uint64)
         for b in batches:
-            for at in _bits(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), size):
-                np.bitwise_or.at(words, at >> 6, U(1) << (at & 63).astype(np.uint64))
+            for column in b.columns:
+                for at in _bits(column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), size):
+                    np.bitwise_or.at(words, at >> 6, U(1) << (at & 63).astype(np.uint64))
         full = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(words[full].view(np.int64))], ["word", "bits"])
 
-    got = keys.select(column).mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    got = keys.select(*columns).mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(size // 64, np.uint64)
     out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
     return out
@@ -234,22 +240,26 @@ def _share(table: pa.Table) -> pa.Table:
         place = unpack(get("owners")).astype(np.int64)
         present = unpack(get("present"), True)
         own = np.concatenate((np.zeros(1, np.uint64), unpack(get("classes"))))
-        n = np.ones(len(place), np.int64)
+        n = np.ones(len(place), np.uint32)
         n[place == 0] = unpack(get("counts"))
         classes.append(own[place])
         counts.append(n)
-        places.append(place)
+        places.append(place.astype(np.int32))
         blocks.append((get("block"), present, get("table")))
     h = np.concatenate(keys)
+    del keys
     order = np.argsort(h, kind="stable")
-    start, size = runs(h[order])
-    c = np.concatenate(classes)[order]
-    many = c == 0
-    low = np.minimum.reduceat(np.where(many, U(0), c), start) if len(start) else c
-    high = np.maximum.reduceat(np.where(many, U((1 << 64) - 1), c), start) if len(start) else c
-    shared = np.zeros(len(h), bool)
-    shared[order] = np.repeat(low != high, size)
-    seen = np.add.reduceat(np.concatenate(counts)[order], start) if len(start) else np.zeros(0, np.int64)
+    h = h[order]
+    start, size = runs(h)
+    h = h[start]
+    c = np.concatenate(classes)[order]  # 0: several classes of one block
+    del classes
+    shared = np.zeros(len(c), bool)
+    seen = np.zeros(0, np.int64)
+    if len(c):
+        low = np.minimum.reduceat(c, start)
+        shared[order] = np.repeat((low == 0) | (low != np.maximum.reduceat(c, start)), size)
+        seen = np.add.reduceat(np.concatenate(counts)[order], start, dtype=np.int64)
     out, at = [], 0
     for place, (block, present, own) in zip(places, blocks, strict=True):
         n = np.bincount(place[shared[at : at + len(place)]], minlength=len(present) + 1)[1:]
@@ -259,7 +269,7 @@ def _share(table: pa.Table) -> pa.Table:
     often = np.flatnonzero(seen >= FREQUENT_FROM)
     if len(often) > FREQUENT:
         often = often[np.argsort(-seen[often], kind="stable")[:FREQUENT]]
-    out += [(None, None, None, None, x, n) for x, n in zip(h[order][start[often]].view(np.int64).tolist(), seen[often].tolist(), strict=True)]
+    out += [(None, None, None, None, x, n) for x, n in zip(h[often].view(np.int64).tolist(), seen[often].tolist(), strict=True)]
     return _table(*_SHARED, out)
 
 
@@ -310,28 +320,33 @@ def _candidates_sets(docs: DataFrame, k: int, percent: int, words, frequent) ->
 def _cut_sets(sets: DataFrame, fragments: int, column: str, extra: list[str], words=None) -> DataFrame:
     """The parts of each set by fragment: class, size of the part, its hashes with their places in the set's list, and ``extra`` long columns."""
 
+    def pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raw = [x.as_py() for x in batch.column(column)]
+        size = np.array([len(x) // 8 for x in raw], np.int64)
+        h = np.frombuffer(b"".join(raw), np.uint64)
+        owner = np.repeat(np.arange(len(raw)), size)
+        place = ranged(np.zeros(len(raw), np.int64), size).astype(np.uint64)
+        f = fragment_of(h, fragments)
+        order = np.argsort(f, kind="stable")
+        f, h, owner, place = f[order], h[order], owner[order], place[order]
+        cut = np.searchsorted(f, np.arange(fragments + 1))
+        columns = {c: batch.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("class", *extra)}
+        rows = []
+        for g in np.flatnonzero(np.diff(cut)).tolist():
+            start, n = runs(owner[cut[g] : cut[g + 1]])
+            who = owner[cut[g] + start]
+            rows.append((g, pack(n), pack(h[cut[g] : cut[g + 1]]), pack(place[cut[g] : cut[g + 1]]) if extra else None, *(pack(c[who]) for c in columns.values())))
+        return _rows(["fragment", "sizes", "hashes", "places", *columns], [pa.int64(), *[pa.binary()] * (3 + len(columns))], rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if words is not None:
                 batch = batch.filter(pa.array(in_filter(words.value, batch.column("class").to_numpy().view(np.uint64))))
-            if not batch.num_rows:
-                continue
-            raw = [x.as_py() for x in batch.column(column)]
-            size = np.array([len(x) // 8 for x in raw], np.int64)
-            h = np.frombuffer(b"".join(raw), np.uint64)
-            owner = np.repeat(np.arange(len(raw)), size)
-            place = ranged(np.zeros(len(raw), np.int64), size).astype(np.uint64)
-            f = fragment_of(h, fragments)
-            order = np.argsort(f, kind="stable")
-            f, h, owner, place = f[order], h[order], owner[order], place[order]
-            cut = np.searchsorted(f, np.arange(fragments + 1))
-            columns = {c: batch.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("class", *extra)}
-            rows = []
-            for g in np.flatnonzero(np.diff(cut)).tolist():
-                start, n = runs(owner[cut[g] : cut[g + 1]])
-                who = owner[cut[g] + start]
-                rows.append((g, pack(n), pack(h[cut[g] : cut[g + 1]]), pack(place[cut[g] : cut[g + 1]]) if extra else None, *(pack(c[who]) for c in columns.values())))
-            yield _rows(["fragment", "sizes", "hashes", "places", *columns], [pa.int64(), *[pa.binary()] * (3 + len(columns))], rows)
+            cut = batch.column(column)
+            room = np.cumsum(pc.binary_length(cut).to_numpy(zero_copy_only=False)) // (8 * PART)
+            for part in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(room)) + 1):
+                if len(part):
+                    yield pieces(batch.slice(int(part[0]), len(part)))
 
     return sets.mapInArrow(run, "fragment bigint, sizes binary, hashes binary, places binary, class binary" + "".join(f", {c} binary" for c in extra))
 
@@ -353,7 +368,7 @@ def _meet(percent: int, step: int):
     than it should be, but the pair is then found at the first.
 
     Step 0: each set with the first set of about its size at each shingle.
-    Then: at each shingle with some set of the component that has most sets
+    Then: at each shingle with a few sets of the component that has most sets
     there, if it is another one. Step LAST: with all sets of other components.
     """
 
@@ -404,8 +419,19 @@ def _meet(percent: int, step: int):
             of_list = np.searchsorted(list_start, start, "right") - 1
             best = start[np.lexsort((size, of_list))][np.flatnonzero(np.diff(of_list, append=-1))] if len(start) else start
             most = size[np.searchsorted(start, best)]
-            place_in = mix(ids[who[order]].view(np.uint64) ^ hs ^ U(step)) % np.maximum(np.repeat(most, list_size), 1).astype(np.uint64)
-            keep(order, order[np.repeat(best, list_size) + place_in.astype(np.int64)])
+            # the members in a ring by hash; a set tries those next to some places that it alone picks, much the same ones wherever they meet
+            ring = np.flatnonzero(np.isin(np.repeat(start, size), best))
+            of_ring = np.repeat(np.arange(len(best)), most)
+            key = mix(ids[who[order[ring]]].view(np.uint64) + U(step * GOLD & (1 << 64) - 1)) >> U(32)
+            ring, key = ring[np.lexsort((key, of_ring))], np.sort((of_ring.astype(np.uint64) << U(32)) | key)
+            first = np.cumsum(most) - most
+            mine = np.flatnonzero(comp != np.repeat(comp[best], list_size))
+            its = np.repeat(np.arange(len(best)), list_size)[mine]
+            for k in range(TRIALS):
+                want = mix(ids[who[order[mine]]].view(np.uint64) ^ U((step * TRIALS + k) * GOLD & (1 << 64) - 1)) >> U(32)
+                at = np.searchsorted(key, (its.astype(np.uint64) << U(32)) | want)
+                at = np.where(at < first[its] + most[its], at, first[its])
+                keep(order[mine], order[ring[at]])
         else:
             order = np.lexsort((one["component"][who], h))
             hs, w = h[order], who[order]
@@ -510,8 +536,7 @@ def class_links(docs: DataFrame, own: DataFrame, scratch: Scratch, k: int, perce
         pairs = scratch.table(f"pairs-{step}", met.distinct())
         if pairs.isEmpty():
             continue
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        near = spark.sparkContext.broadcast(key_filter(ends, "class"))
+        near = spark.sparkContext.broadcast(key_filter(pairs, "a", "b"))
         left = _cut_sets(sets.select("class", "hashes"), cuts, "hashes", [], near)
         counted = left.groupBy("fragment").cogroup(_spread(pairs, cuts).groupBy("fragment")).applyInArrow(_count, "a bigint, b bigint, overlap bigint")
         counted = scratch.table(f"counted-{step}", counted.groupBy("a", "b").agg(F.sum("overlap").alias("overlap")).join(pairs, ["a", "b"]))

@@ -22,6 +22,7 @@ Only id, text, language and label columns are read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,28 +125,54 @@ def kneser_ney(counts: DataFrame, scratch: Scratch) -> list[DataFrame]:
     return out
 
 
-def dense_model(tables: list[DataFrame]) -> np.ndarray:
-    """Log-probability of every possible n-gram, of 64 ** N entries: where an n-gram was not seen, by its context's weight and the shorter one."""
-    p = np.full(1, 1.0 / SYMBOLS)
-    for k, table in enumerate(tables, 1):
+Compact = list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def collected(tables: list[DataFrame]) -> Compact:
+    """The tables of ``kneser_ney`` as arrays (level, code, p): one entry per seen n-gram and context."""
+    out = []
+    for table in tables:
         got = table.toArrow()
-        level, code, value = (got[c].to_numpy() for c in ("level", "code", "p"))
-        weight = np.ones(SYMBOLS ** (k - 1))
+        out.append((got["level"].to_numpy(), got["code"].to_numpy(), got["p"].to_numpy().astype(np.float32)))
+    return out
+
+
+def dense_model(tables: Compact) -> np.ndarray:
+    """Log-probability of every possible n-gram, of 64 ** N entries: where an n-gram was not seen, by its context's weight and the shorter one."""
+    p = np.full((1, SYMBOLS), 1.0 / SYMBOLS, np.float32)
+    for k, (level, code, value) in enumerate(tables, 1):
+        weight = np.ones(SYMBOLS ** (k - 1), np.float32)
         weight[code[level < 0]] = value[level < 0]
-        # n-gram (context, unit) falls back on the shorter context's p
-        short = np.tile(p.reshape(-1, SYMBOLS) if k > 1 else np.full((1, SYMBOLS), p[0]), (SYMBOLS if k > 1 else 1, 1))
-        p = (weight[:, None] * short).ravel()
-        p[code[level > 0]] = value[level > 0]
-    return np.log(np.maximum(p, 1e-300)).astype(np.float32)
+        if k == 1:
+            p = weight[:, None] * p
+        else:  # the context's first unit, the shorter context, the n-gram's last unit
+            out = np.empty((SYMBOLS, *p.shape), np.float32)
+            for first, own in enumerate(weight.reshape(SYMBOLS, -1)):
+                np.multiply(own[:, None], p, out=out[first])
+            p = out.reshape(-1, SYMBOLS)
+        p.ravel()[code[level > 0]] = value[level > 0]
+    np.maximum(p, np.float32(1e-30), out=p)
+    return np.log(p, out=p).ravel()
+
+
+_DENSE: dict[str, np.ndarray] = {}
+
+
+def _dense_of(name: str, tables: Compact) -> np.ndarray:
+    """The worker's dense model, made once."""
+    if name not in _DENSE:
+        _DENSE.clear()
+        _DENSE[name] = dense_model(tables)
+    return _DENSE[name]
 
 
-def surprise(docs: DataFrame, model: np.ndarray) -> DataFrame:
+def surprise(docs: DataFrame, model: Compact) -> DataFrame:
     """In place of a column ``text``: ``nats``, its negative log-likelihood, and ``size``, its bytes."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     @F.arrow_udf("double")
     def nats(column: pa.Array) -> pa.Array:
-        table, out = sent.value, []
+        table, out = _dense_of(name, sent.value), []
         for _, _, offsets, data in slices(column):
             code, bounds = codes(offsets, data)
             out.append(-np.diff(np.concatenate((np.zeros(1), np.cumsum(table[code], dtype=np.float64)))[bounds]))
@@ -166,7 +193,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = scratch.table("counts", gram_counts(picked.join(sent, "id", "left_semi")))
     if counts.isEmpty():
         return picked.select(F.col("id").alias(id_col), "lang", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), (F.length(F.coalesce("text", F.lit(""))) > 0).alias("kept"))
-    model = dense_model(kneser_ney(counts, scratch))
+    model = collected(kneser_ney(counts, scratch))
     scored = scratch.table("scored", surprise(picked, model))
     trusted = scored.join(sent, "id", "left_semi").where("size > 0")
     mean = trusted.agg(F.sum("nats") / F.sum("size")).first()[0] or 0.0

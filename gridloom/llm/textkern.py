@@ -1,7 +1,6 @@
 """Vectorised text kernels over Arrow string buffers.
 
-All of them work on whole texts, a slice of some megabytes of documents at a
-time, without making a Python string for each word. A word is a maximal run
+All of them work on whole texts, a slice of documents at a time, without making a Python string for each word. A word is a maximal run
 of bytes outside 0x20 and 0x09-0x0D; since these are ASCII, UTF-8 texts can be
 cut by byte. Hashes are 64 bits wide: texts with equal hashes and lengths
 count as equal, which is wrong once in about 1.8e19 pairs.
@@ -14,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 21
+SLICE = 1 << 19
 U = np.uint64
 WS = np.zeros(256, bool)
 WS[[0x20, *range(0x09, 0x0E)]] = True
