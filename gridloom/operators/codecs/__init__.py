@@ -70,6 +70,7 @@ DECODERS: dict[int, Decoder] = {
     32946: _inflate,
     32773: lambda raw, job: packbits.decode(raw, job.size),
     34676: lambda raw, job: logluv.decode(raw, job.width, job.height, job.samples, job.reference_order),
+    34677: lambda raw, job: logluv.decode_24(raw, job.width, job.height, job.samples),
     50000: _zstd,
 }
 ENCODERS: dict[int, Encoder] = {

@@ -57,7 +57,7 @@ def test_lzw_fills_its_table():
 
 
 def test_unsupported_and_registered():
-    for code in (2, 6, 34677, 50001, 999):
+    for code in (2, 6, 50001, 999):
         with pytest.raises(RasterError) as e:
             decode(code, b"", Job(1, 1, 1, 1))
         assert e.value.kind == "UnsupportedCompressionMethod"
@@ -180,6 +180,19 @@ def test_log_luminance():
         logluv.decode(raw[:5], 2, 1, 3)
 
 
+def test_log_luminance_24():
+    step, row = logluv.uv_index(np.array([0, 3, 4, 9, 16288, 16289]))
+    assert list(zip(step.tolist(), row.tolist(), strict=True)) == [(0, 0), (3, 0), (0, 1), (5, 1), (20, 162), (0, 0)]
+    assert logluv.luminance_24(np.array([0, 640, 704, 672])).tolist() == [0, 2.0**-14, 2.0**-13, 1.5 * 2.0**-14]
+    # the code nearest to white is grey
+    best = min(range(16289), key=lambda c: (lambda s, r: (logluv._UV_U[r] + s * 0.0035 - 0.19784) ** 2 + (0.01694 + r * 0.0035 - 0.46832) ** 2)(*(int(x[0]) for x in logluv.uv_index(np.array([c])))))
+    code = 640 << 14 | best
+    rgb = np.frombuffer(logluv.decode_24(code.to_bytes(4, "big")[1:] * 2, 2, 1, 3), np.float32)
+    assert np.allclose(rgb * 2.0**14, 1, atol=0.03)
+    with pytest.raises(RasterError):
+        logluv.decode_24(b"abc", 2, 1, 3)
+
+
 def _jpeg(image, quant=1):
     """A baseline stream of (height, width, components) with one pair of tables."""
     h, w, n = image.shape
