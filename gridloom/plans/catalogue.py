@@ -282,6 +282,82 @@ def ifd_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy(F.col("path").cast("bigint").alias("s_suppkey")).agg(F.sum(F.when(F.col("tag") == CODE["ImageWidth"], 1).otherwise(0)).cast("bigint").alias("n"), F.coalesce(F.max("error_kind"), F.lit("end")).alias("ends"))
 
 
+def _planar(bands: list[np.ndarray]) -> bytes:
+    """A file of one row whose bands are stored one after the other, in strips of their own."""
+    from gridloom.operators.encode import RasterWriter, tag
+
+    w = RasterWriter()
+    parts = [b.astype(np.uint16).tobytes() for b in bands]
+    at = [w.append(p) for p in parts]
+    n = len(bands)
+    w.directory({256: tag(4, len(bands[0])), 257: tag(4, 1), 258: tag(3, [16] * n), 259: tag(3, 1), 262: tag(3, 2), 273: tag(4, at), 277: tag(3, n), 278: tag(4, 1), 279: tag(4, [len(p) for p in parts]), 284: tag(3, 2)})
+    return w.finish()
+
+
+def coding_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three bands stored apart, brought together by place."""
+    ship(spark)
+
+    @F.arrow_udf("binary")
+    def content(column: pa.Array) -> pa.Array:
+        return pa.array([_planar([np.array(v), np.array(v) // 3, np.array(v) % 7]) for v in column.to_pylist()], pa.binary())
+
+    files = _user_rows(spark, sf_dir).select(F.col("user_id").cast("string").alias("path"), content("v").alias("content"))
+    units = scan.coding_units(scan.decode(files))
+    return units.select(F.col("path").cast("bigint").alias("user_id"), F.size("planes").cast("bigint").alias("planes"), F.aggregate("planes", F.lit(0).cast("bigint"), lambda s, p: s + F.octet_length(p)).alias("bytes"), F.md5(F.get("planes", 2)).alias("last"))
+
+
+def planar_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+
+    @F.arrow_udf("binary")
+    def content(column: pa.Array) -> pa.Array:
+        return pa.array([_planar([np.array(v), np.array(v) // 3, np.array(v) % 7]) for v in column.to_pylist()], pa.binary())
+
+    files = _user_rows(spark, sf_dir).select(F.col("user_id").cast("string").alias("path"), content("v").alias("content"))
+    s = _decoded_samples(files)
+    return s.select(F.col("path").cast("bigint").alias("user_id"), F.col("x").cast("bigint").alias("x"), F.col("band").cast("bigint").alias("band"), F.col("value").cast("bigint").alias("v"))
+
+
+def sub_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name in a directory outside the chain, found by following a pointer."""
+    ship(spark)
+
+    @F.arrow_udf("binary")
+    def content(column: pa.Array) -> pa.Array:
+        from gridloom.operators.encode import RasterWriter, tag
+
+        out = []
+        for name in column.to_pylist():
+            w = RasterWriter(big=True)
+            at = w.directory({CODE["Artist"]: tag(2, name)}, chained=False)
+            w.directory({CODE["SubIfd"]: tag(18, at)})
+            out.append(w.finish())
+        return pa.array(out, pa.binary())
+
+    files = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("path"), content("n_name").alias("content"))
+    pointers = scan.tags(files).where(F.col("tag") == CODE["SubIfd"]).select("path", F.explode("value.ints").alias("p")).select("path", F.col("p").cast("bigint").alias("ifd_offset"))
+    found = scan.tags(files.join(pointers, "path"), pointers=True)
+    return found.select(F.col("path").cast("bigint").alias("n_nationkey"), F.col("value.str").alias("n_name"))
+
+
+def directory_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries as maps: looked up, counted, extended, and the directory's size."""
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).alias("o_custkey"), F.col("o_orderdate").cast("string").alias("day"))
+    files = rasters.encode_tags(o, {"o_orderkey": (65000, 4), "o_custkey": (65001, 4), "day": (CODE["DateTime"], 2)}, F.col("o_orderkey").cast("string"))
+    d = scan.directories(files)
+    more = F.create_map(F.lit(65001), F.struct(F.lit(3).alias("type"), F.lit(1).cast("bigint").alias("count"), F.lit(None).cast("binary").alias("raw")))
+    n = F.size("entries")
+    return d.select(F.col("path").cast("bigint").alias("o_orderkey"), n.cast("bigint").alias("n"), F.map_contains_key("entries", 65001).alias("has"), F.size(scan.extended(F.col("entries"), more)).cast("bigint").alias("n_more"), F.element_at(scan.extended(F.col("entries"), more), 65001)["type"].cast("bigint").alias("type"), scan.directory_size(n, F.lit(False)).cast("bigint").alias("bytes"), F.try_element_at("entries", F.lit(CODE["DateTime"]))["count"].alias("text_bytes"))
+
+
+def zonal_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of vectors summed over zones of 16, after rounding to whole numbers."""
+    v = _vectors(spark, sf_dir, compression=50000)
+    zone = F.floor(F.col("x") / 16).cast("bigint")
+    return v.groupBy("vec_id", zone.alias("zone")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor(F.col("value") * 1024).cast("bigint")).alias("total"), F.max("value").alias("most"))
+
+
 def codec_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored strips of the vectors by codec name, through the chunk table and the domain table."""
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -304,7 +380,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {f"rt_f32_{c}": round_trip_f32(c) for c in CODECS}
     out |= {f"bytes_md5_{c}": bytes_md5(c) for c in ("lzw", "deflate", "packbits", "zstd")}
-    for f in (rt_f32_fpred, rt_f32_big, rt_u16_hpred, rt_u64_exact, rt_i32_signed, hpred_forward, hpred_inverse, pack_unpack_12b, byte_swap_u16, invert_gray8, lab_rebias, palette_lookup, tile_grid, strip_grid, tag_ascii, tag_scalars, multipage, ifd_cycles, color_classify, rle_runs, planar_vs_chunky, region_join, limits_permissive, codec_sizes):
+    for f in (rt_f32_fpred, rt_f32_big, rt_u16_hpred, rt_u64_exact, rt_i32_signed, hpred_forward, hpred_inverse, pack_unpack_12b, byte_swap_u16, invert_gray8, lab_rebias, palette_lookup, tile_grid, strip_grid, tag_ascii, tag_scalars, multipage, ifd_cycles, color_classify, rle_runs, planar_vs_chunky, region_join, limits_permissive, codec_sizes, coding_units, planar_samples, sub_directories, directory_maps, zonal_sums):
         out[f.__name__] = f
     return out
 
@@ -329,6 +405,11 @@ def oracle_sql() -> dict[str, str]:
         "tag_scalars": "SELECT o_orderkey::BIGINT AS o_orderkey, o_orderkey::BIGINT AS key, o_custkey::BIGINT AS o_custkey, o_totalprice::DOUBLE AS o_totalprice, (-7 - o_custkey % 1000)::BIGINT AS small FROM orders",
         "multipage": "SELECT conv_id::BIGINT AS conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS page_index, (turn + 1)::BIGINT AS width FROM conversations",
         "ifd_cycles": "WITH RECURSIVE s AS (SELECT s_suppkey::BIGINT AS k, s_suppkey % 5 + 1 AS n FROM supplier), walk(k, n, steps) AS (SELECT k, n, 1 FROM s UNION ALL SELECT k, n, steps + 1 FROM walk WHERE steps < n) SELECT k AS s_suppkey, max(steps)::BIGINT AS n, CASE WHEN k % 3 = 0 THEN 'CycleInOffsets' ELSE 'end' END AS ends FROM walk GROUP BY k",
+        "coding_units": f"SELECT user_id, 3::BIGINT AS planes, (count(*) * 6)::BIGINT AS bytes, md5(unhex(string_agg(printf('%02X00', v % 7), '' ORDER BY x))) AS last FROM ({USER_SQL}) GROUP BY user_id",
+        "planar_samples": f"SELECT user_id, x, b::BIGINT AS band, (CASE b WHEN 0 THEN v WHEN 1 THEN v // 3 ELSE v % 7 END)::BIGINT AS v FROM ({USER_SQL}), range(3) r(b)",
+        "sub_directories": "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation",
+        "directory_maps": "SELECT o_orderkey::BIGINT AS o_orderkey, (2 + k)::BIGINT AS n, k = 1 AS has, 3::BIGINT AS n_more, 3::BIGINT AS type, (6 + 12 * (2 + k))::BIGINT AS bytes, 20::BIGINT AS text_bytes FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS k FROM orders)",
+        "zonal_sums": f"SELECT vec_id, x // 16 AS zone, count(*)::BIGINT AS n, sum(floor(value * 1024)::BIGINT)::BIGINT AS total, max(value) AS most FROM ({RT_SQL}) GROUP BY 1, 2",
         "color_classify": COLOR_SQL,
         "rle_runs": "WITH m AS (SELECT user_id, event_id, event_type, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), r AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM m) SELECT user_id::BIGINT AS user_id, min(event_id)::BIGINT AS start, any_value(event_type) AS value, count(*)::BIGINT AS n FROM r GROUP BY user_id, r",
         "planar_vs_chunky": PLANAR_SQL,

@@ -227,6 +227,27 @@ def tags(table: DataFrame, options: Options = Options(), pointers: bool = False)
     return table.select("path", "content", "ifd_offset").mapInArrow(run, TAG_ROWS)
 
 
+DIRECTORIES = "path string, page_index int, ifd_offset bigint, next_ifd bigint, entries map<int, struct<type: int, count: bigint, raw: binary>>, error_kind string, error_detail string"
+
+
+def directories(table: DataFrame, options: Options = Options()) -> DataFrame:
+    """A row per directory of the chain with its entries as a map by tag, values not followed: for ``element_at``, ``map_contains_key``, ``map_concat`` and the like."""
+
+    def make(path: str, src: Source):
+        for _, i, d in _directories(src, options):
+            if isinstance(d, RasterError):
+                yield {"path": path, "page_index": i, "error_kind": d.kind, "error_detail": d.detail}
+            else:
+                yield {"path": path, "page_index": i, "ifd_offset": d.offset, "next_ifd": d.next, "entries": [(t, {"type": e.type, "count": e.count, "raw": e.raw}) for t, e in d.entries.items()]}
+
+    return _each(table, DIRECTORIES, make, options)
+
+
+def extended(entries: F.Column, more: F.Column) -> F.Column:
+    """Two maps of entries as one, in which the second's count."""
+    return F.map_from_entries(F.array_sort(F.filter(F.map_entries(F.map_zip_with(entries, more, lambda k, a, b: F.coalesce(b, a))), lambda e: e["value"].isNotNull())))
+
+
 def directory_size(n_tags: F.Column, big: F.Column) -> F.Column:
     """Bytes of a directory."""
     return F.when(big, n_tags * 20 + 16).otherwise(n_tags * 12 + 6)
