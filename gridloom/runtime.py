@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -84,3 +85,12 @@ def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of plans that are no longer held."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def give_back() -> None:
+    """In a worker: return freed memory to the system, so that workers that wait do not hold it."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
