@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm.textkern import slices
-from gridloom.runtime import Scratch, partitions, ship
+from gridloom.runtime import Scratch, give_back, partitions, ship
 
 #: Text bytes of a block: what one task holds at a time.
-BLOCK = 16 << 20
+BLOCK = 12 << 20
 #: Words, over all blocks, that a shard is made for.
 SHARD_WORDS = 1_000_000
 #: Words that a worker keeps with their ids; more only cost encoding them again.
@@ -212,6 +212,8 @@ def _blocks(docs: DataFrame, tokenizer: str) -> DataFrame:
                     codes, ids, sizes, found, held, k = _Codes(), [], [], [], 0, k + 1
         if ids:
             yield block()
+        codes, ids, sizes, found = _Codes(), [], [], []
+        give_back()
 
     return docs.mapInArrow(run, "block bigint, n_words bigint, ids binary, sizes binary, codes binary, words binary")
 
@@ -243,6 +245,8 @@ def _encode_shard(tokenizer: str):
         ids = enc.encode_words(list(distinct))  # each distinct word once
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         own = [(pack_numbers(size[x]), pack_numbers(np.frombuffer(b"".join([ids[i] for i in x.tolist()]), "<u4"))) for x in rows]
+        del ids, rows, distinct
+        give_back()
         return pa.table({"block": table.column("block"), "at": table.column("at"), "sizes": pa.array([x for x, _ in own], pa.binary()), "tokens": pa.array([x for _, x in own], pa.binary())})
 
     return run
@@ -302,6 +306,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     def table_join(left: pa.Table, right: pa.Table) -> pa.Table:
         out = list(joined(left.to_batches(), right.to_batches()))
+        give_back()
         return pa.Table.from_batches(out, schema=None if out else pa.schema([("id", to_arrow_type(kind)), ("token_ids", pa.list_(pa.int32()))]))
 
     schema = T.StructType([T.StructField("id", kind), T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
@@ -349,7 +354,9 @@ def decode(ids: DataFrame, tokenizer: str, ids_col: str = "token_ids", out_col:
     @F.arrow_udf("string")
     def text(column: pa.Array) -> pa.Array:
         table = piece_table(tokenizer)
-        return pa.array([None if x is None else decode_ids(x, table) for x in _lists(column)], pa.string())
+        out = pa.array([None if x is None else decode_ids(x, table) for x in _lists(column)], pa.string())
+        give_back()
+        return out
 
     return ids.withColumn(out_col, text(ids_col))
 

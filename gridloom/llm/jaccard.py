@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import graph
 from gridloom.llm.textkern import mix, shingle_sets, slices
-from gridloom.runtime import Scratch, release, ship
+from gridloom.runtime import Scratch, give_back, release, ship
 
 #: Shingles of a fragment; a task holds one fragment at a time. More text needs larger ones.
 FRAGMENT = 2_500_000
@@ -166,6 +166,7 @@ def members(docs: DataFrame, k: int) -> DataFrame:
                     [batch.column("id").slice(a, b - a), batch.column("key").slice(a, b - a), pa.array(np.diff(bounds)), pa.array(key.view(np.int64), mask=key == 0)],
                     ["id", "key", "n_shingles", "class"],
                 )
+        give_back()
 
     return docs.mapInArrow(run, f"id {kind}, key bigint, n_shingles bigint, class bigint")
 
@@ -224,6 +225,8 @@ def _deal(docs: DataFrame, k: int, fragments: int) -> DataFrame:
                     own, sets, held, number = {}, [], 0, number + 1
         if sets:
             yield from block()
+        own, sets = {}, []
+        give_back()
 
     return docs.mapInArrow(run, "fragment bigint, block bigint, keys binary, owners binary, counts binary, present binary, classes binary, table binary")
 
@@ -270,6 +273,8 @@ def _share(table: pa.Table) -> pa.Table:
     if len(often) > FREQUENT:
         often = often[np.argsort(-seen[often], kind="stable")[:FREQUENT]]
     out += [(None, None, None, None, x, n) for x, n in zip(h[often].view(np.int64).tolist(), seen[often].tolist(), strict=True)]
+    del c, order, shared, counts, places
+    give_back()
     return _table(*_SHARED, out)
 
 
@@ -313,6 +318,7 @@ def _candidates_sets(docs: DataFrame, k: int, percent: int, words, frequent) ->
                     order = np.argsort(rank, kind="stable")  # the rest by hash, as they are
                     rows.append((key, n, x.tobytes(), x[order[: n - (percent * n + 99) // 100 + 1]].tobytes()))
                 yield _rows(["class", "n", "hashes", "prefix"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()], rows)
+        give_back()
 
     return docs.mapInArrow(run, "class bigint, n bigint, hashes binary, prefix binary")
 
@@ -347,6 +353,7 @@ def _cut_sets(sets: DataFrame, fragments: int, column: str, extra: list[str], wo
             for part in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(room)) + 1):
                 if len(part):
                     yield pieces(batch.slice(int(part[0]), len(part)))
+        give_back()
 
     return sets.mapInArrow(run, "fragment bigint, sizes binary, hashes binary, places binary, class binary" + "".join(f", {c} binary" for c in extra))
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.textkern import WS, BYTE, Hasher, mix, shingles, slices, words
-from gridloom.runtime import Scratch, ship
+from gridloom.runtime import Scratch, give_back, ship
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 10
@@ -108,6 +108,7 @@ def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     [batch.column("doc_id").slice(a, b - a), batch.column("host").slice(a, b - a), *(pa.array(x[:, k]) for k in range(len(STATS))), pa.array(fails(x))],
                     ["doc_id", "host", *STATS, "base_failed"],
                 )
+        give_back()
 
     return picked.mapInArrow(run, f"doc_id {kind}, host string, " + ", ".join(f"{c} bigint" for c in STATS) + ", base_failed boolean")
 
@@ -142,6 +143,7 @@ def keep(docs: DataFrame, text_col: str = "text", host_col: str = "source", reje
     def failed(column: pa.Array) -> pa.Array:
         out = [text_stats(offsets, data) for _, _, offsets, data in slices(column)]
         x = np.concatenate(out) if out else np.zeros((0, len(STATS)), np.int64)
+        give_back()
         return pa.array(fails(x))
 
     return docs.where(~failed(F.col(text_col))).join(bad, F.col(host_col).cast("string").eqNullSafe(F.col("_host")), "left_anti")
