@@ -530,6 +530,7 @@ def class_links(docs: DataFrame, own: DataFrame, scratch: Scratch, k: int, perce
     if not total:
         return None
     cuts = max(FRAGMENTS, -(-total // FRAGMENT))
+    parts = -(-2 * total // FRAGMENT)  # whole sets take more room than prefixes, but a row for each pair and fragment costs more still
     links, found, centres = None, None, None
     for step in range(LAST + 1):
         prefix = sets.select("class", "n", "prefix")
@@ -544,8 +545,8 @@ def class_links(docs: DataFrame, own: DataFrame, scratch: Scratch, k: int, perce
         if pairs.isEmpty():
             continue
         near = spark.sparkContext.broadcast(key_filter(pairs, "a", "b"))
-        left = _cut_sets(sets.select("class", "hashes"), cuts, "hashes", [], near)
-        counted = left.groupBy("fragment").cogroup(_spread(pairs, cuts).groupBy("fragment")).applyInArrow(_count, "a bigint, b bigint, overlap bigint")
+        left = _cut_sets(sets.select("class", "hashes"), parts, "hashes", [], near)
+        counted = left.groupBy("fragment").cogroup(_spread(pairs, parts).groupBy("fragment")).applyInArrow(_count, "a bigint, b bigint, overlap bigint")
         counted = scratch.table(f"counted-{step}", counted.groupBy("a", "b").agg(F.sum("overlap").alias("overlap")).join(pairs, ["a", "b"]))
         release(spark)
         if step == 0:  # there the smaller class of a pair is the one that the other was paired with
