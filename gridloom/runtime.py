@@ -13,7 +13,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SHIPPED = "gridloom.shipped"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
@@ -22,6 +22,8 @@ def ship(spark: SparkSession) -> None:
     Spark's own file server hands the archive out, so nothing needs to be
     installed on the machines and no folder needs to be shared.
     """
+    if spark.conf.get(_BATCH, "10000") == "10000":  # Spark's default suits short rows; texts and rasters are long
+        spark.conf.set(_BATCH, "2000")
     sc = spark.sparkContext
     if getattr(sc, "_gridloom_shipped", False):
         return
