@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.textkern import slices
-from gridloom.runtime import ship
+from gridloom.runtime import give_back, ship
 
 # fixed values: the base patterns, in the order in which kinds are listed
 KINDS = ("assign", "access", "hex")
@@ -307,6 +307,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     rows.append((*n, sha256(_joined(base).encode()).hexdigest(), _joined(list(both)), len(both) - len(base)))
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], names)
+        give_back()
 
     return picked.mapInArrow(run, f"id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_inner bigint").withColumnRenamed("id", id_col)
 
@@ -315,19 +316,29 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark:
     """``docs`` with every found span of ``text_col`` replaced by ``mark``; overlapping spans are one. Null texts stay null, all columns and rows stay."""
     ship(docs.sparkSession)
 
-    @F.arrow_udf("string")
-    def masked(column: pa.Array) -> pa.Array:
-        out: list[str | None] = []
-        for a, b, offsets, data in slices(column):
-            for r, (base, inner) in enumerate(scan_slice(offsets, data)):
-                text = data[offsets[r] : offsets[r + 1]].tobytes().decode()
-                parts, at = [], 0
-                for x, _, y in sorted(set(base) | inner, key=lambda s: (s[0], -s[2])):
-                    if x >= at:
-                        parts += [text[at:x], mark]
-                    at = max(at, y)
-                out.append("".join([*parts, text[at:]]) if parts else text)
-        live = column.is_valid().to_pylist()
-        return pa.array([x if ok else None for x, ok in zip(out, live, strict=True)], pa.string())
-
-    return docs.withColumn(text_col, masked(F.col(text_col)))
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(place)
+            for a, b, offsets, data in slices(column):
+                own, live, changed = column.slice(a, b - a), column.is_valid(), False
+                out: list[str | None] = []
+                for r, (base, inner) in enumerate(scan_slice(offsets, data)):
+                    if not live[a + r].as_py():
+                        out.append(None)
+                        continue
+                    text = data[offsets[r] : offsets[r + 1]].tobytes().decode()
+                    parts, at = [], 0
+                    for x, _, y in sorted(set(base) | inner, key=lambda s: (s[0], -s[2])):
+                        if x >= at:
+                            parts += [text[at:x], mark]
+                        at = max(at, y)
+                    changed = changed or bool(parts)
+                    out.append("".join([*parts, text[at:]]) if parts else text)
+                columns = [c.slice(a, b - a) for c in batch.columns]
+                columns[place] = pa.array(out, own.type) if changed else own
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+        give_back()
+
+    return docs.mapInArrow(run, docs.schema)
