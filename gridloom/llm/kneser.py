@@ -8,8 +8,7 @@ counts for the longest n-grams, continuation counts for the others, with the
 three discounts of Chen and Goodman from the counts of counts. Tables of
 probabilities and back-off weights are of bounded size and sent to the tasks,
 which give each document its perplexity. A document is kept if its perplexity
-is at most ``slack`` times the ``share`` quantile of the trusted documents of
-its language.
+is at most the ``share`` quantile of the trusted documents of its language.
 
 Trusted are the documents that the labels call good and not toxic; a label of
 null does not count, and a document with several labels needs all of them.
@@ -36,9 +35,8 @@ from gridloom.runtime import Scratch, ship
 N = 4
 BITS = 6
 SYMBOLS = 1 << BITS
-#: The quantile of the trusted documents, and how far beyond it a text may go.
+#: The quantile of the trusted documents of a language beyond which a text is not kept.
 SHARE = 0.99
-SLACK = 1.15
 #: Bytes of mean trusted text that go with each text when it is judged.
 PRIOR = 100
 #: Labels up to so many are sent to all tasks; beyond, texts and labels are joined by a shuffle.
@@ -181,7 +179,7 @@ def surprise(docs: DataFrame, model: Compact) -> DataFrame:
     return docs.withColumn("nats", nats("text")).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")).drop("text")
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", share: float = SHARE, slack: float = SLACK) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", share: float = SHARE) -> DataFrame:
     """A row per document: id, lang, perplexity, threshold, kept."""
     spark = docs.sparkSession
     ship(spark)
@@ -199,7 +197,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     mean = trusted.agg(F.sum("nats") / F.sum("size")).first()[0] or 0.0
     # short texts say little: they count as if PRIOR bytes of mean trusted text went with them
     steady = F.exp((F.col("nats") + F.lit(PRIOR * mean)) / (F.col("size") + PRIOR))
-    cut = F.percentile_approx(steady, share, 100_000) * slack
+    cut = F.percentile_approx(steady, share, 100_000)
     whole = trusted.agg(cut.alias("t")).first()[0]
     by_lang = trusted.where("lang is not null").groupBy("lang").agg(cut.alias("own"))
     out = scored.join(by_lang, "lang", "left").withColumn("threshold", F.coalesce("own", F.lit(whole)))

@@ -452,6 +452,16 @@ def test_classifier(spark, odd, docs):
     assert all(r.kept == (r.doc_id not in (0, 1) and r.doc_id is not None or r.doc_id is None and r.kept) for r in untold)
 
 
+def test_threshold_is_the_language_quantile(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    trusted = {r.doc_id for r in labels.where("quality = 1 and toxic = 0").select("doc_id").distinct().collect()}
+    for share in (0.5, 0.9):
+        out = [r for r in kneser.judge(docs, labels, share=share).collect() if r.doc_id in trusted and r.perplexity is not None]
+        for lang in {r.lang for r in out}:
+            own = [r.kept for r in out if r.lang == lang]
+            assert abs(sum(own) - share * len(own)) <= 2
+
+
 # ---- 9 ---------------------------------------------------------------------
 
 
