@@ -521,7 +521,7 @@ def class_links(docs: DataFrame, own: DataFrame, scratch: Scratch, k: int, perce
     order = np.argsort(h)
     frequent = spark.sparkContext.broadcast((h[order], (len(h) - order).astype(np.int64)))  # the most frequent last
     able = partial.where("block is not null").groupBy("block").applyInArrow(_sum_block(percent), "class bigint").distinct()
-    reps = own.where("class is not null").groupBy("class").agg(F.min_by("key", "id").alias("key"))
+    reps = own.where("class is not null").groupBy("class").agg(F.min("key").alias("key"))  # ids can be null, keys never are
     reps = scratch.table("able", reps.join(able, "class", "left_semi"))
     words = spark.sparkContext.broadcast(key_filter(reps, "key"))
     sets = scratch.table("sets", _candidates_sets(docs, k, percent, words, frequent), codec="none")

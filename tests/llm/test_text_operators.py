@@ -522,6 +522,15 @@ def test_components(spark, odd, agree):
     assert rows_of(jaccard.components(unlinked)) == [(1, 2, 1), (2, 0, 2)]
 
 
+def test_null_ids_leave_other_links(spark):
+    texts = [" ".join(f"w{p}x{j}" for j in range(60)) for p in range(40)]
+    pairs = [(2 * p + i, t + " end" * i) for p, t in enumerate(texts) for i in range(2)]
+    rows = pairs + [(None, texts[p] + " other") for p in range(5)]
+    got = rows_of(jaccard.components(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)))
+    assert [r for r in got if r[0] is not None] == sorted(((i, 56 + i % 2, i - i % 2) for i, _ in pairs), key=repr)
+    assert Counter(r[2] for r in got if r[0] is None) == Counter(2 * p for p in range(5))
+
+
 def test_representatives(spark, odd):
     out = jaccard.representatives(odd)
     assert out.columns == odd.columns
