@@ -2,9 +2,11 @@
 
 A text is a layer. Every layer is scanned with the base patterns and then
 unwrapped: URL escapes and Unicode escapes are replaced within the layer,
-runs of base64 become layers of their own, and decoded bytes that are gzip,
-zlib, bzip2, xz or zstandard streams are decompressed. New layers go onto a
-worklist until none is left. A layer whose content was seen at the same place
+stretches of text in decoded base64 become layers of their own, whatever path
+or name it is joined to and wrapped or not, and decoded or escaped bytes that
+are gzip, zlib, bzip2, xz or zstandard streams are decompressed, all members
+of them, in pieces that overlap. New layers go onto a worklist until none is
+left. A layer whose content was seen at the same place
 is not taken again, so cycles end. Spans found in inner layers are mapped back
 to the text, to the smallest stretch of it that the match was decoded from;
 for compressed data that is the whole run.
@@ -16,7 +18,6 @@ An empty table gives an empty result. Only the id and text columns are read.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import lzma
 import re
@@ -24,6 +25,8 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
+from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +48,21 @@ MIN_BASE64 = 16
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\u([dD][89abAB][0-9A-Fa-f]{2})\\u([dD][c-fC-F][0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
-#: A compressed run that grows beyond this is a bomb and is left as it is.
-MAX_INFLATED = 64 << 20
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+BREAK = re.compile(r"\r?\n[ \t]*")
+#: Runs of printable characters and escapes that may stand for the bytes of a compressed stream.
+URL_BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2}|[!-$&-~])+")
+ESCAPED_BYTES = re.compile(r"""(?:\\x[0-9A-Fa-f]{2}|\\u00[0-9A-Fa-f]{2}|\\[\\'"0abfnrtv]|[ -\[\]-~])+""")
+URL_BYTE = re.compile("%[0-9A-Fa-f]{2}")
+ZLIB = re.compile(rb"[\x08\x18\x28\x38\x48\x58\x68\x78]")
+ESCAPE = re.compile(r"""\\(?:x([0-9A-Fa-f]{2})|u00([0-9A-Fa-f]{2})|([\\'"0abfnrtv]))""")
+PLAIN = dict(zip("\\'\"0abfnrtv", "\\'\"\0\a\b\f\n\r\t\v", strict=True))
+#: Starts of compressed streams, wherever they are; the two bytes of zlib are looked for at starts only.
+MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+#: UTF-8 without control characters; shorter stretches cannot hold a match of the base patterns.
+STRETCH = re.compile(rb"(?:[\t-\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){12,}+")
+#: Inflated data are scanned in pieces of this size that overlap by so much.
+PIECE, OVERLAP = 4 << 20, 256 << 10
 
 _CLASS = np.zeros(256, np.uint8)  # 1: hex digit in lower case, 2: base64
 _CLASS[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")] = 2
@@ -145,91 +161,212 @@ def _unicode(text: str) -> list[tuple[int, int, str, list[int]]]:
     return out
 
 
-def _inflated(raw: bytes) -> bytes | None:
-    """What a compressed stream holds; None if it is none, is damaged or is a bomb."""
-    try:
-        if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 0x0F == 8 and raw[0] >> 4 <= 7 and (raw[0] << 8 | raw[1]) % 31 == 0):
-            d = zlib.decompressobj(47)
-            out = d.decompress(raw, MAX_INFLATED)
-            return out if d.eof else None
-        if raw[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-        elif raw[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor()
-        elif raw[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            out = zstandard.ZstdDecompressor().stream_reader(raw).read(MAX_INFLATED + 1)
-            return out if len(out) <= MAX_INFLATED else None
-        else:
-            return None
-        out = d.decompress(raw, MAX_INFLATED)
-        return out if d.eof else None
-    except Exception:  # a damaged stream, of whatever library
-        return None
+def _zlib_head(raw: bytes) -> bool:
+    return len(raw) > 2 and raw[0] & 0x0F == 8 and raw[0] >> 4 <= 7 and (raw[0] << 8 | raw[1]) % 31 == 0
 
 
-def _text(raw: bytes) -> str | None:
-    """Bytes as text, if they are UTF-8 without control characters."""
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return None if not text or re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else text
+def _opened(raw: bytes):
+    """A decompressor for the stream that begins here, or None."""
+    if raw[:2] == b"\x1f\x8b" or _zlib_head(raw):
+        return zlib.decompressobj(47)
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    if raw[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor(max_window_size=1 << 31).decompressobj()
+    return None
+
+
+_ZLIB = type(zlib.decompressobj())
+
+
+def _chunks(raw: bytes, at: int) -> Iterator[bytes]:
+    for a in range(at, len(raw), 1 << 16):
+        yield raw[a : a + (1 << 16)]
+
 
+def _decoded(body: str, at: int) -> Iterator[bytes]:
+    """The bytes of base64 from a place on, a little at a time."""
+    end = len(body) - ((len(body) - at) % 4 == 1)
+    for a in range(at, end, 1 << 16):
+        own = body[a : min(end, a + (1 << 16))]
+        yield base64.b64decode(own + "=" * (-len(own) % 4))
 
-def _base64(run: str) -> tuple[str, list[int] | None] | None:
-    """The layer in a base64 run and, where it is not compressed, the end in the run of each character."""
-    body = run.rstrip("=")
-    if len(body) % 4 == 1:
-        return None
+
+def _inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """What the members of a compressed stream hold, a little at a time; of a damaged one, what comes before the damage."""
+    d, data, more, first = None, b"", True, True
     try:
-        raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
-        return None
-    inner, depth = raw, 0
-    while (more := _inflated(inner)) is not None:
-        inner, depth = more, depth + 1
-        if depth == 16:
-            return None
-    text = _text(inner)
-    if text is None:
-        return None
-    if depth:
-        return text, None
-    sizes = np.cumsum([len(c.encode()) for c in text])
-    return text, [min(len(run), (int(n) * 4 + 2) // 3) for n in sizes]
-
-
-def inner_spans(text: str, runs: list[tuple[int, int]] | None = None) -> set[Span]:
-    """Spans found in the layers inside a text. ``runs`` names its base64 runs if they are known."""
+        while True:
+            if d is None:
+                while more and len(data if first else data.lstrip(b"\0")) < 6:
+                    got = next(chunks, None)
+                    more, data = got is not None, data + (got or b"")
+                data = data if first else data.lstrip(b"\0")  # members may be padded
+                d, first = _opened(data), False
+                if d is None:
+                    return
+            if isinstance(d, (bz2.BZ2Decompressor, lzma.LZMADecompressor)):
+                yield d.decompress(data, 1 << 20)
+                data = b""
+                wants = d.needs_input
+            elif isinstance(d, _ZLIB):
+                yield d.decompress(data, 1 << 20)
+                data = d.unconsumed_tail
+                wants = not data
+            else:  # zstandard has no limit for what it returns; a few bytes make a block at most
+                yield d.decompress(data[:64])
+                data = data[64:]
+                wants = not data
+            if d.eof:
+                data, d = d.unused_data + data, None
+                if not data and not more:
+                    return
+            elif wants:
+                got = next(chunks, None)
+                if got is None:
+                    return
+                data = got
+    except Exception:  # a damaged stream, of whatever library
+        return
+
+
+def _pieces(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The stream in pieces of bounded size, cut at line breaks where there are some, each with the end of the one before."""
+    held: list[bytes] = []
+    size = 0
+    for chunk in chunks:
+        held.append(chunk)
+        size += len(chunk)
+        if size >= PIECE:
+            whole = b"".join(held)
+            end = whole.rfind(b"\n", len(whole) - OVERLAP) + 1 or len(whole)
+            yield whole[:end]
+            start = max(0, end - OVERLAP)
+            start = max(start, whole.find(b"\n", start, end - 1) + 1)
+            held = [whole[start:]]
+            size = len(held[0])
+    if size:
+        yield b"".join(held)
+
+
+def _inflated_texts(work: list[Iterator[bytes]]) -> Iterator[str]:
+    """The text in compressed streams, and in those inside them, until nothing new comes."""
+    seen: set[bytes] = set()
+    while work:
+        stream = _inflated(work.pop())
+        head = b""
+        while len(head) < 6 and (got := next(stream, None)) is not None:
+            head += got
+        begun = chain([head], stream)
+        nested = _opened(head) is not None
+        for n, piece in enumerate(_pieces(begun)):
+            digest = sha256(piece).digest()
+            if digest in seen:  # scanned already, with what is in it; others may follow
+                continue
+            seen.add(digest)
+            for m in STRETCH.finditer(piece):
+                yield m[0].decode()
+            if n == 0 and nested and len(piece) >= PIECE:  # large streams in one another are not held
+                work.append(chain([piece], stream))
+                break
+            work += [_chunks(piece, at) for at in {m.start() for m in MAGIC.finditer(piece)} | ({0} if n == 0 and nested else set())]
+
+
+def _base64(run: str) -> Iterator[tuple[str, list[tuple[int, int]] | None]]:
+    """The layers in a base64 run: stretches of text with the place in the run of each character, and texts that were compressed, without.
+
+    A run may begin before its base64 does, after a path or a name for
+    instance, so each of the four alignments is decoded.
+    """
+    body = run.rstrip("=").replace("-", "+").replace("_", "/")
+    if len(body) < MIN_BASE64:
+        return
+    for shift in range(4):
+        raw = b"".join(_decoded(body, shift))
+        for m in STRETCH.finditer(raw):
+            text = m[0].decode()
+            ends = np.cumsum([len(c.encode()) for c in text]) + m.start()
+            before = [m.start(), *ends[:-1].tolist()]
+            yield text, [(shift + x * 4 // 3, min(len(run), shift + (y * 4 + 2) // 3)) for x, y in zip(before, ends.tolist(), strict=True)]
+        yield from ((text, None) for text in _inflated_texts([_chunks(raw, m.start()) for m in MAGIC.finditer(raw)]))
+    for at in [0, *(m.end() for m in re.finditer("[+/]", body))]:  # zlib, after a part that ends here
+        if len(body) - at >= MIN_BASE64 and _zlib_head(base64.b64decode(body[at : at + 4])):
+            yield from ((text, None) for text in _inflated_texts([_decoded(body, at)]))
+
+
+def _escaped(layer: str) -> Iterator[tuple[int, int, str]]:
+    """Texts of compressed streams whose bytes are escaped: start and end of the stretch, text."""
+    for pattern, one, mark in ((URL_BYTES, URL_BYTE, "%"), (ESCAPED_BYTES, ESCAPE, "\\")):
+        for m in pattern.finditer(layer) if mark in layer else ():
+            units = [x.span() for x in one.finditer(m[0])] if mark in m[0] else []
+            if not units:
+                continue
+            if mark == "%":
+                raw = unquote_to_bytes(m[0])
+            else:
+                raw = ESCAPE.sub(lambda e: chr(int(e[1] or e[2], 16)) if e[1] or e[2] else PLAIN[e[3]], m[0]).encode("latin-1")
+            heads = {x.start() for x in MAGIC.finditer(raw)} | {x.start() for x in ZLIB.finditer(raw) if _zlib_head(raw[x.start() : x.start() + 3])}
+            if not heads:
+                continue
+            gaps = np.zeros(len(raw) + 1, np.int64)  # characters that the bytes before each one have more than one
+            at = 0
+            for x, y in units:
+                gaps[x - at + 1] = y - x - 1
+                at += y - x - 1
+            gaps = np.cumsum(gaps)
+            tail = units[-1][1]
+            tail += len(re.match(r"\S*", m[0][tail:])[0])
+            for head in heads:
+                for text in _inflated_texts([_chunks(raw, head)]):
+                    yield m.start() + head + int(gaps[head]), m.start() + tail, text
+
+
+def _layers(layer: str, way: _Map | None) -> Iterator[tuple[str, _Map]]:
+    """The layers inside a layer."""
+    for decode in (_url, _unicode):
+        if ("%" in layer) if decode is _url else ("\\" in layer or "&#" in layer):
+            if changed := decode(layer):
+                yield _replaced(layer, changed, way)
+    for a, b, text in _escaped(layer):
+        yield text, _Map([0], [(a, b, False)], way)
+    for m in chain(BASE64.finditer(layer), WRAPPED.finditer(layer)):
+        run, place = m[0], range(m.start(), m.end())
+        if "\n" in run:
+            lines, place, x = [], [], m.start()
+            for gap in [*BREAK.finditer(layer, *m.span()), None]:
+                y = gap.start() if gap else m.end()
+                lines.append(layer[x:y])
+                place += range(x, y)
+                x = gap.end() if gap else y
+            run = "".join(lines)
+        for text, ends in _base64(run):
+            origin = [(*m.span(), False)] if ends is None else [(place[x], place[y - 1] + 1, False) for x, y in ends]
+            yield text, _Map(list(range(len(origin))), origin, way)
+
+
+def inner_spans(text: str) -> set[Span]:
+    """Spans found in the layers inside a text."""
     found: set[Span] = set()
-    seen: set[tuple[int, int, str]] = {(0, len(text), text)}
-    work: list[tuple[str, _Map | None]] = [(text, None)]
-
-    def push(layer: str, way: _Map) -> None:
+    key = lambda a, b, layer: (a, b, sha256(layer.encode("utf-8", "surrogatepass")).digest())
+    seen = {key(0, len(text), text)}
+    work = [_layers(text, None)]
+    while work:  # the newest first, so that few layers are held
+        got = next(work[-1], None)
+        if got is None:
+            work.pop()
+            continue
+        layer, way = got
         a, b = way.back(0, len(layer))
-        if layer and (a, b, layer) not in seen:
-            seen.add((a, b, layer))
+        if layer and (new := key(a, b, layer)) not in seen:
+            seen.add(new)
             for x, kind, y in base_spans(layer):
                 low, high = way.back(x, y)
                 found.add((low, kind, high))
-            work.append((layer, way))
-
-    while work:
-        layer, way = work.pop()
-        for decode in (_url, _unicode):
-            if ("%" in layer) if decode is _url else ("\\" in layer or "&#" in layer):
-                if changed := decode(layer):
-                    push(*_replaced(layer, changed, way))
-        for a, b in runs if way is None and runs is not None else [m.span() for m in BASE64.finditer(layer)]:
-            got = _base64(layer[a:b])
-            if got:
-                inner, ends = got
-                if ends is None:
-                    push(inner, _Map([0], [(a, b, False)], way))
-                else:
-                    push(inner, _Map(list(range(len(inner))), [(a + x, a + y, False) for x, y in zip([0, *((e - 1) for e in ends[:-1])], ends, strict=True)], way))
+            work.append(_layers(layer, way))
     return found
 
 
@@ -254,15 +391,13 @@ def scan_slice(offsets: np.ndarray, data: np.ndarray) -> list[tuple[list[Span],
     maybe_base, maybe_inner = np.zeros(rows + 1, bool), np.zeros(rows + 1, bool)
     row_of = lambda at: np.searchsorted(offsets, at, "right") - 1
     maybe_base[row_of(_long_runs(kind & 1 == 1, MIN_HEX)[0])] = True
-    a, b = _long_runs(kind >= 2, MIN_BASE64)
+    a, b = _long_runs((kind >= 2) | (data == 0x0A) | (data == 0x0D), MIN_BASE64)  # base64 can be wrapped
     # a run does not go on over the end of a row; those that touch one are looked for again, row by row
     first = row_of(a)
     crossing = row_of(b - 1) > first
     for r, s in zip(first[crossing].tolist(), row_of(b[crossing] - 1).tolist(), strict=True):
         maybe_base[r : s + 1] = maybe_inner[r : s + 1] = True
-    dense: dict[int, list[tuple[int, int]]] = {}
-    for r, x, y in zip(first.tolist(), a.tolist(), b.tolist(), strict=True):
-        dense.setdefault(r, []).append((x, y))
+    maybe_inner[first] = True
     if len(data) > 2:
         escape = np.flatnonzero((data[:-2] == 0x25) & _XDIGIT[data[1:-1]] & _XDIGIT[data[2:]])
         maybe_inner[row_of(escape)] = True
@@ -277,9 +412,7 @@ def scan_slice(offsets: np.ndarray, data: np.ndarray) -> list[tuple[list[Span],
             at = text.find(word, max(at + 1, int(offsets[r + 1]) - len(word) + 1))
     out: list[tuple[list[Span], set[Span]]] = [([], set())] * rows
     for r in range(rows):
-        if not (maybe_base[r] or maybe_inner[r] or r in dense):
-            continue
-        if not (maybe_base[r] or maybe_inner[r]) and not any(_base64(raw[x:y].decode()) for x, y in dense[r]):
+        if not (maybe_base[r] or maybe_inner[r]):
             continue
         text = raw[offsets[r] : offsets[r + 1]].decode()
         out[r] = (base_spans(text) if maybe_base[r] else [], inner_spans(text))

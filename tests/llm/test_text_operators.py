@@ -252,6 +252,30 @@ def test_nested_secrets(spark):
         assert not secrets.inner_spans(quiet)
 
 
+def hidden(text):
+    """The kinds found in the layers of a text, all within it."""
+    got = secrets.inner_spans("é " + text + " z")
+    assert all(2 <= a < b <= len(text) + 2 for a, _, b in got)
+    return {kind for _, kind, _ in got}
+
+
+def test_joined_wrapped_and_binary_layers():
+    import base64
+    import gzip
+    import lzma
+
+    b64 = lambda x: base64.b64encode(x).decode()
+    wrapped = lambda x, end="\n": end.join(x[i : i + 76] for i in range(0, len(x), 76))
+    secret, noise = b'api_key = "abcdef0123456789abcdef0123"', random.Random(1).randbytes(300)
+    long = gzip.compress(noise.hex().encode() + b" " + secret)
+    cases = [front + b64(secret) for front in ("", "a/", "x-", "/v1/", "key_")] + ["a/" + b64(long), "a/" + b64(zlib.compress(secret))]
+    cases += [wrapped(b64(long)), wrapped(b64(long), "\r\n"), wrapped(b64(b"x" * 40 + b" " + secret)), b64(noise[:31] + b"\0" + secret + b"\0" + noise[:31])]
+    for f in (gzip.compress, zlib.compress, lzma.compress):
+        cases += ["".join(f"%{x:02X}" for x in f(secret)), "".join(f"\\x{x:02x}" for x in f(secret)), repr(f(secret))]
+    for text in cases:
+        assert hidden(text) >= {"assign", "hex"}, text
+
+
 def test_mask_keeps_columns(odd):
     out = secrets.mask(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
