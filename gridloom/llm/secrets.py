@@ -253,6 +253,16 @@ def _pieces(chunks: Iterator[bytes]) -> Iterator[bytes]:
         yield b"".join(held)
 
 
+def _is_stream(raw: bytes) -> bool:
+    """Whether the beginning of a large stream can be read, and does not only look like one."""
+    size = 0
+    for chunk in _inflated(_chunks(raw, 0)):
+        size += len(chunk)
+        if size >= len(raw) // 4:
+            return True
+    return False
+
+
 def _inflated_texts(work: list[Iterator[bytes]]) -> Iterator[str]:
     """The text in compressed streams, and in those inside them, until nothing new comes."""
     seen: set[bytes] = set()
@@ -263,6 +273,18 @@ def _inflated_texts(work: list[Iterator[bytes]]) -> Iterator[str]:
             head += got
         begun = chain([head], stream)
         nested = _opened(head) is not None
+        if nested:
+            held, size = [], 0
+            for chunk in begun:
+                held.append(chunk)
+                size += len(chunk)
+                if size >= PIECE:
+                    break
+            whole = b"".join(held)
+            begun = chain([whole], begun)
+            if size >= PIECE and _is_stream(whole):  # large streams in one another are not held
+                work.append(begun)
+                continue
         for n, piece in enumerate(_pieces(begun)):
             digest = sha256(piece).digest()
             if digest in seen:  # scanned already, with what is in it; others may follow
@@ -270,9 +292,6 @@ def _inflated_texts(work: list[Iterator[bytes]]) -> Iterator[str]:
             seen.add(digest)
             for m in STRETCH.finditer(piece):
                 yield m[0].decode()
-            if n == 0 and nested and len(piece) >= PIECE:  # large streams in one another are not held
-                work.append(chain([piece], stream))
-                break
             work += [_chunks(piece, at) for at in {m.start() for m in MAGIC.finditer(piece)} | ({0} if n == 0 and nested else set())]
 
 

@@ -276,6 +276,27 @@ def test_joined_wrapped_and_binary_layers():
         assert hidden(text) >= {"assign", "hex"}, text
 
 
+def test_all_of_a_compressed_stream():
+    import base64
+    import bz2
+    import gzip
+    import lzma
+
+    import zstandard
+
+    b64 = lambda x: base64.b64encode(x).decode()
+    secret = b'api_key = "abcdef0123456789abcdef0123"'
+    for f in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress):
+        assert hidden(b64(f(b"nothing here") + f(secret))) >= {"assign", "hex"}
+    deep = secret
+    for _ in range(20):
+        deep = gzip.compress(deep)
+    large = b"a quiet line of the log\n" * 3_000_000 + secret
+    dense = random.Random(1).randbytes(6_000_000) + b"\n" + secret
+    for x in (deep, gzip.compress(large), bz2.compress(bz2.compress(large)), gzip.compress(gzip.compress(dense))):
+        assert hidden(b64(x)) >= {"assign", "hex"}
+
+
 def test_mask_keeps_columns(odd):
     out = secrets.mask(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
