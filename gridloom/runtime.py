@@ -9,6 +9,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +23,9 @@ def ship(spark: SparkSession) -> None:
     Spark's own file server hands the archive out, so nothing needs to be
     installed on the machines and no folder needs to be shared.
     """
-    if spark.conf.get(_BATCH, "10000") == "10000":  # Spark's default suits short rows; texts and rasters are long
-        spark.conf.set(_BATCH, "2000")
     sc = spark.sparkContext
+    if _BATCH not in spark.conf.getAll:  # not set by the user: Spark's default suits short rows; texts and rasters are long
+        spark.conf.set(_BATCH, "2000")
     if getattr(sc, "_gridloom_shipped", False):
         return
     root = Path(__file__).resolve().parent
@@ -39,11 +40,14 @@ def ship(spark: SparkSession) -> None:
 def scratch_root(spark: SparkSession) -> str:
     """Folder that all machines share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (tests, a laptop) a folder of this machine is used,
-    and the setting is then put into the session.
+    Only where it is unset and all runs on one machine (tests, a laptop) a
+    folder of that machine is used, and the setting is then put into the
+    session; on a cluster an unset one is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = Path(tempfile.mkdtemp(prefix="gridloom-scratch-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -55,6 +59,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+        for paths in _WORKSPACES.get(id(spark.sparkContext), [])[-1:]:
+            paths.append(self.path)
 
     def table(self, name: str, df: DataFrame, codec: str = "zstd") -> DataFrame:
         """Write ``df`` and return it as read back, which cuts its lineage."""
@@ -72,10 +78,48 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         """Delete a table or folder that no later plan reads."""
-        with contextlib.suppress(Exception):
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(self.spark, f"{self.path}/{name}")
+
+    def drop_read(self, df: DataFrame) -> None:
+        """Delete the tables of this folder that a plan, now done with, was made of."""
+        for file in df.inputFiles():
+            if f"{self.path.rsplit('/', 1)[-1]}/" in file:
+                _delete(self.spark, file.rsplit("/", 1)[0])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextlib.contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the scratch tables that were made inside. Write or collect results before it ends.
+
+        with workspace(spark):
+            jaccard.components(docs).write.parquet(out)
+    """
+    open_ = _WORKSPACES.setdefault(id(spark.sparkContext), [])
+    mine: list[str] = []
+    open_.append(mine)
+    try:
+        yield
+    finally:
+        open_.remove(mine)
+        for path in mine:
+            _delete(spark, path)
+
+
+_WORKSPACES: dict[int, list[list[str]]] = {}
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case of letters."""
+    known = {c.lower() for c in df.columns}
+    while name.lower() in known:
+        name = f"{name}_{uuid.uuid4().hex[:8]}"
+    return name
 
 
 def partitions(spark: SparkSession) -> int:
