@@ -28,6 +28,8 @@ An empty table gives an empty result. Only the id and text columns are read.
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,16 +41,18 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import graph
 from gridloom.llm.textkern import mix, shingle_sets, slices
-from gridloom.runtime import Scratch, give_back, release, ship
+from gridloom.runtime import Scratch, give_back, release, ship, unused
 
-#: Shingles of a fragment; a task holds one fragment at a time. More text needs larger ones.
+#: Least shingles of a fragment; a task holds one fragment at a time.
 FRAGMENT = 2_500_000
 #: Hashes of sets that a task cuts up at a time.
 PART = 500_000
 #: There are at least so many fragments.
 FRAGMENTS = 40
-#: Shingles of a block of documents, which one task holds before it deals them out.
+#: Least shingles of a block of documents, which one task holds before it deals them out.
 BLOCK = 1_000_000
+#: Every block sends a row to every fragment. Both grow with the square root of the corpus, so that a row keeps so many shingles on average.
+ROW = 100
 #: The most frequent shingles, put last in the order: at most so many are sent to all tasks.
 FREQUENT = 131_072
 #: A shingle may be in that list if so many classes, or blocks of them, have it.
@@ -171,10 +175,15 @@ def members(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, key bigint, n_shingles bigint, class bigint")
 
 
+def grown(least: int, total: int) -> int:
+    """Shingles of a block or fragment of ``total``: ``least``, which holds up to about a terabyte of text, or more."""
+    return max(least, math.isqrt(ROW * total))
+
+
 _DEALT = (["fragment", "block", "keys", "owners", "counts", "present", "classes", "table"], [pa.int64(), pa.int64(), *[pa.binary()] * 6])
 
 
-def _deal(docs: DataFrame, k: int, fragments: int) -> DataFrame:
+def _deal(docs: DataFrame, k: int, fragments: int, size: int) -> DataFrame:
     """Each block's distinct shingles by fragment, with the one class that has it or a note that several have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,9 +194,9 @@ def _deal(docs: DataFrame, k: int, fragments: int) -> DataFrame:
         sets: list[np.ndarray] = []
 
         def block() -> Iterator[pa.RecordBatch]:
-            size = np.array([len(x) for x in sets], np.int64)
+            sizes = np.array([len(x) for x in sets], np.int64)
             h = np.concatenate(sets)
-            owner = np.repeat(np.arange(len(sets)), size)
+            owner = np.repeat(np.arange(len(sets)), sizes)
             order = np.argsort(h, kind="stable")
             h, owner = h[order], owner[order]
             start, count = runs(h)
@@ -196,16 +205,16 @@ def _deal(docs: DataFrame, k: int, fragments: int) -> DataFrame:
             key, one = h[start], np.where(several, 0, owner[start] + 1)
             cut = np.searchsorted(fragment_of(key, fragments), np.arange(fragments + 1))
             classes = np.fromiter(own, np.uint64, len(own))
-            table = b"".join(len(x).to_bytes(8, "little") + x for x in (pack(classes), pack(size), pack(local)))
-            rows = []
-            for f in np.flatnonzero(np.diff(cut)).tolist():
+            table = b"".join(len(x).to_bytes(8, "little") + x for x in (pack(classes), pack(sizes), pack(local)))
+            rows, full = [], np.flatnonzero(np.diff(cut)).tolist()
+            keeper = full[int(mix(classes[:1])[0] >> U(33)) % len(full)]  # the block's table goes with one of its fragments, each block's with another
+            for f in full:
                 a, b = cut[f], cut[f + 1]
                 present, place = np.unique(one[a:b], return_inverse=True)
                 base = int(present[0] == 0)
                 place = place + (1 - base)  # 0: several
                 present = present[base:] - 1
-                rows.append((f, (part << 32) + number, pack(key[a:b], True), pack(place), pack(count[a:b][several[a:b]]), pack(present, True), pack(classes[present]), table))
-                table = None
+                rows.append((f, (part << 32) + number, pack(key[a:b], True), pack(place), pack(count[a:b][several[a:b]]), pack(present, True), pack(classes[present]), table if f == keeper else None))
                 if len(rows) == 64:
                     yield _rows(*_DEALT, rows)
                     rows = []
@@ -220,7 +229,7 @@ def _deal(docs: DataFrame, k: int, fragments: int) -> DataFrame:
                         own[key] = len(own)
                         sets.append(h[bounds[r] : bounds[r + 1]])
                         held += len(sets[-1])
-                if held >= BLOCK:
+                if held >= size:
                     yield from block()
                     own, sets, held, number = {}, [], 0, number + 1
         if sets:
@@ -468,16 +477,34 @@ def _meet(percent: int, step: int):
     return run
 
 
-def _spread(pairs: DataFrame, fragments: int) -> DataFrame:
-    """Batches of candidate pairs, for every fragment."""
+def _places(sets: DataFrame, fragments: int, words) -> DataFrame:
+    """(class, places): the fragments in which each class of the filter has shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.filter(pa.array(in_filter(words.value, batch.column("class").to_numpy().view(np.uint64))))
+            places = [np.unique(fragment_of(np.frombuffer(x.as_py(), np.uint64), fragments)).astype("<u4").tobytes() for x in own.column("hashes")]
+            yield pa.RecordBatch.from_arrays([own.column("class"), pa.array(places, pa.binary())], ["class", "places"])
+        give_back()
+
+    return sets.select("class", "hashes").mapInArrow(run, "class bigint, places binary")
+
+
+def _spread(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b, places), dealt to the fragments in which a has shingles: no more of them than a has shingles, however many there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                a, b = (pack(batch.column(c).to_numpy().view(np.uint64)) for c in "ab")
-                yield _rows(["fragment", "a", "b"], [pa.int64(), pa.binary(), pa.binary()], [(f, a, b) for f in range(fragments)])
+            raw = [x.as_py() for x in batch.column("places")]
+            f = np.frombuffer(b"".join(raw), "<u4").astype(np.int64)
+            owner = np.repeat(np.arange(len(raw)), [len(x) // 4 for x in raw])
+            order = np.argsort(f, kind="stable")
+            f, owner = f[order], owner[order]
+            a, b = (batch.column(c).to_numpy().view(np.uint64)[owner] for c in "ab")
+            start, size = runs(f)
+            yield _rows(["fragment", "a", "b"], [pa.int64(), pa.binary(), pa.binary()], [(int(f[x]), pack(a[x : x + n]), pack(b[x : x + n])) for x, n in zip(start.tolist(), size.tolist(), strict=True)])
 
-    return pairs.select("a", "b").mapInArrow(run, "fragment bigint, a binary, b binary")
+    return pairs.select("a", "b", "places").mapInArrow(run, "fragment bigint, a binary, b binary")
 
 
 def _count(sets: pa.Table, pairs: pa.Table) -> pa.Table:
@@ -512,8 +539,9 @@ def class_links(docs: DataFrame, own: DataFrame, scratch: Scratch, k: int, perce
     ``docs`` has (id, key, text), ``own`` is ``members`` of it.
     """
     spark = docs.sparkSession
-    fragments = max(FRAGMENTS, -(-int(own.agg(F.sum("n_shingles")).first()[0] or 0) // FRAGMENT))
-    dealt = _deal(docs, k, fragments)
+    whole = int(own.agg(F.sum("n_shingles")).first()[0] or 0)
+    fragments = max(FRAGMENTS, -(-whole // grown(FRAGMENT, whole)))
+    dealt = _deal(docs, k, fragments, grown(BLOCK, whole))
     partial = scratch.table("partial", dealt.groupBy("fragment").applyInArrow(_share, "block bigint, present binary, shared binary, table binary, hash bigint, seen bigint"))
     release(spark)
     top = partial.where("hash is not null").select("hash", "seen").orderBy(F.desc("seen"), "hash").limit(FREQUENT).toArrow()
@@ -529,8 +557,8 @@ def class_links(docs: DataFrame, own: DataFrame, scratch: Scratch, k: int, perce
     total = int(sets.agg(F.sum("n")).first()[0] or 0)
     if not total:
         return None
-    cuts = max(FRAGMENTS, -(-total // FRAGMENT))
-    parts = -(-2 * total // FRAGMENT)  # whole sets take more room than prefixes, but a row for each pair and fragment costs more still
+    cuts = max(FRAGMENTS, -(-total // grown(FRAGMENT, whole)))
+    parts = -(-2 * total // grown(FRAGMENT, whole))  # whole sets take more room than prefixes
     links, found, centres = None, None, None
     for step in range(LAST + 1):
         prefix = sets.select("class", "n", "prefix")
@@ -546,7 +574,8 @@ def class_links(docs: DataFrame, own: DataFrame, scratch: Scratch, k: int, perce
             continue
         near = spark.sparkContext.broadcast(key_filter(pairs, "a", "b"))
         left = _cut_sets(sets.select("class", "hashes"), parts, "hashes", [], near)
-        counted = left.groupBy("fragment").cogroup(_spread(pairs, parts).groupBy("fragment")).applyInArrow(_count, "a bigint, b bigint, overlap bigint")
+        placed = pairs.select("a", "b").join(_places(sets, parts, near).withColumnRenamed("class", "a"), "a")
+        counted = left.groupBy("fragment").cogroup(_spread(placed).groupBy("fragment")).applyInArrow(_count, "a bigint, b bigint, overlap bigint")
         counted = scratch.table(f"counted-{step}", counted.groupBy("a", "b").agg(F.sum("overlap").alias("overlap")).join(pairs, ["a", "b"]))
         release(spark)
         if step == 0:  # there the smaller class of a pair is the one that the other was paired with
@@ -556,10 +585,19 @@ def class_links(docs: DataFrame, own: DataFrame, scratch: Scratch, k: int, perce
         if new.isEmpty():
             continue
         links = new if links is None else links.union(new)
-        found = graph.components(links, scratch, f"components-{step}")
+        before, found = found, graph.components(links, scratch, f"components-{step}")
+        if before is not None:
+            scratch.drop_read(before)
+    for name in ("sets", "able", "centres", *(f"{t}-{step}" for t in ("pairs", "counted") for step in range(LAST + 1))):
+        scratch.drop(name)
     return found
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """A written table of keys, to be broadcast if it has few enough rows."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def _components(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, Scratch]:
     """(id, key, n_shingles, component_id) per row; the key is a hash of id and text."""
     spark = docs.sparkSession
@@ -569,13 +607,13 @@ def _components(docs: DataFrame, id_col: str, text_col: str, k: int, percent: in
     own = scratch.table("members", members(picked, k))
     found = class_links(picked, own, scratch, k, percent)
     classes = own.where("class is not null").groupBy("class").agg(F.min("id").alias("least"))
+    classes = classes.withColumn("component_id", F.col("least"))
     if found is not None:
-        both = classes.join(found, classes["class"] == found["node"], "left").select("class", "least", F.coalesce("component", "class").alias("component"))
-        both = scratch.table("classes", both)
-        least = both.groupBy("component").agg(F.min("least").alias("component_id"))
-        classes = both.join(least, "component").select("class", "component_id")
-    else:
-        classes = classes.select("class", F.col("least").alias("component_id"))
+        linked = scratch.table("linked", classes.join(found, classes["class"] == found["node"]).select("class", "least", "component"))
+        least = scratch.table("least", linked.groupBy("component").agg(F.min("least").alias("component_id")))
+        joined = linked.join(_small(least), "component").select("class", F.col("component_id").alias("of_links"))
+        classes = classes.join(joined, "class", "left").withColumn("component_id", F.coalesce("of_links", "least"))
+    classes = classes.select("class", "component_id")
     return own.join(classes, "class", "left").select("id", "key", "n_shingles", F.coalesce("component_id", "id").alias("component_id")), scratch
 
 
@@ -598,18 +636,24 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     found, scratch = _components(docs, id_col, text_col, k, percent)
     found = scratch.table("found", found)
-    key = F.xxhash64(docs[id_col], docs[text_col])
-    gone = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("_gone")).distinct()
-    n = gone.count()
-    kept = docs.join(F.broadcast(gone) if n <= BROADCAST_KEYS else gone, key == F.col("_gone"), "left_anti")
-    again = found.where((F.col("n_shingles") > 0) & F.col("id").eqNullSafe(F.col("component_id"))).groupBy("key").count().where("count > 1").select(F.col("key").alias("_again"))
-    n = again.count()
-    if not n:
+    for name in ("members", "linked", "least"):
+        scratch.drop(name)
+    its_id, its_key = unused(docs, "id"), unused(docs, "key")
+
+    def these(rows: DataFrame) -> DataFrame:
+        return _small(scratch.table(f"these-{uuid.uuid4().hex}", rows.select(F.col("id").alias(its_id), F.col("key").alias(its_key)).distinct()))
+
+    def same(df: DataFrame) -> F.Column:
+        return (F.xxhash64(df[id_col], df[text_col]) == F.col(its_key)) & df[id_col].eqNullSafe(F.col(its_id))
+
+    own = F.col("id").eqNullSafe(F.col("component_id"))
+    kept = docs.join(these(found.where(~own)), same(docs), "left_anti")
+    again = found.where((F.col("n_shingles") > 0) & own).groupBy("id", "key").count().where("count > 1")
+    if again.isEmpty():
         return kept
-    again = F.broadcast(again) if n <= BROADCAST_KEYS else again
-    kept_key = F.xxhash64(kept[id_col], kept[text_col])
-    one = kept.join(again, kept_key == F.col("_again"), "left_semi").dropDuplicates([id_col, text_col])
-    return kept.join(again, kept_key == F.col("_again"), "left_anti").unionByName(one)
+    again = these(again)
+    one = kept.join(again, same(kept), "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(again, same(kept), "left_anti").unionByName(one)
 
 
 SQL = r"""

@@ -552,12 +552,32 @@ def test_components_of_a_crowd(spark, monkeypatch, seed, fragment, block):
     monkeypatch.setattr(jaccard, "FRAGMENT", fragment)
     monkeypatch.setattr(jaccard, "FRAGMENTS", 3)
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "ROW", 0)
     monkeypatch.setattr(jaccard, "FREQUENT_FROM", 4)
     rows = crowd(250, seed)
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     assert rows_of(jaccard.components(df)) == brute_components(rows)
 
 
+def test_dealt_rows_are_even(spark, monkeypatch):
+    """No fragment gets much more than another, and rows of blocks by fragments do not outgrow the shingles."""
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices("abcdefghijklmnopqrst", k=60))) for i in range(2000)], "key bigint, text string").coalesce(2)
+    got = jaccard._deal(docs, 5, 20, 2000).selectExpr("fragment", "octet_length(keys) + octet_length(owners) + octet_length(classes) + coalesce(octet_length(table), 0) as n").groupBy("fragment").sum("n").collect()
+    size = sorted(r[1] for r in got)
+    assert len(size) == 20 and size[-1] < 2 * size[10]
+    assert jaccard.grown(1_000_000, 10**8) == 1_000_000
+    for total in (10**10, 10**12, 10**14):
+        rows = (total / jaccard.grown(jaccard.BLOCK, total)) * (total / jaccard.grown(jaccard.FRAGMENT, total))
+        assert rows <= total / jaccard.ROW * 1.01
+
+
+def test_representatives_with_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text, 1, 2, 3, 4), (2, text, 1, 2, 3, 4), (1, text, 1, 2, 3, 4)], "doc_id int, text string, id int, key int, _gone int, _again int")
+    assert [r.doc_id for r in jaccard.representatives(docs).collect()] == [1]
+
+
 def test_components(spark, odd, agree):
     agree(queries.op9_vertical_jaccard, jaccard.SQL)
     rows = [(r.doc_id, r.text) for r in odd.collect()]
