@@ -1,205 +1,385 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-The units are folded characters (64 classes), the n-grams 4 long, so that a
-model has at most 64 ** 4 n-grams whatever the text. All trusted documents are
-counted: each task counts its own text, the counts are summed by n-gram over
-shuffle shards. Probabilities come from joins of these count tables: raw
-counts for the longest n-grams, continuation counts for the others, with the
-three discounts of Chen and Goodman from the counts of counts. Tables of
-probabilities and back-off weights are of bounded size and sent to the tasks,
-which give each document its perplexity. A document is kept if its perplexity
-is at most the ``share`` quantile of the trusted documents of its language.
+The units are code points as they are, the n-grams ``N`` long. Counts, the
+tables made from them and the joins that score texts are all sharded by
+n-gram; none is gathered in one place, and all grow with the text.
+
+1. Counts. Each task counts the n-grams of its own trusted text; the counts
+   are summed by n-gram over shuffle shards.
+2. Model. Joins of these count tables give each n-gram its probability (raw
+   counts for the longest, continuation counts for the others, the three
+   discounts of Chen and Goodman from the counts of counts) and each context
+   the weight that it leaves to shorter ones.
+3. Scores. Documents go into blocks. A block sends each of its distinct
+   n-grams, of all lengths, once to the n-gram's shard, which joins them with
+   the model; what is found goes back to the block, where each document gets
+   the sum over its n-grams and so its perplexity. Shards are also cut by
+   block, so that a task never holds more than a bounded part of one.
 
 Trusted are the documents that the labels call good and not toxic; a label of
-null does not count, and a document with several labels needs all of them.
+null does not count, and a document with several labels needs all of them. The
+model is trained on four fifths of them, by a hash of the text, so that copies
+stay together. A document is kept if its perplexity is at most the ``share``
+quantile of the last fifth in its language: texts that the model was trained
+on are likelier than others and would make the quantile too low.
+
 Null and empty texts have no perplexity and are not kept. A language without
-trusted documents, and a null one, gets the threshold of all trusted
-documents. Without trusted documents nothing can be judged and every text with
-characters is kept. Short texts are judged with some mean trusted text added. Repeated rows stay rows. Empty tables give empty results.
-Only id, text, language and label columns are read.
+held-out documents, and a null one, gets the quantile of all held-out ones;
+without any, that of the training documents. Without trusted documents nothing
+can be judged and every text with characters is kept. Short texts are judged
+with some mean trusted text added. U+FFFF counts as the edge of a text, U+0000
+as U+FFFD. Repeated rows stay rows. Empty tables give empty results. Only id,
+text, language and label columns are read.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridloom.llm.textkern import slices
-from gridloom.runtime import Scratch, ship
+from gridloom.llm.bpe import pack_numbers, unpack_numbers
+from gridloom.llm.jaccard import pack, unpack
+from gridloom.llm.textkern import mix, slices
+from gridloom.runtime import Scratch, give_back, partitions, ship
 
-N = 4
-BITS = 6
-SYMBOLS = 1 << BITS
-#: The quantile of the trusted documents of a language beyond which a text is not kept.
+N = 5
+EDGE = 0xFFFF
+#: The quantile of the held-out trusted documents of a language beyond which a text is not kept.
 SHARE = 0.99
-#: Bytes of mean trusted text that go with each text when it is judged.
+#: One in so many trusted documents is held out.
+FOLDS = 5
+#: Code points of mean trusted text that go with each text when it is judged.
 PRIOR = 100
 #: Labels up to so many are sent to all tasks; beyond, texts and labels are joined by a shuffle.
 LABEL_ROWS = 5_000_000
-
-# Classes of bytes: 0 edge; letters in one case; digits; white space; common marks; UTF-8 lead and continuation bytes by their low bits.
-FOLD = np.full(256, 63, np.uint32)
-FOLD[97:123] = FOLD[65:91] = np.arange(1, 27)
-FOLD[48:58] = 27
-FOLD[[0x20, 0x09, 0x0B, 0x0C, 0x0D]] = 28
-FOLD[0x0A] = 29
-for _i, _c in enumerate(b".,;:!?'\"()-/|&%#$*"):
-    FOLD[_c] = 30 + _i
-FOLD[0x80:0xC0] = 48 + (np.arange(64) & 7)
-FOLD[0xC0:] = 56 + (np.arange(64) % 7)
-
-
-def codes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each byte of a slice, rows beginning with edges; and the bounds of the rows."""
-    x = FOLD[data]
-    code = x.copy()
-    for k in range(1, N):
-        back = np.zeros(len(x), np.uint32)
-        back[k:] = x[:-k]
-        for j in range(k):  # the first bytes of a row have edges before them
-            at = offsets[:-1] + j
-            back[at[at < offsets[1:]]] = 0
-        code |= back << np.uint32(BITS * k)
-    return code, offsets
+#: Languages up to so many are sent to all tasks with their thresholds.
+LANGUAGES = 100_000
+#: Text bytes of a block: what one task holds at a time.
+BLOCK = 16 << 20
+#: N-grams of the model, and n-grams of blocks, that a task holds.
+SHARD, ASKED = 500_000, 4_000_000
+#: Codes of n-grams up to so many are renumbered through a table, more by sorting.
+DIRECT = 1 << 23
+U = np.uint64
+_SEED = U(0x9E3779B97F4A7C15)
+_STEP = U(0xD6E8FEB86659FD93)
+
+
+# ---- n-grams of a slice -----------------------------------------------------
+
+
+def next_key(key: np.ndarray, point: np.ndarray) -> np.ndarray:
+    """Keys of n-grams made longer by one code point."""
+    return mix(key * _STEP + point.astype(np.uint64) + U(1))
+
+
+def _renumbered(code: np.ndarray, room: int) -> tuple[np.ndarray, int]:
+    """Numbers from 0 on for the codes, all below ``room``, in ascending order; and how many there are."""
+    if room > DIRECT:
+        known, out = np.unique(code, return_inverse=True)
+        return out.astype(np.int64), len(known)
+    there = np.zeros(room, bool)
+    there[code] = True
+    number = np.cumsum(there, dtype=np.int32) - 1
+    return number[code].astype(np.int64), int(number[-1]) + 1 if room else 0
+
+
+class Grams:
+    """The distinct n-grams, of 1 to N code points, of a slice of texts; texts begin with edges."""
+
+    def __init__(self, offsets: np.ndarray, data: np.ndarray):
+        rows = len(offsets) - 1
+        first = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]  # in code points
+        self.sizes = np.diff(first)
+        #: The code points with N - 1 edges before each text, and where those of texts are.
+        self.points = np.full(int(first[-1]) + rows * (N - 1), EDGE, np.uint32)
+        self.live = np.arange(first[-1]) + np.repeat(np.arange(1, rows + 1) * (N - 1), self.sizes)
+        own = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        self.points[self.live] = np.where(own == 0, 0xFFFD, own)
+        #: For each length: the number of the n-gram that ends at each place, and for each number a place.
+        self.ids: list[np.ndarray] = []
+        self.at: list[np.ndarray] = []
+        self.keys = [mix(np.array([_SEED]))]
+        symbol, n = _renumbered(self.points, 0x110000)
+        for k in range(1, N + 1):
+            if k == 1:
+                ids, count = symbol, n
+            else:
+                code = symbol.copy()
+                code[1:] += self.ids[-1][:-1] * n
+                ids, count = _renumbered(code, len(self.at[-1]) * n)
+            at = np.zeros(count, np.int64)
+            at[ids] = np.arange(len(ids))
+            before = self.keys[-1][self.ids[-1][np.maximum(at - 1, 0)]] if k > 1 else self.keys[0]
+            self.keys.append(next_key(before, self.points[at]))
+            self.ids.append(ids)
+            self.at.append(at)
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """The longest n-grams that end in a text, as strings, and how often."""
+        n = np.bincount(self.ids[-1][self.live], minlength=len(self.at[-1]))
+        full = np.flatnonzero(n)
+        places = self.at[-1][full]
+        places = np.where(places < N - 1, N - 1, places)  # cannot be: N - 1 edges begin the slice
+        window = self.points[places[:, None] + np.arange(1 - N, 1)]
+        return np.ascontiguousarray(window).view(f"<U{N}").ravel(), n[full]
+
+    def log_likelihood(self, model: Found) -> np.ndarray:
+        """Of each text."""
+        p = model.unseen
+        for k in range(1, N + 1):
+            before = np.maximum(self.at[k - 1] - 1, 0)
+            weight = model.weight(self.keys[k - 1])
+            context = weight[self.ids[k - 2][before]] if k > 1 else weight[0]
+            shorter = p[self.ids[k - 2][self.at[k - 1]]] if k > 1 else p
+            own = model.probability(self.keys[k])
+            p = np.where(np.isnan(own), context * shorter, own)
+        total = np.concatenate(([0.0], np.cumsum(np.log(p)[self.ids[-1][self.live]])))
+        return np.diff(total[np.concatenate(([0], np.cumsum(self.sizes)))])
+
+
+class Found:
+    """What the model has of some n-grams: their probabilities, and their weights as contexts."""
+
+    def __init__(self, keys: np.ndarray, p: np.ndarray, weight: np.ndarray, unseen: float):
+        order = np.argsort(keys)
+        self.keys, self.p, self.w, self.unseen = keys[order], p[order].astype(np.float64), weight[order].astype(np.float64), unseen
+
+    def _values(self, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(keys), np.nan)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, values[at], np.nan)
+
+    def probability(self, keys: np.ndarray) -> np.ndarray:
+        return self._values(keys, self.p)
+
+    def weight(self, keys: np.ndarray) -> np.ndarray:
+        """1 for a context that was not seen: it leaves all to the shorter one."""
+        w = self._values(keys, self.w)
+        return np.where(np.isnan(w), 1.0, w)
+
+
+# ---- counts and model -------------------------------------------------------
 
 
 def gram_counts(texts: DataFrame) -> DataFrame:
-    """(code, n) of all n-grams of a column ``text``."""
+    """(gram, n) of all n-grams of length N of a column ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-        total = np.zeros(0, np.int64)
-
-        def fold() -> np.ndarray:
-            new = np.bincount(np.concatenate(held), minlength=SYMBOLS**N)
-            return new if not len(total) else total + new
-
         for batch in batches:
             for _, _, offsets, data in slices(batch.column(0)):
-                held.append(codes(offsets, data)[0])
-                size += len(data)
-                if size > 16 << 20:
-                    total, held, size = fold(), [], 0
-        if held:
-            total = fold()
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["code", "n"])
+                if len(data):
+                    gram, n = Grams(offsets, data).counted()
+                    yield pa.RecordBatch.from_arrays([pa.array(gram, pa.string()), pa.array(n, pa.int64())], ["gram", "n"])
+        give_back()
 
-    return texts.select("text").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(counts: DataFrame, scratch: Scratch) -> list[DataFrame]:
-    """For each length 1 to N a table (code, p, weight): interpolated probability of the n-gram's last unit after the others, and the weight that the n-gram, as a context, leaves to shorter ones."""
+def kneser_ney(counts: DataFrame, scratch: Scratch) -> tuple[DataFrame, float]:
+    """A table (gram, p, weight) of n-grams of all lengths: the interpolated probability of the n-gram's last unit after the others, and the weight that the n-gram, as a context, leaves to shorter ones; and the probability that an unseen unit has by itself before any weight."""
     levels = {N: counts}
     for k in range(N - 1, 0, -1):  # continuation counts: how many units come before
-        levels[k] = scratch.table(f"count-{k}", levels[k + 1].groupBy(F.col("code").bitwiseAND(F.lit(SYMBOLS**k - 1)).alias("code")).agg(F.count(F.lit(1)).alias("n")))
-    out: list[DataFrame] = []
-    lower = None
+        levels[k] = scratch.table(f"count-{k}", levels[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+    unseen = 1.0 / (levels[1].count() + 1)
+    out, lower = None, None
     for k in range(1, N + 1):
-        t = dict(levels[k].where("n <= 4").groupBy("n").agg(F.count(F.lit(1)).alias("m")).collect())
-        n1, n2, n3, n4 = (t.get(i, 0) for i in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.0
-        d = [min(max(v, 0.0), float(i)) for i, v in ((1, 1 - 2 * y * n2 / n1 if n1 else 0.5), (2, 2 - 3 * y * n3 / n2 if n2 else 1.0), (3, 3 - 4 * y * n4 / n3 if n3 else 1.5))]
-        cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        grams = levels[k].withColumn("context", F.shiftright("code", BITS)).withColumn("cut", cut)
+        t = dict(levels[k].where("n <= 4").groupBy("n").agg(F.count(F.lit(1)).alias("m")).collect())  # four rows at most
+        cut = F.when(F.col("n") == 1, (d := discounts(t))[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+        grams = levels[k].withColumn("context", F.substring("gram", 1, k - 1)).withColumn("cut", cut)
         contexts = grams.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("left"))
         joined = grams.join(contexts, "context")
         if lower is None:
-            p = (F.col("n") - F.col("cut") + F.col("left") / SYMBOLS) / F.col("total")
-            table = joined.select("code", p.alias("p"))
+            q = F.lit(unseen)
         else:
-            shorter = lower.select(F.col("code").alias("short"), F.col("p").alias("q"))
-            joined = joined.join(shorter, F.col("code").bitwiseAND(F.lit(SYMBOLS ** (k - 1) - 1)) == F.col("short"))
-            table = joined.select("code", ((F.col("n") - F.col("cut") + F.col("left") * F.col("q")) / F.col("total")).alias("p"))
-        weights = contexts.select(F.col("context").alias("code"), (F.col("left") / F.col("total")).alias("weight"))
-        lower = scratch.table(f"p-{k}", table)
-        out.append(scratch.table(f"model-{k}", lower.withColumn("level", F.lit(k)).unionByName(weights.withColumn("level", F.lit(-k)).withColumnRenamed("weight", "p"))))
-    return out
+            q = F.col("q")
+            joined = joined.withColumn("short", F.substring("gram", 2, k - 1)).join(lower.select(F.col("gram").alias("short"), F.col("p").alias("q")), "short")
+        lower = scratch.table(f"p-{k}", joined.select("gram", ((F.col("n") - F.col("cut") + F.col("left") * q) / F.col("total")).alias("p")))
+        weights = contexts.select(F.col("context").alias("gram"), (F.col("left") / F.col("total")).alias("weight"))
+        both = lower.select("gram", "p", F.lit(None).cast("double").alias("weight")).unionByName(weights.select("gram", F.lit(None).cast("double").alias("p"), "weight"))
+        out = both if out is None else out.unionByName(both)
+    return out.groupBy("gram").agg(F.max("p").alias("p"), F.max("weight").alias("weight")), unseen
 
 
-Compact = list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+def discounts(n: dict[int, int]) -> list[float]:
+    """What is taken off counts of 1, of 2 and of 3 or more, from the number of n-grams of each count."""
+    n1, n2, n3, n4 = (n.get(i, 0) for i in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.0
+    d = (1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5)
+    return [min(max(v, 0.0), float(i)) for i, v in enumerate(d, 1)]
 
 
-def collected(tables: list[DataFrame]) -> Compact:
-    """The tables of ``kneser_ney`` as arrays (level, code, p): one entry per seen n-gram and context."""
-    out = []
-    for table in tables:
-        got = table.toArrow()
-        out.append((got["level"].to_numpy(), got["code"].to_numpy(), got["p"].to_numpy().astype(np.float32)))
-    return out
+def keyed(model: DataFrame) -> DataFrame:
+    """(key, p, weight) of a model: 64-bit keys in place of the n-grams."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = batch.column("gram").to_pylist()
+            size = np.array([len(g) for g in grams], np.int64)
+            points = np.array(grams, f"<U{N}").view(np.uint32).reshape(len(grams), N)
+            key = np.repeat(mix(np.array([_SEED])), len(grams))
+            for k in range(N):
+                key = np.where(size > k, next_key(key, points[:, k]), key)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("p"), batch.column("weight")], ["key", "p", "weight"])
+
+    return model.mapInArrow(run, "key bigint, p double, weight double")
 
-def dense_model(tables: Compact) -> np.ndarray:
-    """Log-probability of every possible n-gram, of 64 ** N entries: where an n-gram was not seen, by its context's weight and the shorter one."""
-    p = np.full((1, SYMBOLS), 1.0 / SYMBOLS, np.float32)
-    for k, (level, code, value) in enumerate(tables, 1):
-        weight = np.ones(SYMBOLS ** (k - 1), np.float32)
-        weight[code[level < 0]] = value[level < 0]
-        if k == 1:
-            p = weight[:, None] * p
-        else:  # the context's first unit, the shorter context, the n-gram's last unit
-            out = np.empty((SYMBOLS, *p.shape), np.float32)
-            for first, own in enumerate(weight.reshape(SYMBOLS, -1)):
-                np.multiply(own[:, None], p, out=out[first])
-            p = out.reshape(-1, SYMBOLS)
-        p.ravel()[code[level > 0]] = value[level > 0]
-    np.maximum(p, np.float32(1e-30), out=p)
-    return np.log(p, out=p).ravel()
 
+# ---- scores -----------------------------------------------------------------
 
-_DENSE: dict[str, np.ndarray] = {}
 
+def _ipc(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        for b in batches:
+            w.write_batch(b)
+    return sink.getvalue().to_pybytes()
 
-def _dense_of(name: str, tables: Compact) -> np.ndarray:
-    """The worker's dense model, made once."""
-    if name not in _DENSE:
-        _DENSE.clear()
-        _DENSE[name] = dense_model(tables)
-    return _DENSE[name]
 
+def _blocks(docs: DataFrame) -> DataFrame:
+    """Blocks of documents: their rows, and the keys of their distinct n-grams."""
 
-def surprise(docs: DataFrame, model: Compact) -> DataFrame:
-    """In place of a column ``text``: ``nats``, its negative log-likelihood, and ``size``, its bytes."""
-    sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+        keys: list[np.ndarray] = []
 
-    @F.arrow_udf("double")
-    def nats(column: pa.Array) -> pa.Array:
-        table, out = _dense_of(name, sent.value), []
-        for _, _, offsets, data in slices(column):
-            code, bounds = codes(offsets, data)
-            out.append(-np.diff(np.concatenate((np.zeros(1), np.cumsum(table[code], dtype=np.float64)))[bounds]))
-        return pa.array(np.concatenate(out) if out else np.zeros(0))
+        def block() -> pa.RecordBatch:
+            known = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+            row = [(part << 32) + number, len(known), _ipc(held), pack(known, True)]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["block", "n_keys", "rows", "keys"])
 
-    return docs.withColumn("nats", nats("text")).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")).drop("text")
+        for batch in batches:
+            for a, b, offsets, data in slices(batch.column("text")):
+                held.append(batch.slice(a, b - a))
+                size += len(data)
+                if len(data):
+                    keys.append(np.unique(np.concatenate(Grams(offsets, data).keys)))
+                if len(keys) == 16:
+                    keys = [np.unique(np.concatenate(keys))]
+                if size >= BLOCK:
+                    yield block()
+                    held, size, keys, number = [], 0, [], number + 1
+        if held:
+            yield block()
+        give_back()
+
+    return docs.mapInArrow(run, "block bigint, n_keys bigint, rows binary, keys binary")
+
+
+def _asked(blocks: DataFrame, shards: int, cuts: int) -> DataFrame:
+    """The keys of each block by shard; ``cut`` parts the blocks that ask one shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, raw in zip(batch.column("block").to_pylist(), batch.column("keys"), strict=True):
+                key = unpack(raw.as_py(), True)
+                shard = key.view(np.int64) % shards
+                order = np.argsort(shard, kind="stable")  # ascending keys within a shard
+                edge = np.searchsorted(shard[order], np.arange(shards + 1))
+                full = np.flatnonzero(np.diff(edge))
+                cut = int(mix(np.array([block], np.uint64))[0] % U(cuts))
+                own = [pack(key[order[edge[s] : edge[s + 1]]], True) for s in full]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([cut] * len(full), pa.int64()), pa.array([block] * len(full), pa.int64()), pa.array(own, pa.binary())], ["shard", "cut", "block", "keys"])
+
+    return blocks.select("block", "keys").mapInArrow(run, "shard bigint, cut bigint, block bigint, keys binary")
+
+
+def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
+    """The n-grams of each block that the shard has: their keys, probabilities and weights."""
+    out = []
+    key = model.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    key = key[order]
+    values = [model.column(c).to_numpy().astype(np.float32)[order] for c in ("p", "weight")]
+    for block, raw in zip(asked.column("block").to_pylist(), asked.column("keys"), strict=True):
+        want = unpack(raw.as_py(), True)
+        at = np.minimum(np.searchsorted(key, want), max(len(key) - 1, 0))
+        hit = np.flatnonzero(key[at] == want) if len(key) else np.zeros(0, np.int64)
+        if len(hit):
+            out.append((block, pack(want[hit], True), *(pack_numbers(v[at[hit]].view("<u4")) for v in values)))
+    give_back()
+    return pa.table({"block": pa.array([r[0] for r in out], pa.int64()), **{c: pa.array([r[k] for r in out], pa.binary()) for k, c in enumerate(("keys", "p", "weight"), 1)}})
+
+
+def _judged(unseen: float, kinds: list[pa.DataType]):
+    """The rows of a block with ``nats`` and ``size`` in place of the text."""
+    names = ["id", "lang", "fold", "nats", "size"]
+
+    def run(block: pa.Table, found: pa.Table) -> pa.Table:
+        parts = [np.concatenate([np.zeros(0, t), *(f(x.as_py()).view(t) for x in found.column(c))]) for c, t, f in (("keys", np.uint64, lambda x: unpack(x, True)), ("p", "<f4", unpack_numbers), ("weight", "<f4", unpack_numbers))]
+        model = Found(*parts, unseen)
+        out = []
+        for raw in block.column("rows"):
+            for batch in pa.ipc.open_stream(raw.as_py()):
+                for a, b, offsets, data in slices(batch.column("text")):
+                    if len(data):
+                        grams = Grams(offsets, data)
+                        nats, size = -grams.log_likelihood(model), grams.sizes
+                    else:
+                        nats, size = np.zeros(b - a), np.zeros(b - a, np.int64)
+                    out.append(pa.table([*(batch.column(c).slice(a, b - a) for c in names[:3]), pa.array(nats), pa.array(size, pa.int64())], names))
+        give_back()
+        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (*kinds, pa.float64(), pa.int64())], names)
+
+    return run
+
+
+def surprise(docs: DataFrame, model: DataFrame, unseen: float, scratch: Scratch) -> DataFrame:
+    """For rows (id, lang, fold, text) and a table (key, p, weight): in place of the text ``nats``, its negative log-likelihood, and ``size``, its code points."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    blocks = scratch.bucketed("blocks", _blocks(docs), "block")
+    n_blocks, n_keys = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_keys"), F.lit(0))).first()
+    shards = max(partitions(docs.sparkSession), -(-model.count() // SHARD))
+    cuts = max(1, -(-n_keys // (ASKED * shards)))
+    sharded = model.withColumn("shard", F.pmod("key", F.lit(shards).cast("bigint"))).withColumn("cut", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cuts - 1).cast("bigint"))))
+    asked = _asked(blocks, shards, cuts).groupBy("shard", "cut")
+    answers = asked.cogroup(sharded.groupBy("shard", "cut")).applyInArrow(_answer, "block bigint, keys binary, p binary, weight binary")
+    fields = [docs.schema[c] for c in ("id", "lang", "fold")]
+    schema = T.StructType([*fields, T.StructField("nats", T.DoubleType()), T.StructField("size", T.LongType())])
+    run = _judged(unseen, [to_arrow_type(f.dataType) for f in fields])
+    return blocks.select("block", "rows").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", share: float = SHARE) -> DataFrame:
-    """A row per document: id, lang, perplexity, threshold, kept."""
+    """A row per document: id, lang, perplexity (by code point), threshold, kept."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "kneser")
-    picked = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    fold = F.pmod(F.xxhash64(text_col), F.lit(FOLDS)).cast("int")
+    picked = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), fold.alias("fold"), F.col(text_col).alias("text"))
     good = labels.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))).alias("good")).where("good").select("id")
     good = scratch.table("good", good)
     sent = F.broadcast(good) if good.count() <= LABEL_ROWS else good
-    counts = scratch.table("counts", gram_counts(picked.join(sent, "id", "left_semi")))
+    trusted = picked.join(sent, "id", "left_semi")
+    counts = scratch.table("counts", gram_counts(trusted.where("fold <> 0")))
+    if counts.isEmpty():  # few trusted texts, or none
+        counts = scratch.table("all-counts", gram_counts(trusted))
     if counts.isEmpty():
         return picked.select(F.col("id").alias(id_col), "lang", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), (F.length(F.coalesce("text", F.lit(""))) > 0).alias("kept"))
-    model = collected(kneser_ney(counts, scratch))
-    scored = scratch.table("scored", surprise(picked, model))
-    trusted = scored.join(sent, "id", "left_semi").where("size > 0")
-    mean = trusted.agg(F.sum("nats") / F.sum("size")).first()[0] or 0.0
-    # short texts say little: they count as if PRIOR bytes of mean trusted text went with them
+    model, unseen = kneser_ney(counts, scratch)
+    model = scratch.table("model", keyed(model))
+    scored = scratch.table("scored", surprise(picked, model, unseen, scratch))
+    for name in ("blocks", "model", *(f"{t}-{k}" for t in ("count", "p") for k in range(1, N + 1))):
+        scratch.drop(name)
+    judges = scored.join(sent, "id", "left_semi").where("size > 0")
+    mean = judges.agg(F.sum("nats") / F.sum("size")).first()[0] or 0.0
+    if not judges.where("fold = 0").isEmpty():
+        judges = judges.where("fold = 0")
+    # short texts say little: they count as if PRIOR code points of mean trusted text went with them
     steady = F.exp((F.col("nats") + F.lit(PRIOR * mean)) / (F.col("size") + PRIOR))
     cut = F.percentile_approx(steady, share, 100_000)
-    whole = trusted.agg(cut.alias("t")).first()[0]
-    by_lang = trusted.where("lang is not null").groupBy("lang").agg(cut.alias("own"))
+    whole = judges.agg(cut.alias("t")).first()[0]
+    by_lang = scratch.table("thresholds", judges.where("lang is not null").groupBy("lang").agg(cut.alias("own")))
+    by_lang = F.broadcast(by_lang) if by_lang.count() <= LANGUAGES else by_lang
     out = scored.join(by_lang, "lang", "left").withColumn("threshold", F.coalesce("own", F.lit(whole)))
     perplexity = F.when(F.col("size") > 0, F.exp(F.col("nats") / F.col("size")))
     return out.select(F.col("id").alias(id_col), "lang", perplexity.alias("perplexity"), "threshold", ((F.col("size") > 0) & F.coalesce(steady <= F.col("threshold"), F.lit(False))).alias("kept"))
