@@ -613,7 +613,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, k: int, percent: in
         least = scratch.table("least", linked.groupBy("component").agg(F.min("least").alias("component_id")))
         joined = linked.join(_small(least), "component").select("class", F.col("component_id").alias("of_links"))
         classes = classes.join(joined, "class", "left").withColumn("component_id", F.coalesce("of_links", "least"))
-    classes = classes.select("class", "component_id")
+    classes = scratch.table("classes", classes.select("class", "component_id"))  # written, so that a class with very many copies can be split in the join
     return own.join(classes, "class", "left").select("id", "key", "n_shingles", F.coalesce("component_id", "id").alias("component_id")), scratch
 
 
@@ -636,7 +636,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     found, scratch = _components(docs, id_col, text_col, k, percent)
     found = scratch.table("found", found)
-    for name in ("members", "linked", "least"):
+    for name in ("members", "classes", "linked", "least"):
         scratch.drop(name)
     its_id, its_key = unused(docs, "id"), unused(docs, "key")
 
