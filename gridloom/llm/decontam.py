@@ -1,16 +1,28 @@
 """Benchmark decontamination: short test items found inside long documents.
 
 A document leaks an item if it has at least ``percent`` per cent of the item's
-distinct word shingles (five words, A-Z lower-cased). The items' sizes are
-partitioned: an item of n shingles that must share m of them has a MinHash
-sketch of its n - m + 1 smallest hashes. Whatever n - m shingles a leaking
-document lacks, it has one of those, so the search over sketches misses no
-leak, however long the document is. Documents are then matched with whole
-items only for the pairs found, and the containment is counted exactly.
-
-DataFrame functions only: texts are split, shingled and hashed in the JVM, and
-the items' sketches are broadcast if their number is below ``BROADCAST_ROWS``,
-else joined by a shuffle.
+distinct word shingles (five words, A-Z lower-cased). The search is by MinHash
+under one hash function:
+
+1. Signatures. An item of n shingles, of which m must be shared, is signed by
+   its n - m + j smallest hashes, with j about n / 8. A document that leaks it
+   lacks at most n - m of its shingles, so it has at least j of those hashes:
+   no leak is missed, however long the document is. Bands of several hashes
+   would miss some, since the similarity of a short item and a long document
+   is next to nothing.
+2. Size partitions. Items are partitioned by size, by powers of two. All
+   signatures of a partition lie below one hash, its bound, and it needs
+   documents of some size. A document's own sketch for a partition is its
+   hashes below the bound; for a document, only the partitions that its size
+   allows count, so most of its hashes are never looked up.
+3. Candidates. Sketches and signatures are joined by hash, and the pairs that
+   share j hashes or more stay.
+4. Containment. For these pairs the shingles themselves, not their hashes, are
+   compared and counted.
+
+DataFrame functions only: texts are split and hashed in generated JVM code,
+and the items' signatures are broadcast if their number is below
+``BROADCAST_ROWS``, else joined by a shuffle.
 
 Null and empty texts have no shingles and neither leak nor are leaked. A text
 of fewer than five words has one shingle, its whole sequence. Rows that repeat
@@ -24,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.runtime import Scratch
+from gridloom.runtime import Scratch, unused
 
 #: Tables of keys and hashes up to so many rows are broadcast: 16 bytes each.
 BROADCAST_ROWS = 2_000_000
@@ -35,26 +47,34 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def with_shingles(df: DataFrame, text_col: str = "text", k: int = K) -> DataFrame:
-    """``df`` with ``shingles``: hashes of the runs of ``k`` words of the text, in order and with repeats, in place of the text."""
+def shingle_rows(df: DataFrame, text_col: str = "text", texts: bool = False) -> DataFrame:
+    """A row per run of ``K`` words of the text, in its place: ``hash`` and ``size``, the number of runs with repeats; with ``texts`` the run itself too, as ``shingle``, and ``short`` if it is all of a text of fewer words."""
     lower = F.translate(F.col(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.split(F.trim(F.coalesce(lower, F.lit("")), F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
+    keep = [F.col(c) for c in df.columns if c != text_col]
+    whole = F.size("w") >= K
+    size = F.when(whole, F.size("w") - (K - 1)).when(F.get("w", F.lit(0)) != "", 1).otherwise(0)
+    # explode_outer: for explode the optimiser would add a filter that splits every text a second time
+    rows = df.select(*keep, words.alias("w")).select("*", size.alias("size")).select("*", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.lit(0), F.col("size") - 1))).alias("at")).where("at is not null")
+    run = [F.get("w", F.col("at") + j) for j in range(K)]
+    out = [F.when(whole, F.xxhash64(*run)).otherwise(F.xxhash64(F.lit("short"), F.concat_ws(" ", "w"))).alias("hash"), "size"]
+    if texts:
+        out += [F.when(whole, F.concat_ws(" ", *run)).otherwise(F.concat_ws(" ", "w")).alias("shingle"), (~whole).alias("short")]
+    return rows.select(*keep, *out)
 
-    def hashed(w: F.Column) -> F.Column:
-        runs = F.transform(F.slice(w, 1, F.greatest(F.size(w) - (k - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get(w, i + j) for j in range(1, k))))
-        short = F.when(w[0] != "", F.array(F.xxhash64(F.lit("short"), F.concat_ws(" ", w)))).otherwise(F.array().cast("array<bigint>"))
-        return F.when(F.size(w) >= k, runs).otherwise(short)
 
-    # a list of one binds the words, so that they are split once and not at each shingle
-    return df.withColumn("shingles", F.transform(F.array(words), hashed)[0]).drop(text_col)
+def item_shingles(items: DataFrame, percent: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item, hash, shingle, short, n, need, least, part, signed): each item's distinct shingles, its size, how many must be shared, how many of its signature, its size partition, and whether the hash is in its signature."""
+    one = shingle_rows(items.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")), texts=True).drop("size").distinct()
+    sets = one.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("hash", "shingle", "short"))).alias("all"))
+    sized = sets.withColumn("n", F.size("all")).withColumn("need", F.ceil(F.col("n") * percent / 100).cast("int")).withColumn("least", F.least(F.col("need"), F.ceil(F.col("n") / 8).cast("int")))
+    sized = sized.withColumn("part", F.floor(F.log2("n")).cast("int"))
+    return sized.select("item", "n", "need", "least", "part", F.posexplode("all").alias("at", "s")).select("item", "s.*", "n", "need", "least", "part", (F.col("at") < F.col("n") - F.col("need") + F.col("least")).alias("signed"))
 
 
-def item_shingles(items: DataFrame, percent: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item, hash, n, need, sketched): each item's distinct shingles, its size, how many must be shared, and whether the hash is in the item's sketch."""
-    one = with_shingles(items.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")))
-    sets = one.groupBy("item").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("shingles")))).alias("all"))
-    sized = sets.withColumn("n", F.size("all")).withColumn("need", F.ceil(F.col("n") * percent / 100).cast("int"))
-    return sized.select("item", "n", "need", F.posexplode("all").alias("at", "hash")).select("item", "hash", "n", "need", (F.col("at") <= F.col("n") - F.col("need")).alias("sketched"))
+def partition_bounds(shingled: DataFrame) -> list[tuple[int, int, int]]:
+    """(partition, least size of a document, largest hash of a signature) of the items' partitions: one for each power of two."""
+    return [tuple(r) for r in shingled.where("signed").groupBy("part").agg(F.min("need"), F.max("hash")).orderBy("part").collect()]
 
 
 def leaks(docs: DataFrame, items: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -64,27 +84,34 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = 75, id_col: str = "d
     shingled = scratch.table("items", item_shingles(items, percent, item_col, item_text_col))
     n_items = shingled.count()
     picked = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("doc_key"), F.col(text_col).alias("text"))
-    sketches = _small(shingled.where("sketched").select("hash", "item", "need"), n_items)
-    # explode_outer: for explode the optimiser would add a filter that shingles every text a second time
-    # candidates: the document has a shingle of the item's sketch and is large enough
-    own = with_shingles(picked.select("doc_key", "text")).select("doc_key", F.size("shingles").alias("size"), F.explode_outer("shingles").alias("hash"))
-    pairs = scratch.table("pairs", own.join(sketches, "hash").where("size >= need").select("doc_key", "item").distinct())
+    # the sketch of a document: hashes below the largest bound among the partitions that its size allows
+    bounds, bound = partition_bounds(shingled), F.lit(None).cast("bigint")
+    for size in sorted({b[1] for b in bounds}):
+        bound = F.when(F.col("size") >= size, max(b[2] for b in bounds if b[1] <= size)).otherwise(bound)
+    sketches = shingle_rows(picked.select("doc_key", "text")).where(F.col("hash") <= bound)
+    signatures = _small(shingled.where("signed").select("hash", "item", "need", "least"), n_items)
+    met = sketches.join(signatures, "hash").where("size >= need").select("doc_key", "item", "least", "hash").distinct()
+    pairs = scratch.table("pairs", met.groupBy("doc_key", "item", "least").agg(F.count(F.lit(1)).alias("met")).where("met >= least").select("doc_key", "item"))
     n_pairs = pairs.count()
     # exact containment, for the candidates alone
     keys = _small(pairs.select("doc_key").distinct(), n_pairs)
-    again = with_shingles(picked.join(keys, "doc_key", "left_semi")).select("doc", "doc_key", F.explode_outer("shingles").alias("hash"))
-    hits = again.join(_small(shingled.select("hash", "item", "n", "need"), n_items), "hash")
+    again = shingle_rows(picked.join(keys, "doc_key", "left_semi"), texts=True).select("doc", "doc_key", "hash", "shingle", "short")
+    hits = again.join(_small(shingled.select("hash", "shingle", "short", "item", "n", "need"), n_items), ["hash", "shingle", "short"])
     wanted = _small(pairs, n_pairs).withColumnsRenamed({"doc_key": "pair_key", "item": "pair_item"})
     hits = hits.join(wanted, (F.col("doc_key") == F.col("pair_key")) & F.col("item").eqNullSafe(F.col("pair_item")), "left_semi")
-    counted = hits.groupBy("doc", "doc_key", "item", "n", "need", "hash").agg(F.lit(1).alias("one")).groupBy("doc", "doc_key", "item", "n", "need").agg(F.count(F.lit(1)).alias("n_shared")).where("n_shared >= need")
+    by = ["doc", "doc_key", "item", "n", "need"]
+    counted = hits.select(*by, "hash", "shingle").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("n_shared")).where("n_shared >= need")
     return counted.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), F.col("n").cast("bigint").alias("n_item"), "n_shared", (F.col("n_shared") / F.col("n")).alias("containment"), "doc_key")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents that leak no item, with all their columns."""
     scratch = Scratch(docs.sparkSession, "leaks")
-    found = scratch.table("keys", leaks(docs, items, percent, id_col, text_col, item_col, item_text_col).select(F.col("doc_key").alias("_leak")).distinct())
-    return docs.join(_small(found, found.count()), F.xxhash64(docs[id_col], docs[text_col]) == F.col("_leak"), "left_anti")
+    its_id, its_key = unused(docs, "id"), unused(docs, "key")
+    found = leaks(docs, items, percent, id_col, text_col, item_col, item_text_col).select(F.col(id_col).alias(its_id), F.col("doc_key").alias(its_key)).distinct()
+    found = scratch.table("keys", found)
+    same = (F.xxhash64(docs[id_col], docs[text_col]) == F.col(its_key)) & docs[id_col].eqNullSafe(F.col(its_id))
+    return docs.join(_small(found, found.count()), same, "left_anti")
 
 
 SQL = r"""

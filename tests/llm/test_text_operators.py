@@ -100,6 +100,34 @@ def test_leaks(spark, odd, docs, agree):
     assert "Python" not in got._jdf.queryExecution().toString() and "Arrow" not in got._jdf.queryExecution().toString()
 
 
+def test_signatures_miss_no_leak(spark):
+    """Documents that have just the least share of an item's shingles, any of them, meet the least number of its signature below the bounds."""
+    rng = random.Random(9)
+    items = [(i, " ".join(f"w{i}x{rng.randrange(9)}y{j}" for j in range(rng.choice([1, 4, 5, 8, 9, 12, 30, 80, 300])))) for i in range(40)]
+    shingled = decontam.item_shingles(spark.createDataFrame(items, "item_id int, text string"), 75).collect()
+    bounds = {p: (least, bound) for p, least, bound in decontam.partition_bounds(spark.createDataFrame(shingled))}
+    by = defaultdict(list)
+    for r in shingled:
+        by[r.item].append(r)
+    for rows in by.values():
+        r = rows[0]
+        signed = sorted(x.hash for x in rows if x.signed)
+        assert len(rows) == r.n and r.need == -(-75 * r.n // 100) and signed == sorted(x.hash for x in rows)[: len(signed)]
+        assert bounds[r.part][0] <= r.need and bounds[r.part][1] >= signed[-1] and 2**r.part <= r.n < 2 ** (r.part + 1)
+        for _ in range(20):
+            kept = rng.sample([x.hash for x in rows], r.need)
+            assert len(set(kept) & set(signed)) >= r.least >= 1
+    docs = [(i, "a b c d e f " + " ".join(t.split()[: -(-len(t.split()) * 9 // 10)]) + " g h i j k") for i, t in items]
+    df, bench = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
+    assert sorted((r.doc_id, r.item_id, r.n_item, r.n_shared) for r in decontam.leaks(df, bench).collect()) == sorted((d, i, n, s) for d, _, i, n, s in brute_leaks(docs, items))
+
+
+def test_without_leaks_with_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text, 1, 2, 3), (2, "other text", 1, 2, 3)], "doc_id int, text string, id int, key int, _leak int")
+    assert [tuple(r) for r in decontam.without_leaks(docs, spark.createDataFrame([(1, text)], "item_id int, text string")).collect()] == [(2, "other text", 1, 2, 3)]
+
+
 def test_leaks_without_broadcast(spark, docs, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     want = rows_of(decontam.leaks(docs, bench))
