@@ -38,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,7 +46,7 @@ from pyspark.sql import types as T
 from gridloom.llm.bpe import pack_numbers, unpack_numbers
 from gridloom.llm.jaccard import pack, unpack
 from gridloom.llm.textkern import mix, slices
-from gridloom.runtime import Scratch, give_back, partitions, ship
+from gridloom.runtime import Scratch, give_back, partitions, release, ship
 
 N = 5
 EDGE = 0xFFFF
@@ -61,12 +62,15 @@ LABEL_ROWS = 5_000_000
 LANGUAGES = 100_000
 #: Text bytes of a block: what one task holds at a time.
 BLOCK = 16 << 20
+#: Text bytes that a kernel works on.
+SLICE = 1 << 20
 #: N-grams of the model, and n-grams of blocks, that a task holds.
 SHARD, ASKED = 500_000, 4_000_000
 #: Codes of n-grams up to so many are renumbered through a table, more by sorting.
 DIRECT = 1 << 23
 U = np.uint64
-_SEED = U(0x9E3779B97F4A7C15)
+#: The key of the n-gram of no unit.
+FIRST = np.array([0x9E3779B97F4A7C], np.uint64)
 _STEP = U(0xD6E8FEB86659FD93)
 
 
@@ -74,19 +78,19 @@ _STEP = U(0xD6E8FEB86659FD93)
 
 
 def next_key(key: np.ndarray, point: np.ndarray) -> np.ndarray:
-    """Keys of n-grams made longer by one code point."""
-    return mix(key * _STEP + point.astype(np.uint64) + U(1))
+    """Keys of n-grams made longer by one code point: 56 bits of a hash."""
+    return mix(key * _STEP + point.astype(np.uint64) + U(1)) >> U(8)
 
 
 def _renumbered(code: np.ndarray, room: int) -> tuple[np.ndarray, int]:
     """Numbers from 0 on for the codes, all below ``room``, in ascending order; and how many there are."""
     if room > DIRECT:
         known, out = np.unique(code, return_inverse=True)
-        return out.astype(np.int64), len(known)
+        return out.astype(np.int32), len(known)
     there = np.zeros(room, bool)
     there[code] = True
     number = np.cumsum(there, dtype=np.int32) - 1
-    return number[code].astype(np.int64), int(number[-1]) + 1 if room else 0
+    return number[code], int(number[-1]) + 1 if room else 0
 
 
 class Grams:
@@ -104,14 +108,14 @@ class Grams:
         #: For each length: the number of the n-gram that ends at each place, and for each number a place.
         self.ids: list[np.ndarray] = []
         self.at: list[np.ndarray] = []
-        self.keys = [mix(np.array([_SEED]))]
+        self.keys = [FIRST]
         symbol, n = _renumbered(self.points, 0x110000)
         for k in range(1, N + 1):
             if k == 1:
                 ids, count = symbol, n
             else:
-                code = symbol.copy()
-                code[1:] += self.ids[-1][:-1] * n
+                code = symbol.astype(np.int64)
+                code[1:] += self.ids[-1][:-1].astype(np.int64) * n
                 ids, count = _renumbered(code, len(self.at[-1]) * n)
             at = np.zeros(count, np.int64)
             at[ids] = np.arange(len(ids))
@@ -132,36 +136,35 @@ class Grams:
     def log_likelihood(self, model: Found) -> np.ndarray:
         """Of each text."""
         p = model.unseen
+        weight = model.weights(model.places(self.keys[0]))
         for k in range(1, N + 1):
             before = np.maximum(self.at[k - 1] - 1, 0)
-            weight = model.weight(self.keys[k - 1])
             context = weight[self.ids[k - 2][before]] if k > 1 else weight[0]
             shorter = p[self.ids[k - 2][self.at[k - 1]]] if k > 1 else p
-            own = model.probability(self.keys[k])
+            places = model.places(self.keys[k])
+            own = model.p[places]
             p = np.where(np.isnan(own), context * shorter, own)
+            weight = model.weights(places)
         total = np.concatenate(([0.0], np.cumsum(np.log(p)[self.ids[-1][self.live]])))
         return np.diff(total[np.concatenate(([0], np.cumsum(self.sizes)))])
 
 
 class Found:
-    """What the model has of some n-grams: their probabilities, and their weights as contexts."""
+    """What the model has of some n-grams, with ascending keys: their probabilities, and their weights as contexts."""
 
     def __init__(self, keys: np.ndarray, p: np.ndarray, weight: np.ndarray, unseen: float):
-        order = np.argsort(keys)
-        self.keys, self.p, self.w, self.unseen = keys[order], p[order].astype(np.float64), weight[order].astype(np.float64), unseen
+        self.keys, self.unseen = keys, unseen
+        self.p, self.w = (np.append(x, np.nan).astype(np.float64) for x in (p, weight))  # the last: not found
 
-    def _values(self, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    def places(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
-            return np.full(len(keys), np.nan)
+            return np.zeros(len(keys), np.int64)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, values[at], np.nan)
+        return np.where(self.keys[at] == keys, at, len(self.keys))
 
-    def probability(self, keys: np.ndarray) -> np.ndarray:
-        return self._values(keys, self.p)
-
-    def weight(self, keys: np.ndarray) -> np.ndarray:
+    def weights(self, places: np.ndarray) -> np.ndarray:
         """1 for a context that was not seen: it leaves all to the shorter one."""
-        w = self._values(keys, self.w)
+        w = self.w[places]
         return np.where(np.isnan(w), 1.0, w)
 
 
@@ -173,7 +176,7 @@ def gram_counts(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, offsets, data in slices(batch.column(0)):
+            for _, _, offsets, data in slices(batch.column(0), SLICE):
                 if len(data):
                     gram, n = Grams(offsets, data).counted()
                     yield pa.RecordBatch.from_arrays([pa.array(gram, pa.string()), pa.array(n, pa.int64())], ["gram", "n"])
@@ -223,7 +226,7 @@ def keyed(model: DataFrame) -> DataFrame:
             grams = batch.column("gram").to_pylist()
             size = np.array([len(g) for g in grams], np.int64)
             points = np.array(grams, f"<U{N}").view(np.uint32).reshape(len(grams), N)
-            key = np.repeat(mix(np.array([_SEED])), len(grams))
+            key = np.repeat(FIRST, len(grams))
             for k in range(N):
                 key = np.where(size > k, next_key(key, points[:, k]), key)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("p"), batch.column("weight")], ["key", "p", "weight"])
@@ -236,7 +239,7 @@ def keyed(model: DataFrame) -> DataFrame:
 
 def _ipc(batches: list[pa.RecordBatch]) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, batches[0].schema) as w:
         for b in batches:
             w.write_batch(b)
     return sink.getvalue().to_pybytes()
@@ -253,11 +256,11 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
         def block() -> pa.RecordBatch:
             known = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
-            row = [(part << 32) + number, len(known), _ipc(held), pack(known, True)]
+            row = [(part << 32) + number, len(known), zstandard.ZstdCompressor(level=3).compress(_ipc(held)), pack(known, True)]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["block", "n_keys", "rows", "keys"])
 
         for batch in batches:
-            for a, b, offsets, data in slices(batch.column("text")):
+            for a, b, offsets, data in slices(batch.column("text"), SLICE):
                 held.append(batch.slice(a, b - a))
                 size += len(data)
                 if len(data):
@@ -274,6 +277,13 @@ def _blocks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "block bigint, n_keys bigint, rows binary, keys binary")
 
 
+def _by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of ascending keys by shard, ascending within it; and the bounds of the shards."""
+    shard = keys.view(np.int64) % shards
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+
 def _asked(blocks: DataFrame, shards: int, cuts: int) -> DataFrame:
     """The keys of each block by shard; ``cut`` parts the blocks that ask one shard."""
 
@@ -281,9 +291,7 @@ def _asked(blocks: DataFrame, shards: int, cuts: int) -> DataFrame:
         for batch in batches:
             for block, raw in zip(batch.column("block").to_pylist(), batch.column("keys"), strict=True):
                 key = unpack(raw.as_py(), True)
-                shard = key.view(np.int64) % shards
-                order = np.argsort(shard, kind="stable")  # ascending keys within a shard
-                edge = np.searchsorted(shard[order], np.arange(shards + 1))
+                order, edge = _by_shard(key, shards)
                 full = np.flatnonzero(np.diff(edge))
                 cut = int(mix(np.array([block], np.uint64))[0] % U(cuts))
                 own = [pack(key[order[edge[s] : edge[s + 1]]], True) for s in full]
@@ -292,34 +300,55 @@ def _asked(blocks: DataFrame, shards: int, cuts: int) -> DataFrame:
     return blocks.select("block", "keys").mapInArrow(run, "shard bigint, cut bigint, block bigint, keys binary")
 
 
+def pack_floats(x: np.ndarray) -> bytes:
+    """The three upper bytes of each 32-bit float, rounded: a relative error of 1 in 65 536 at most."""
+    return pack_numbers((x.astype("<f4").view("<u4") + np.uint32(128)) >> np.uint32(8))
+
+
+def unpack_floats(raw: bytes) -> np.ndarray:
+    return (unpack_numbers(raw) << np.uint32(8)).view("<f4")
+
+
 def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
-    """The n-grams of each block that the shard has: their keys, probabilities and weights."""
+    """Which of the n-grams that each block asked for the shard has (a bit each), and their probabilities and weights."""
     out = []
     key = model.column("key").to_numpy().view(np.uint64)
     order = np.argsort(key)
     key = key[order]
-    values = [model.column(c).to_numpy().astype(np.float32)[order] for c in ("p", "weight")]
-    for block, raw in zip(asked.column("block").to_pylist(), asked.column("keys"), strict=True):
+    values = [model.column(c).to_numpy()[order] for c in ("p", "weight")]
+    for shard, block, raw in zip(asked.column("shard").to_pylist(), asked.column("block").to_pylist(), asked.column("keys"), strict=True):
         want = unpack(raw.as_py(), True)
         at = np.minimum(np.searchsorted(key, want), max(len(key) - 1, 0))
-        hit = np.flatnonzero(key[at] == want) if len(key) else np.zeros(0, np.int64)
-        if len(hit):
-            out.append((block, pack(want[hit], True), *(pack_numbers(v[at[hit]].view("<u4")) for v in values)))
+        hit = key[at] == want if len(key) else np.zeros(len(want), bool)
+        if hit.any():
+            out.append((block, shard, np.packbits(hit).tobytes(), *(pack_floats(v[at[hit]]) for v in values)))
     give_back()
-    return pa.table({"block": pa.array([r[0] for r in out], pa.int64()), **{c: pa.array([r[k] for r in out], pa.binary()) for k, c in enumerate(("keys", "p", "weight"), 1)}})
+    columns = zip(("block", "shard", "hit", "p", "weight"), (pa.int64(), pa.int64(), *[pa.binary()] * 3), strict=True)
+    return pa.table({c: pa.array([r[k] for r in out], t) for k, (c, t) in enumerate(columns)})
+
 
+def _found(keys: np.ndarray, answers: pa.Table, shards: int, unseen: float) -> Found:
+    """The answers to a block that asked for ``keys``."""
+    order, edge = _by_shard(keys, shards)
+    p, weight, there = np.zeros(len(keys)), np.zeros(len(keys)), np.zeros(len(keys), bool)
+    for shard, hit, a, b in zip(answers.column("shard").to_pylist(), *(answers.column(c) for c in ("hit", "p", "weight")), strict=True):
+        own = order[edge[shard] : edge[shard + 1]]
+        own = own[np.unpackbits(np.frombuffer(hit.as_py(), np.uint8), count=len(own)).astype(bool)]
+        there[own] = True
+        p[own], weight[own] = unpack_floats(a.as_py()), unpack_floats(b.as_py())
+    return Found(keys[there], p[there], weight[there], unseen)
 
-def _judged(unseen: float, kinds: list[pa.DataType]):
+
+def _judged(unseen: float, shards: int, kinds: list[pa.DataType]):
     """The rows of a block with ``nats`` and ``size`` in place of the text."""
     names = ["id", "lang", "fold", "nats", "size"]
 
-    def run(block: pa.Table, found: pa.Table) -> pa.Table:
-        parts = [np.concatenate([np.zeros(0, t), *(f(x.as_py()).view(t) for x in found.column(c))]) for c, t, f in (("keys", np.uint64, lambda x: unpack(x, True)), ("p", "<f4", unpack_numbers), ("weight", "<f4", unpack_numbers))]
-        model = Found(*parts, unseen)
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
-        for raw in block.column("rows"):
-            for batch in pa.ipc.open_stream(raw.as_py()):
-                for a, b, offsets, data in slices(batch.column("text")):
+        for rows, keys in zip(block.column("rows"), block.column("keys"), strict=True):  # one
+            model = _found(unpack(keys.as_py(), True), answers, shards, unseen)
+            for batch in pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(rows.as_py())):
+                for a, b, offsets, data in slices(batch.column("text"), SLICE):
                     if len(data):
                         grams = Grams(offsets, data)
                         nats, size = -grams.log_likelihood(model), grams.sizes
@@ -342,11 +371,11 @@ def surprise(docs: DataFrame, model: DataFrame, unseen: float, scratch: Scratch)
     cuts = max(1, -(-n_keys // (ASKED * shards)))
     sharded = model.withColumn("shard", F.pmod("key", F.lit(shards).cast("bigint"))).withColumn("cut", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cuts - 1).cast("bigint"))))
     asked = _asked(blocks, shards, cuts).groupBy("shard", "cut")
-    answers = asked.cogroup(sharded.groupBy("shard", "cut")).applyInArrow(_answer, "block bigint, keys binary, p binary, weight binary")
+    answers = asked.cogroup(sharded.groupBy("shard", "cut")).applyInArrow(_answer, "block bigint, shard bigint, hit binary, p binary, weight binary")
     fields = [docs.schema[c] for c in ("id", "lang", "fold")]
     schema = T.StructType([*fields, T.StructField("nats", T.DoubleType()), T.StructField("size", T.LongType())])
-    run = _judged(unseen, [to_arrow_type(f.dataType) for f in fields])
-    return blocks.select("block", "rows").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    run = _judged(unseen, shards, [to_arrow_type(f.dataType) for f in fields])
+    return blocks.select("block", "rows", "keys").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", share: float = SHARE) -> DataFrame:
@@ -367,8 +396,11 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return picked.select(F.col("id").alias(id_col), "lang", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), (F.length(F.coalesce("text", F.lit(""))) > 0).alias("kept"))
     model, unseen = kneser_ney(counts, scratch)
     model = scratch.table("model", keyed(model))
+    for name in ("counts", "all-counts", *(f"{t}-{k}" for t in ("count", "p") for k in range(1, N + 1))):
+        scratch.drop(name)
+    release(spark)
     scored = scratch.table("scored", surprise(picked, model, unseen, scratch))
-    for name in ("blocks", "model", *(f"{t}-{k}" for t in ("count", "p") for k in range(1, N + 1))):
+    for name in ("blocks", "model"):
         scratch.drop(name)
     judges = scored.join(sent, "id", "left_semi").where("size > 0")
     mean = judges.agg(F.sum("nats") / F.sum("size")).first()[0] or 0.0
