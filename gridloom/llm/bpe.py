@@ -4,7 +4,7 @@
 each of its distinct words once, in hash shards; a shard gathers the words of
 all blocks, encodes each distinct word once and sends its ids back to the
 blocks that hold it, which join them to the words' positions. ``decode`` joins
-ids with the pieces of the vocabulary, whose size the tokenizer file fixes.
+the distinct ids of each part of the rows with the pieces of the vocabulary.
 
 Only tokenizers whose words do not depend on their surroundings can be used
 this way: byte-level BPE with the usual split pattern and no normaliser, as
@@ -23,10 +23,11 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ from gridloom.runtime import Scratch, give_back, partitions, ship
 
 #: Text bytes of a block: what one task holds at a time.
 BLOCK = 12 << 20
+#: Ids that are decoded at a time.
+PART = 1_000_000
 #: Words, over all blocks, that a shard is made for.
 SHARD_WORDS = 1_000_000
 #: Words that a worker keeps with their ids; more only cost encoding them again.
@@ -329,36 +332,95 @@ def pieces(tokenizer: str) -> list[bytes]:
     return out
 
 
-_PIECES: dict[str, list[bytes]] = {}
+def _groups(ids: DataFrame, ids_col: str) -> DataFrame:
+    """(part, n, rows, id): rows of ``ids`` in parts of about ``PART`` ids, each a row with the packed rows and the number of distinct ids, and a row for each of these."""
+    place = ids.columns.index(ids_col)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = 0
+        for batch in batches:
+            ends = np.cumsum(pc.list_value_length(batch.column(place)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            a = 0
+            while a < batch.num_rows:
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PART, "right")))
+                own = batch.slice(a, b - a)
+                known = own.column(place).flatten().unique().drop_null().cast(pa.int64())
+                n = len(known) + 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part] * n, pa.int64()), pa.array([len(known)] + [None] * (n - 1), pa.int64()), pa.array([_packed(own)] + [None] * (n - 1), pa.binary()), pa.concat_arrays([pa.nulls(1, pa.int64()), known])],
+                    ["part", "n", "rows", "id"],
+                )
+                a, part = b, part + 1
 
-def piece_table(path: str) -> list[bytes]:
-    if path not in _PIECES:
-        _PIECES[path] = pieces(path)
-    return _PIECES[path]
+    return ids.mapInArrow(run, "part bigint, n bigint, rows binary, id bigint")
+
+
+def _packed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as w:
+        w.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
-def decode_ids(ids: Iterable[int], table: list[bytes]) -> str:
-    """Text of some ids; ids outside the vocabulary give nothing."""
-    n = len(table)
-    try:
-        return b"".join([table[i] for i in ids]).decode("utf-8", "replace")
-    except IndexError:
-        return b"".join(table[i] for i in ids if 0 <= i < n).decode("utf-8", "replace")
+def _texts(lists: pa.Array, ids: np.ndarray, pieces: pa.Array) -> pa.Array:
+    """The texts of lists of ids, from the pieces of the distinct ones."""
+    order = np.argsort(ids)
+    sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+    value = lists.flatten()
+    if value.null_count:  # an id of null has no piece
+        value = value.fill_null(-1)
+        ids, pieces = np.append(ids[order], -1), pa.concat_arrays([pieces.take(pa.array(order)), pa.array([b""], pieces.type)])
+        order = np.argsort(ids)
+    value = value.to_numpy(zero_copy_only=False).astype(np.int64)
+    bytes_of = pieces.take(pa.array(order[np.searchsorted(ids[order], value)])) if len(value) else pa.array([], pieces.type)
+    _, offsets, data = bytes_of.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[: len(value) + 1] if len(value) else np.zeros(1, np.int64)
+    cut = offsets[np.concatenate(([0], np.cumsum(sizes)))].tolist()
+    raw = memoryview(data) if data is not None else memoryview(b"")
+    return pa.array([str(raw[x:y], "utf-8", "replace") if ok else None for x, y, ok in zip(cut[:-1], cut[1:], lists.is_valid().to_pylist(), strict=True)], pa.string())
 
 
 def decode(ids: DataFrame, tokenizer: str, ids_col: str = "token_ids", out_col: str = "text") -> DataFrame:
-    """``ids`` with the text of ``ids_col`` in ``out_col``: each id joined to its piece, special tokens too. Null lists give null."""
-    ship(ids.sparkSession)
+    """``ids`` with the text of ``ids_col`` in ``out_col``, special tokens too. Null lists give null; ids that are null or outside the vocabulary give nothing.
 
-    @F.arrow_udf("string")
-    def text(column: pa.Array) -> pa.Array:
-        table = piece_table(tokenizer)
-        out = pa.array([None if x is None else decode_ids(x, table) for x in _lists(column)], pa.string())
+    Each distinct id of a part of the rows is joined to its piece; the
+    vocabulary, whose size the tokenizer file fixes, is broadcast, so rows
+    stay in their partition.
+    """
+    spark = ids.sparkSession
+    ship(spark)
+    place = ids.columns.index(ids_col)
+    vocabulary = pieces(tokenizer)
+    table = spark.createDataFrame(pa.table({"piece_id": pa.array(range(len(vocabulary)), pa.int64()), "piece": pa.array(vocabulary, pa.binary())}))
+    joined = _groups(ids, ids_col).join(F.broadcast(table), F.col("id") == F.col("piece_id"), "left").select("part", "n", "rows", "id", "piece")
+    schema = T.StructType([*(f for f in ids.schema if f.name != out_col), T.StructField(out_col, T.StringType())])
+    keep = [i for i, c in enumerate(ids.columns) if c != out_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[int, list] = {}  # by part: packed rows, distinct ids to come, what came
+        for batch in batches:
+            part = batch.column("part").to_numpy()
+            for own in np.split(np.arange(len(part)), np.flatnonzero(np.diff(part)) + 1):
+                if not len(own):
+                    continue
+                here = batch.slice(int(own[0]), len(own))
+                held = waiting.setdefault(int(part[own[0]]), [None, -1, []])
+                head = here.filter(pc.is_valid(here.column("rows")))
+                if head.num_rows:
+                    held[:2] = head.column("rows")[0].as_py(), head.column("n")[0].as_py()
+                here = here.filter(pc.is_valid(here.column("id")))
+                held[2].append((here.column("id").to_numpy(), here.column("piece").cast(pa.large_binary()).fill_null(b"")))
+                if sum(len(x) for x, _ in held[2]) != held[1]:
+                    continue
+                del waiting[int(part[own[0]])]
+                known = np.concatenate([x for x, _ in held[2]])
+                piece = pa.concat_arrays([y for _, y in held[2]])
+                for rows in pa.ipc.open_stream(held[0]):
+                    text = _texts(rows.column(place), known, piece)
+                    yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in keep), text], schema.names)
         give_back()
-        return out
 
-    return ids.withColumn(out_col, text(ids_col))
+    return joined.mapInArrow(run, schema)
 
 
 def _lists(column: pa.Array) -> Iterator[list[int] | None]:
