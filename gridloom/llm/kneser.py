@@ -1,8 +1,9 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-The units are code points as they are, the n-grams ``N`` long. Counts, the
+The units are code points as they are, the n-grams five long. Counts, the
 tables made from them and the joins that score texts are all sharded by
-n-gram; none is gathered in one place, and all grow with the text.
+n-gram (see ``charlm``); none is gathered in one place, and all grow with the
+text.
 
 1. Counts. Each task counts the n-grams of its own trusted text; the counts
    are summed by n-gram over shuffle shards.
@@ -10,11 +11,8 @@ n-gram; none is gathered in one place, and all grow with the text.
    counts for the longest, continuation counts for the others, the three
    discounts of Chen and Goodman from the counts of counts) and each context
    the weight that it leaves to shorter ones.
-3. Scores. Documents go into blocks. A block sends each of its distinct
-   n-grams, of all lengths, once to the n-gram's shard, which joins them with
-   the model; what is found goes back to the block, where each document gets
-   the sum over its n-grams and so its perplexity. Shards are also cut by
-   block, so that a task never holds more than a bounded part of one.
+3. Scores. Blocks of documents join their distinct n-grams with the model,
+   and each document gets the sum over its n-grams and so its perplexity.
 
 Trusted are the documents that the labels call good and not toxic; a label of
 null does not count, and a document with several labels needs all of them. The
@@ -27,29 +25,19 @@ Null and empty texts have no perplexity and are not kept. A language without
 held-out documents, and a null one, gets the quantile of all held-out ones;
 without any, that of the training documents. Without trusted documents nothing
 can be judged and every text with characters is kept. Short texts are judged
-with some mean trusted text added. U+FFFF counts as the edge of a text, U+0000
-as U+FFFD. Repeated rows stay rows. Empty tables give empty results. Only id,
+with some mean trusted text added. Repeated rows stay rows. Empty tables give empty results. Only id,
 text, language and label columns are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from gridloom.llm.bpe import pack_numbers, unpack_numbers
-from gridloom.llm.jaccard import pack, unpack
-from gridloom.llm.textkern import mix, slices
-from gridloom.runtime import Scratch, give_back, partitions, release, ship
+from gridloom.llm.charlm import N, Found, Grams, gram_counts, keyed, scored, shorter_counts
+from gridloom.runtime import Scratch, release, ship
 
-N = 5
-EDGE = 0xFFFF
 #: The quantile of the held-out trusted documents of a language beyond which a text is not kept.
 SHARE = 0.99
 #: One in so many trusted documents is held out.
@@ -60,136 +48,13 @@ PRIOR = 100
 LABEL_ROWS = 5_000_000
 #: Languages up to so many are sent to all tasks with their thresholds.
 LANGUAGES = 100_000
-#: Text bytes of a block: what one task holds at a time.
-BLOCK = 16 << 20
-#: Text bytes that a kernel works on.
-SLICE = 1 << 20
-#: N-grams of the model, and n-grams of blocks, that a task holds.
-SHARD, ASKED = 500_000, 4_000_000
-#: Codes of n-grams up to so many are renumbered through a table, more by sorting.
-DIRECT = 1 << 23
-U = np.uint64
-#: The key of the n-gram of no unit.
-FIRST = np.array([0x9E3779B97F4A7C], np.uint64)
-_STEP = U(0xD6E8FEB86659FD93)
-
-
-# ---- n-grams of a slice -----------------------------------------------------
-
-
-def next_key(key: np.ndarray, point: np.ndarray) -> np.ndarray:
-    """Keys of n-grams made longer by one code point: 56 bits of a hash."""
-    return mix(key * _STEP + point.astype(np.uint64) + U(1)) >> U(8)
-
-
-def _renumbered(code: np.ndarray, room: int) -> tuple[np.ndarray, int]:
-    """Numbers from 0 on for the codes, all below ``room``, in ascending order; and how many there are."""
-    if room > DIRECT:
-        known, out = np.unique(code, return_inverse=True)
-        return out.astype(np.int32), len(known)
-    there = np.zeros(room, bool)
-    there[code] = True
-    number = np.cumsum(there, dtype=np.int32) - 1
-    return number[code], int(number[-1]) + 1 if room else 0
-
-
-class Grams:
-    """The distinct n-grams, of 1 to N code points, of a slice of texts; texts begin with edges."""
-
-    def __init__(self, offsets: np.ndarray, data: np.ndarray):
-        rows = len(offsets) - 1
-        first = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]  # in code points
-        self.sizes = np.diff(first)
-        #: The code points with N - 1 edges before each text, and where those of texts are.
-        self.points = np.full(int(first[-1]) + rows * (N - 1), EDGE, np.uint32)
-        self.live = np.arange(first[-1]) + np.repeat(np.arange(1, rows + 1) * (N - 1), self.sizes)
-        own = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
-        self.points[self.live] = np.where(own == 0, 0xFFFD, own)
-        #: For each length: the number of the n-gram that ends at each place, and for each number a place.
-        self.ids: list[np.ndarray] = []
-        self.at: list[np.ndarray] = []
-        self.keys = [FIRST]
-        symbol, n = _renumbered(self.points, 0x110000)
-        for k in range(1, N + 1):
-            if k == 1:
-                ids, count = symbol, n
-            else:
-                code = symbol.astype(np.int64)
-                code[1:] += self.ids[-1][:-1].astype(np.int64) * n
-                ids, count = _renumbered(code, len(self.at[-1]) * n)
-            at = np.zeros(count, np.int64)
-            at[ids] = np.arange(len(ids))
-            before = self.keys[-1][self.ids[-1][np.maximum(at - 1, 0)]] if k > 1 else self.keys[0]
-            self.keys.append(next_key(before, self.points[at]))
-            self.ids.append(ids)
-            self.at.append(at)
-
-    def counted(self) -> tuple[np.ndarray, np.ndarray]:
-        """The longest n-grams that end in a text, as strings, and how often."""
-        n = np.bincount(self.ids[-1][self.live], minlength=len(self.at[-1]))
-        full = np.flatnonzero(n)
-        places = self.at[-1][full]
-        places = np.where(places < N - 1, N - 1, places)  # cannot be: N - 1 edges begin the slice
-        window = self.points[places[:, None] + np.arange(1 - N, 1)]
-        return np.ascontiguousarray(window).view(f"<U{N}").ravel(), n[full]
-
-    def log_likelihood(self, model: Found) -> np.ndarray:
-        """Of each text."""
-        p = model.unseen
-        weight = model.weights(model.places(self.keys[0]))
-        for k in range(1, N + 1):
-            before = np.maximum(self.at[k - 1] - 1, 0)
-            context = weight[self.ids[k - 2][before]] if k > 1 else weight[0]
-            shorter = p[self.ids[k - 2][self.at[k - 1]]] if k > 1 else p
-            places = model.places(self.keys[k])
-            own = model.p[places]
-            p = np.where(np.isnan(own), context * shorter, own)
-            weight = model.weights(places)
-        total = np.concatenate(([0.0], np.cumsum(np.log(p)[self.ids[-1][self.live]])))
-        return np.diff(total[np.concatenate(([0], np.cumsum(self.sizes)))])
-
-
-class Found:
-    """What the model has of some n-grams, with ascending keys: their probabilities, and their weights as contexts."""
-
-    def __init__(self, keys: np.ndarray, p: np.ndarray, weight: np.ndarray, unseen: float):
-        self.keys, self.unseen = keys, unseen
-        self.p, self.w = (np.append(x, np.nan).astype(np.float64) for x in (p, weight))  # the last: not found
-
-    def places(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, at, len(self.keys))
-
-    def weights(self, places: np.ndarray) -> np.ndarray:
-        """1 for a context that was not seen: it leaves all to the shorter one."""
-        w = self.w[places]
-        return np.where(np.isnan(w), 1.0, w)
-
-
-# ---- counts and model -------------------------------------------------------
-
-
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """(gram, n) of all n-grams of length N of a column ``text``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, offsets, data in slices(batch.column(0), SLICE):
-                if len(data):
-                    gram, n = Grams(offsets, data).counted()
-                    yield pa.RecordBatch.from_arrays([pa.array(gram, pa.string()), pa.array(n, pa.int64())], ["gram", "n"])
-        give_back()
-
-    return texts.select("text").mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def kneser_ney(counts: DataFrame, scratch: Scratch) -> tuple[DataFrame, float]:
     """A table (gram, p, weight) of n-grams of all lengths: the interpolated probability of the n-gram's last unit after the others, and the weight that the n-gram, as a context, leaves to shorter ones; and the probability that an unseen unit has by itself before any weight."""
     levels = {N: counts}
     for k in range(N - 1, 0, -1):  # continuation counts: how many units come before
-        levels[k] = scratch.table(f"count-{k}", levels[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+        levels[k] = scratch.table(f"count-{k}", shorter_counts(levels[k + 1], k, True))
     unseen = 1.0 / (levels[1].count() + 1)
     out, lower = None, None
     for k in range(1, N + 1):
@@ -218,164 +83,20 @@ def discounts(n: dict[int, int]) -> list[float]:
     return [min(max(v, 0.0), float(i)) for i, v in enumerate(d, 1)]
 
 
-def keyed(model: DataFrame) -> DataFrame:
-    """(key, p, weight) of a model: 64-bit keys in place of the n-grams."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams = batch.column("gram").to_pylist()
-            size = np.array([len(g) for g in grams], np.int64)
-            points = np.array(grams, f"<U{N}").view(np.uint32).reshape(len(grams), N)
-            key = np.repeat(FIRST, len(grams))
-            for k in range(N):
-                key = np.where(size > k, next_key(key, points[:, k]), key)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("p"), batch.column("weight")], ["key", "p", "weight"])
-
-    return model.mapInArrow(run, "key bigint, p double, weight double")
-
-
-# ---- scores -----------------------------------------------------------------
+def surprise(unseen: float):
+    """A kernel for the negative log-likelihood of each text."""
 
+    def kernel(grams: Grams, model: Found) -> list[np.ndarray]:
+        p = np.array([unseen])
+        weight = model.get("weight", model.places(grams.keys[0]), 1.0)  # a context that was not seen leaves all to the shorter one
+        for k in range(1, N + 1):
+            places = model.places(grams.keys[k])
+            own = model.values["p"][places]
+            p = np.where(np.isnan(own), weight[grams.before(k)] * p[grams.shorter(k)], own)
+            weight = model.get("weight", places, 1.0)
+        return [-grams.sums(np.log(p))]
 
-def _ipc(batches: list[pa.RecordBatch]) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batches[0].schema) as w:
-        for b in batches:
-            w.write_batch(b)
-    return sink.getvalue().to_pybytes()
-
-
-def _blocks(docs: DataFrame) -> DataFrame:
-    """Blocks of documents: their rows, and the keys of their distinct n-grams."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
-        keys: list[np.ndarray] = []
-
-        def block() -> pa.RecordBatch:
-            known = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
-            row = [(part << 32) + number, len(known), zstandard.ZstdCompressor(level=3).compress(_ipc(held)), pack(known, True)]
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["block", "n_keys", "rows", "keys"])
-
-        for batch in batches:
-            for a, b, offsets, data in slices(batch.column("text"), SLICE):
-                held.append(batch.slice(a, b - a))
-                size += len(data)
-                if len(data):
-                    keys.append(np.unique(np.concatenate(Grams(offsets, data).keys)))
-                if len(keys) == 16:
-                    keys = [np.unique(np.concatenate(keys))]
-                if size >= BLOCK:
-                    yield block()
-                    held, size, keys, number = [], 0, [], number + 1
-        if held:
-            yield block()
-        give_back()
-
-    return docs.mapInArrow(run, "block bigint, n_keys bigint, rows binary, keys binary")
-
-
-def _by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of ascending keys by shard, ascending within it; and the bounds of the shards."""
-    shard = keys.view(np.int64) % shards
-    order = np.argsort(shard, kind="stable")
-    return order, np.searchsorted(shard[order], np.arange(shards + 1))
-
-
-def _asked(blocks: DataFrame, shards: int, cuts: int) -> DataFrame:
-    """The keys of each block by shard; ``cut`` parts the blocks that ask one shard."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, raw in zip(batch.column("block").to_pylist(), batch.column("keys"), strict=True):
-                key = unpack(raw.as_py(), True)
-                order, edge = _by_shard(key, shards)
-                full = np.flatnonzero(np.diff(edge))
-                cut = int(mix(np.array([block], np.uint64))[0] % U(cuts))
-                own = [pack(key[order[edge[s] : edge[s + 1]]], True) for s in full]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([cut] * len(full), pa.int64()), pa.array([block] * len(full), pa.int64()), pa.array(own, pa.binary())], ["shard", "cut", "block", "keys"])
-
-    return blocks.select("block", "keys").mapInArrow(run, "shard bigint, cut bigint, block bigint, keys binary")
-
-
-def pack_floats(x: np.ndarray) -> bytes:
-    """The three upper bytes of each 32-bit float, rounded: a relative error of 1 in 65 536 at most."""
-    return pack_numbers((x.astype("<f4").view("<u4") + np.uint32(128)) >> np.uint32(8))
-
-
-def unpack_floats(raw: bytes) -> np.ndarray:
-    return (unpack_numbers(raw) << np.uint32(8)).view("<f4")
-
-
-def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
-    """Which of the n-grams that each block asked for the shard has (a bit each), and their probabilities and weights."""
-    out = []
-    key = model.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(key)
-    key = key[order]
-    values = [model.column(c).to_numpy()[order] for c in ("p", "weight")]
-    for shard, block, raw in zip(asked.column("shard").to_pylist(), asked.column("block").to_pylist(), asked.column("keys"), strict=True):
-        want = unpack(raw.as_py(), True)
-        at = np.minimum(np.searchsorted(key, want), max(len(key) - 1, 0))
-        hit = key[at] == want if len(key) else np.zeros(len(want), bool)
-        if hit.any():
-            out.append((block, shard, np.packbits(hit).tobytes(), *(pack_floats(v[at[hit]]) for v in values)))
-    give_back()
-    columns = zip(("block", "shard", "hit", "p", "weight"), (pa.int64(), pa.int64(), *[pa.binary()] * 3), strict=True)
-    return pa.table({c: pa.array([r[k] for r in out], t) for k, (c, t) in enumerate(columns)})
-
-
-def _found(keys: np.ndarray, answers: pa.Table, shards: int, unseen: float) -> Found:
-    """The answers to a block that asked for ``keys``."""
-    order, edge = _by_shard(keys, shards)
-    p, weight, there = np.zeros(len(keys)), np.zeros(len(keys)), np.zeros(len(keys), bool)
-    for shard, hit, a, b in zip(answers.column("shard").to_pylist(), *(answers.column(c) for c in ("hit", "p", "weight")), strict=True):
-        own = order[edge[shard] : edge[shard + 1]]
-        own = own[np.unpackbits(np.frombuffer(hit.as_py(), np.uint8), count=len(own)).astype(bool)]
-        there[own] = True
-        p[own], weight[own] = unpack_floats(a.as_py()), unpack_floats(b.as_py())
-    return Found(keys[there], p[there], weight[there], unseen)
-
-
-def _judged(unseen: float, shards: int, kinds: list[pa.DataType]):
-    """The rows of a block with ``nats`` and ``size`` in place of the text."""
-    names = ["id", "lang", "fold", "nats", "size"]
-
-    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-        out = []
-        for rows, keys in zip(block.column("rows"), block.column("keys"), strict=True):  # one
-            model = _found(unpack(keys.as_py(), True), answers, shards, unseen)
-            for batch in pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(rows.as_py())):
-                for a, b, offsets, data in slices(batch.column("text"), SLICE):
-                    if len(data):
-                        grams = Grams(offsets, data)
-                        nats, size = -grams.log_likelihood(model), grams.sizes
-                    else:
-                        nats, size = np.zeros(b - a), np.zeros(b - a, np.int64)
-                    out.append(pa.table([*(batch.column(c).slice(a, b - a) for c in names[:3]), pa.array(nats), pa.array(size, pa.int64())], names))
-        give_back()
-        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (*kinds, pa.float64(), pa.int64())], names)
-
-    return run
-
-
-def surprise(docs: DataFrame, model: DataFrame, unseen: float, scratch: Scratch) -> DataFrame:
-    """For rows (id, lang, fold, text) and a table (key, p, weight): in place of the text ``nats``, its negative log-likelihood, and ``size``, its code points."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    blocks = scratch.bucketed("blocks", _blocks(docs), "block")
-    n_blocks, n_keys = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_keys"), F.lit(0))).first()
-    shards = max(partitions(docs.sparkSession), -(-model.count() // SHARD))
-    cuts = max(1, -(-n_keys // (ASKED * shards)))
-    sharded = model.withColumn("shard", F.pmod("key", F.lit(shards).cast("bigint"))).withColumn("cut", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cuts - 1).cast("bigint"))))
-    asked = _asked(blocks, shards, cuts).groupBy("shard", "cut")
-    answers = asked.cogroup(sharded.groupBy("shard", "cut")).applyInArrow(_answer, "block bigint, shard bigint, hit binary, p binary, weight binary")
-    fields = [docs.schema[c] for c in ("id", "lang", "fold")]
-    schema = T.StructType([*fields, T.StructField("nats", T.DoubleType()), T.StructField("size", T.LongType())])
-    run = _judged(unseen, shards, [to_arrow_type(f.dataType) for f in fields])
-    return blocks.select("block", "rows", "keys").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    return kernel
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", share: float = SHARE) -> DataFrame:
@@ -399,10 +120,10 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for name in ("counts", "all-counts", *(f"{t}-{k}" for t in ("count", "p") for k in range(1, N + 1))):
         scratch.drop(name)
     release(spark)
-    scored = scratch.table("scored", surprise(picked, model, unseen, scratch))
+    judged = scratch.table("scored", scored(picked, model, surprise(unseen), "nats", scratch))
     for name in ("blocks", "model"):
         scratch.drop(name)
-    judges = scored.join(sent, "id", "left_semi").where("size > 0")
+    judges = judged.join(sent, "id", "left_semi").where("size > 0")
     mean = judges.agg(F.sum("nats") / F.sum("size")).first()[0] or 0.0
     if not judges.where("fold = 0").isEmpty():
         judges = judges.where("fold = 0")
@@ -412,6 +133,6 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     whole = judges.agg(cut.alias("t")).first()[0]
     by_lang = scratch.table("thresholds", judges.where("lang is not null").groupBy("lang").agg(cut.alias("own")))
     by_lang = F.broadcast(by_lang) if by_lang.count() <= LANGUAGES else by_lang
-    out = scored.join(by_lang, "lang", "left").withColumn("threshold", F.coalesce("own", F.lit(whole)))
+    out = judged.join(by_lang, "lang", "left").withColumn("threshold", F.coalesce("own", F.lit(whole)))
     perplexity = F.when(F.col("size") > 0, F.exp(F.col("nats") / F.col("size")))
     return out.select(F.col("id").alias(id_col), "lang", perplexity.alias("perplexity"), "threshold", ((F.col("size") > 0) & F.coalesce(steady <= F.col("threshold"), F.lit(False))).alias("kept"))
