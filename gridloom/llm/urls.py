@@ -1,48 +1,46 @@
 """URL filter: rules by host and path, and a character language model for the rest.
 
-Two Markov models over folded characters, one of accepted and one of rejected
-URLs, give each URL the difference of its log-likelihoods divided by its
-length. Each model has contexts of 0 to 3 characters and uses, at every
-position, the longest context that it has seen, with Witten-Bell weights on
-the shorter ones. The labels are the rules' own verdicts; four fifths of the
-labelled URLs (by a hash of the URL) are counted, on the last fifth the cut
-between accepted and rejected is calibrated so that both have the same share
-on the right side. All labelled URLs take part. Characters are folded to 64
-classes, so a model has at most 64 ** 4 counts whatever the input; their sums
-are made in parallel.
+Two Markov models of code points, one of accepted and one of rejected URLs,
+give each URL the difference of its log-likelihoods divided by its length.
+Each model has contexts of 0 to 4 units and uses, at every position, the
+longest context that it has seen, with Witten-Bell weights on the shorter
+ones. Counts are sharded by n-gram and joined with the URLs' n-grams (see
+``charlm``), so they grow with the input and nothing is gathered.
+
+The labels are the rules' own verdicts. What rules go by is left out of the
+text that is modelled, or the models would only read the rules off the URL:
+the last label of the host, labels that stand in a rule's host, and as many
+segments at the start of the path as rules have. Four fifths of the labelled
+hosts (by a hash) are counted; on the last fifth, whose hosts the models have
+never seen, the cut is calibrated: as many accepted as rejected URLs on the
+wrong side, but at most ``FALSE_BLOCK`` of the accepted ones.
 
 A null URL and one without ``://`` have an empty host and path; no rule fits
-them, and the model judges them as an empty or odd text. Without URLs of both
-labels there is nothing to learn from, and what no rule decides is allowed.
-Repeated rows and ids stay. An empty table gives an empty result. Only the id
-and URL columns are read.
+them, and the model judges them as empty. Without URLs of both labels there is
+nothing to learn from, and what no rule decides is allowed. Repeated rows and
+ids stay. An empty table gives an empty result. Only the id and URL columns
+are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.textkern import slices
+from gridloom.llm.charlm import N, Found, Grams, gram_counts, keyed, scored, shorter_counts
 from gridloom.runtime import Scratch, ship
 
 #: (rule, verdict): a host, which stands for its subdomains too, and the start of the path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-ORDER = 3
-SYMBOLS = 64
-BINS = 4096
-
-# Classes: 0 the edge of a text, letters in one case, digits, common marks, other bytes by their low bits.
-_FOLD = np.zeros(256, np.int64)
-_FOLD[:] = 56 + (np.arange(256) & 7)
-_FOLD[97:123] = _FOLD[65:91] = np.arange(1, 27)
-_FOLD[48:58] = np.arange(27, 37)
-for _i, _c in enumerate(b"/.:-_?=&#%+~,;@!$'"):
-    _FOLD[_c] = 37 + _i
+#: The share of accepted URLs that the model may block.
+FALSE_BLOCK = 0.05
+#: One in so many labelled hosts is held out.
+FOLDS = 5
+#: The histogram of scores for the calibration.
+BINS, LOW, HIGH = 8192, -16.0, 16.0
+#: The unit after the last one of a text: the edge.
+END = "\uffff"
 
 
 def host_path(url: F.Column | str) -> tuple[F.Column, F.Column]:
@@ -67,113 +65,98 @@ def with_rules(urls: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, url_
     return out.withColumn("rule", rule).withColumn("rule_verdict", verdict)
 
 
-def codes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of a slice, and the end of each row, its 4-gram of classes; and the bounds of the rows among them."""
-    rows = len(offsets) - 1
-    size = np.diff(offsets) + ORDER + 1  # edges before, one after
-    bounds = np.concatenate(([0], np.cumsum(size)))
-    padded = np.zeros(bounds[-1], np.int64)
-    at = np.arange(len(data)) + np.repeat(np.arange(1, rows + 1) * ORDER + np.arange(rows), np.diff(offsets))
-    padded[at] = _FOLD[data]
-    code = padded.copy()
-    for k in range(1, ORDER + 1):
-        code[k:] += padded[:-k] * SYMBOLS**k
-    live = np.ones(len(padded), bool)
-    for k in range(ORDER):
-        live[bounds[:-1] + k] = False
-    return code[live], np.concatenate(([0], np.cumsum(size - ORDER)))
-
-
-def gram_counts(urls: DataFrame, fold: int = 5) -> DataFrame:
-    """Counts (rejected, code, n) of the labelled URLs outside the calibration fold."""
-    labelled = urls.where(F.col("rule_verdict").isNotNull() & (F.pmod(F.xxhash64("url"), F.lit(fold)) != 0)).select("url", (F.col("rule_verdict") == "block").alias("rejected"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            label = batch.column("rejected").to_numpy(zero_copy_only=False).astype(np.int64)
-            for a, b, offsets, data in slices(batch.column("url")):
-                code, bounds = codes(offsets, data)
-                both, n = np.unique(code + SYMBOLS ** (ORDER + 1) * np.repeat(label[a:b], np.diff(bounds)), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(both), pa.array(n)], ["code", "n"])
-
-    return labelled.mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-class Model:
-    """Witten-Bell Markov model of one label, from the counts of its longest grams."""
-
-    def __init__(self, code: np.ndarray, n: np.ndarray):
-        self.levels = []
-        for k in range(ORDER + 1):  # grams of k + 1 characters
-            c, inverse = np.unique(code % SYMBOLS ** (k + 1), return_inverse=True)
-            count = np.bincount(inverse, n, len(c))
-            context, at = np.unique(c // SYMBOLS, return_inverse=True)
-            self.levels.append((c, count, context, np.bincount(at, count, len(context)), np.bincount(at, minlength=len(context)).astype(float)))
-
-    @staticmethod
-    def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(keys, x), max(len(keys) - 1, 0))
-        return at, keys[at] == x if len(keys) else np.zeros(len(x), bool)
-
-    def log_likelihood(self, code: np.ndarray) -> np.ndarray:
-        p = np.full(len(code), 1.0 / SYMBOLS)
-        for k, (grams, count, contexts, total, kinds) in enumerate(self.levels):
-            gram = code % SYMBOLS ** (k + 1)
-            i, has = self._find(grams, gram)
-            j, seen = self._find(contexts, gram // SYMBOLS)
-            if len(grams):
-                p = np.where(seen, (np.where(has, count[i], 0.0) + kinds[j] * p) / (total[j] + kinds[j]), p)
-        return np.log(p)
-
-
-def score(urls: DataFrame, models: tuple[Model, Model]) -> DataFrame:
-    """``score`` of each url: mean log-likelihood difference by character, above 0 where the rejected model fits better. Keeps the other columns; needs a column ``url``."""
-    sent = urls.sparkSession.sparkContext.broadcast(models)
-
-    @F.arrow_udf("double")
-    def difference(column: pa.Array) -> pa.Array:
-        out = []
-        accepted, rejected = sent.value
-        for _, _, offsets, data in slices(column):
-            code, bounds = codes(offsets, data)
-            x = np.concatenate(([0.0], np.cumsum(rejected.log_likelihood(code) - accepted.log_likelihood(code))))
-            out.append(np.diff(x[bounds]) / np.diff(bounds))
-        return pa.array(np.concatenate(out) if out else np.zeros(0))
-
-    return urls.withColumn("score", difference(F.coalesce("url", F.lit(""))))
-
-
-def cut_between(scored: DataFrame) -> float:
-    """The score at which as large a share of accepted URLs is above as of rejected ones below, from a histogram of fixed size."""
-    low, high = -8.0, 8.0
-    bin_ = F.least(F.greatest(F.floor((F.col("score") - low) / ((high - low) / BINS)), F.lit(0)), F.lit(BINS - 1))
-    got = scored.groupBy(bin_.alias("bin"), (F.col("rule_verdict") == "block").alias("rejected")).agg(F.count(F.lit(1)).alias("n")).collect()
+def modelled_text(url: F.Column | str, rules: tuple[tuple[str, str], ...] = RULES) -> F.Column:
+    """What of a URL the models see: host and the rest, without the parts that rules go by, and the edge."""
+    url = F.coalesce(F.col(url) if isinstance(url, str) else url, F.lit(""))
+    host, _ = host_path(url)
+    after = F.regexp_extract(url, r"(?s)://[^/?#]*(.*)$", 1)
+    own = {x for rule, _ in rules for x in rule.partition("/")[0].split(".")}
+    depth = max((rule.partition("/")[2].count("/") for rule, _ in rules), default=0)
+    labels = F.split(host, r"\.")
+    labels = F.filter(F.slice(labels, 1, F.size(labels) - 1), lambda x: ~x.isin(*own))
+    return F.concat(F.array_join(labels, "."), F.regexp_replace(after, f"^(?:/[^/?#]*){{0,{depth}}}", ""), F.lit(END))
+
+
+def markov_model(urls: DataFrame, scratch: Scratch) -> tuple[DataFrame, float]:
+    """From rows (text, rejected) a table (gram, n_0, total_0, kinds_0, n_1, total_1, kinds_1) of n-grams of all lengths, for accepted (0) and rejected texts: how often it occurs, and as a context how many units and kinds of units follow; and the probability of a unit before any count."""
+    both = [gram_counts(urls.where(F.col("rejected") == F.lit(bool(k)))).withColumn("label", F.lit(k)) for k in (0, 1)]
+    counts = scratch.table(f"count-{N}", both[0].unionByName(both[1]))
+    rows = None
+    for k in range(N, 0, -1):
+        if k < N:
+            counts = scratch.table(f"count-{k}", shorter_counts(counts, k, False))
+        event = counts.select("gram", "label", "n", F.lit(0).alias("total"), F.lit(0).alias("kinds"))
+        context = counts.groupBy(F.substring("gram", 1, k - 1).alias("gram"), "label").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).select("gram", "label", F.lit(0).alias("n"), "total", "kinds")
+        both = event.unionByName(context)
+        rows = both if rows is None else rows.unionByName(both)
+    units = counts.select("gram").distinct().count()
+    sums = [F.sum(F.when(F.col("label") == k, F.col(c)).otherwise(0)).cast("double").alias(f"{c}_{k}") for k in (0, 1) for c in ("n", "total", "kinds")]
+    return rows.groupBy("gram").agg(*sums), 1.0 / (units + 1)
+
+
+def difference(base: float):
+    """A kernel for the log-likelihood of each text as a rejected one less that as an accepted one."""
+
+    def kernel(grams: Grams, model: Found) -> list[np.ndarray]:
+        places = [model.places(k) for k in grams.keys]
+        logs = []
+        for label in (1, 0):
+            p = np.array([base])
+            for k in range(1, N + 1):
+                context = places[k - 1][grams.before(k)]
+                total, kinds = (model.get(f"{c}_{label}", context, 0.0) for c in ("total", "kinds"))
+                n, short = model.get(f"n_{label}", places[k], 0.0), p[grams.shorter(k)]
+                p = np.where(total > 0, (n + kinds * short) / np.maximum(total + kinds, 1.0), short)
+            logs.append(np.log(p))
+        return [grams.sums(logs[0] - logs[1])]
+
+    return kernel
+
+
+def cut_between(held_out: DataFrame, share: float = FALSE_BLOCK) -> float:
+    """Of the scores above which at most ``share`` of the accepted rows (score, rejected) are, that above which the share of accepted rows is nearest to the share of rejected ones below; in the middle of a gap. From histograms of fixed size; 0 without rows of both kinds."""
+    place = F.least(F.greatest(F.floor((F.col("score") - LOW) / ((HIGH - LOW) / BINS)), F.lit(0)), F.lit(BINS - 1))
     hist = np.zeros((2, BINS))
-    for r in got:
-        hist[int(r.rejected), int(r.bin)] += r.n
+    for r in held_out.groupBy(place.cast("int").alias("bin"), "rejected").agg(F.count(F.lit(1)).alias("n")).collect():
+        hist[int(r.rejected), r.bin] += r.n
     if not hist[0].sum() or not hist[1].sum():
         return 0.0
-    above = 1 - np.cumsum(hist[0]) / hist[0].sum()
-    below = np.cumsum(hist[1]) / hist[1].sum()
-    gap = np.abs(above - below)
-    best = np.flatnonzero(gap == gap.min())  # a plateau between the two: its middle
-    return low + (best[len(best) // 2] + 1) * (high - low) / BINS
+    above, below = 1 - np.cumsum(hist[0]) / hist[0].sum(), np.cumsum(hist[1]) / hist[1].sum()
+    may = above <= share + 1e-12
+    gap = np.where(may, np.abs(above - below), np.inf)
+    best = np.flatnonzero(gap <= gap.min() + 1e-12)
+    return LOW + (best[len(best) // 2] + 1) * (HIGH - LOW) / BINS
 
 
 def judge(urls: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """A row per URL: id, host, path, rule, verdict (allow or block), score."""
-    ship(urls.sparkSession)
-    scratch = Scratch(urls.sparkSession, "urls")
-    picked = with_rules(urls.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")), rules)
-    counts = scratch.table("counts", gram_counts(picked)).toArrow()
-    scratch.drop("counts")
-    code, n = counts["code"].to_numpy(), counts["n"].to_numpy()
-    rejected = code >= SYMBOLS ** (ORDER + 1)
+    """A row per URL: id, host, path, rule, verdict (allow or block: the rule's, else the model's), score (by unit, above 0 where the rejected model fits better), model_blocks (what the model says alone), held_out (labelled, but not counted by the models)."""
+    spark = urls.sparkSession
+    ship(spark)
+    scratch = Scratch(spark, "urls")
+    picked = with_rules(urls.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")), rules).withColumn("text", modelled_text("url", rules)).drop("url")
+    labelled = picked.where("rule_verdict is not null").withColumn("rejected", F.col("rule_verdict") == "block")
+    held_out = F.col("rule_verdict").isNotNull() & (F.pmod(F.xxhash64("host"), F.lit(FOLDS)) == 0)
+    trained = labelled.where(~held_out)
+    if trained.select("rejected").distinct().count() < 2:  # few labelled hosts: all of them
+        trained = labelled
     end = [F.col("id").alias(id_col), "host", "path", "rule"]
-    if not rejected.any() or rejected.all():
-        return picked.select(*end, F.coalesce("rule_verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    models = (Model(code[~rejected], n[~rejected]), Model(code[rejected] % SYMBOLS ** (ORDER + 1), n[rejected]))
-    scored = scratch.table("scored", score(picked, models))
-    held_out = scored.where(F.col("rule_verdict").isNotNull() & (F.pmod(F.xxhash64("url"), F.lit(5)) == 0))
-    cut = cut_between(held_out)
-    return scored.select(*end, F.coalesce("rule_verdict", F.when(F.col("score") > cut, "block").otherwise("allow")).alias("verdict"), "score")
+    if trained.select("rejected").distinct().count() < 2:
+        return picked.select(*end, F.coalesce("rule_verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("boolean").alias("model_blocks"), held_out.alias("held_out"))
+    model, base = markov_model(trained.select("text", "rejected"), scratch)
+    model = scratch.table("model", keyed(model))
+    for k in range(1, N + 1):
+        scratch.drop(f"count-{k}")
+    out = scored(picked, model, difference(base), "difference", scratch)
+    out = scratch.table("scored", out.withColumn("score", F.col("difference") / F.col("size")).withColumn("held_out", held_out))
+    for name in ("blocks", "model"):
+        scratch.drop(name)
+    blocks = F.col("score") > cut_between(out.where("held_out").select("score", (F.col("rule_verdict") == "block").alias("rejected")))
+    return out.select(*end, F.coalesce("rule_verdict", F.when(blocks, "block").otherwise("allow")).alias("verdict"), "score", blocks.alias("model_blocks"), "held_out")
+
+
+def report(judged: DataFrame) -> DataFrame:
+    """From ``judge``'s rows, for each suffix of hosts: URLs without a rule and the share of them that is blocked; held-out accepted and rejected URLs and the shares of them that the model judges as the rules do."""
+    suffix = F.element_at(F.split("host", r"\."), -1)
+    share = lambda rows, yes: (F.count_if(rows & yes) / F.nullif(F.count_if(rows), F.lit(0)))
+    free, accepted, rejected = F.col("rule").isNull(), F.col("held_out") & (F.col("verdict") == "allow"), F.col("held_out") & (F.col("verdict") == "block")
+    return judged.groupBy(suffix.alias("suffix")).agg(F.count_if(free).alias("n_free"), share(free, F.col("verdict") == "block").alias("free_blocked"), F.count_if(accepted).alias("n_accepted"), share(accepted, ~F.col("model_blocks")).alias("accepted_right"), F.count_if(rejected).alias("n_rejected"), share(rejected, F.col("model_blocks")).alias("rejected_right"))
