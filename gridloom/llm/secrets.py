@@ -2,8 +2,8 @@
 
 A text is a layer. Every layer is scanned with the base patterns and then
 unwrapped: URL escapes and Unicode escapes are replaced within the layer,
-stretches of text in decoded base64 become layers of their own, whatever path
-or name it is joined to and wrapped or not, and decoded or escaped bytes that
+stretches of text in decoded base64, as UTF-8 or UTF-16, become layers of their
+own, whatever path or name it is joined to and wrapped or not, and decoded or escaped bytes that
 are gzip, zlib, bzip2, xz or zstandard streams are decompressed, all members
 of them, in pieces that overlap. New layers go onto a worklist until none is
 left. A layer whose content was seen at the same place
@@ -61,6 +61,8 @@ PLAIN = dict(zip("\\'\"0abfnrtv", "\\'\"\0\a\b\f\n\r\t\v", strict=True))
 MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 #: UTF-8 without control characters; shorter stretches cannot hold a match of the base patterns.
 STRETCH = re.compile(rb"(?:[\t-\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){12,}+")
+#: ASCII as UTF-16 of either byte order; the base patterns have nothing else.
+WIDE = re.compile(rb"(?:\x00[\t-\r\x20-\x7e]){12,}+|(?:[\t-\r\x20-\x7e]\x00){12,}+")
 #: Inflated data are scanned in pieces of this size that overlap by so much.
 PIECE, OVERLAP = 4 << 20, 256 << 10
 
@@ -292,9 +294,20 @@ def _inflated_texts(work: list[Iterator[bytes]]) -> Iterator[str]:
             seen.add(digest)
             for m in STRETCH.finditer(piece):
                 yield m[0].decode()
+            for m in WIDE.finditer(piece) if b"\0" in piece else ():
+                yield m[0].replace(b"\0", b"").decode()
             work += [_chunks(piece, at) for at in {m.start() for m in MAGIC.finditer(piece)} | ({0} if n == 0 and nested else set())]
 
 
+def _stretches(raw: bytes) -> Iterator[tuple[str, np.ndarray]]:
+    """Stretches of text in bytes, as UTF-8 and as UTF-16, with the places at which their characters begin and the last one ends."""
+    for m in STRETCH.finditer(raw):
+        text = m[0].decode()
+        yield text, m.start() + np.concatenate(([0], np.cumsum([len(c.encode()) for c in text])))
+    for m in WIDE.finditer(raw) if b"\0" in raw else ():
+        yield m[0].replace(b"\0", b"").decode(), m.start() + np.arange(0, len(m[0]) + 1, 2)
+
+
 def _base64(run: str) -> Iterator[tuple[str, list[tuple[int, int]] | None]]:
     """The layers in a base64 run: stretches of text with the place in the run of each character, and texts that were compressed, without.
 
@@ -306,11 +319,8 @@ def _base64(run: str) -> Iterator[tuple[str, list[tuple[int, int]] | None]]:
         return
     for shift in range(4):
         raw = b"".join(_decoded(body, shift))
-        for m in STRETCH.finditer(raw):
-            text = m[0].decode()
-            ends = np.cumsum([len(c.encode()) for c in text]) + m.start()
-            before = [m.start(), *ends[:-1].tolist()]
-            yield text, [(shift + x * 4 // 3, min(len(run), shift + (y * 4 + 2) // 3)) for x, y in zip(before, ends.tolist(), strict=True)]
+        for text, at in _stretches(raw):
+            yield text, [(shift + x * 4 // 3, min(len(run), shift + (y * 4 + 2) // 3)) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         yield from ((text, None) for text in _inflated_texts([_chunks(raw, m.start()) for m in MAGIC.finditer(raw)]))
     for at in [0, *(m.end() for m in re.finditer("[+/]", body))]:  # zlib, after a part that ends here
         if len(body) - at >= MIN_BASE64 and _zlib_head(base64.b64decode(body[at : at + 4])):

@@ -389,6 +389,76 @@ def test_all_of_a_compressed_stream():
         assert hidden(b64(x)) >= {"assign", "hex"}
 
 
+def test_wide_and_binary_text():
+    import base64
+    import gzip
+
+    b64 = lambda x: base64.b64encode(x).decode()
+    for raw in (b"password = hunter2hunter2\0", b"\xff\x01password = hunter2hunter2\xfe", "password = hunter2hunter2".encode("utf-16-le"), "password = hunter2hunter2".encode("utf-16-be"), "\ufeffé password = hunter2hunter2".encode("utf-16-le")):
+        assert hidden(b64(raw)) == {"assign"} == hidden(b64(gzip.compress(raw))), raw
+    # exact spans: the characters of base64 that the match was decoded from
+    for raw, at, end in (("abcd password = hunter2hunter2".encode("utf-16-le"), 10, 60), (b"abc password = hunter2hunter2 abc", 4, 29), ("é password = hunter2hunter2".encode(), 3, 28)):
+        ((a, _, b),) = secrets.inner_spans("see " + b64(raw) + " end")
+        assert (a, b) == (4 + at * 8 // 6, 4 + -(-end * 8 // 6))
+
+
+def brute_layers(text, depth=0):
+    """Another decoder: everything that a few standard functions can make of a text, level by level."""
+    import base64
+    import bz2
+    import codecs
+    import gzip
+    import html
+    import lzma
+    from urllib.parse import unquote
+
+    import zstandard
+
+    out = {unquote(text), html.unescape(text)} - {text}
+    with_escapes = re.sub(r"\\\\u[0-9a-f]{4}", lambda m: codecs.decode(m[0], "unicode_escape"), text)
+    out |= {with_escapes} - {text}
+    for m in re.finditer(r"[A-Za-z0-9+/]{16,}", text):
+        try:
+            raw = base64.b64decode(m[0] + "=" * (-len(m[0]) % 4))
+        except ValueError:
+            continue
+        for f in (lambda x: x, gzip.decompress, zlib.decompress, bz2.decompress, lzma.decompress, lambda x: zstandard.ZstdDecompressor().decompressobj().decompress(x)):
+            try:
+                data = f(raw)
+                out |= {data.decode("utf-16-le" if data[1:2] == b"\0" else "utf-8")}
+            except Exception:  # noqa: S112
+                continue
+    return out | {y for x in out if depth < 5 for y in brute_layers(x, depth + 1)}
+
+
+def test_planted_secrets_against_another_decoder():
+    """Random nests of encodings: what the other decoder finds is found, and at least nine of ten secrets are."""
+    import base64
+    import bz2
+    import gzip
+    import lzma
+    from urllib.parse import quote
+
+    import zstandard
+
+    rng = random.Random(11)
+    b64 = lambda x: base64.b64encode(x).decode()
+    packers = [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress]
+    encoders = [lambda x: quote(x, safe=""), lambda x: "".join(f"\\u{ord(c):04x}" for c in x), lambda x: "".join(f"&#{ord(c)};" for c in x), lambda x: b64(x.encode()), lambda x: b64(x.encode("utf-16-le")), lambda x: b64(rng.choice(packers)(x.encode()))]
+    secret = {"assign": lambda: "password=" + "".join(rng.choices("abcXYZ123", k=12)), "access": lambda: "AKIA" + "".join(rng.choices("ABCDEFGH234", k=16)), "hex": lambda: "".join(rng.choices("0123456789abcdef", k=32))}
+    found = n = 0
+    for _ in range(150):
+        kind = rng.choice(list(secret))
+        text = "x " + secret[kind]() + " y"
+        for _ in range(rng.randint(1, 4)):
+            text = "some words " + rng.choice(encoders)(text) + " and more"
+        got = {k for _, k, _ in secrets.inner_spans(text)}
+        brute = {secrets.KINDS[k] for layer in brute_layers(text) for _, k, _ in brute_base(layer)}
+        assert brute <= got | {k for _, k, _ in secrets.base_spans(text)}, text
+        found, n = found + (kind in got), n + 1
+    assert found >= 0.98 * n
+
+
 def test_mask_keeps_columns(odd):
     out = secrets.mask(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
