@@ -8,8 +8,10 @@ the distinct ids of each part of the rows with the pieces of the vocabulary.
 
 Only tokenizers whose words do not depend on their surroundings can be used
 this way: byte-level BPE with the usual split pattern and no normaliser, as
-``WordEncoder`` checks. Texts with characters past U+023F are split by the
-tokenizers library itself, others by an equal pattern.
+``WordEncoder`` checks. Texts with characters past U+023F, or with added
+tokens, are split by the tokenizers library itself, others by an array kernel
+of the same pattern. Within a slice and a block, words are told apart by
+64-bit hashes of text and length.
 
 Null texts are empty and have no ids. Repeated rows and null ids stay rows of
 their own. An empty table gives an empty result. Only the id and text columns
@@ -33,28 +35,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.textkern import slices
+from gridloom.llm.textkern import BYTE, Hasher, slices
 from gridloom.runtime import Scratch, give_back, partitions, ship
 
 #: Text bytes of a block: what one task holds at a time.
-BLOCK = 12 << 20
+BLOCK = 8 << 20
 #: Ids that are decoded at a time.
-PART = 1_000_000
+PART = 250_000
 #: Words, over all blocks, that a shard is made for.
 SHARD_WORDS = 1_000_000
 #: Words that a worker keeps with their ids; more only cost encoding them again.
 CACHE_WORDS = 600_000
 
-_LETTER = "A-Za-zªµºÀ-ÖØ-öø-ȿ"
-_NUMBER = "0-9²³¹¼-¾"
-_SPACE = "\t-\r \x85\xa0"
-# The split pattern of byte-level BPE vocabularies, over characters below U+0240.
-_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_PLAIN = re.compile(f" [{_LETTER}]+")
+# The split pattern of byte-level BPE vocabularies, over characters below U+0240:
+# 's|'t|'re|'ve|'m|'ll|'d| ?letters| ?numbers| ?others|spaces before the last one of a run|spaces
+_LETTER = re.compile("[A-Za-zªµºÀ-ÖØ-öø-ȿ]")
+_NUMBER = re.compile("[0-9²³¹¼-¾]")
+_SPACE = re.compile("[\t-\r \x85\xa0]")
+_PLAIN = re.compile(" [A-Za-zªµºÀ-ÖØ-öø-ȿ]+")
+_SPACES, _LETTERS, _NUMBERS, _OTHERS, _NONE = range(5)
+_KIND = np.array([_LETTERS if _LETTER.match(chr(i)) else _NUMBERS if _NUMBER.match(chr(i)) else _SPACES if _SPACE.match(chr(i)) else _OTHERS for i in range(0x240)], np.int8)
 #: Lead bytes above this start characters past U+023F.
 _LAST_LEAD = 0xC8
 
 
+def word_starts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Where words begin in the bytes of a slice, by the split pattern; of no use for rows with characters past U+023F."""
+    place = np.flatnonzero((data & 0xC0) != 0x80)  # of characters
+    point = data[place].astype(np.int32)
+    two = np.flatnonzero(point >= 0xC0)
+    if len(two):
+        point[two] = np.minimum((point[two] & 0x1F) << 6 | data[np.minimum(place[two] + 1, len(data) - 1)] & 0x3F, 0x23F)
+    kind = _KIND[point]
+    n = len(kind)
+    edge = np.zeros(n + 1, bool)  # of rows
+    edge[np.searchsorted(place, offsets)] = True
+    before, after, blank = np.full(n, _NONE, np.int8), np.full(n + 3, _NONE, np.int8), np.zeros(n, bool)
+    before[1:], after[: n - 1], blank[1:] = kind[:-1], kind[1:], point[:-1] == 0x20
+    before[edge[:-1]], after[:n][edge[1:]] = _NONE, _NONE
+    blank &= before != _NONE
+    # the last of several spaces goes with what follows; what follows a blank begins with it
+    start = np.where(kind == _SPACES, (before != _SPACES) | (after[:n] < _NONE) & (after[:n] > _SPACES), (before != kind) & ~blank)
+    quote = np.flatnonzero((point == 0x27) & start & (after[:n] == _LETTERS))
+    if len(quote):
+        more = np.concatenate((point, np.zeros(3, np.int32)))
+        first, second = more[quote + 1], np.where(after[quote + 1] == _LETTERS, more[quote + 2], 0)
+        one = np.isin(first, [ord(c) for c in "stmd"])
+        both = ~one & (((first == ord("r")) | (first == ord("v"))) & (second == ord("e")) | (first == ord("l")) & (second == ord("l")))
+        start[quote[one | both] + 1] = False
+        for end in (quote[one] + 2, quote[both] + 3):
+            end = end[after[end - 1] == _LETTERS]
+            start[end] = True
+    return place[start]
+
+
 class WordEncoder:
     """Splits texts into words and encodes words, as ``encode(text, add_special_tokens=False)`` does."""
 
@@ -75,28 +109,33 @@ class WordEncoder:
         self.added = {x["content"]: x["id"] for x in added}
         self._marks = [x.encode() for x in self.added]
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.cache: dict[str, bytes] = {}
-
-    def _words(self, text: str, simple: bool) -> list[str]:
-        if simple:
-            return _SPLIT.findall(text)
-        return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
-
-    def split(self, text: str, simple: bool) -> list[str]:
-        """Words of a text; ``simple`` says that it has no character past U+023F."""
-        if self._cut is not None and any(m in text for m in self.added):
-            return [w for part in self._cut.split(text) for w in ([part] if part in self.added else self._words(part, simple)) if w]
-        return self._words(text, simple)
-
-    def split_all(self, strings: pa.Array) -> Iterator[tuple[int, list[list[str]]]]:
-        """(first row, words of each row) for slices of a column."""
-        for a, b, offsets, data in slices(strings):
-            far = np.concatenate(([0], np.cumsum(data > _LAST_LEAD)))[offsets]
-            simple = np.diff(far) == 0
-            raw = data.tobytes()
-            texts = [raw[x:y].decode() for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            marked = any(m in raw for m in self._marks)
-            yield a, [self.split(t, s) if marked else self._words(t, s) for t, s in zip(texts, simple.tolist(), strict=True)]
+        self.table = _Table()
+
+    def split(self, text: str) -> list[str]:
+        """Words of a text, as the library has them."""
+        parts = self._cut.split(text) if self._cut is not None else [text]
+        own = lambda part: [part[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(part)]
+        return [w for part in parts for w in ([part] if part in self.added else own(part)) if w]
+
+    def bounds(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the words of a slice, and for each row the number of its first word, with an end."""
+        start = word_starts(offsets, data)
+        far = np.concatenate(([0], np.cumsum(data > _LAST_LEAD)))[offsets]
+        odd = np.diff(far) > 0
+        raw = data.tobytes()
+        for mark in self._marks:
+            at = raw.find(mark)
+            while at >= 0:
+                odd[np.searchsorted(offsets, at, "right") - 1] = True
+                at = raw.find(mark, at + 1)
+        if odd.any():  # these rows are split by the library
+            owner = np.searchsorted(offsets, start, "right") - 1
+            parts = [start[~odd[owner]]]
+            for r in np.flatnonzero(odd).tolist():
+                sizes = [len(w.encode()) for w in self.split(raw[offsets[r] : offsets[r + 1]].decode())]
+                parts.append(offsets[r] + np.cumsum([0, *sizes[:-1]]))
+            start = np.sort(np.concatenate(parts))
+        return start, np.append(start[1:], len(data))[: len(start)], np.searchsorted(start, offsets)
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word, as little-endian unsigned 32-bit integers."""
@@ -117,18 +156,60 @@ class WordEncoder:
                 out[i] = np.array(e.ids, "<u4").tobytes()
         return out
 
+    def encode_slice(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows of a slice, through the worker's table of words, and the bounds of the rows."""
+        start, end, first = self.bounds(offsets, data)
+        known, at, word = np.unique(Hasher(data, BYTE).of(start, end), return_index=True, return_inverse=True)
+        place = self.table.places(known)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            if len(self.table) + len(new) > CACHE_WORDS:
+                self.table = _Table()
+                new = np.arange(len(known))
+            raw = data.tobytes()
+            words = [raw[a:b].decode() for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)]
+            self.table.add(known[new], self.encode_words(words))
+            place = self.table.places(known)
+        begin, size = self.table.begin[place][word], self.table.size[place][word]
+        tokens = self.table.pool[ragged(begin, size)]
+        return tokens, np.concatenate(([0], np.cumsum(size)))[first]
+
     def encode_all(self, strings: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-        """(first row, ids of each row) for slices of a column, through the worker's table of words."""
-        cache = self.cache
-        for a, rows in self.split_all(strings):
-            seen = set().union(*rows)
-            new = [w for w in seen if w not in cache]
-            if len(cache) + len(new) > CACHE_WORDS:
-                cache.clear()
-                new = list(seen)
-            cache.update(zip(new, self.encode_words(new), strict=True))
-            get = cache.__getitem__
-            yield a, [b"".join(map(get, ws)) for ws in rows]
+        """(first row, ids of each row as little-endian unsigned 32-bit integers) for slices of a column."""
+        for a, _, offsets, data in slices(strings):
+            tokens, bounds = self.encode_slice(offsets, data)
+            raw, cut = tokens.tobytes(), (bounds * 4).tolist()
+            yield a, [raw[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
+
+
+class _Table:
+    """Words, by hash, with their ids in one array."""
+
+    def __init__(self):
+        self.number: dict[int, int] = {}
+        self.begin, self.size, self.pool = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, "<u4")
+        self.used = 0
+
+    def __len__(self) -> int:
+        return len(self.number)
+
+    def places(self, known: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 if it is not there."""
+        get = self.number.get
+        return np.fromiter((get(h, -1) for h in known.tolist()), np.int64, len(known))
+
+    def add(self, known: np.ndarray, ids: list[bytes]) -> None:
+        at, size = len(self.number), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        end = self.used + int(size.sum())
+        while at + len(ids) > len(self.begin):
+            self.begin, self.size = (np.concatenate((x, np.zeros(len(x), np.int64))) for x in (self.begin, self.size))
+        while end > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros(len(self.pool), "<u4")))
+        self.size[at : at + len(ids)] = size
+        self.begin[at : at + len(ids)] = self.used + np.cumsum(size) - size
+        self.pool[self.used : end] = np.frombuffer(b"".join(ids), "<u4")
+        self.used = end
+        self.number.update(zip(known.tolist(), range(at, at + len(ids)), strict=True))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -195,27 +276,35 @@ def _blocks(docs: DataFrame, tokenizer: str) -> DataFrame:
         from pyspark import TaskContext
 
         enc, part, k = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        codes, ids, sizes, found, held = _Codes(), [], [], [], 0
+        number: dict[int, int] = {}  # of each distinct word of the block, by hash
+        words, ids, sizes, codes, held = [], [], [], [], 0
 
         def block() -> pa.RecordBatch:
             column = pa.concat_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in ids])
-            row = [(part << 32) + k, len(codes), _column(column), pack_numbers(np.array(sizes, "<u4")), pack_numbers(np.concatenate(found)), pack_words(list(codes))]
+            row = [(part << 32) + k, len(words), _column(column), pack_numbers(np.concatenate(sizes)), pack_numbers(np.concatenate(codes)), pack_words(words)]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], ["block", "n_words", "ids", "sizes", "codes", "words"])
 
         for batch in batches:
-            for a, rows in enc.split_all(batch.column("text")):
-                get = codes.__getitem__
-                ids.append(batch.column("id").slice(a, len(rows)))
-                for ws in rows:
-                    sizes.append(len(ws))
-                    found.append(np.fromiter(map(get, ws), "<u4", len(ws)))
-                    held += sum(map(len, ws))
+            for a, b, offsets, data in slices(batch.column("text")):
+                start, end, first = enc.bounds(offsets, data)
+                known, at, word = np.unique(Hasher(data, BYTE).of(start, end), return_index=True, return_inverse=True)
+                raw, code = data.tobytes(), np.zeros(len(known), "<u4")
+                for i, h in enumerate(known.tolist()):
+                    n = number.get(h)
+                    if n is None:
+                        number[h] = n = len(words)
+                        words.append(raw[start[at[i]] : end[at[i]]].decode())
+                    code[i] = n
+                ids.append(batch.column("id").slice(a, b - a))
+                sizes.append(np.diff(first))
+                codes.append(code[word])
+                held += len(data)
                 if held >= BLOCK:
                     yield block()
-                    codes, ids, sizes, found, held, k = _Codes(), [], [], [], 0, k + 1
+                    number, words, ids, sizes, codes, held, k = {}, [], [], [], [], 0, k + 1
         if ids:
             yield block()
-        codes, ids, sizes, found = _Codes(), [], [], []
+        number, words, ids, sizes, codes = {}, [], [], [], []
         give_back()
 
     return docs.mapInArrow(run, "block bigint, n_words bigint, ids binary, sizes binary, codes binary, words binary")
@@ -423,19 +512,7 @@ def decode(ids: DataFrame, tokenizer: str, ids_col: str = "token_ids", out_col:
     return joined.mapInArrow(run, schema)
 
 
-def _lists(column: pa.Array) -> Iterator[list[int] | None]:
-    cut, value, live = column.offsets.to_pylist(), column.values.to_numpy(zero_copy_only=False), column.is_valid().to_pylist()
-    for a, b, ok in zip(cut[:-1], cut[1:], live, strict=True):
-        yield value[a:b].tolist() if ok else None
-
-
-def digests(ids: DataFrame, tokenizer: str, ids_col: str = "token_ids", text_col: str = "text") -> DataFrame:
+def digests(ids: DataFrame, ids_col: str = "token_ids", text_col: str = "text") -> DataFrame:
     """``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` for rows with ids and decoded text, beside their other columns."""
-
-    @F.arrow_udf("string")
-    def joined_sha(column: pa.Array) -> pa.Array:
-        from hashlib import sha256
-
-        return pa.array([sha256(",".join(map(str, x or [])).encode()).hexdigest() for x in _lists(column)], pa.string())
-
-    return ids.select(*[c for c in ids.columns if c not in (ids_col, text_col)], F.size(ids_col).cast("bigint").alias("n_tokens"), joined_sha(ids_col).alias("ids_sha256"), F.sha2(F.col(text_col).cast("binary"), 256).alias("decoded_sha256"))
+    joined = F.concat_ws(",", F.col(ids_col).cast("array<string>"))
+    return ids.select(*[c for c in ids.columns if c not in (ids_col, text_col)], F.size(ids_col).cast("bigint").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col(text_col).cast("binary"), 256).alias("decoded_sha256"))

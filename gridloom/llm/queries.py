@@ -64,7 +64,7 @@ def op9_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode(_table(spark, sf_dir, "documents"), tokenizer())
-    return bpe.digests(bpe.decode(ids, tokenizer()), tokenizer())
+    return bpe.digests(bpe.decode(ids, tokenizer()))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,6 +1,7 @@
 """Token-id files with shuffled byte planes.
 
-A file holds one shard of documents in id order. Its ids, each document's
+A file holds documents in id order, a shard or, where that is large, a part of
+one: files are rolled at ``FILE_IDS`` ids or ``FILE_DOCS`` documents. Its ids, each document's
 followed by the end id, are cut into chunks of ``CHUNK`` ids; a chunk's four
 byte planes are compressed by themselves with zstandard, so the planes of high
 bytes shrink to almost nothing. The footer indexes the chunks and documents:
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm.bpe import encoder
-from gridloom.runtime import partitions, ship
+from gridloom.runtime import give_back, partitions, ship
 
 MAGIC = b"GLTOK1\n\0"
 CHUNK = 1 << 16
+#: A file is closed when it has so many ids or documents; what a writer holds for the footer is bounded by that.
+FILE_IDS, FILE_DOCS = 1 << 28, 1 << 22
 
 
 class Writer:
@@ -44,10 +48,10 @@ class Writer:
         self.zstd = zstandard.ZstdCompressor(level=3)
         self.waiting: list[bytes] = []
         self.held = 0
-        self.sizes: list[int] = []
-        self.ends: list[list[int]] = []
+        self.sizes = array("q")
+        self.ends = array("q")
         self.ids: list[pa.Array] = []
-        self.doc_ends: list[int] = []
+        self.doc_ends = array("q")
         self.total = 0
         sink.write(MAGIC)
 
@@ -68,21 +72,20 @@ class Writer:
 
     def _chunk(self, raw: bytes) -> None:
         planes = np.frombuffer(raw, np.uint8).reshape(-1, 4).T
-        ends = []
         for p in planes:
             out = self.zstd.compress(p.tobytes())
             self.sink.write(out)
             self.at += len(out)
-            ends.append(self.at)
+            self.ends.append(self.at)
         self.sizes.append(len(raw) // 4)
-        self.ends.append(ends)
 
     def close(self) -> None:
         if self.held:
             self._chunk(b"".join(self.waiting))
         ids = pa.concat_arrays(self.ids) if self.ids else pa.array([], pa.int64())
-        row = {"sizes": [self.sizes], "ends": [[x for e in self.ends for x in e]], "docs": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), "doc_ends": [self.doc_ends]}
-        table = pa.table({k: v if isinstance(v, pa.Array) else pa.array(v, pa.list_(pa.int64())) for k, v in row.items()})
+        whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        number = lambda x: pa.array(np.frombuffer(x, np.int64) if len(x) else np.zeros(0, np.int64))
+        table = pa.table({"sizes": whole(number(self.sizes)), "ends": whole(number(self.ends)), "docs": whole(ids), "doc_ends": whole(number(self.doc_ends))})
         buffer = pa.BufferOutputStream()
         with pa.ipc.new_stream(buffer, table.schema) as w:
             w.write_table(table)
@@ -140,7 +143,7 @@ class Reader:
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, str, int, int]]:
-    """Encode and write all documents in ascending id order; returns the manifest, a row (shard, file, documents, ids) per file, at most one per shuffle partition."""
+    """Encode and write all documents in ascending id order; returns the manifest, a row (shard, file, documents, ids) per file in order."""
     spark = docs.sparkSession
     ship(spark)
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -154,21 +157,38 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: s
 
         shard = TaskContext.get().partitionId()
         where, folder = fs.FileSystem.from_uri(path)
-        name = f"part-{shard:06d}.tok"
-        draft = f"{folder}/.{name}.{uuid.uuid4().hex}"
         writer = sink = None
-        for batch in batches:
-            if batch.num_rows and writer is None:
-                where.create_dir(folder, recursive=True)
-                sink = where.open_output_stream(draft)
-                writer = Writer(sink)
-            for a, rows in encoder(tokenizer).encode_all(batch.column("text")):
-                writer.add(batch.column("id").slice(a, len(rows)), [x + end for x in rows])
-        if writer is not None:
+        number = 0
+
+        def closed() -> pa.RecordBatch:
+            nonlocal writer, number
             writer.close()
             sink.close()
+            name = f"part-{shard:06d}-{number:05d}.tok"
             where.move(draft, f"{folder}/{name}")
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [name], "n_docs": [len(writer.doc_ends)], "n_ids": [writer.total]})
+            row = pa.RecordBatch.from_pydict({"shard": [shard], "file": [name], "n_docs": [len(writer.doc_ends)], "n_ids": [writer.total]})
+            writer, number = None, number + 1
+            return row
+
+        for batch in batches:
+            for a, rows in encoder(tokenizer).encode_all(batch.column("text")):
+                total = np.cumsum([len(x) // 4 + 1 for x in rows])
+                x = 0
+                while x < len(rows):
+                    if writer is None:
+                        where.create_dir(folder, recursive=True)
+                        draft = f"{folder}/.part-{uuid.uuid4().hex}"
+                        sink = where.open_output_stream(draft)
+                        writer = Writer(sink)
+                    room = FILE_IDS - writer.total + (int(total[x - 1]) if x else 0)
+                    y = min(int(np.searchsorted(total, room, "left")) + 1, x + FILE_DOCS - len(writer.doc_ends), len(rows))
+                    writer.add(batch.column("id").slice(a + x, y - x), [t + end for t in rows[x:y]])
+                    if writer.total >= FILE_IDS or len(writer.doc_ends) >= FILE_DOCS:
+                        yield closed()
+                    x = y
+        if writer is not None:
+            yield closed()
+        give_back()
 
     manifest = ranged.mapInArrow(run, "shard bigint, file string, n_docs bigint, n_ids bigint").collect()
     return sorted((r.shard, r.file, r.n_docs, r.n_ids) for r in manifest)
