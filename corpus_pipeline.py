@@ -32,7 +32,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of the ids and of the text decoded from them."""
     ids = bpe.encode(docs, queries.tokenizer())
-    return bpe.digests(bpe.decode(ids, queries.tokenizer()).withColumn("ids", F.col("token_ids")), queries.tokenizer()).withColumnRenamed("ids", "token_ids")
+    return bpe.digests(bpe.decode(ids, queries.tokenizer()).withColumn("ids", F.col("token_ids"))).withColumnRenamed("ids", "token_ids")
 
 
 STAGES = [
