@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.textkern import WS, BYTE, Hasher, mix, shingles, slices, words
-from gridloom.runtime import Scratch, give_back, ship
+from gridloom.runtime import Scratch, give_back, ship, unused
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 10
@@ -132,12 +132,14 @@ def host_rates(stats: DataFrame, reject_rate: float = REJECT_RATE) -> DataFrame:
 
 
 def keep(docs: DataFrame, text_col: str = "text", host_col: str = "source", reject_rate: float = REJECT_RATE) -> DataFrame:
-    """The documents that neither fail the base rules nor come from a rejected host, with all their columns; no text is moved."""
+    """The documents that neither fail the base rules nor come from a rejected host, with all their columns.
+
+    Texts are judged once: the documents are written with the outcome, from
+    which the hosts are counted, and read again.
+    """
+    ship(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "quality")
-    stats = scratch.table("stats", document_stats(docs.select(F.lit(None).cast("int").alias("_none"), host_col, text_col), "_none", text_col, host_col).select("host", "base_failed"))
-    bad = scratch.table("hosts", host_rates(stats, reject_rate).where("host_rejected").select(F.col("host").alias("_host")))
-    if bad.count() <= BROADCAST_HOSTS:
-        bad = F.broadcast(bad)
+    outcome, its_host = unused(docs, "base_failed"), unused(docs, "its_host")
 
     @F.arrow_udf("boolean")
     def failed(column: pa.Array) -> pa.Array:
@@ -146,7 +148,12 @@ def keep(docs: DataFrame, text_col: str = "text", host_col: str = "source", reje
         give_back()
         return pa.array(fails(x))
 
-    return docs.where(~failed(F.col(text_col))).join(bad, F.col(host_col).cast("string").eqNullSafe(F.col("_host")), "left_anti")
+    host = F.col(host_col).cast("string")
+    judged = scratch.table("judged", docs.withColumn(outcome, failed(F.col(text_col))))
+    rates = host_rates(judged.select(host.alias("host"), F.col(outcome).alias("base_failed")), reject_rate)
+    bad = scratch.table("hosts", rates.where("host_rejected").select(F.col("host").alias(its_host)))
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_HOSTS else bad
+    return judged.where(~F.col(outcome)).drop(outcome).join(bad, host.eqNullSafe(F.col(its_host)), "left_anti")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", reject_rate: float = REJECT_RATE) -> DataFrame:

@@ -498,6 +498,13 @@ def test_hosts_are_rejected(spark):
     assert {r.doc_id for r in quality.keep(df).collect()} == {k for k, r in got.items() if r.kept}
 
 
+def test_keep_with_clashing_names(spark):
+    good = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(1, good, "h", 1, 2, 3), (2, "few", "h", 1, 2, 3)], "doc_id int, text string, source string, _host int, base_failed int, its_host int")
+    out = quality.keep(df)
+    assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [(1, good, "h", 1, 2, 3)]
+
+
 # ---- 6, 8, 10 --------------------------------------------------------------
 
 
