@@ -24,7 +24,6 @@ import json
 import os
 import re
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.textkern import BYTE, Hasher, slices
+from gridloom.llm.textkern import BYTE, SLICE, Hasher, slices
 from gridloom.runtime import Scratch, give_back, partitions, ship
 
 #: Text bytes of a block: what one task holds at a time.
@@ -45,7 +44,7 @@ PART = 250_000
 #: Words, over all blocks, that a shard is made for.
 SHARD_WORDS = 1_000_000
 #: Words that a worker keeps with their ids; more only cost encoding them again.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_200_000
 
 # The split pattern of byte-level BPE vocabularies, over characters below U+0240:
 # 's|'t|'re|'ve|'m|'ll|'d| ?letters| ?numbers| ?others|spaces before the last one of a run|spaces
@@ -165,51 +164,65 @@ class WordEncoder:
         if len(new):
             if len(self.table) + len(new) > CACHE_WORDS:
                 self.table = _Table()
-                new = np.arange(len(known))
+                new, place = np.arange(len(known)), np.full(len(known), -1)
             raw = data.tobytes()
             words = [raw[a:b].decode() for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)]
+            place[new] = len(self.table) + np.arange(len(new))
             self.table.add(known[new], self.encode_words(words))
-            place = self.table.places(known)
         begin, size = self.table.begin[place][word], self.table.size[place][word]
         tokens = self.table.pool[ragged(begin, size)]
         return tokens, np.concatenate(([0], np.cumsum(size)))[first]
 
     def encode_all(self, strings: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         """(first row, ids of each row as little-endian unsigned 32-bit integers) for slices of a column."""
-        for a, _, offsets, data in slices(strings):
+        for a, _, offsets, data in slices(strings, 4 * SLICE):
             tokens, bounds = self.encode_slice(offsets, data)
             raw, cut = tokens.tobytes(), (bounds * 4).tolist()
             yield a, [raw[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
 
 
 class _Table:
-    """Words, by hash, with their ids in one array."""
+    """Words, by hash, with their ids in one array. Hashes are kept in order, the latest ones apart until they are many."""
 
     def __init__(self):
-        self.number: dict[int, int] = {}
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.known = [none, none]  # all, and the latest: hashes and numbers
         self.begin, self.size, self.pool = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, "<u4")
-        self.used = 0
+        self.words = self.used = 0
 
     def __len__(self) -> int:
-        return len(self.number)
+        return self.words
 
-    def places(self, known: np.ndarray) -> np.ndarray:
+    def places(self, wanted: np.ndarray) -> np.ndarray:
         """The number of each word, -1 if it is not there."""
-        get = self.number.get
-        return np.fromiter((get(h, -1) for h in known.tolist()), np.int64, len(known))
+        out = np.full(len(wanted), -1)
+        for keys, number in self.known:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                out = np.where(keys[at] == wanted, number[at], out)
+        return out
 
-    def add(self, known: np.ndarray, ids: list[bytes]) -> None:
-        at, size = len(self.number), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        end = self.used + int(size.sum())
-        while at + len(ids) > len(self.begin):
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        keys, number = (np.concatenate(x) for x in zip(a, b, strict=True))
+        order = np.argsort(keys, kind="stable")
+        return keys[order], number[order]
+
+    def add(self, wanted: np.ndarray, ids: list[bytes]) -> None:
+        """New words, by ascending hash."""
+        at, size = self.words, np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        self.words, end = at + len(ids), self.used + int(size.sum())
+        while self.words > len(self.begin):
             self.begin, self.size = (np.concatenate((x, np.zeros(len(x), np.int64))) for x in (self.begin, self.size))
         while end > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros(len(self.pool), "<u4")))
-        self.size[at : at + len(ids)] = size
-        self.begin[at : at + len(ids)] = self.used + np.cumsum(size) - size
+        self.size[at : self.words] = size
+        self.begin[at : self.words] = self.used + np.cumsum(size) - size
         self.pool[self.used : end] = np.frombuffer(b"".join(ids), "<u4")
         self.used = end
-        self.number.update(zip(known.tolist(), range(at, at + len(ids)), strict=True))
+        self.known[1] = self._merged(self.known[1], (wanted, np.arange(at, self.words)))
+        if len(self.known[1][0]) > max(1 << 16, len(self.known[0][0]) // 4):
+            self.known = [self._merged(*self.known), (np.zeros(0, np.uint64), np.zeros(0, np.int64))]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -222,12 +235,6 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-class _Codes(dict):
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 def _squeeze(raw: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(raw)
 
@@ -245,17 +252,27 @@ def unpack_numbers(raw: bytes) -> np.ndarray:
     return np.frombuffer(_expand(raw), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
-def pack_words(words: list[str]) -> bytes:
-    sizes = np.fromiter(map(len, words), "<u4", len(words)).tobytes()
-    return _squeeze(struct.pack("<I", len(words)) + sizes + "".join(words).encode())
+def pack_words(data: np.ndarray, sizes: np.ndarray) -> bytes:
+    """Words of ``sizes`` bytes, one after the other."""
+    return _squeeze(struct.pack("<I", len(sizes)) + sizes.astype("<u4").tobytes() + data.tobytes())
 
 
-def unpack_words(raw: bytes) -> list[str]:
+def unpack_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = _expand(raw)
     (n,) = struct.unpack_from("<I", raw)
-    cut = np.concatenate(([0], np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64))).tolist()
-    text = raw[4 + 4 * n :].decode()
-    return [text[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return np.frombuffer(raw, np.uint8, -1, 4 + 4 * n), np.frombuffer(raw, "<u4", n, 4).astype(np.int64)
+
+
+def word_hashes(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of words, a stretch at a time."""
+    end = np.cumsum(sizes)
+    out, a = [np.zeros(0, np.uint64)], 0
+    while a < len(sizes):
+        at = end[a] - sizes[a]
+        b = max(a + 1, int(np.searchsorted(end, at + (1 << 19), "right")))
+        out.append(Hasher(data[at : end[b - 1]], BYTE).of(end[a:b] - sizes[a:b] - at, end[a:b] - at))
+        a = b
+    return np.concatenate(out)
 
 
 def _column(x: pa.Array) -> bytes:
@@ -276,35 +293,32 @@ def _blocks(docs: DataFrame, tokenizer: str) -> DataFrame:
         from pyspark import TaskContext
 
         enc, part, k = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        number: dict[int, int] = {}  # of each distinct word of the block, by hash
-        words, ids, sizes, codes, held = [], [], [], [], 0
+        ids, sizes, texts, starts, hashes, held = [], [], [], [], [], 0
 
         def block() -> pa.RecordBatch:
             column = pa.concat_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in ids])
-            row = [(part << 32) + k, len(words), _column(column), pack_numbers(np.concatenate(sizes)), pack_numbers(np.concatenate(codes)), pack_words(words)]
+            known, at, code = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+            text, start = np.concatenate(texts), np.concatenate(starts)
+            size = np.diff(start, append=held)[at]
+            words = pack_words(text[ragged(start[at], size)], size)
+            row = [(part << 32) + k, len(known), _column(column), pack_numbers(np.concatenate(sizes)), pack_numbers(code), words]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], ["block", "n_words", "ids", "sizes", "codes", "words"])
 
         for batch in batches:
             for a, b, offsets, data in slices(batch.column("text")):
                 start, end, first = enc.bounds(offsets, data)
-                known, at, word = np.unique(Hasher(data, BYTE).of(start, end), return_index=True, return_inverse=True)
-                raw, code = data.tobytes(), np.zeros(len(known), "<u4")
-                for i, h in enumerate(known.tolist()):
-                    n = number.get(h)
-                    if n is None:
-                        number[h] = n = len(words)
-                        words.append(raw[start[at[i]] : end[at[i]]].decode())
-                    code[i] = n
                 ids.append(batch.column("id").slice(a, b - a))
                 sizes.append(np.diff(first))
-                codes.append(code[word])
+                texts.append(data)
+                starts.append(start + held)
+                hashes.append(Hasher(data, BYTE).of(start, end))
                 held += len(data)
                 if held >= BLOCK:
                     yield block()
-                    number, words, ids, sizes, codes, held, k = {}, [], [], [], [], 0, k + 1
+                    ids, sizes, texts, starts, hashes, held, k = [], [], [], [], [], 0, k + 1
         if ids:
             yield block()
-        number, words, ids, sizes, codes = {}, [], [], [], []
+        ids, sizes, texts, starts, hashes = [], [], [], [], []
         give_back()
 
     return docs.mapInArrow(run, "block bigint, n_words bigint, ids binary, sizes binary, codes binary, words binary")
@@ -316,14 +330,14 @@ def _dealt(blocks: DataFrame, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, raw in zip(batch.column("block").to_pylist(), batch.column("words"), strict=True):
-                words = unpack_words(raw.as_py())
-                shard = np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words)) % shards
+                data, size = unpack_words(raw.as_py())
+                shard = (word_hashes(data, size) % np.uint64(shards)).astype(np.int64)
                 order = np.argsort(shard, kind="stable")
                 cut = np.searchsorted(shard[order], np.arange(shards + 1))
                 full = np.flatnonzero(np.diff(cut))
-                own = [order[cut[s] : cut[s + 1]] for s in full]
+                own, start = [order[cut[s] : cut[s + 1]] for s in full], np.cumsum(size) - size
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(full, pa.int64()), pa.array([block] * len(full), pa.int64()), pa.array([pack_numbers(np.diff(x, prepend=0)) for x in own], pa.binary()), pa.array([pack_words([words[i] for i in x.tolist()]) for x in own], pa.binary())],
+                    [pa.array(full, pa.int64()), pa.array([block] * len(full), pa.int64()), pa.array([pack_numbers(np.diff(x, prepend=0)) for x in own], pa.binary()), pa.array([pack_words(data[ragged(start[x], size[x])], size[x]) for x in own], pa.binary())],
                     ["shard", "block", "at", "words"],
                 )
 
@@ -332,12 +346,17 @@ def _dealt(blocks: DataFrame, shards: int) -> DataFrame:
 
 def _encode_shard(tokenizer: str):
     def run(table: pa.Table) -> pa.Table:
-        enc, distinct = encoder(tokenizer), _Codes()
-        rows = [np.fromiter(map(distinct.__getitem__, unpack_words(x.as_py())), np.int64) for x in table.column("words")]
-        ids = enc.encode_words(list(distinct))  # each distinct word once
+        parts = [unpack_words(x.as_py()) for x in table.column("words")]
+        text, lengths = (np.concatenate([np.zeros(0, t), *(p[k] for p in parts)]) for k, t in ((0, np.uint8), (1, np.int64)))
+        known, at, word = np.unique(word_hashes(text, lengths), return_index=True, return_inverse=True)
+        end, raw = np.cumsum(lengths), text.tobytes()
+        distinct = [raw[a:b].decode() for a, b in zip((end[at] - lengths[at]).tolist(), end[at].tolist(), strict=True)]
+        ids = encoder(tokenizer).encode_words(distinct)  # each distinct word once
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        own = [(pack_numbers(size[x]), pack_numbers(np.frombuffer(b"".join([ids[i] for i in x.tolist()]), "<u4"))) for x in rows]
-        del ids, rows, distinct
+        pool, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        rows = np.split(word, np.cumsum([len(p[1]) for p in parts])[:-1])
+        own = [(pack_numbers(size[x]), pack_numbers(pool[ragged(start[x], size[x])])) for x in rows]
+        del ids, rows, distinct, text, raw, parts
         give_back()
         return pa.table({"block": table.column("block"), "at": table.column("at"), "sizes": pa.array([x for x, _ in own], pa.binary()), "tokens": pa.array([x for _, x in own], pa.binary())})
 

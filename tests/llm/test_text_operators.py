@@ -515,11 +515,14 @@ def library():
     return Tokenizer.from_file(queries.tokenizer())
 
 
-def test_words_are_split_as_the_library_does(library):
+@pytest.mark.parametrize("words", [bpe.CACHE_WORDS, 100])
+def test_words_are_split_as_the_library_does(library, monkeypatch, words):
+    monkeypatch.setattr(bpe, "SLICE", 1000)
     rng = random.Random(1)
     alphabet = [*"ab'sdtmrel \n\t\r\x0b\x0c\x1c\x1d\x1f\x85\xa0\xad0123²½ªéñ_-.,!×÷ȻɀΩж中٣\u2028\u3000😀́", "<|endoftext|>", "'ll"]
     texts = ["".join(rng.choices(alphabet[: rng.choice([33, 60])], k=rng.randint(0, 25))) for _ in range(6000)]
     enc = bpe.WordEncoder(queries.tokenizer())
+    monkeypatch.setattr(bpe, "CACHE_WORDS", words)
     for a, rows in enc.encode_all(pa.array(texts)):
         for j, x in enumerate(rows):
             assert np.frombuffer(x, "<u4").tolist() == library.encode(texts[a + j], add_special_tokens=False).ids, texts[a + j]
@@ -578,7 +581,11 @@ def test_other_tokenizers_are_refused():
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(max_size=12), max_size=20), st.lists(st.integers(0, 2**32 - 1), max_size=50))
 def test_packing(words, numbers):
-    assert bpe.unpack_words(bpe.pack_words(words)) == words
+    raw, sizes = "".join(words).encode(), [len(w.encode()) for w in words]
+    data, got = bpe.unpack_words(bpe.pack_words(np.frombuffer(raw, np.uint8), np.array(sizes, np.int64)))
+    assert data.tobytes() == raw and got.tolist() == sizes
+    h = bpe.word_hashes(data, got).tolist()
+    assert all((h[i] == h[j]) == (words[i] == words[j]) for i in range(len(h)) for j in range(i))
     assert bpe.unpack_numbers(bpe.pack_numbers(np.array(numbers, "<u4"))).tolist() == numbers
     assert jaccard.unpack(jaccard.pack(np.array(sorted(numbers), np.uint64), True), True).tolist() == sorted(numbers)
 
