@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,8 +64,26 @@ def explode_chunks(pages: DataFrame) -> DataFrame:
     return rows.withColumn("data_width", F.least(F.col("chunk_width").cast("bigint"), F.col("width") - F.col("x0"))).withColumn("data_height", F.least(F.col("chunk_height").cast("bigint"), F.col("height") - F.col("y0")))
 
 
-def region_chunks(chunks: DataFrame, regions: DataFrame, chunk_width: int, chunk_height: int) -> DataFrame:
-    """Chunks that regions (region, left, top, right, bottom; the ends excluded) overlap: an equi-join on grid cells, to which each region is spread first."""
+def region_chunks(chunks: DataFrame, regions: DataFrame, chunk_width: int, chunk_height: int, on: Sequence[str] = ()) -> DataFrame:
+    """Chunks that regions (region, left, top, right, bottom; the ends excluded) overlap: an equi-join on grid cells, to which each region is spread first. ``on`` names columns of both that say which page a chunk or region belongs to (path and page_index, say); without, a region is meant for every page."""
     cell = lambda a, b, n: F.sequence(F.floor(F.col(a) / n), F.floor((F.col(b) - 1) / n))
     spread = regions.where("right > left and bottom > top").withColumn("column", F.explode(cell("left", "right", chunk_width))).withColumn("row", F.explode(cell("top", "bottom", chunk_height)))
-    return chunks.join(spread, ["column", "row"])
+    return chunks.join(spread, [*on, "column", "row"])
+
+
+def plane_bytes(width: Column, height: Column, dtype_bytes: Column, samples: Column, planar: Column) -> Column:
+    """Bytes of a decoded plane: of all samples if they lie together, of one if not."""
+    return (width.cast("bigint") * height * dtype_bytes * samples_per_chunk_pixel(samples, planar)).cast("bigint")
+
+
+def buffer_layout(width: Column, height: Column, dtype_bytes: Column, samples: Column, planar: Column) -> Column:
+    """How a decoded image or chunk of that size lies in memory: bytes of a pixel, of a row and of a plane, planes, and bytes of all."""
+    pixel = (dtype_bytes * samples_per_chunk_pixel(samples, planar)).cast("bigint")
+    plane = plane_bytes(width, height, dtype_bytes, samples, planar)
+    n = planes(samples, planar)
+    return F.struct(pixel.alias("pixel_bytes"), (pixel * width).cast("bigint").alias("row_stride"), plane.alias("plane_stride"), n.alias("planes"), (plane * n).alias("complete_len"))
+
+
+def layout_error(across: Column, chunk_width: Column, bits: Column, chunk_samples: Column, photometric: Column, chroma: Column, compression: Column) -> Column:
+    """Why the chunks of a page cannot be read out, or null: rows of several tiles that do not end on a byte, or subsampled chroma outside JPEG."""
+    return F.when((photometric == 6) & (compression != 7) & ~((F.get(chroma, 0) == 1) & (F.get(chroma, 1) == 1)), "ChromaSubsampling").when((across > 1) & (F.pmod(chunk_width * bits * chunk_samples, F.lit(8)) != 0), "MisalignedTileBoundaries")

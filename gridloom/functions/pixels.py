@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.runtime import unused
+
 
 def wrap(value: Column, bits: int) -> Column:
     """A whole number modulo 2 ** bits, for up to 62 bits."""
@@ -27,6 +29,11 @@ def lab_bias(value: Column) -> Column:
     return F.pmod(value + 128, F.lit(256))
 
 
+def expand(value: Column, bits: int) -> Column:
+    """A sample of 1, 2 or 4 bits on the scale of 8 bits."""
+    return value * (255 // ((1 << bits) - 1))
+
+
 def byte_swap(value: Column, size: int) -> Column:
     """The other byte order of an unsigned number of ``size`` bytes, up to 4."""
     out = F.lit(0).cast("bigint")
@@ -59,8 +66,15 @@ def undo_horizontal(samples: DataFrame, row: Sequence[str], x: str, difference:
 
 
 def palette(indices: DataFrame, color_map: DataFrame, index: str = "value") -> DataFrame:
-    """Colours of palette indices; ``color_map`` (index, red, green, blue) has at most 65 536 rows, and is broadcast."""
-    return indices.join(F.broadcast(color_map), indices[index] == color_map["index"])
+    """Colours of palette indices; ``color_map`` (index, red, green, blue) is that of one page, broadcast if it has the 65 536 rows at most that one can have."""
+    small = color_map.limit(65_537).count() <= 65_536
+    return indices.join(F.broadcast(color_map) if small else color_map, indices[index] == color_map["index"])
+
+
+def page_colors(samples: DataFrame, pages: DataFrame) -> DataFrame:
+    """Samples of palette pages with their colours (red, green, blue), each by its own page's map."""
+    maps = palette_rows(pages)
+    return samples.join(maps, (samples["path"] == maps["path"]) & (samples["page_index"] == maps["page_index"]) & (samples["value"].cast("int") == maps["index"])).select(*(samples[c] for c in samples.columns), "red", "green", "blue")
 
 
 def palette_rows(pages: DataFrame) -> DataFrame:
@@ -73,6 +87,7 @@ def palette_rows(pages: DataFrame) -> DataFrame:
 def runs(values: DataFrame, key: Sequence[str], order: str, value: str) -> DataFrame:
     """Runs of equal values: key, start, value, n."""
     w = Window.partitionBy(*key).orderBy(order)
-    marked = values.withColumn("_new", F.when(F.lag(value).over(w).eqNullSafe(F.col(value)) & (F.row_number().over(w) > 1), 0).otherwise(1))
-    numbered = marked.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*key, "_run").agg(F.min(order).alias("start"), F.first(value).alias("value"), F.count(F.lit(1)).alias("n")).drop("_run")
+    new, run = unused(values, "new"), unused(values, "run")
+    marked = values.withColumn(new, F.when(F.lag(value).over(w).eqNullSafe(F.col(value)) & (F.row_number().over(w) > 1), 0).otherwise(1))
+    numbered = marked.withColumn(run, F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*key, run).agg(F.min(order).alias("start"), F.first(value).alias("value"), F.count(F.lit(1)).alias("n")).drop(run)

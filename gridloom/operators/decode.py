@@ -11,11 +11,15 @@ from gridloom.sources.page import Page
 
 
 def chunk_bytes(src: Source, page: Page, chunk: int, limits: Limits = Limits()) -> bytes:
-    """The stored bytes of a chunk. Uncompressed chunks may be cut short by the end of the file."""
-    at, n = page.offsets[chunk], page.counts[chunk]
+    """The stored bytes of a chunk."""
+    return stored_bytes(src, page.compression, page.offsets[chunk], page.counts[chunk], limits)
+
+
+def stored_bytes(src: Source, compression: int, at: int, n: int, limits: Limits = Limits()) -> bytes:
+    """The bytes of a chunk by its place in the file. Uncompressed ones may be cut short by the end of the file."""
     if n > limits.chunk:
         raise RasterError("LimitsExceeded", n)
-    return src.up_to(at, n) if page.compression == 1 else src.take(at, n)
+    return src.up_to(at, n) if compression == 1 else src.take(at, n)
 
 
 def decode_rows(page: Page, chunk: int, raw: bytes, limits: Limits = Limits(), reference_order: bool = False) -> np.ndarray:
@@ -71,17 +75,27 @@ def decode_chunk(page: Page, chunk: int, raw: bytes, limits: Limits = Limits(),
     return out
 
 
+def planes_read(page: Page, limits: Limits = Limits(), first_plane_only: bool = False) -> int:
+    """How many planes of a page the limit of results holds: all, or else the first alone; none is an error."""
+    _, bands = page.color
+    plane = page.width * page.height * S.sample_type(page.bits, page.format).itemsize * (1 if page.planar == 2 else bands)
+    planes = bands if page.planar == 2 else 1
+    if first_plane_only or plane * planes > limits.decoded:
+        planes = 1
+    if plane * planes > limits.decoded:
+        raise RasterError("LimitsExceeded", plane * planes)
+    return planes
+
+
 def read_image(src: Source, page: Page, limits: Limits = Limits(), first_plane_only: bool = False) -> np.ndarray:
-    """All samples (height, width, bands) of a page, from all its chunks."""
+    """The samples (height, width, bands) of a page, from all its chunks; of bands that lie apart only the first, if all are beyond the limit."""
     _, bands = page.color
     dtype = S.sample_type(page.bits, page.format)
-    shown = 1 if page.planar == 2 and first_plane_only else bands
-    if page.width * page.height * shown * dtype.itemsize > limits.decoded:
-        raise RasterError("LimitsExceeded", page.width * page.height * shown * dtype.itemsize)
-    out = np.zeros((page.height, page.width, shown), dtype)
+    planes = planes_read(page, limits, first_plane_only)
+    out = np.zeros((page.height, page.width, planes if page.planar == 2 else bands), dtype)
     for chunk in range(page.chunks):
         plane, x, y, w, h = page.place(chunk)
-        if page.planar == 2 and plane >= shown:
+        if plane >= planes:
             continue
         part = decode_chunk(page, chunk, chunk_bytes(src, page, chunk, limits), limits)
         if page.planar == 2:

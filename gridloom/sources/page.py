@@ -46,7 +46,7 @@ class Page:
 
     @property
     def chunks(self) -> int:
-        return len(self.offsets)
+        return self.across * self.down * self.planes
 
     @property
     def chunk_samples(self) -> int:

@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from gridloom.functions.domains import TAGS
-from gridloom.operators.decode import chunk_bytes, decode_chunk
+from gridloom.operators.decode import chunk_bytes, decode_chunk, planes_read, stored_bytes
 from gridloom.runtime import ship
 from gridloom.sources.container import Header, Limits, RasterError, Source, Tags, Value, read_directory, read_header, value_bytes, walk
 from gridloom.sources.page import Page, read_page
@@ -89,8 +90,8 @@ class _Opened:
             self.file.close()
 
 
-def _each(files: DataFrame, schema: str, make, options: Options, batch_rows: int = 256) -> DataFrame:
-    """A table made of what ``make(path, source)`` yields for each file, as dicts; errors on the way become rows."""
+def _each(files: DataFrame, schema: str, make, options: Options, batch_rows: int = 256, more: tuple[str, ...] = ()) -> DataFrame:
+    """A table made of what ``make(path, source, *more columns)`` yields for each file, as dicts; errors on the way become rows."""
     ship(files.sparkSession)
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     failfast = options.mode == "FAILFAST"
@@ -98,10 +99,10 @@ def _each(files: DataFrame, schema: str, make, options: Options, batch_rows: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            for path, content, *own in zip(batch.column("path").to_pylist(), batch.column("content"), *(batch.column(c).to_pylist() for c in more), strict=True):
                 try:
                     with _Opened(path, content.as_py()) as src:
-                        for row in make(path, src):
+                        for row in make(path, src, *own):
                             if failfast and row.get("error_kind"):
                                 raise RasterError(row["error_kind"], row["error_detail"])
                             rows.append(row)
@@ -111,11 +112,11 @@ def _each(files: DataFrame, schema: str, make, options: Options, batch_rows: int
                 except RasterError as e:
                     if failfast:
                         raise
-                    rows.append({"path": path, "error_kind": e.kind, "error_detail": e.detail})
+                    rows.append({"path": path, **dict(zip(more, own, strict=True)), "error_kind": e.kind, "error_detail": e.detail})
         if rows:
             yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    return files.select("path", "content").mapInArrow(run, schema)
+    return files.select("path", "content", *more).mapInArrow(run, schema)
 
 
 def _directories(src: Source, o: Options):
@@ -188,43 +189,34 @@ def value_struct(v: Value, raw: bytes | None) -> dict:
 
 
 def tags(table: DataFrame, options: Options = Options(), pointers: bool = False) -> DataFrame:
-    """A row per tag of every directory in the chain. With ``pointers``, ``table`` has a column ``ifd_offset`` too, and that directory alone is read: a sub-directory, whose page_index is null."""
+    """A row per tag of every directory in the chain, with its value and the bytes of it as they are stored. With ``pointers``, ``table`` has a column ``ifd_offset`` too, and that directory alone is read: a sub-directory, whose page_index is null."""
+    if pointers:
+        return _each(table, TAG_ROWS, lambda path, src, at: _pointed_rows(path, src, at, options), options, more=("ifd_offset",))
+    return _each(table, TAG_ROWS, lambda path, src: _tag_rows(path, src, options), options)
 
-    def rows(path: str, i: int | None, d, head: Header, src: Source):
-        t = Tags(src, head, d, options.limits)
-        for tag, e in d.entries.items():
-            row = {"path": path, "page_index": i, "ifd_offset": d.offset, "tag": tag, "name": TAGS.get(tag), "type": e.type, "count": e.count}
-            try:
-                row["value"] = value_struct(t.get(tag), value_bytes(src, head, e, options.limits.tag) if e.type in (1, 7) else None)
-            except RasterError as x:
-                row |= {"error_kind": x.kind, "error_detail": x.detail}
-            yield row
 
-    def make(path: str, src: Source):
-        for head, i, d in _directories(src, options):
-            if isinstance(d, RasterError):
-                yield {"path": path, "page_index": i, "error_kind": d.kind, "error_detail": d.detail}
-            else:
-                yield from rows(path, i, d, head, src)
+def _tags_of(path: str, i: int | None, d, head: Header, src: Source, o: Options):
+    t = Tags(src, head, d, o.limits)
+    for tag, e in d.entries.items():
+        row = {"path": path, "page_index": i, "ifd_offset": d.offset, "tag": tag, "name": TAGS.get(tag), "type": e.type, "count": e.count}
+        try:
+            row["value"] = value_struct(t.get(tag), value_bytes(src, head, e, o.limits.tag))
+        except RasterError as x:
+            row |= {"error_kind": x.kind, "error_detail": x.detail}
+        yield row
 
-    if not pointers:
-        return _each(table, TAG_ROWS, make, options)
-    ship(table.sparkSession)
-    arrow = to_arrow_schema(StructType.fromDDL(TAG_ROWS))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[dict] = []
-            for path, content, at in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), batch.column("ifd_offset").to_pylist(), strict=True):
-                try:
-                    with _Opened(path, content) as src:
-                        head = read_header(src)
-                        out += rows(path, None, read_directory(src, head, at), head, src)
-                except RasterError as e:
-                    out.append({"path": path, "ifd_offset": at, "error_kind": e.kind, "error_detail": e.detail})
-            yield pa.RecordBatch.from_pylist(out, arrow)
+def _pointed_rows(path: str, src: Source, at: int, o: Options):
+    head = read_header(src)
+    yield from _tags_of(path, None, read_directory(src, head, at), head, src, o)
 
-    return table.select("path", "content", "ifd_offset").mapInArrow(run, TAG_ROWS)
+
+def _tag_rows(path: str, src: Source, o: Options):
+    for head, i, d in _directories(src, o):
+        if isinstance(d, RasterError):
+            yield {"path": path, "page_index": i, "error_kind": d.kind, "error_detail": d.detail}
+        else:
+            yield from _tags_of(path, i, d, head, src, o)
 
 
 DIRECTORIES = "path string, page_index int, ifd_offset bigint, next_ifd bigint, entries map<int, struct<type: int, count: bigint, raw: binary>>, error_kind string, error_detail string"
@@ -232,15 +224,15 @@ DIRECTORIES = "path string, page_index int, ifd_offset bigint, next_ifd bigint,
 
 def directories(table: DataFrame, options: Options = Options()) -> DataFrame:
     """A row per directory of the chain with its entries as a map by tag, values not followed: for ``element_at``, ``map_contains_key``, ``map_concat`` and the like."""
+    return _each(table, DIRECTORIES, lambda path, src: _directory_rows(path, src, options), options)
 
-    def make(path: str, src: Source):
-        for _, i, d in _directories(src, options):
-            if isinstance(d, RasterError):
-                yield {"path": path, "page_index": i, "error_kind": d.kind, "error_detail": d.detail}
-            else:
-                yield {"path": path, "page_index": i, "ifd_offset": d.offset, "next_ifd": d.next, "entries": [(t, {"type": e.type, "count": e.count, "raw": e.raw}) for t, e in d.entries.items()]}
 
-    return _each(table, DIRECTORIES, make, options)
+def _directory_rows(path: str, src: Source, o: Options):
+    for _, i, d in _directories(src, o):
+        if isinstance(d, RasterError):
+            yield {"path": path, "page_index": i, "error_kind": d.kind, "error_detail": d.detail}
+        else:
+            yield {"path": path, "page_index": i, "ifd_offset": d.offset, "next_ifd": d.next, "entries": [(t, {"type": e.type, "count": e.count, "raw": e.raw}) for t, e in d.entries.items()]}
 
 
 def extended(entries: F.Column, more: F.Column) -> F.Column:
@@ -256,15 +248,16 @@ def directory_size(n_tags: F.Column, big: F.Column) -> F.Column:
 def _layout(p: Page) -> str:
     """What decoding one chunk needs, without the lists of all chunks."""
     plain = {k: v for k, v in p.__dict__.items() if k not in ("offsets", "counts", "color_map", "jpeg_tables")}
-    plain |= {"jpeg_tables": p.jpeg_tables.hex() if p.jpeg_tables else None, "chunks": p.chunks}
-    return json.dumps(plain)
+    return json.dumps(plain | {"jpeg_tables": p.jpeg_tables.hex() if p.jpeg_tables else None})
 
 
+@lru_cache(maxsize=64)
 def page_of(layout: str) -> Page:
+    """The page of a layout; where its chunks are is not part of it."""
     d = json.loads(layout)
-    n, tables = d.pop("chunks"), d.pop("jpeg_tables")
     d["chroma"] = tuple(d["chroma"])
-    return Page(**d, offsets=[0] * n, counts=[0] * n, color_map=None, jpeg_tables=bytes.fromhex(tables) if tables else None)
+    tables = d.pop("jpeg_tables")
+    return Page(**d, offsets=[], counts=[], color_map=None, jpeg_tables=bytes.fromhex(tables) if tables else None)
 
 
 def chunks(table: DataFrame, options: Options = Options()) -> DataFrame:
@@ -314,13 +307,13 @@ def _decoded_rows(path: str, src: Source, o: Options, wanted: set[int] | None =
             yield p
             continue
         try:
-            bands = p.color[1]
+            planes = planes_read(p, o.limits, o.first_plane_only)
         except RasterError as e:
             yield {"path": path, "page_index": i, "error_kind": e.kind, "error_detail": e.detail}
             continue
         for c in range(p.chunks):
             plane, x, y, w, h = p.place(c)
-            if p.planar == 2 and (plane >= bands or (o.first_plane_only and plane)):
+            if plane >= planes:
                 continue
             base = {"path": path, "page_index": i, "chunk_index": c, "plane": plane, "x0": x, "y0": y, "data_width": w, "data_height": h}
             try:
@@ -329,12 +322,23 @@ def _decoded_rows(path: str, src: Source, o: Options, wanted: set[int] | None =
                 yield base | {"error_kind": e.kind, "error_detail": e.detail}
 
 
+_ROWS = {
+    "files": lambda p, src, o, wanted: _file_rows(p, src),
+    "pages": lambda p, src, o, wanted: _page_rows(p, src, o),
+    "tags": lambda p, src, o, wanted: _tag_rows(p, src, o),
+    "directories": lambda p, src, o, wanted: _directory_rows(p, src, o),
+    "chunks": lambda p, src, o, wanted: _chunk_rows(p, src, o),
+    "decoded": lambda p, src, o, wanted: _decoded_rows(p, src, o, wanted),
+}
+
+
 def file_rows(path: str, content: bytes | None, table: str, o: Options, wanted: set[int] | None = None):
-    """Rows of one table (files, pages, chunks or decoded) for one file, as dicts."""
-    make = {"files": lambda p, s: _file_rows(p, s), "pages": lambda p, s: _page_rows(p, s, o), "chunks": lambda p, s: _chunk_rows(p, s, o), "decoded": lambda p, s: _decoded_rows(p, s, o, wanted)}[table]
+    """Rows of one table (files, pages, tags, directories, chunks or decoded) for one file, as dicts."""
     try:
         with _Opened(path, content) as src:
-            for row in make(path, src):
+            for row in _ROWS[table](path, src, o, wanted):
+                if o.mode == "FAILFAST" and row.get("error_kind"):
+                    raise RasterError(row["error_kind"], row["error_detail"])
                 if wanted is None or row.get("page_index") is None or row["page_index"] in wanted:
                     yield row
     except RasterError as e:
@@ -357,8 +361,8 @@ def decode_ranges(chunk_rows: DataFrame, options: Options = Options()) -> DataFr
                 try:
                     with _Opened(r["path"], None) as src:
                         p = page_of(r["layout"])
-                        p.offsets[r["chunk_index"]], p.counts[r["chunk_index"]] = r["file_offset"], r["byte_count"]
-                        out.append(_decoded_row(base, p, r["chunk_index"], chunk_bytes(src, p, r["chunk_index"], options.limits), options))
+                        raw = stored_bytes(src, p.compression, r["file_offset"], r["byte_count"], options.limits)
+                        out.append(_decoded_row(base, p, r["chunk_index"], raw, options))
                 except RasterError as e:
                     if options.mode == "FAILFAST":
                         raise
@@ -372,6 +376,24 @@ def decode_ranges(chunk_rows: DataFrame, options: Options = Options()) -> DataFr
     return chunk_rows.where("error_kind is null").select(*keep, "file_offset", "byte_count", "layout").mapInArrow(run, DECODED)
 
 
+def sample_batches(r: dict, exact: bool, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The samples of a row of ``decode``, in batches of bounded size."""
+    if r.get("data") is None:
+        return
+    a = np.frombuffer(r["data"], "<" + r["dtype"])
+    w, bands = r["data_width"], r["bands"]
+    n, step = len(a), 1 << 18
+    for at in range(0, n, step):
+        k = np.arange(at, min(n, at + step))
+        part = a[at : at + step]
+        value = pa.array(part.astype(np.float64))
+        whole = pa.array(part.astype(f"{a.dtype.kind}8")).cast(arrow.field("exact").type) if exact and a.dtype.kind in "ui" else pa.nulls(len(k), arrow.field("exact").type)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r["path"]]).take(pa.array(np.zeros(len(k), np.int64))), pa.array(np.full(len(k), r["page_index"], np.int32)), pa.array((r["x0"] + k // bands % w).astype(np.int32)), pa.array((r["y0"] + k // (bands * w)).astype(np.int32)), pa.array((k % bands + r["plane"]).astype(np.int32)), value, whole],
+            schema=arrow,
+        )
+
+
 def samples(decoded: DataFrame, exact: bool = False) -> DataFrame:
     """A row per sample of decoded chunks; ``exact`` fills the decimal column, which 64-bit integers need."""
     ship(decoded.sparkSession)
@@ -380,24 +402,34 @@ def samples(decoded: DataFrame, exact: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                if r["data"] is None:
-                    continue
-                a = np.frombuffer(r["data"], "<" + r["dtype"])
-                h, w, bands = r["data_height"], r["data_width"], r["bands"]
-                n, step = len(a), 1 << 18
-                for at in range(0, n, step):
-                    k = np.arange(at, min(n, at + step))
-                    part = a[at : at + step]
-                    value = pa.array(part.astype(np.float64))
-                    whole = pa.array(part.astype(f"{a.dtype.kind}8")).cast(arrow.field("exact").type) if exact and a.dtype.kind in "ui" else pa.nulls(len(k), arrow.field("exact").type)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([r["path"]]).take(pa.array(np.zeros(len(k), np.int64))), pa.array(np.full(len(k), r["page_index"], np.int32)), pa.array((r["x0"] + k // bands % w).astype(np.int32)), pa.array((r["y0"] + k // (bands * w)).astype(np.int32)), pa.array((k % bands + r["plane"]).astype(np.int32)), value, whole],
-                        schema=arrow,
-                    )
+                yield from sample_batches(r, exact, arrow)
 
     return decoded.mapInArrow(run, SAMPLES)
 
 
+IMAGES = "path string, page_index int, width bigint, height bigint, bands int, dtype string, data binary"
+
+
+def images(decoded: DataFrame) -> DataFrame:
+    """Whole pages of decoded chunks: little-endian samples (rows, columns, bands) in ``data``, bands that lay apart beside each other. A page is put together in one task, so it must fit there; pages with a chunk that failed are left out."""
+    ship(decoded.sparkSession)
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        if any(r["data"] is None for r in rows):
+            return pa.schema(to_arrow_schema(StructType.fromDDL(IMAGES))).empty_table()
+        width, height = (max(r[a] + r[b] for r in rows) for a, b in (("x0", "data_width"), ("y0", "data_height")))
+        bands = max(r["plane"] + r["bands"] for r in rows)
+        out = np.zeros((height, width, bands), "<" + rows[0]["dtype"])
+        for r in rows:
+            x, y, w, h, n = (r[c] for c in ("x0", "y0", "data_width", "data_height", "bands"))
+            out[y : y + h, x : x + w, r["plane"] : r["plane"] + n] = np.frombuffer(r["data"], out.dtype).reshape(h, w, n)
+        row = {"path": rows[0]["path"], "page_index": rows[0]["page_index"], "width": width, "height": height, "bands": bands, "dtype": rows[0]["dtype"], "data": out.tobytes()}
+        return pa.Table.from_pylist([row], to_arrow_schema(StructType.fromDDL(IMAGES)))
+
+    return decoded.select("path", "page_index", "plane", "x0", "y0", "data_width", "data_height", "bands", "dtype", "data").groupBy("path", "page_index").applyInArrow(run, IMAGES)
+
+
 def coding_units(decoded: DataFrame) -> DataFrame:
     """Chunks of all planes at the same place, as a list ordered by plane."""
     return decoded.where("error_kind is null").groupBy("path", "page_index", "x0", "y0", "data_width", "data_height", "dtype").agg(F.transform(F.sort_array(F.collect_list(F.struct("plane", "data"))), lambda s: s["data"]).alias("planes"))

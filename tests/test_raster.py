@@ -43,10 +43,10 @@ def hand_made(photometric, data, order="<", width=2, height=2, bits=8, samples=1
 def test_tags_of_a_written_page(big, at):
     a = np.add.outer(np.arange(100), np.arange(100)).astype(np.uint8)
     w = RasterWriter(big)
-    w.image(np.stack([a] * 3, -1), "RGB", tags={CODE["Artist"]: tag(2, "Image-tiff")})
+    w.image(np.stack([a] * 3, -1), "RGB", tags={CODE["Artist"]: tag(2, "grid maker")})
     src, head, (d,) = opened(w.finish())
     got = {t: [x.value for x in v.value] if v.kind == "List" else v.value for t, v in Tags(src, head, d)}
-    assert got == {256: 100, 257: 100, 258: [8, 8, 8], 259: 1, 262: 2, 273: at, 277: 3, 278: 3334, 279: 30000, 282: (1, 1), 283: (1, 1), 296: 1, 315: "Image-tiff", 317: 1, 339: [1, 1, 1]}
+    assert got == {256: 100, 257: 100, 258: [8, 8, 8], 259: 1, 262: 2, 273: at, 277: 3, 278: 3334, 279: 30000, 282: (1, 1), 283: (1, 1), 296: 1, 315: "grid maker", 317: 1, 339: [1, 1, 1]}
     assert list(got) == sorted(got)
     assert Tags(src, head, d).get(256).kind == "Unsigned" and Tags(src, head, d).get(273).kind == ("UnsignedBig" if big else "Unsigned")
 
