@@ -1,13 +1,17 @@
-"""Writes pages into a tagged raster file held in memory: classic or 64-bit offsets, strips, native byte order.
+"""Writes pages into a tagged raster file: classic or 64-bit offsets, strips, native byte order.
 
-Pages are chained; directories outside the chain can be added and pointed at.
+A page can be written at once or strip by strip, so a page may be larger than
+memory if the writer has a file on disk. Pages are chained; directories
+outside the chain can be added and pointed at.
 """
 
 from __future__ import annotations
 
+import io
 import struct
 import sys
 from collections.abc import Sequence
+from typing import BinaryIO
 
 import numpy as np
 
@@ -47,24 +51,34 @@ def tag(kind: int, value: object) -> tuple[int, int, bytes]:
 
 
 class RasterWriter:
-    """One file; ``finish`` gives its bytes."""
+    """One file, in memory or in ``file``, a binary file that can seek; ``finish`` gives its bytes, or that file."""
 
-    def __init__(self, big: bool = False):
-        self.big = big
+    def __init__(self, big: bool = False, file: BinaryIO | None = None):
+        self.big, self.file = big, file
+        self.out = io.BytesIO() if file is None else file
+        self.size = 0
         head = b"II" if ORDER == "<" else b"MM"
-        self.raw = bytearray(head + (struct.pack(ORDER + "HHHQ", 43, 8, 0, 0) if big else struct.pack(ORDER + "HI", 42, 0)))
-        self.link = len(self.raw) - (8 if big else 4)
+        self.append(head + (struct.pack(ORDER + "HHHQ", 43, 8, 0, 0) if big else struct.pack(ORDER + "HI", 42, 0)))
+        #: Where the offset of the next directory goes.
+        self.link = self.size - (8 if big else 4)
 
     def append(self, data: bytes) -> int:
-        """Put bytes at the end, on a multiple of 4 in a classic file's value area; gives their offset."""
-        at = len(self.raw)
+        """Put bytes at the end; gives their offset."""
+        at = self.size
         if not self.big and at + len(data) >= 1 << 32:
             raise RasterError("IntSizeError", "a classic file ends at 4 GB")
-        self.raw += data
+        self.out.write(data)
+        self.size += len(data)
         return at
 
+    def patch(self, at: int, offset: int) -> None:
+        """Write an offset over one that is there."""
+        self.out.seek(at)
+        self.out.write(struct.pack(ORDER + ("Q" if self.big else "I"), offset))
+        self.out.seek(self.size)
+
     def _align(self) -> None:
-        self.raw += b"\0" * (-len(self.raw) % 4)
+        self.append(b"\0" * (-self.size % 4))
 
     def place(self, tags: dict[int, tuple[int, int, bytes]]) -> dict[int, int]:
         """Write the values that do not fit into a directory; gives their offsets by tag."""
@@ -93,64 +107,97 @@ class RasterWriter:
         at = self.append(body)
         link = self.append(struct.pack(ORDER + number, 0))
         if chained:
-            struct.pack_into(ORDER + number, self.raw, self.link, at)
+            self.patch(self.link, at)
             self.link = link
         return at
 
-    def image(self, pixels: np.ndarray, color: str = "Gray", compression: int = 1, predictor: int = 1, level: int = 0, rows_per_strip: int | None = None, extra: Sequence[int] = (), resolution: tuple | None = None, tags: dict | None = None) -> int:
-        """Write a page of (height, width, bands) samples; bands beyond the colour's are extra samples."""
-        photometric, bands, depths = COLORS[color]
+    def page(self, width: int, height: int, dtype: str, color: str = "Gray", compression: int = 1, predictor: int = 1, level: int = 0, rows_per_strip: int | None = None, extra: Sequence[int] = (), resolution: tuple | None = None, tags: dict | None = None) -> StripPage:
+        """Begin a page whose strips follow, top to bottom; bands beyond the colour's are extra samples."""
+        return StripPage(self, width, height, np.dtype(dtype), color, compression, predictor, level, rows_per_strip, extra, resolution, tags or {})
+
+    def image(self, pixels: np.ndarray, color: str = "Gray", compression: int = 1, predictor: int = 1, **how) -> int:
+        """Write a page of (height, width, bands) samples; gives its directory's offset. ``how`` as for ``page``."""
         if pixels.ndim == 2:
             pixels = pixels[:, :, None]
-        h, w, n = pixels.shape
-        if not h or not w:
-            raise RasterError("InvalidDimensions", f"{w}x{h}")
-        kind = {"u": "u", "i": "i", "f": "f"}.get(pixels.dtype.kind)
-        bits = pixels.dtype.itemsize * 8
-        if kind is None or f"{kind}{bits}" not in depths.split():
-            raise RasterError("UnsupportedColorType", f"{color} of {pixels.dtype}")
-        if n != bands + len(extra):
-            raise RasterError("InconsistentSizesEncountered", f"{n} bands for {color} and {len(extra)} extra samples")
+        page = self.page(pixels.shape[1], pixels.shape[0], pixels.dtype, color, compression, predictor, **how)
+        if pixels.shape[2] != page.samples:
+            raise RasterError("InconsistentSizesEncountered", f"{pixels.shape[2]} bands for {color} and {len(page.extra)} extra samples")
+        page.begin()
+        for y in range(0, len(pixels), page.rows):
+            page.strip(pixels[y : y + page.rows])
+        return page.close()
+
+    def finish(self) -> bytes | BinaryIO:
+        return self.out.getvalue() if self.file is None else self.file
+
+
+class StripPage:
+    """A page being written."""
+
+    def __init__(self, writer: RasterWriter, width: int, height: int, dtype: np.dtype, color: str, compression: int, predictor: int, level: int, rows_per_strip: int | None, extra: Sequence[int], resolution: tuple | None, tags: dict):
+        self.photometric, bands, depths = COLORS[color]
+        if not height or not width:
+            raise RasterError("InvalidDimensions", f"{width}x{height}")
+        kind = {"u": "u", "i": "i", "f": "f"}.get(dtype.kind)
+        if kind is None or f"{kind}{dtype.itemsize * 8}" not in depths.split():
+            raise RasterError("UnsupportedColorType", f"{color} of {dtype}")
         if (predictor == 2 and kind == "f") or (predictor == 3 and kind != "f"):
-            raise RasterError("PredictorIncompatible", f"{predictor} with {pixels.dtype}")
-        row = w * n * pixels.dtype.itemsize
-        strip = rows_per_strip or (1 if compression == 32773 else -(-STRIP // row))
-        sample_kind = {"u": 1, "i": 2, "f": 3}[kind]
-        lead = {CODE["BitsPerSample"]: tag(3, [bits] * n), CODE["SampleFormat"]: tag(3, [sample_kind] * n)} | (tags or {})
-        placed = self.place(lead)
-        offsets, counts = [], []
-        flat = np.ascontiguousarray(pixels).reshape(h, w * n)
-        for y in range(0, h, strip):
-            part = flat[y : y + strip]
-            if predictor == 2:
-                part = S.horizontal(part.view(f"u{bits // 8}"), n, bits)
-            elif predictor == 3:
-                part = S.float_predict(part, n)
-            data = encode(compression, part.tobytes(), level)
-            offsets.append(self.append(data))
-            counts.append(len(data))
-        wide = 16 if self.big else 4
-        alphas = [EXTRA[color]] if color in EXTRA else []
-        res = resolution or (1, (1, 1), (1, 1))
+            raise RasterError("PredictorIncompatible", f"{predictor} with {dtype}")
+        self.writer, self.width, self.height, self.dtype, self.color = writer, width, height, dtype, color
+        self.compression, self.predictor, self.level, self.tags = compression, predictor, level, tags
+        self.extra = [*([EXTRA[color]] if color in EXTRA else []), *extra]
+        self.samples = bands + len(extra)
+        self.rows = rows_per_strip or (1 if compression == 32773 else -(-STRIP // (width * self.samples * dtype.itemsize)))
+        self.resolution = resolution or (1, (1, 1), (1, 1))
+        self.offsets: list[int] = []
+        self.counts: list[int] = []
+        self.written = 0
+        self.lead: dict | None = None
+
+    def begin(self) -> None:
+        """Write the values that go before the strips."""
+        kind = {"u": 1, "i": 2, "f": 3}[self.dtype.kind]
+        self.lead = {CODE["BitsPerSample"]: tag(3, [self.dtype.itemsize * 8] * self.samples), CODE["SampleFormat"]: tag(3, [kind] * self.samples)} | self.tags
+        self.placed = self.writer.place(self.lead)
+
+    def strip(self, pixels: np.ndarray) -> None:
+        """The next rows: ``rows`` of them, or those that are left."""
+        if self.lead is None:
+            self.begin()
+        want = min(self.rows, self.height - self.written)
+        if not want or pixels.size != want * self.width * self.samples:
+            raise RasterError("InconsistentSizesEncountered", f"{pixels.size} samples for {want} rows of {self.width} x {self.samples}")
+        part = np.ascontiguousarray(pixels, self.dtype).reshape(want, self.width * self.samples)
+        if self.predictor == 2:
+            part = S.horizontal(part.view(f"u{self.dtype.itemsize}"), self.samples, self.dtype.itemsize * 8)
+        elif self.predictor == 3:
+            part = S.float_predict(part, self.samples)
+        data = encode(self.compression, part.tobytes(), self.level)
+        self.offsets.append(self.writer.append(data))
+        self.counts.append(len(data))
+        self.written += want
+
+    def close(self) -> int:
+        """Write the directory; gives its offset."""
+        if self.written != self.height:
+            raise RasterError("InconsistentSizesEncountered", f"{self.written} of {self.height} rows")
+        wide = 16 if self.writer.big else 4
         out = {
-            CODE["ImageWidth"]: tag(4, w),
-            CODE["ImageLength"]: tag(4, h),
-            CODE["Compression"]: tag(3, compression),
-            CODE["PhotometricInterpretation"]: tag(3, photometric),
-            CODE["StripOffsets"]: tag(wide, offsets),
-            CODE["SamplesPerPixel"]: tag(3, n),
-            CODE["RowsPerStrip"]: tag(4, strip),
-            CODE["StripByteCounts"]: tag(wide, counts),
-            CODE["XResolution"]: tag(5, tuple(res[1])),
-            CODE["YResolution"]: tag(5, tuple(res[2])),
-            CODE["ResolutionUnit"]: tag(3, res[0]),
-            CODE["Predictor"]: tag(3, predictor),
+            CODE["ImageWidth"]: tag(4, self.width),
+            CODE["ImageLength"]: tag(4, self.height),
+            CODE["Compression"]: tag(3, self.compression),
+            CODE["PhotometricInterpretation"]: tag(3, self.photometric),
+            CODE["StripOffsets"]: tag(wide, self.offsets),
+            CODE["SamplesPerPixel"]: tag(3, self.samples),
+            CODE["RowsPerStrip"]: tag(4, self.rows),
+            CODE["StripByteCounts"]: tag(wide, self.counts),
+            CODE["XResolution"]: tag(5, tuple(self.resolution[1])),
+            CODE["YResolution"]: tag(5, tuple(self.resolution[2])),
+            CODE["ResolutionUnit"]: tag(3, self.resolution[0]),
+            CODE["Predictor"]: tag(3, self.predictor),
         }
-        if photometric == 6:
+        if self.photometric == 6:
             out[CODE["ChromaSubsampling"]] = tag(3, [1, 1])
-        if alphas or extra:
-            out[CODE["ExtraSamples"]] = tag(3, [*alphas, *extra])
-        return self.directory(lead | out | (tags or {}), placed=placed)
-
-    def finish(self) -> bytes:
-        return bytes(self.raw)
+        if self.extra:
+            out[CODE["ExtraSamples"]] = tag(3, self.extra)
+        return self.writer.directory(self.lead | out | self.tags, placed=self.placed)

@@ -17,6 +17,7 @@ from gridloom.functions import classify, geometry, pixels
 from gridloom.functions.domains import CODE
 from gridloom.operators import rasters
 from gridloom.operators import samples as S
+from gridloom.plans import images, relations
 from gridloom.runtime import ship
 from gridloom.sources import scan
 
@@ -151,7 +152,10 @@ def bytes_md5(codec: str) -> Callable[[SparkSession, str], DataFrame]:
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
-        d = _table(spark, sf_dir, "documents").where("octet_length(text) > 0").select("doc_id", F.col("text").cast("binary").alias("raw"))
+        raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+        if codec == "packbits":  # it cannot encode nothing
+            raw = F.concat(raw, F.lit(b"."))
+        d = _table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"))
 
         @F.arrow_udf("binary")
         def through(column: pa.Array) -> pa.Array:
@@ -166,10 +170,11 @@ def bytes_md5(codec: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def tag_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _table(spark, sf_dir, "pages").where("url is not null")
-    files = rasters.encode_tags(p, {"url": (CODE["ImageDescription"], 2)}, F.col("page_id").cast("string"))
-    t = scan.tags(files).where(F.col("tag") == CODE["ImageDescription"])
-    return t.select(F.col("path").cast("bigint").alias("page_id"), F.col("value.str").alias("url"))
+    """Texts as tags, and their field type; a null one has no tag."""
+    p = _table(spark, sf_dir, "pages").select("page_id", "url", F.lit(1).alias("one"))
+    files = rasters.encode_tags(p, {"url": (CODE["ImageDescription"], 2), "one": (CODE["Orientation"], 3)}, F.col("page_id").cast("string"))
+    url = F.when(F.col("tag") == CODE["ImageDescription"], F.col("value.str"))
+    return scan.tags(files).groupBy(F.col("path").cast("bigint").alias("page_id")).agg(F.max(url).alias("url"))
 
 
 def tag_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,20 +221,6 @@ def rle_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.runs(e, ["user_id"], "event_id", "event_type")
 
 
-def planar_vs_chunky(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prices and discounts as two bands, interleaved in a file, and taken apart again."""
-    rows = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", F.array((F.col("o_orderkey") % 256).cast("bigint"), (F.col("o_orderkey") / 7 % 256).cast("bigint"), (F.col("o_custkey") % 256).cast("bigint")).alias("v")))).alias("s")).select("o_custkey", F.flatten(F.col("s.v")).alias("v"))
-    files = rasters.encode_arrays(rows, "v", "u1", F.col("o_custkey").cast("string"), compression=8, predictor=2, bands=3, color="RGB")
-    s = _decoded_samples(files)
-    return s.groupBy(F.col("path").cast("bigint").alias("o_custkey"), F.col("band").cast("bigint").alias("band")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("bigint")).alias("total"))
-
-
-PLANAR_SQL = """
-SELECT o_custkey::BIGINT AS o_custkey, band::BIGINT AS band, count(*)::BIGINT AS n, sum(v)::BIGINT AS total FROM (
-  SELECT o_custkey, 0 AS band, o_orderkey % 256 AS v FROM orders UNION ALL SELECT o_custkey, 1, trunc((o_orderkey / 7) % 256)::BIGINT FROM orders UNION ALL SELECT o_custkey, 2, o_custkey % 256 FROM orders) GROUP BY 1, 2
-"""
-
-
 def region_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles that rectangles overlap, by an equi-join on grid cells."""
     page = spark.createDataFrame([(1024, 768, 64, 64, 1)], "width bigint, height bigint, chunk_width int, chunk_height int, planes int")
@@ -252,7 +243,8 @@ FROM r JOIN g ON l < x0 + 64 AND r > x0 AND t < y0 + 64 AND b > y0 GROUP BY 1
 
 def limits_permissive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as images that may be too large for the limits: errors are rows."""
-    d = _table(spark, sf_dir, "documents").where("octet_length(text) > 0").select(F.col("doc_id").cast("string").alias("file"), F.lit(0).alias("page_index"), F.octet_length("text").cast("int").alias("width"), F.lit(1).alias("height"), F.lit(1).alias("bands"), F.lit("u1").alias("dtype"), F.lit("Gray").alias("color"), F.col("text").cast("binary").alias("data"))
+    text = F.concat(F.coalesce(F.col("text"), F.lit("")), F.lit("."))  # a page has a pixel at least
+    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), F.lit(0).alias("page_index"), F.octet_length(text).cast("int").alias("width"), F.lit(1).alias("height"), F.lit(1).alias("bands"), F.lit("u1").alias("dtype"), F.lit("Gray").alias("color"), text.cast("binary").alias("data"))
     out = scan.decode(rasters.encode_files(d, compression=8), scan.Options.of(maxDecodedBytes=2000))
     return out.select(F.col("path").cast("bigint").alias("doc_id"), F.coalesce("error_kind", F.lit("ok")).alias("state"), F.coalesce(F.octet_length("data"), F.lit(0)).cast("bigint").alias("n"))
 
@@ -264,16 +256,14 @@ def ifd_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     @F.arrow_udf("binary")
     def chain(column: pa.Array) -> pa.Array:
-        import struct
-
-        from gridloom.operators.encode import ORDER, RasterWriter, tag
+        from gridloom.operators.encode import RasterWriter, tag
 
         out = []
         for k in column.to_pylist():
             w = RasterWriter()
             at = [w.directory({CODE["ImageWidth"]: tag(4, i)}) for i in range(k % 5 + 1)]
             if k % 3 == 0:  # the last leads to the one in the middle
-                struct.pack_into(ORDER + "I", w.raw, w.link, at[len(at) // 2])
+                w.patch(w.link, at[len(at) // 2])
             out.append(w.finish())
         return pa.array(out, pa.binary())
 
@@ -380,14 +370,16 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {f"rt_f32_{c}": round_trip_f32(c) for c in CODECS}
     out |= {f"bytes_md5_{c}": bytes_md5(c) for c in ("lzw", "deflate", "packbits", "zstd")}
-    for f in (rt_f32_fpred, rt_f32_big, rt_u16_hpred, rt_u64_exact, rt_i32_signed, hpred_forward, hpred_inverse, pack_unpack_12b, byte_swap_u16, invert_gray8, lab_rebias, palette_lookup, tile_grid, strip_grid, tag_ascii, tag_scalars, multipage, ifd_cycles, color_classify, rle_runs, planar_vs_chunky, region_join, limits_permissive, codec_sizes, coding_units, planar_samples, sub_directories, directory_maps, zonal_sums):
+    for f in (rt_f32_fpred, rt_f32_big, rt_u16_hpred, rt_u64_exact, rt_i32_signed, hpred_forward, hpred_inverse, pack_unpack_12b, byte_swap_u16, invert_gray8, lab_rebias, palette_lookup, tile_grid, strip_grid, tag_ascii, tag_scalars, multipage, ifd_cycles, color_classify, rle_runs, region_join, limits_permissive, codec_sizes, coding_units, planar_samples, sub_directories, directory_maps, zonal_sums):
         out[f.__name__] = f
-    return out
+    return out | {name: query for name, (query, _) in (images.queries() | relations.queries()).items()}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {f"rt_f32_{c}": RT_SQL for c in CODECS} | {"rt_f32_fpred": RT_SQL, "rt_f32_big": RT_SQL}
-    out |= {f"bytes_md5_{c}": "SELECT doc_id::BIGINT AS doc_id, md5(text) AS md5, octet_length(encode(text))::BIGINT AS n FROM documents WHERE octet_length(encode(text)) > 0" for c in ("lzw", "deflate", "packbits", "zstd")}
+    text = {c: "coalesce(text, '')" + (" || '.'" if c == "packbits" else "") for c in ("lzw", "deflate", "packbits", "zstd")}
+    out |= {f"bytes_md5_{c}": f"SELECT doc_id::BIGINT AS doc_id, md5({t}) AS md5, octet_length(encode({t}))::BIGINT AS n FROM documents" for c, t in text.items()}
+    out |= {name: sql for name, (_, sql) in (images.queries() | relations.queries()).items()}
     return out | {
         "rt_u16_hpred": USER_SQL,
         "rt_u64_exact": "SELECT o_custkey::BIGINT AS o_custkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::BIGINT AS x, (9007199254740993 + o_orderkey)::BIGINT AS v FROM orders",
@@ -401,7 +393,7 @@ def oracle_sql() -> dict[str, str]:
         "palette_lookup": "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, r_name AS color FROM nation JOIN region ON n_regionkey = r_regionkey",
         "tile_grid": "WITH p AS (SELECT p_partkey::BIGINT AS p_partkey, p_size * 3 + 1 AS w, p_partkey % 70 + 1 AS h FROM part), g AS (SELECT *, (w + 15) // 16 AS a, unnest(range(((w + 15) // 16) * ((h + 15) // 16))) AS i FROM p) SELECT p_partkey, i::BIGINT AS chunk_index, (i % a * 16)::BIGINT AS x0, (i // a * 16)::BIGINT AS y0, least(16, w - i % a * 16)::BIGINT AS data_width, least(16, h - i // a * 16)::BIGINT AS data_height FROM g",
         "strip_grid": "WITH o AS (SELECT o_orderkey::BIGINT AS o_orderkey, o_custkey % 97 + 1 AS h FROM orders), g AS (SELECT *, unnest(range((h + 9) // 10)) AS i FROM o) SELECT o_orderkey, i::BIGINT AS chunk_index, (i * 10)::BIGINT AS y0, least(10, h - i * 10)::BIGINT AS data_height FROM g",
-        "tag_ascii": "SELECT page_id::BIGINT AS page_id, url FROM pages WHERE url IS NOT NULL",
+        "tag_ascii": "SELECT page_id::BIGINT AS page_id, url FROM pages",
         "tag_scalars": "SELECT o_orderkey::BIGINT AS o_orderkey, o_orderkey::BIGINT AS key, o_custkey::BIGINT AS o_custkey, o_totalprice::DOUBLE AS o_totalprice, (-7 - o_custkey % 1000)::BIGINT AS small FROM orders",
         "multipage": "SELECT conv_id::BIGINT AS conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS page_index, (turn + 1)::BIGINT AS width FROM conversations",
         "ifd_cycles": "WITH RECURSIVE s AS (SELECT s_suppkey::BIGINT AS k, s_suppkey % 5 + 1 AS n FROM supplier), walk(k, n, steps) AS (SELECT k, n, 1 FROM s UNION ALL SELECT k, n, steps + 1 FROM walk WHERE steps < n) SELECT k AS s_suppkey, max(steps)::BIGINT AS n, CASE WHEN k % 3 = 0 THEN 'CycleInOffsets' ELSE 'end' END AS ends FROM walk GROUP BY k",
@@ -412,9 +404,8 @@ def oracle_sql() -> dict[str, str]:
         "zonal_sums": f"SELECT vec_id, x // 16 AS zone, count(*)::BIGINT AS n, sum(floor(value * 1024)::BIGINT)::BIGINT AS total, max(value) AS most FROM ({RT_SQL}) GROUP BY 1, 2",
         "color_classify": COLOR_SQL,
         "rle_runs": "WITH m AS (SELECT user_id, event_id, event_type, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), r AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM m) SELECT user_id::BIGINT AS user_id, min(event_id)::BIGINT AS start, any_value(event_type) AS value, count(*)::BIGINT AS n FROM r GROUP BY user_id, r",
-        "planar_vs_chunky": PLANAR_SQL,
         "region_join": REGION_SQL,
-        "limits_permissive": "SELECT doc_id::BIGINT AS doc_id, CASE WHEN n > 2000 THEN 'LimitsExceeded' ELSE 'ok' END AS state, CASE WHEN n > 2000 THEN 0 ELSE n END AS n FROM (SELECT doc_id, octet_length(encode(text))::BIGINT AS n FROM documents WHERE octet_length(encode(text)) > 0)",
+        "limits_permissive": "SELECT doc_id::BIGINT AS doc_id, CASE WHEN n > 2000 THEN 'LimitsExceeded' ELSE 'ok' END AS state, CASE WHEN n > 2000 THEN 0 ELSE n END AS n FROM (SELECT doc_id, octet_length(encode(coalesce(text, '') || '.'))::BIGINT AS n FROM documents)",
         "codec_sizes": "SELECT name, count(*)::BIGINT AS pages, sum(len(embedding))::BIGINT AS samples, 32::BIGINT AS bits FROM embeddings, (VALUES ('None'), ('Deflate')) c(name) GROUP BY name",
     }
 

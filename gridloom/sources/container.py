@@ -227,7 +227,7 @@ _UNSIGNED = {"Byte", "Short", "Unsigned", "UnsignedBig"}
 _POINTER = {"Ifd", "IfdBig"}
 _SIGNED = {"SignedByte", "SignedShort", "Signed", "SignedBig"}
 # fixed values: accepted variants and range of each scalar coercion
-_SCALAR = {
+SCALARS = {
     "u8": ({"Byte"}, 0, (1 << 8) - 1),
     "i8": ({"SignedByte"}, -(1 << 7), (1 << 7) - 1),
     "u16": (_UNSIGNED, 0, (1 << 16) - 1),
@@ -245,7 +245,7 @@ _SCALAR = {
 
 def into(v: Value, to: str) -> object:
     """One value as u8 ... i64, f32, f64, ifd or string; floats are not widened."""
-    kinds, low, high = _SCALAR[to]
+    kinds, low, high = SCALARS[to]
     if v.kind not in kinds:
         raise RasterError("InvalidTypeForTag", f"{v.kind} as {to}")
     if low is not None and not low <= v.value <= high:

@@ -413,11 +413,12 @@ IMAGES = "path string, page_index int, width bigint, height bigint, bands int, d
 def images(decoded: DataFrame) -> DataFrame:
     """Whole pages of decoded chunks: little-endian samples (rows, columns, bands) in ``data``, bands that lay apart beside each other. A page is put together in one task, so it must fit there; pages with a chunk that failed are left out."""
     ship(decoded.sparkSession)
+    arrow = to_arrow_schema(StructType.fromDDL(IMAGES))
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         if any(r["data"] is None for r in rows):
-            return pa.schema(to_arrow_schema(StructType.fromDDL(IMAGES))).empty_table()
+            return arrow.empty_table()
         width, height = (max(r[a] + r[b] for r in rows) for a, b in (("x0", "data_width"), ("y0", "data_height")))
         bands = max(r["plane"] + r["bands"] for r in rows)
         out = np.zeros((height, width, bands), "<" + rows[0]["dtype"])
@@ -425,7 +426,7 @@ def images(decoded: DataFrame) -> DataFrame:
             x, y, w, h, n = (r[c] for c in ("x0", "y0", "data_width", "data_height", "bands"))
             out[y : y + h, x : x + w, r["plane"] : r["plane"] + n] = np.frombuffer(r["data"], out.dtype).reshape(h, w, n)
         row = {"path": rows[0]["path"], "page_index": rows[0]["page_index"], "width": width, "height": height, "bands": bands, "dtype": rows[0]["dtype"], "data": out.tobytes()}
-        return pa.Table.from_pylist([row], to_arrow_schema(StructType.fromDDL(IMAGES)))
+        return pa.Table.from_pylist([row], arrow)
 
     return decoded.select("path", "page_index", "plane", "x0", "y0", "data_width", "data_height", "bands", "dtype", "data").groupBy("path", "page_index").applyInArrow(run, IMAGES)
 

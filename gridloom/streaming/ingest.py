@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 from gridloom.sources import scan
 
@@ -16,3 +17,9 @@ def stream_table(spark: SparkSession, folder: str, table: str = "pages", glob: s
     """files, pages, tags, chunks or decoded of a stream of files."""
     make = {"files": scan.files, "pages": scan.pages, "tags": scan.tags, "chunks": scan.chunks, "decoded": scan.decode}[table]
     return make(stream_files(spark, folder, glob), options)
+
+
+def append_table(stream: DataFrame, folder: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Write a stream's rows to Parquet, each file's once even if the query is stopped and started again; with ``once`` it ends when all that is there is read."""
+    out = stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append")
+    return (out.trigger(availableNow=True) if once else out).start()

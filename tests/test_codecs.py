@@ -56,6 +56,47 @@ def test_lzw_fills_its_table():
         assert lzw.decode(lzw.encode(raw), n) == raw
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.binary(max_size=400), st.integers(1, 3000), st.integers(0, 500))
+def test_lzw_damage(raw, size, cut):
+    """Any bytes give at most ``size`` bytes or an error of ours, the same as a plain decoder does."""
+    for data in (raw, lzw.encode(raw * 5)[:cut]):
+        table, out, last, at, want = None, b"", None, 0, None
+        bits = "".join(f"{b:08b}" for b in data)
+        table, n = {i: bytes([i]) for i in range(256)}, 258
+        while len(out) < size:
+            width = min(12, max(9, (n + (last is not None)).bit_length())) if n < 4096 else 12
+            if at + width > len(bits):
+                want = "end"
+                break
+            code, at = int(bits[at : at + width], 2), at + width
+            if code == lzw.CLEAR:
+                table, n, last = {i: bytes([i]) for i in range(256)}, 258, None
+                continue
+            if code == lzw.END:
+                break
+            if code not in table and not (last is not None and code == n and n < 4096):
+                want = "code"
+                break
+            word = table[code] if code in table else last + last[:1]
+            if last is not None and n < 4096:
+                table[n] = last + word[:1]
+                n += 1
+            last = word
+            out += word
+        if want:
+            with pytest.raises(RasterError):
+                lzw.decode(data, size)
+        else:
+            assert lzw.decode(data, size) == out[:size]
+
+
+def test_lzw_long_runs():
+    for raw in (b"\0" * 300_000, b"ab" * 100_000, bytes(range(256)) * 300 + b"x" * 9000):
+        assert lzw.decode(lzw.encode(raw), len(raw)) == raw
+        assert lzw.decode(lzw.encode(raw), 1000) == raw[:1000]
+
+
 def test_unsupported_and_registered():
     for code in (2, 6, 50001, 999):
         with pytest.raises(RasterError) as e:

@@ -1,15 +1,19 @@
 import itertools
 import struct
+from pathlib import Path
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gridloom.functions.domains import CODE, names
+from gridloom.operators import rasters
 from gridloom.operators.decode import packed_rows, read_image
 from gridloom.operators.encode import COLORS, RasterWriter, tag
 from gridloom.sources.container import Entry, Limits, RasterError, Source, Tags, Value, directory_bytes, into, into_list, read_directory, read_header, read_value, swap, value_range, walk
+from gridloom.sources import scan
 from gridloom.sources.page import color_type, read_page
 
 # fixed values: malformed files and the rule that each breaks
@@ -257,8 +261,6 @@ def test_color_types():
 
 @pytest.fixture
 def files(spark):
-    from gridloom.sources import scan
-
     w = RasterWriter()
     w.image(np.arange(60, dtype=np.uint8).reshape(5, 4, 3), "RGB", 8, 2, rows_per_strip=2)
     w.image(np.array([[(1 << 63) + 1, 2]], np.uint64))
@@ -290,8 +292,6 @@ def test_tables(files, spark):
 
 
 def test_files_ranges_source_and_stream(spark, tmp_path):
-    from gridloom.operators import rasters
-    from gridloom.sources import scan
     from gridloom.sources.datasource import RasterSource
     from gridloom.streaming import ingest
 
@@ -313,8 +313,6 @@ def test_files_ranges_source_and_stream(spark, tmp_path):
 
 
 def test_sub_directories_as_table(spark):
-    from gridloom.sources import scan
-
     w = RasterWriter()
     at = w.directory({CODE["Artist"]: tag(2, "hidden artist")}, chained=False)
     w.directory({CODE["SubIfd"]: tag(13, at)})
@@ -325,8 +323,6 @@ def test_sub_directories_as_table(spark):
 
 
 def test_columns(spark):
-    from pyspark.sql import functions as F
-
     from gridloom.functions import classify, geometry, pixels
     from gridloom.operators.samples import pack_bits
 
@@ -338,3 +334,97 @@ def test_columns(spark):
     assert tuple(got) == (14, 3334, 1, "uint16", False, 5)
     table = spark.createDataFrame([("f", 0, list(range(12)))], "path string, page_index int, color_map array<int>")
     assert [tuple(r)[2:] for r in pixels.palette_rows(table).orderBy("index").collect()] == [(i, i, i + 4, i + 8) for i in range(4)]
+
+
+def test_failfast_reaches_pointed_directories(spark):
+    w = RasterWriter()
+    w.directory({CODE["ImageWidth"]: tag(4, 1)})
+    files = spark.createDataFrame([("f", bytearray(w.finish()), 10_000)], "path string, content binary, ifd_offset bigint")
+    (row,) = scan.tags(files, pointers=True).collect()
+    assert (row.path, row.ifd_offset, row.error_kind) == ("f", 10_000, "IoError")
+    with pytest.raises(Exception, match="IoError"):
+        scan.tags(files, scan.Options(mode="FAILFAST"), pointers=True).collect()
+
+
+def test_regions_of_pages(spark):
+    from gridloom.functions import geometry
+
+    pages = spark.createDataFrame([("a", 100, 50), ("b", 40, 40)], "path string, width bigint, height bigint").selectExpr("*", "20 as chunk_width", "20 as chunk_height", "1 as planes")
+    tiles = geometry.explode_chunks(pages)
+    regions = spark.createDataFrame([("a", 1, 0, 0, 30, 20), ("b", 2, 15, 15, 25, 25), ("a", 3, 5, 5, 5, 9)], "path string, region int, left int, top int, right int, bottom int")
+    got = geometry.region_chunks(tiles, regions, 20, 20, on=["path"]).select("region", "path", "x0", "y0").collect()
+    assert sorted(map(tuple, got)) == [(1, "a", 0, 0), (1, "a", 20, 0), *((2, "b", x, y) for x in (0, 20) for y in (0, 20))]
+    assert geometry.region_chunks(tiles, regions.drop("path"), 20, 20).count() == 2 * 6
+
+
+def test_strips_must_be_whole(spark, tmp_path):
+    strip = lambda i, n: ("f.tif", 0, 4, 5, "u1", "Gray", i, 2, bytearray(range(n)))
+    schema = "file string, page_index int, width int, height int, dtype string, color string, strip_index int, rows_per_strip int, data binary"
+    save = lambda rows: rasters.save_strips(spark.createDataFrame(rows, schema), tmp_path.as_uri()).collect()
+    ((path, length),) = save([strip(2, 4), strip(0, 8), strip(1, 8)])
+    assert length == len((tmp_path / "f.tif").read_bytes()) and pixels((tmp_path / "f.tif").read_bytes()).ravel().tolist() == [*range(8), *range(8), *range(4)]
+    for rows in ([strip(0, 8), strip(1, 8)], [strip(0, 8), strip(0, 8), strip(1, 8), strip(2, 4)], [strip(1, 8), strip(2, 4)], [strip(0, 8), strip(1, 7), strip(2, 4)]):
+        with pytest.raises(Exception, match="InvalidChunkIndex|InconsistentSizesEncountered"):
+            save(rows)
+    assert [p.name for p in tmp_path.iterdir()] == ["f.tif"]
+
+
+def test_source_lists_and_writes(spark, tmp_path):
+    from gridloom.sources import datasource
+
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "_hidden").mkdir()
+    for name in ("a/1.tif", "a/b/2.tif", "a/b/3.txt", "a/.4.tif", "a/_hidden/5.tif"):
+        (tmp_path / name).write_bytes(b"x")
+    names = lambda p: [x.rsplit("/", 1)[-1] for x, _ in datasource.found(p)]
+    assert names(str(tmp_path / "a")) == ["1.tif", "2.tif", "3.txt"] == names((tmp_path / "a").as_uri())
+    assert names(f"{tmp_path}/a/*.tif") == ["1.tif"] and names(f"{tmp_path}/*/b/*.tif") == ["2.tif"] and names(f"{tmp_path}/a/1.tif") == ["1.tif"] and names(f"{tmp_path}/none/*") == []
+    spark.dataSource.register(datasource.RasterSource)
+    w = RasterWriter()
+    w.image(np.arange(6, dtype=np.uint8).reshape(2, 3))
+    for k, (mode, left) in enumerate((("append", ["0.tif"]), ("append", ["0.tif", "1.tif"]), ("overwrite", ["2.tif"]))):
+        spark.createDataFrame([(f"{k}.tif", bytearray(w.finish()))], "path string, content binary").write.format("raster").mode(mode).save(str(tmp_path / "out"))
+        assert names(str(tmp_path / "out")) == left and not list((tmp_path / "out").glob("_drafts*"))
+    read = lambda table, **o: spark.read.format("raster").options(table=table, **o).load(str(tmp_path / "out"))
+    assert read("samples").agg({"value": "sum"}).first()[0] == 15 and read("tags").where("tag = 256").first()["value"]["ints"] == [3]
+    assert read("directories").first()["next_ifd"] is None and read("chunks").count() == read("decoded").count() == 1
+    (tmp_path / "out" / "bad.tif").write_bytes(b"nothing of the kind")
+    assert read("pages").where("error_kind is not null").count() == 1
+    with pytest.raises(Exception, match="TiffSignatureNotFound"):
+        read("pages", mode="FAILFAST").collect()
+
+
+def test_required_values(spark):
+    from gridloom.functions import values
+
+    one = spark.sql("SELECT named_struct('kind', 'Short', 'ints', array(cast(7 as decimal(20,0))), 'doubles', cast(null as array<double>), 'rationals', cast(null as array<struct<n: bigint, d: bigint>>), 'str', cast(null as string), 'bytes', X'0700') as v")
+    assert [int(x) for x in one.select(values.scalar(F.col("v"), "u16"), values.scalar(F.col("v"), "u32")).first()] == [7, 7]
+    assert one.select(values.scalar(F.col("v"), "u8"), values.scalar(F.col("v"), "string")).first()[:] == (None, None)
+    with pytest.raises(Exception, match="RequiredTagNotFound"):
+        one.select(values.required(values.scalar(F.col("v"), "u8"), "x")).collect()
+
+
+def test_workspace_and_scratch(spark, tmp_path):
+    from gridloom import runtime
+
+    df = spark.range(3)
+    with runtime.workspace(spark):
+        inside = runtime.Scratch(spark, "inside")
+        assert inside.table("t", df).count() == 3
+    outside = runtime.Scratch(spark, "outside")
+    assert outside.table("t", df).count() == 3
+    at = lambda s: Path(s.path.removeprefix("file://").removeprefix("file:"))
+    assert not at(inside).exists() and at(outside).exists()
+    outside.drop("t")
+    assert not (at(outside) / "t").exists()
+    assert runtime.unused(df, "ID") != "ID" and runtime.unused(df, "x") == "x"
+
+    class Cluster:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        runtime.scratch_root(Cluster())
