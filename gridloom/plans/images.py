@@ -63,9 +63,9 @@ def sums(samples: DataFrame, value: F.Column | None = None) -> DataFrame:
     return samples.groupBy(key().alias("s_suppkey"), F.col("band").cast("bigint").alias("band")).agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("total"), F.sum(v * place).alias("weighted"))
 
 
-def read_back(make: Callable[[int], bytes], value: F.Column | None = None, **options) -> Callable[[SparkSession, str], DataFrame]:
+def read_back(make: Callable[[int], bytes], value: Callable[[], F.Column] = lambda: F.col("value"), **options) -> Callable[[SparkSession, str], DataFrame]:
     """A query: the files of ``make``, decoded and summed."""
-    return lambda spark, sf_dir: sums(scan.samples(scan.decode(files_of(spark, sf_dir, make), scan.Options.of(**options))), value)
+    return lambda spark, sf_dir: sums(scan.samples(scan.decode(files_of(spark, sf_dir, make), scan.Options.of(**options))), value())
 
 
 # ---- layouts and depths -----------------------------------------------------
@@ -347,7 +347,7 @@ def queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]
     """{name: (query, SQL)}"""
     rgb = picture_sql(bands=3)
     wide = picture_sql("60000", 3, factor=97)
-    le = F.round(256 * (F.log2("value") + 64) - 0.5) - 14000
+    le = lambda: F.round(256 * (F.log2("value") + 64) - 0.5) - 14000
     return {
         "tiles_chunky": (read_back(_tiles), rgb),
         "tiles_planar": (read_back(_planar_tiles), wide),
@@ -355,7 +355,7 @@ def queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]
         "big_endian": (read_back(_big_endian), picture_sql("60000", factor=97)),
         "odd_depths": (read_back(_odd_depths), picture_sql("1::BIGINT << (9 + k % 23)", factor=SPREAD)),
         "small_depths": (read_back(_small_depths), picture_sql("1::BIGINT << (1 + k % 7)")),
-        "float_depths": (read_back(_float_depths, F.col("value") * 4), picture_sql("2048")),
+        "float_depths": (read_back(_float_depths, lambda: F.col("value") * 4), picture_sql("2048")),
         "signed_depths": (read_back(_signed_depths), picture_sql("200", value="v - 100")),
         "white_is_zero": (read_back(_white_is_zero), picture_sql("16", value="[15, 255, 65535][k % 3 + 1] - v")),
         "lab_file": (read_back(_lab), picture_sql(bands=3, value="CASE WHEN b = 0 THEN v ELSE (v + 128) % 256 END")),
