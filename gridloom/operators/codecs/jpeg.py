@@ -1,4 +1,4 @@
-"""Baseline and extended sequential JPEG with Huffman codes, 8 bits, for strips and tiles with shared tables.
+"""Baseline, extended sequential and progressive JPEG with Huffman codes, 8 bits, for strips and tiles with shared tables.
 
 Components come out as stored, without colour conversion; subsampled ones are
 repeated to full size.
@@ -22,10 +22,11 @@ class _Frame:
         self.huffman: dict[tuple[int, int], dict[tuple[int, int], int]] = {}
         self.parts: list[dict] = []
         self.width = self.height = self.restart = 0
+        self.progressive = False
 
 
 def _segments(raw: bytes, frame: _Frame):
-    """Reads markers into the frame; yields (components, first byte of data) at each scan."""
+    """Reads markers into the frame; yields (components, first byte of data, (first and last coefficient, bits known before, bits left for later)) at each scan."""
     at = 2 if raw[:2] == b"\xff\xd8" else 0
     while at + 4 <= len(raw):
         if raw[at] != 0xFF:
@@ -59,12 +60,13 @@ def _segments(raw: bytes, frame: _Frame):
                     code <<= 1
                 frame.huffman[(kind >> 4, kind & 15)] = table
                 body = body[k:]
-        elif marker in (0xC0, 0xC1):
+        elif marker in (0xC0, 0xC1, 0xC2):
+            frame.progressive = marker == 0xC2
             if body[0] != 8:
                 raise RasterError("JpegDecoder", f"{body[0]} bits")
             frame.height, frame.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
             frame.parts = [{"id": body[6 + 3 * i], "h": body[7 + 3 * i] >> 4, "v": body[7 + 3 * i] & 15, "q": body[8 + 3 * i]} for i in range(body[5])]
-        elif 0xC2 <= marker <= 0xCF and marker != 0xCC:
+        elif 0xC3 <= marker <= 0xCF and marker != 0xCC:
             raise RasterError("JpegDecoder", f"process {marker & 15}")
         elif marker == 0xDD:
             frame.restart = int.from_bytes(body[:2], "big")
@@ -74,7 +76,8 @@ def _segments(raw: bytes, frame: _Frame):
                 if part is None:
                     raise RasterError("JpegDecoder", "a scan of no component")
                 part["dc"], part["ac"] = body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15
-            yield [next(p for p in frame.parts if p["id"] == body[1 + 2 * i]) for i in range(body[0])], at
+            first, last, bits = body[1 + 2 * body[0] :][:3]
+            yield [next(p for p in frame.parts if p["id"] == body[1 + 2 * i]) for i in range(body[0])], at, (first, last, bits >> 4, bits & 15) if frame.progressive else (0, 63, 0, 0)
 
 
 class _Bits:
@@ -115,14 +118,14 @@ def decode(raw: bytes, tables: bytes | None, width: int, height: int, samples: i
         raw = tables[:-2] + raw[2:]
     frame, planes = _Frame(), []
     started = False
-    for parts, at in _segments(raw, frame):
+    for parts, at, band in _segments(raw, frame):
         if not started:
             started = True
             hm, vm = max(p["h"] for p in frame.parts), max(p["v"] for p in frame.parts)
             across, down = -(-frame.width // (8 * hm)), -(-frame.height // (8 * vm))
             for p in frame.parts:
-                p["blocks"] = np.zeros((down * p["v"], across * p["h"], 64))
-        _scan(raw, at, frame, parts, hm, vm, across, down)
+                p["blocks"] = np.zeros((down * p["v"], across * p["h"], 64), np.int64)
+        _scan(raw, at, frame, parts, band, hm, vm, across, down)
     if not started:
         raise RasterError("JpegDecoder", "no scan")
     if len(frame.parts) != samples:
@@ -139,7 +142,7 @@ def decode(raw: bytes, tables: bytes | None, width: int, height: int, samples: i
     return out.tobytes()
 
 
-def _scan(raw: bytes, at: int, frame: _Frame, parts: list[dict], hm: int, vm: int, across: int, down: int) -> None:
+def _scan(raw: bytes, at: int, frame: _Frame, parts: list[dict], band: tuple[int, int, int, int], hm: int, vm: int, across: int, down: int) -> None:
     end = at
     intervals, begin = [], at
     while end + 1 < len(raw):
@@ -166,23 +169,78 @@ def _scan(raw: bytes, at: int, frame: _Frame, parts: list[dict], hm: int, vm: in
     step = frame.restart or len(units)
     for k, data in enumerate(intervals):
         bits = _Bits(data.replace(b"\xff\x00", b"\xff"))
-        last = {p["id"]: 0 for p in parts}
+        state = {"blocks": 0} | {p["id"]: 0 for p in parts}  # blocks that an end-of-band still covers; the last constant terms
         for unit in units[k * step : (k + 1) * step]:
             for p, y, x in unit:
-                block = p["blocks"][y, x]
-                last[p["id"]] += bits.number(bits.symbol(frame.huffman[(0, p["dc"])]))
-                block[0] = last[p["id"]]
-                i, ac = 1, frame.huffman[(1, p["ac"])]
-                while i < 64:
-                    s = bits.symbol(ac)
-                    run, size = s >> 4, s & 15
-                    if not size:
-                        if run != 15:
-                            break
-                        i += 16
-                        continue
-                    i += run
-                    if i > 63:
-                        raise RasterError("JpegDecoder", "a block is too long")
-                    block[_ZIGZAG[i]] = bits.number(size)
-                    i += 1
+                _block(bits, p["blocks"][y, x], p, frame, band, state)
+
+
+def _block(bits: _Bits, block: np.ndarray, part: dict, frame: _Frame, band: tuple[int, int, int, int], state: dict) -> None:
+    """One block of a scan: its constant term, a band of others, or both; or one more bit of them."""
+    first, last, known, left = band
+    if first == 0:
+        if known:
+            block[0] |= bits.take(1) << left
+        else:
+            state[part["id"]] += bits.number(bits.symbol(frame.huffman[(0, part["dc"])]))
+            block[0] = state[part["id"]] << left
+    if last == 0:
+        return
+    ac = frame.huffman[(1, part["ac"])]
+    if known:
+        _refine(bits, block, ac, first, last, left, state)
+        return
+    if state["blocks"]:
+        state["blocks"] -= 1
+        return
+    i = max(first, 1)
+    while i <= last:
+        s = bits.symbol(ac)
+        run, size = s >> 4, s & 15
+        if not size:
+            if run != 15:
+                state["blocks"] = (1 << run) - 1 + bits.take(run)
+                return
+            i += 16
+            continue
+        i += run
+        if i > last:
+            raise RasterError("JpegDecoder", "a block is too long")
+        block[_ZIGZAG[i]] = bits.number(size) << left
+        i += 1
+
+
+def _refine(bits: _Bits, block: np.ndarray, ac: dict, first: int, last: int, left: int, state: dict) -> None:
+    """The next lower bit of the coefficients of a band that are known, and those that begin with it."""
+    one, i = 1 << left, first
+
+    def correct(at: int) -> None:
+        if bits.take(1) and not abs(block[at]) & one:
+            block[at] += one if block[at] > 0 else -one
+
+    while i <= last and not state["blocks"]:
+        s = bits.symbol(ac)
+        run, new = s >> 4, 0
+        if s & 15:
+            new = one if bits.take(1) else -one
+        elif run != 15:
+            state["blocks"] = (1 << run) + bits.take(run)
+            break
+        while i <= last:  # past ``run`` coefficients that stay zero
+            if block[_ZIGZAG[i]]:
+                correct(_ZIGZAG[i])
+            elif run:
+                run -= 1
+            else:
+                break
+            i += 1
+        if new:
+            if i > last:
+                raise RasterError("JpegDecoder", "a block is too long")
+            block[_ZIGZAG[i]] = new
+        i += 1
+    if state["blocks"]:
+        for j in range(i, last + 1):
+            if block[_ZIGZAG[j]]:
+                correct(_ZIGZAG[j])
+        state["blocks"] -= 1

@@ -289,6 +289,104 @@ def test_jpeg(bands):
         jpeg.decode(b"\xff\xd8\xff\xd9", None, 30, 19, bands)
 
 
+def _progressive(image):
+    """The stream of ``_jpeg`` with the same coefficients in six scans: constant terms without and with their lowest bit, then two bands, one of them in three steps."""
+    h, w, n = image.shape
+    k = np.arange(8)
+    dct = np.cos((2 * k[:, None] + 1) * k[None, :] * np.pi / 16) * np.where(k == 0, np.sqrt(0.125), 0.5)
+    padded = np.pad(image, ((0, -h % 8), (0, -w % 8), (0, 0)), mode="edge").astype(float) - 128
+    blocks = {(y, x, c): np.rint(dct.T @ padded[8 * y : 8 * y + 8, 8 * x : 8 * x + 8, c] @ dct).astype(int).ravel()[jpeg._ZIGZAG] for y in range(padded.shape[0] // 8) for x in range(padded.shape[1] // 8) for c in range(n)}
+    seg = lambda m, body: bytes([0xFF, m]) + (len(body) + 2).to_bytes(2, "big") + body
+    dc, ac = list(range(13)), [*range(0, 0xF0, 0x10), 0xF0, *(r << 4 | s for r in range(16) for s in range(1, 12))]
+    table = lambda c, s: bytes([c << 4]) + bytes([0] * 7 + [len(s)] + [0] * 8) + bytes(s)
+    out = b"\xff\xd8" + seg(0xDB, b"\0" + bytes([1] * 64)) + seg(0xC2, b"\x08" + h.to_bytes(2, "big") + w.to_bytes(2, "big") + bytes([n]) + b"".join(bytes([i + 1, 0x11, 0]) for i in range(n)))
+    out += seg(0xC4, table(0, dc)) + seg(0xC4, table(1, ac))
+
+    def number(v):
+        s = int(abs(v)).bit_length()
+        return s, f"{v if v > 0 else v + (1 << s) - 1:0{s}b}" if s else ""
+
+    def scan(parts, first, last, known, left, bits):
+        head = bytes([len(parts)]) + b"".join(bytes([c + 1, 0]) for c in parts) + bytes([first, last, known << 4 | left])
+        return seg(0xDA, head) + _bytes(bits + "1" * (-len(bits) % 8)).replace(b"\xff", b"\xff\x00")
+
+    def band(c, first, last, left):
+        bits, ends = "", 0
+        for (_, _, own), f in blocks.items():
+            if own != c:
+                continue
+            f = np.sign(f) * (np.abs(f) >> left)
+            part = f[first : last + 1]
+            if not part.any():
+                ends += 1
+                continue
+            bits, ends, run = bits + eob(ends), 0, 0
+            for i, v in enumerate(part):
+                if not v:
+                    run += 1
+                    continue
+                bits += f"{ac.index(0xF0):08b}" * (run // 16)
+                s, b = number(v)
+                bits += f"{ac.index(run % 16 << 4 | s):08b}" + b
+                run = 0
+                if not part[i + 1 :].any():
+                    ends = int(i + 1 < len(part))
+                    break
+        return scan([c], first, last, 0, left, bits + eob(ends))
+
+    def eob(ends):
+        if not ends:
+            return ""
+        r = ends.bit_length() - 1
+        return f"{ac.index(r << 4):08b}" + (f"{ends - (1 << r):0{r}b}" if r else "")
+
+    def refine(c, first, last, left):
+        bits = ""
+        for (_, _, own), f in blocks.items():
+            if own != c:
+                continue
+            t = np.abs(f) >> left
+            new = [i for i in range(first, last + 1) if t[i] == 1]
+            run, held = 0, ""
+            for i in range(first, last + 1):
+                if not t[i]:
+                    run += 1
+                    continue
+                while run > 15 and new and i <= new[-1]:
+                    bits, held, run = bits + f"{ac.index(0xF0):08b}" + held, "", run - 16
+                if t[i] > 1:
+                    held += str(t[i] & 1)
+                    continue
+                bits, held, run = bits + f"{ac.index(run << 4 | 1):08b}" + "01"[int(f[i] > 0)] + held, "", 0
+            if run or held:
+                bits += f"{ac.index(0):08b}" + held
+        return scan([c], first, last, left + 1, left, bits)
+
+    bits, last = "", [0] * n
+    for (_, _, c), f in blocks.items():
+        s, b = number((f[0] >> 1) - last[c])
+        last[c] = f[0] >> 1
+        bits += f"{dc.index(s):08b}" + b
+    out += scan(list(range(n)), 0, 0, 0, 1, bits) + scan(list(range(n)), 0, 0, 1, 0, "".join(str(f[0] & 1) for f in blocks.values()))
+    for c in range(n):
+        out += band(c, 1, 9, 2) + band(c, 10, 63, 0) + refine(c, 1, 9, 1) + refine(c, 1, 9, 0)
+    return out + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("bands", [1, 3])
+def test_progressive_jpeg(bands):
+    rng = np.random.default_rng(4)
+    y, x = np.mgrid[0:35, 0:42]
+    smooth = np.stack([(x * 5 + y * (3 + c)) % 200 for c in range(bands)], -1).astype(np.uint8)
+    flat = np.full((35, 42, bands), 77, np.uint8)
+    noise = rng.integers(0, 256, (35, 42, bands)).astype(np.uint8)
+    for image in (smooth, flat, noise):
+        want = jpeg.decode(_jpeg(image), None, 42, 35, bands)
+        assert jpeg.decode(_progressive(image), None, 42, 35, bands) == want
+    with pytest.raises(RasterError):
+        jpeg.decode(_progressive(smooth).replace(b"\xff\xc2", b"\xff\xc3", 1), None, 42, 35, bands)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 31), st.integers(1, 4), st.integers(1, 9), st.integers(0, 2**32 - 1))
 def test_bits_and_predictor(bits, stride, pixels, seed):
