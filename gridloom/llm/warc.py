@@ -95,27 +95,47 @@ def arc_record(url: str | None, date: str, block: bytes, version: int, name: str
     return head.encode() + block + b"\n"
 
 
-def read_arc(source) -> Iterator[dict]:
-    """Records of a gzip ARC stream, by declared lengths: url, ip, date, type, status (version 2), offset, version, block."""
+def read_arc(source, mode: str = "FAILFAST") -> Iterator[dict]:
+    """Records of a gzip ARC stream, by declared lengths: url, ip, date, type, status (version 2), offset, version, block.
+
+    Fields are counted from the end of the header line, so blanks in a URL do
+    no harm. A record that is damaged fails the stream, or with mode PERMISSIVE
+    is given as (offset, error), and the next member goes on.
+    """
     version = 0
-    for at, raw in members(source):
-        end = raw.find(b"\n")
-        fields = raw[:end].decode("utf-8", "replace").split(" ")
-        if fields[0].startswith("filedesc://"):
+    stream = members(source)
+    while True:
+        at = -1
+        try:
+            at, raw = next(stream)
+            end = raw.find(b"\n")
+            line = raw[:end].decode("utf-8", "replace")
+            if line.startswith("filedesc://"):
+                size = int(line.rsplit(" ", 1)[-1])
+                found = int(raw[end + 1 : end + 1 + size].split(b" ", 1)[0])
+                if found not in (1, 2):
+                    raise ValueError(f"unknown ARC version {found}")
+                version = found
+                continue
+            want = 5 if version == 1 else 10
+            fields = line.rsplit(" ", want - 1)
+            if not version or len(fields) != want:
+                raise ValueError(f"the header line at {at} has {len(fields)} fields, not the {want} of version {version}")
             size = int(fields[-1])
-            body = raw[end + 1 : end + 1 + size]
-            version = int(body.split(b" ", 1)[0])
-            if version not in (1, 2):
-                raise ValueError(f"unknown ARC version {version}")
-            continue
-        want = 5 if version == 1 else 10
-        if not version or len(fields) != want:
-            raise ValueError(f"the header line at {at} has {len(fields)} fields, not the {want} of version {version}")
-        size = int(fields[-1])
-        block = raw[end + 1 : end + 1 + size]
-        if len(block) != size:
-            raise ValueError(f"the record at {at} has {len(block)} of {size} declared bytes")
-        yield {"url": fields[0], "ip": fields[1], "date": fields[2], "type": fields[3], "status": int(fields[4]) if version == 2 else None, "offset": at, "version": version, "block": block}
+            block = raw[end + 1 : end + 1 + size]
+            if len(block) != size:
+                raise ValueError(f"the record at {at} has {len(block)} of {size} declared bytes")
+            row = {"url": fields[0], "ip": fields[1], "date": fields[2], "type": fields[3], "status": int(fields[4]) if version == 2 else None, "offset": at, "version": version, "block": block}
+        except StopIteration:
+            return
+        except (ValueError, zlib.error) as e:
+            if mode != "PERMISSIVE":
+                raise
+            row = {"offset": at, "error": str(e)}
+            if at < 0:  # not even a gzip member: what follows cannot be told apart
+                yield row
+                return
+        yield row
 
 
 def http_split(block: bytes) -> tuple[bytes, bytes]:
@@ -232,10 +252,10 @@ def write_arcs(pages: DataFrame, path: str, date: str = "20000101000000", id_col
     return picked.mapInArrow(run, "archive string, offset bigint, page string, digest string, size bigint")
 
 
-def arc_index(spark: SparkSession, path: str, archives: DataFrame) -> DataFrame:
-    """A row per record of the ARC archives named in ``archives``, from reading them: archive, offset, url, page, digest, size."""
+def arc_index(spark: SparkSession, path: str, archives: DataFrame, mode: str = "FAILFAST") -> DataFrame:
+    """A row per record of the ARC archives named in ``archives``, from reading them: archive, offset, url, page, digest, size; and error, for records that are damaged (mode PERMISSIVE)."""
     ship(spark)
-    names = ["archive", "offset", "url", "page", "digest", "size"]
+    names = ["archive", "offset", "url", "page", "digest", "size", "error"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, folder = _open(path)
@@ -243,22 +263,25 @@ def arc_index(spark: SparkSession, path: str, archives: DataFrame) -> DataFrame:
             for name in batch.column("archive").to_pylist():
                 rows = []
                 with where.open_input_stream(f"{folder}/{name}", compression=None) as source:
-                    for r in read_arc(source):
+                    for r in read_arc(source, mode):
+                        if "error" in r:
+                            rows.append((name, r["offset"], None, None, None, None, r["error"]))
+                            continue
                         head, payload = http_split(r["block"])
-                        rows.append((name, r["offset"], r["url"], http_headers(head).get("x-page-id", "null"), sha256(payload).hexdigest(), len(payload)))
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()))], names)
+                        rows.append((name, r["offset"], r["url"], http_headers(head).get("x-page-id", "null"), sha256(payload).hexdigest(), len(payload), None))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()))], names)
 
-    return archives.select("archive").distinct().mapInArrow(run, "archive string, offset bigint, url string, page string, digest string, size bigint")
+    return archives.select("archive").distinct().mapInArrow(run, "archive string, offset bigint, url string, page string, digest string, size bigint, error string")
 
 
 def choose_responses(index: DataFrame, id_type: T.DataType, least: int = LEAST) -> DataFrame:
-    """``index`` with, for revisits, the response's archive, offset, url and page; null for responses.
+    """``index``, without its damaged records, with, for revisits, the response's archive, offset, url and page; null for responses.
 
     The response of a payload is found by an aggregate, so equal payloads are
     never gathered, and only payloads that occur twice are joined back.
     """
     ident = F.from_json(F.concat(F.lit('{"x":'), "page", F.lit("}")), "x string")["x"].cast(id_type)
-    index = index.withColumn("ident", ident)
+    index = index.where("error is null").withColumn("ident", ident)
     big = index.where(F.col("size") >= least)
     first = F.min(F.struct(F.col("ident").isNull().alias("none"), "ident", "archive", "offset", "url", "page")).alias("first")
     twice = big.groupBy("digest").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
@@ -283,8 +306,10 @@ def convert_archives(spark: SparkSession, arcs: str, warcs: str, chosen: DataFra
         with where.open_input_stream(f"{folder}/{name}", compression=None) as source, there.open_output_stream(draft, compression=None) as sink:
             info = warc_record("warcinfo", {"WARC-Record-ID": warc_id(file), "WARC-Date": iso_date("20000101"), "WARC-Filename": file, "Content-Type": "application/warc-fields"}, f"software: gridloom\r\nconverted-from: {name}\r\n".encode())
             sink.write(member(info))
-            for r in read_arc(source):
-                p = plan[r["offset"]]
+            for r in read_arc(source, "PERMISSIVE"):
+                p = plan.get(r["offset"])
+                if p is None:  # damaged: the index has it as an error, or has failed
+                    continue
                 to = p["refers"]
                 refers = {"id": warc_id(to["archive"], to["offset"], to["url"]), "page": to["page"]} if to else None
                 sink.write(member(convert(r, name, p["page"], p["digest"], refers)))

@@ -290,6 +290,27 @@ def test_arc_lines(version):
     assert warc.iso_date("2001") == "2001-01-01T00:00:00Z" and warc.iso_date("20010203040506") == "2001-02-03T04:05:06Z" and warc.iso_date("x").startswith("1970")
 
 
+@pytest.mark.parametrize("version", [1, 2])
+def test_damaged_and_odd_arc_records(spark, tmp_path, version):
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * 150
+    good = lambda url: warc.member(warc.arc_record("U", "20010203", block, version, "f.arc").replace(b"U ", url + b" ", 1))
+    raw = warc.member(warc.arc_version_block("f.arc", "2001", version)) + good(b"http://a/with two blanks") + warc.member(b"http://x 1.1.1.1\n") + good(b"http://b/") + warc.member(warc.arc_record("u", "2001", b"12345", version)[:-4]) + good(b"http://c/") + b"no member"
+    with pytest.raises(ValueError, match="fields"):
+        list(warc.read_arc(_Stream(raw, 99)))
+    got = list(warc.read_arc(_Stream(raw, 99), "PERMISSIVE"))
+    assert [r.get("url") for r in got] == ["http://a/with two blanks", None, "http://b/", None, "http://c/", None] and [r["block"] for r in got if "url" in r] == [block] * 3
+    (tmp_path / "f.arc.gz").write_bytes(raw)
+    archives = spark.createDataFrame([("f.arc.gz",)], "archive string")
+    index = warc.arc_index(spark, tmp_path.as_uri(), archives, "PERMISSIVE")
+    assert index.where("error is not null").count() == 3
+    kind = spark.range(1).schema["id"].dataType
+    files = warc.convert_archives(spark, tmp_path.as_uri(), tmp_path.as_uri(), warc.choose_responses(index, kind))
+    rows = warc.read_warcs(spark, tmp_path.as_uri(), files, kind).orderBy("url").collect()
+    assert [(r.url, r.record_type) for r in rows] == [("http://a/with two blanks", "response"), ("http://b/", "revisit"), ("http://c/", "revisit")]
+    with pytest.raises(Exception, match="fields"):
+        warc.arc_index(spark, tmp_path.as_uri(), archives).collect()
+
+
 # ---- 4 ---------------------------------------------------------------------
 
 SECRET = 'password = "hunter2hunter2"'
