@@ -1,4 +1,10 @@
-"""From raw documents to token ids: five stages, each over all that the one before kept."""
+"""From raw documents to token ids: five stages, each over all that the one before kept.
+
+Every stage takes a null text for an empty one, a null id for an id, and rows
+that repeat for rows of their own unless it says otherwise; an empty table
+gives an empty one. All columns of the documents go through, whatever their
+names, and so may further ones.
+"""
 
 from __future__ import annotations
 
@@ -10,27 +16,27 @@ from gridloom.runtime import Scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the rules, or whose host is rejected, go."""
+    """Documents that fail the rules, or whose host is rejected, go. Null and empty texts fail for want of words; a null host is a host of its own."""
     return quality.keep(docs)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates one document stays, that with the smallest id."""
+    """Of near-duplicates one document stays, that with the smallest id; of rows that repeat its id and text, one. Texts without words link with nothing and all stay; of a group with null ids only, its rows stay if their texts differ."""
     return jaccard.representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak a benchmark item go."""
+    """Documents that leak a benchmark item go, rows that repeat them too. Null and empty texts leak nothing; items without words are leaked by nothing."""
     return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked, in whatever encoding; ``n_chars`` follows the text."""
+    """Secrets are masked, in whatever encoding; ``n_chars`` follows the text. Null texts stay null, with a null ``n_chars``."""
     return secrets.mask(docs).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of the ids and of the text decoded from them."""
+    """A row for each document: its id, its token ids, and digests of these and of the text decoded from them. Null and empty texts have no ids."""
     ids = bpe.encode(docs, queries.tokenizer())
     return bpe.digests(bpe.decode(ids, queries.tokenizer()).withColumn("ids", F.col("token_ids"))).withColumnRenamed("ids", "token_ids")
 
