@@ -49,3 +49,8 @@ def sample_type(bits: Column, sample_format: Column) -> Column:
 def predictor_supported(predictor: Column, bits: Column, sample_format: Column) -> Column:
     horizontal = bits.isin(8, 16, 32, 64) | ((sample_format == 1) & (bits > 8) & (bits < 32))
     return F.when(predictor == 1, True).when(predictor == 2, horizontal).when(predictor == 3, (sample_format == 3) & bits.isin(16, 32, 64)).otherwise(False)
+
+
+def kind_error(kind: Column, wanted: str) -> Column:
+    """The error of reading a page's chunks as strips or tiles if they are the other, else null."""
+    return F.when(kind != wanted, "InvalidChunkType")

@@ -17,7 +17,7 @@ from gridloom.functions import classify, geometry, pixels
 from gridloom.functions.domains import CODE
 from gridloom.operators import rasters
 from gridloom.operators import samples as S
-from gridloom.plans import images, relations
+from gridloom.plans import containers, images, relations
 from gridloom.runtime import ship
 from gridloom.sources import scan
 
@@ -372,14 +372,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out |= {f"bytes_md5_{c}": bytes_md5(c) for c in ("lzw", "deflate", "packbits", "zstd")}
     for f in (rt_f32_fpred, rt_f32_big, rt_u16_hpred, rt_u64_exact, rt_i32_signed, hpred_forward, hpred_inverse, pack_unpack_12b, byte_swap_u16, invert_gray8, lab_rebias, palette_lookup, tile_grid, strip_grid, tag_ascii, tag_scalars, multipage, ifd_cycles, color_classify, rle_runs, region_join, limits_permissive, codec_sizes, coding_units, planar_samples, sub_directories, directory_maps, zonal_sums):
         out[f.__name__] = f
-    return out | {name: query for name, (query, _) in (images.queries() | relations.queries()).items()}
+    return out | {name: query for name, (query, _) in (images.queries() | relations.queries() | containers.queries()).items()}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {f"rt_f32_{c}": RT_SQL for c in CODECS} | {"rt_f32_fpred": RT_SQL, "rt_f32_big": RT_SQL}
     text = {c: "coalesce(text, '')" + (" || '.'" if c == "packbits" else "") for c in ("lzw", "deflate", "packbits", "zstd")}
     out |= {f"bytes_md5_{c}": f"SELECT doc_id::BIGINT AS doc_id, md5({t}) AS md5, octet_length(encode({t}))::BIGINT AS n FROM documents" for c, t in text.items()}
-    out |= {name: sql for name, (_, sql) in (images.queries() | relations.queries()).items()}
+    out |= {name: sql for name, (_, sql) in (images.queries() | relations.queries() | containers.queries()).items()}
     return out | {
         "rt_u16_hpred": USER_SQL,
         "rt_u64_exact": "SELECT o_custkey::BIGINT AS o_custkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::BIGINT AS x, (9007199254740993 + o_orderkey)::BIGINT AS v FROM orders",
