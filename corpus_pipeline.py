@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, decontam, jaccard, quality, queries, secrets
-from gridloom.runtime import Scratch
+from gridloom.runtime import Scratch, workspace
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,13 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``, each stage's rows written and read again."""
+    """All stages over the documents of ``sf_dir``, each stage's rows written and read again; what a stage wrote besides is deleted after it."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = scratch.table(f"stage-{k}", docs)
-            if k:
-                scratch.drop(f"stage-{k - 1}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with workspace(spark):
+            docs = scratch.table(f"stage-{k}", stage(spark, docs, sf_dir))
+        if k:
+            scratch.drop(f"stage-{k - 1}")
+    return STAGES[-1][1](spark, docs, sf_dir)
