@@ -4,9 +4,9 @@ import hashlib
 import re
 
 import corpus_pipeline
-from gridloom.llm import queries, secrets
+from gridloom.llm import queries
 
-from .test_text_operators import SF, brute_components, brute_leaks, brute_stats
+from .test_text_operators import SF, brute_base, brute_components, brute_leaks, brute_stats
 
 
 def test_stages():
@@ -28,7 +28,7 @@ def test_pipeline(spark):
     library = Tokenizer.from_file(queries.tokenizer())
     want = {}
     for d, t in rows:
-        spans = sorted(set(secrets.base_spans(t)) | secrets.inner_spans(t))
+        spans = brute_base(t)  # no secret of these tables is encoded; the next test has some
         out, at = "", 0
         for a, _, b in spans:
             if a >= at:
@@ -55,3 +55,28 @@ def test_empty_documents(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).isEmpty()
+
+
+def test_planted_cases(spark, tmp_path):
+    """Junk, copies, leaks and encoded secrets among clean documents, with nulls and columns of clashing names."""
+    import base64
+    import gzip
+    import random
+
+    from tokenizers import Tokenizer
+
+    rng = random.Random(6)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(n))
+    clean = [prose(60) for _ in range(6)]
+    item, copied = prose(40), prose(80)
+    hidden = base64.b64encode(gzip.compress(b'password = "hunter2hunter2"')).decode()
+    texts = [*clean, copied, copied.upper(), copied + " more", clean[0] + " " + item + " " + prose(200), "few words", "z y " * 60, None, "", clean[5] + " key " + hidden + " end " + prose(30)]
+    rows = [(i, t, "en", f"h{i}", 1, 2, 3.0, "x") for i, t in enumerate(texts)] + [(None, prose(60), None, None, None, 2, 3.0, "x")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, id int, key double, base_failed string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(got) == {0, 1, 2, 3, 4, 5, 6, 14, None}
+    library = Tokenizer.from_file(queries.tokenizer())
+    text = lambda i: library.decode(list(got[i].token_ids), skip_special_tokens=False)
+    assert all(text(i) == texts[i] for i in range(7))
+    assert text(14) == texts[14].replace(hidden, "[secret]")
