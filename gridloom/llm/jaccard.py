@@ -559,7 +559,7 @@ def class_links(docs: DataFrame, own: DataFrame, scratch: Scratch, k: int, perce
         return None
     cuts = max(FRAGMENTS, -(-total // grown(FRAGMENT, whole)))
     parts = -(-2 * total // grown(FRAGMENT, whole))  # whole sets take more room than prefixes
-    links, found, centres = None, None, None
+    found, centres = None, None
     for step in range(LAST + 1):
         prefix = sets.select("class", "n", "prefix")
         if found is not None:
@@ -584,8 +584,7 @@ def class_links(docs: DataFrame, own: DataFrame, scratch: Scratch, k: int, perce
         new = counted.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
         if new.isEmpty():
             continue
-        links = new if links is None else links.union(new)
-        before, found = found, graph.components(links, scratch, f"components-{step}")
+        before, found = found, graph.merged(found, new, scratch, f"components-{step}", _small)
         if before is not None:
             scratch.drop_read(before)
     for name in ("sets", "able", "centres", *(f"{t}-{step}" for t in ("pairs", "counted") for step in range(LAST + 1))):

@@ -871,15 +871,29 @@ def test_representatives(spark, odd):
     assert jaccard.representatives(odd.limit(0)).isEmpty()
 
 
-def test_graph(spark):
-    rng = random.Random(4)
-    edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(70)] + [(7, 7), (None, 3), (5, None), (1, 0), (0, 1)]
-    got = dict(tuple(r) for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint"), Scratch(spark, "g")).collect())
+def brute_graph(edges):
     root = {}
     find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
     for a, b in edges:
         if a is not None and b is not None and a != b:
             x, y = sorted((find(a), find(b)))
             root[y] = x
-    assert got == {x: find(x) for x in root}
-    assert graph.components(spark.createDataFrame([], "a bigint, b bigint"), Scratch(spark, "g")).isEmpty()
+    return {x: find(x) for x in root}
+
+
+@pytest.mark.parametrize("small", [graph.SMALL, 0])
+def test_graph(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL", small)
+    rng = random.Random(4)
+    edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(70)] + [(7, 7), (None, 3), (5, None), (1, 0), (0, 1)]
+    rows = lambda e: spark.createDataFrame(e, "a bigint, b bigint")
+    got = dict(tuple(r) for r in graph.components(rows(edges), Scratch(spark, "g")).collect())
+    assert got == brute_graph(edges)
+    assert graph.components(rows([]), Scratch(spark, "g")).isEmpty()
+    # bit by bit: the same, each node once
+    rng.shuffle(edges)
+    scratch, found = Scratch(spark, "g"), None
+    for k, at in enumerate(range(0, len(edges), 60)):
+        found = graph.merged(found, rows(edges[at : at + 60]), scratch, f"m{k}", lambda df: df)
+    got = [tuple(r) for r in found.collect()]
+    assert dict(got) == brute_graph(edges) and len(got) == len(dict(got))
