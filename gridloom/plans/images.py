@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import geometry, pixels
@@ -225,6 +225,51 @@ SELECT k AS s_suppkey, w::BIGINT AS width, h::BIGINT AS height, 3::BIGINT AS ban
 """
 
 
+def band_math(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands side by side, and an index of two of them, by picture."""
+    s = scan.samples(scan.decode(files_of(spark, sf_dir, _planar_tiles)))
+    px = s.groupBy("path", "x", "y").pivot("band", [0, 1, 2]).agg(F.first(F.col("value").cast("bigint"))).withColumnsRenamed({"0": "r", "1": "g", "2": "b"})
+    index = (F.col("g") - F.col("r")) / F.greatest(F.col("g") + F.col("r"), F.lit(1))
+    return px.groupBy(key().alias("s_suppkey")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor(index * 1000).cast("bigint")).alias("total"), F.count_if(F.col("b") > F.col("r")).alias("bluer"))
+
+
+BAND_SQL = """
+WITH g AS (SELECT k, x, y, (k * 7 + x * 3 + y * 5 + x * y) * 97 % 60000 AS r, (k * 7 + x * 3 + y * 5 + 11 + x * y) * 97 % 60000 AS g, (k * 7 + x * 3 + y * 5 + 22 + x * y) * 97 % 60000 AS b
+  FROM (SELECT s_suppkey::BIGINT AS k FROM supplier), range(46) tx(x), range(21) ty(y) WHERE x < 17 + k % 30 AND y < 9 + k % 13)
+SELECT k AS s_suppkey, count(*)::BIGINT AS n, sum(floor((g - r)::DOUBLE / greatest(g + r, 1) * 1000)::BIGINT)::BIGINT AS total, count_if(b > r)::BIGINT AS bluer FROM g GROUP BY k
+"""
+
+
+def histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many samples of each band fall into each sixteenth, with running shares over all pictures."""
+    s = scan.samples(scan.decode(files_of(spark, sf_dir, _tiles)))
+    h = s.groupBy(F.col("band").cast("bigint").alias("band"), F.floor(F.col("value") / 16).cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("band").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    return h.withColumn("at_most", F.sum("n").over(w))
+
+
+HISTOGRAM_SQL = """
+WITH g AS (SELECT b, (k * 7 + x * 3 + y * 5 + b * 11 + x * y) % 256 // 16 AS bin FROM (SELECT s_suppkey::BIGINT AS k FROM supplier), range(46) tx(x), range(21) ty(y), range(3) tb(b) WHERE x < 17 + k % 30 AND y < 9 + k % 13)
+SELECT b::BIGINT AS band, bin::BIGINT AS bin, count(*)::BIGINT AS n, (sum(count(*)) OVER (PARTITION BY b ORDER BY bin))::BIGINT AS at_most FROM g GROUP BY b, bin
+"""
+
+
+def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures laid out on a common ground, ten to a row; where they overlap, the latest is seen. Cut into squares of 32."""
+    s = scan.samples(scan.decode(files_of(spark, sf_dir, lambda k: image_file(picture(k, 256), compression=8, tile=(16, 16)))))
+    k = key()
+    placed = s.select(k.alias("k"), (F.col("x") + k % 10 * 20).cast("bigint").alias("gx"), (F.col("y") + F.floor(k / 10) * 12).cast("bigint").alias("gy"), F.col("value").cast("bigint").alias("v"))
+    seen = placed.groupBy("gx", "gy").agg(F.max_by("v", "k").alias("v"), F.count(F.lit(1)).alias("layers"))
+    return seen.groupBy(F.floor(F.col("gx") / 32).cast("bigint").alias("column"), F.floor(F.col("gy") / 32).cast("bigint").alias("row")).agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"), F.max("layers").alias("layers"))
+
+
+MOSAIC_SQL = """
+WITH g AS (SELECT k, x + k % 10 * 20 AS gx, y + k // 10 * 12 AS gy, (k * 7 + x * 3 + y * 5 + x * y) % 256 AS v FROM (SELECT s_suppkey::BIGINT AS k FROM supplier), range(46) tx(x), range(21) ty(y) WHERE x < 17 + k % 30 AND y < 9 + k % 13),
+s AS (SELECT gx, gy, arg_max(v, k) AS v, count(*) AS layers FROM g GROUP BY gx, gy)
+SELECT (gx // 32)::BIGINT AS "column", (gy // 32)::BIGINT AS "row", count(*)::BIGINT AS n, sum(v)::BIGINT AS total, max(layers)::BIGINT AS layers FROM s GROUP BY 1, 2
+"""
+
+
 # ---- files in a folder ------------------------------------------------------
 
 
@@ -370,6 +415,9 @@ def queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]
         "expand_bits": (expand_bits, EXPAND_SQL),
         "planar_vs_chunky": (planar_vs_chunky, PLANAR_SQL),
         "page_images": (page_images, IMAGES_SQL),
+        "band_math": (band_math, BAND_SQL),
+        "histograms": (histograms, HISTOGRAM_SQL),
+        "mosaic": (mosaic, MOSAIC_SQL),
         "chunk_ranges": (chunk_ranges, rgb),
         "chunk_places": (chunk_places, PLACES_SQL),
         "raster_source": (raster_source, SOURCE_SQL),
