@@ -541,7 +541,8 @@ def class_links(docs: DataFrame, own: DataFrame, scratch: Scratch, k: int, perce
     spark = docs.sparkSession
     whole = int(own.agg(F.sum("n_shingles")).first()[0] or 0)
     fragments = max(FRAGMENTS, -(-whole // grown(FRAGMENT, whole)))
-    dealt = _deal(docs, k, fragments, grown(BLOCK, whole))
+    # in order, so that a task that is repeated makes the same blocks, whatever order its rows come in
+    dealt = _deal(docs.sortWithinPartitions("key"), k, fragments, grown(BLOCK, whole))
     partial = scratch.table("partial", dealt.groupBy("fragment").applyInArrow(_share, "block bigint, present binary, shared binary, table binary, hash bigint, seen bigint"))
     release(spark)
     top = partial.where("hash is not null").select("hash", "seen").orderBy(F.desc("seen"), "hash").limit(FREQUENT).toArrow()

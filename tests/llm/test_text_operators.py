@@ -834,6 +834,13 @@ def test_dealt_rows_are_even(spark, monkeypatch):
         assert rows <= total / jaccard.ROW * 1.01
 
 
+def test_blocks_do_not_depend_on_order(spark):
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices("abcdefghij", k=9000))) for i in range(150)], "key bigint, text string").coalesce(1)
+    cut = lambda df: sorted(tuple(r) for r in jaccard._deal(df.sortWithinPartitions("key"), 5, 4, 1000).collect())
+    assert cut(docs) == cut(docs.sort(F.desc("key")).coalesce(1))
+
+
 def test_representatives_with_clashing_names(spark):
     text = " ".join(f"w{i}" for i in range(30))
     docs = spark.createDataFrame([(1, text, 1, 2, 3, 4), (2, text, 1, 2, 3, 4), (1, text, 1, 2, 3, 4)], "doc_id int, text string, id int, key int, _gone int, _again int")
