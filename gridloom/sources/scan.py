@@ -91,7 +91,7 @@ class _Opened:
 
 
 def _each(files: DataFrame, schema: str, make, options: Options, batch_rows: int = 256, more: tuple[str, ...] = ()) -> DataFrame:
-    """A table made of what ``make(path, source, *more columns)`` yields for each file, as dicts; errors on the way become rows."""
+    """A table made of what ``make(path, source, *more columns)`` yields for each file, as dicts or whole batches; errors on the way become rows."""
     ship(files.sparkSession)
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     failfast = options.mode == "FAILFAST"
@@ -103,6 +103,12 @@ def _each(files: DataFrame, schema: str, make, options: Options, batch_rows: int
                 try:
                     with _Opened(path, content.as_py()) as src:
                         for row in make(path, src, *own):
+                            if isinstance(row, pa.RecordBatch):
+                                if rows:
+                                    yield pa.RecordBatch.from_pylist(rows, arrow)
+                                    rows = []
+                                yield row
+                                continue
                             if failfast and row.get("error_kind"):
                                 raise RasterError(row["error_kind"], row["error_detail"])
                             rows.append(row)
@@ -263,7 +269,7 @@ def page_of(layout: str) -> Page:
 def chunks(table: DataFrame, options: Options = Options()) -> DataFrame:
     """A row per strip or tile of every valid page: where it is in the file and in the page, and the layout to decode it by."""
 
-    return _each(table, CHUNKS, lambda path, src: _chunk_rows(path, src, options), options, 4096)
+    return _each(table, CHUNKS, lambda path, src: _chunk_batches(path, src, options, _CHUNK_SCHEMA), options)
 
 
 def _valid_pages(path: str, src: Source, o: Options):
@@ -277,15 +283,21 @@ def _valid_pages(path: str, src: Source, o: Options):
             yield i, {"path": path, "page_index": i, "error_kind": e.kind, "error_detail": e.detail}
 
 
-def _chunk_rows(path: str, src: Source, o: Options):
+def _chunk_batches(path: str, src: Source, o: Options, arrow: pa.Schema):
+    """Batches of the chunks of each page, or its error as a row."""
     for i, p in _valid_pages(path, src, o):
         if isinstance(p, dict):
             yield p
             continue
-        layout = _layout(p)
-        for c in range(p.chunks):
-            plane, x, y, w, h = p.place(c)
-            yield {"path": path, "page_index": i, "chunk_index": c, "plane": plane, "x0": x, "y0": y, "data_width": w, "data_height": h, "file_offset": p.offsets[c], "byte_count": p.counts[c], "layout": layout}
+        layout, offsets, counts = _layout(p), np.array(p.offsets, np.uint64), np.array(p.counts, np.uint64)
+        for a in range(0, p.chunks, 1 << 14):
+            c = np.arange(a, min(p.chunks, a + (1 << 14)))
+            plane, cell = np.divmod(c, p.across * p.down)
+            row, column = np.divmod(cell, p.across)
+            x, y = column * p.chunk_width, row * p.chunk_height
+            same = np.zeros(len(c), np.int64)
+            columns = {"path": pa.array([path]).take(pa.array(same)), "page_index": same + i, "chunk_index": c, "plane": plane, "x0": x, "y0": y, "data_width": np.minimum(p.chunk_width, p.width - x), "data_height": np.minimum(p.chunk_height, p.height - y), "file_offset": offsets[c].view(np.int64), "byte_count": counts[c].view(np.int64), "layout": pa.array([layout]).take(pa.array(same))}
+            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name]).cast(f.type) if f.name in columns else pa.nulls(len(c), f.type) for f in arrow], schema=arrow)
 
 
 def _decoded_row(base: dict, p: Page, c: int, raw: bytes, o: Options) -> dict:
@@ -322,12 +334,13 @@ def _decoded_rows(path: str, src: Source, o: Options, wanted: set[int] | None =
                 yield base | {"error_kind": e.kind, "error_detail": e.detail}
 
 
+_CHUNK_SCHEMA = pa.schema([(name, {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}[kind]) for name, kind in (x.split() for x in CHUNKS.split(", "))])
 _ROWS = {
     "files": lambda p, src, o, wanted: _file_rows(p, src),
     "pages": lambda p, src, o, wanted: _page_rows(p, src, o),
     "tags": lambda p, src, o, wanted: _tag_rows(p, src, o),
     "directories": lambda p, src, o, wanted: _directory_rows(p, src, o),
-    "chunks": lambda p, src, o, wanted: _chunk_rows(p, src, o),
+    "chunks": lambda p, src, o, wanted: (r for b in _chunk_batches(p, src, o, _CHUNK_SCHEMA) for r in (b.to_pylist() if isinstance(b, pa.RecordBatch) else [b])),
     "decoded": lambda p, src, o, wanted: _decoded_rows(p, src, o, wanted),
 }
 
