@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from gridloom.llm.bpe import pack_numbers, unpack_numbers
 from gridloom.llm.jaccard import pack, unpack
-from gridloom.llm.textkern import mix, slices
+from gridloom.llm.textkern import distinct, mix, slices
 from gridloom.runtime import Scratch, give_back, partitions
 
 N = 5
@@ -195,7 +195,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
         keys: list[np.ndarray] = []
 
         def block() -> pa.RecordBatch:
-            known = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+            known = distinct(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
             row = [(part << 32) + number, len(known), zstandard.ZstdCompressor(level=3).compress(_ipc(held)), pack(known, True)]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["block", "n_keys", "rows", "keys"])
 
@@ -204,9 +204,9 @@ def _blocks(docs: DataFrame) -> DataFrame:
                 held.append(batch.slice(a, b - a))
                 size += len(data)
                 if len(data):
-                    keys.append(np.unique(np.concatenate(Grams(offsets, data).keys)))
+                    keys.append(distinct(np.concatenate(Grams(offsets, data).keys)))
                 if len(keys) == 16:
-                    keys = [np.unique(np.concatenate(keys))]
+                    keys = [distinct(np.concatenate(keys))]
                 if size >= BLOCK:
                     yield block()
                     held, size, keys, number = [], 0, [], number + 1

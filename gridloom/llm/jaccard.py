@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import graph
-from gridloom.llm.textkern import mix, shingle_sets, slices
+from gridloom.llm.textkern import distinct, mix, shingle_sets, slices
 from gridloom.runtime import Scratch, give_back, release, ship, unused
 
 #: Least shingles of a fragment; a task holds one fragment at a time.
@@ -412,7 +412,7 @@ def _meet(percent: int, step: int):
             a, b = a[ok], b[ok]
             swap = ids[a] > ids[b]
             low, high = np.where(swap, b, a), np.where(swap, a, b)
-            found.append(np.unique(low * len(ids) + high))
+            found.append(distinct(low * len(ids) + high))
 
         if step == 0:
             band = np.floor(np.log(one["n"]) / np.log(100 / percent)).astype(np.int64) if len(ids) else ids
@@ -470,7 +470,7 @@ def _meet(percent: int, step: int):
                 own = live[a:b]
                 keep(np.repeat(order[own], size[own]), order[ranged(after[own], size[own])])
                 a = b
-        code = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        code = distinct(np.concatenate(found)) if found else np.zeros(0, np.int64)
         x, y = code // max(len(ids), 1), code % max(len(ids), 1)
         return pa.table({"a": ids[x], "b": ids[y], "na": one["n"][x], "nb": one["n"][y]})
 
@@ -483,7 +483,7 @@ def _places(sets: DataFrame, fragments: int, words) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.filter(pa.array(in_filter(words.value, batch.column("class").to_numpy().view(np.uint64))))
-            places = [np.unique(fragment_of(np.frombuffer(x.as_py(), np.uint64), fragments)).astype("<u4").tobytes() for x in own.column("hashes")]
+            places = [distinct(fragment_of(np.frombuffer(x.as_py(), np.uint64), fragments)).astype("<u4").tobytes() for x in own.column("hashes")]
             yield pa.RecordBatch.from_arrays([own.column("class"), pa.array(places, pa.binary())], ["class", "places"])
         give_back()
 
@@ -516,7 +516,7 @@ def _count(sets: pa.Table, pairs: pa.Table) -> pa.Table:
     classes, who = np.unique(_column(sets, "class").view(np.int64), return_inverse=True)
     owner = np.repeat(who, _column(sets, "sizes").astype(np.int64))
     _, rank = np.unique(_column(sets, "hashes"), return_inverse=True)
-    cell = np.unique((owner << 32) + rank)  # a set that came twice counts once
+    cell = distinct((owner << 32) + rank)  # a set that came twice counts once
     bound = np.searchsorted(cell, np.arange(len(classes) + 1) << 32)
     ia, ib = (np.minimum(np.searchsorted(classes, x), len(classes) - 1) for x in (a, b))
     here = np.flatnonzero((classes[ia] == a) & (classes[ib] == b))
