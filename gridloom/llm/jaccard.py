@@ -59,8 +59,8 @@ FREQUENT = 131_072
 FREQUENT_FROM = 16
 #: Keys of documents up to so many are sent to all tasks.
 BROADCAST_KEYS = 2_000_000
-#: Bits of the filter that names the classes that stay: at most 16 MB.
-FILTER_BITS = 1 << 27
+#: Keys up to so many are put into a filter of 16 bits each, which all tasks get; more are joined.
+FILTER_KEYS = 8_000_000
 #: How many sets of the largest component a set tries in each step before.
 TRIALS = 6
 #: The step that pairs all sets that are left; those before only try some.
@@ -128,9 +128,8 @@ def _bits(key: np.ndarray, size: int) -> list[np.ndarray]:
 
 
 def key_filter(keys: DataFrame, *columns: str) -> np.ndarray:
-    """A Bloom filter over long columns, built in parallel; its size is bounded."""
-    n = keys.count() * len(columns)
-    size = min(FILTER_BITS, 1 << max(12, int(16 * n).bit_length()))
+    """A Bloom filter over long columns, built in parallel."""
+    size = 1 << max(12, int(16 * keys.count() * len(columns)).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.zeros(size // 64, np.uint64)
@@ -147,6 +146,16 @@ def key_filter(keys: DataFrame, *columns: str) -> np.ndarray:
     return out
 
 
+def only(df: DataFrame, column: str, keys: DataFrame, *columns: str):
+    """``df`` and a filter for it, in a broadcast, of the keys in ``columns`` of a written table; or, where these are many, the rows of ``df`` with such a key, and None."""
+    if keys.count() * len(columns) <= FILTER_KEYS:
+        return df, df.sparkSession.sparkContext.broadcast(key_filter(keys, *columns))
+    known = keys.select(F.col(columns[0]).alias(column))
+    for c in columns[1:]:
+        known = known.union(keys.select(c))
+    return df.join(known.distinct(), column, "left_semi"), None
+
+
 def in_filter(words: np.ndarray, key: np.ndarray) -> np.ndarray:
     ok = np.ones(len(key), bool)
     for at in _bits(key, len(words) * 64):
@@ -307,13 +316,14 @@ def _sum_block(percent: int):
 
 
 def _candidates_sets(docs: DataFrame, k: int, percent: int, words, frequent) -> DataFrame:
-    """(class, n, hashes, prefix) of the documents whose key is in the filter."""
+    """(class, n, hashes, prefix) of the documents whose key is in the filter, or of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value  # hashes, ascending; and their ranks
         for batch in batches:
-            keys = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
-            picked = batch.filter(pa.array(in_filter(words.value, keys)))
+            picked = batch
+            if words is not None:
+                picked = batch.filter(pa.array(in_filter(words.value, batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64))))
             for _, _, offsets, data in slices(picked.column("text")):
                 h, bounds = shingle_sets(offsets, data, k)
                 rows = []
@@ -478,11 +488,11 @@ def _meet(percent: int, step: int):
 
 
 def _places(sets: DataFrame, fragments: int, words) -> DataFrame:
-    """(class, places): the fragments in which each class of the filter has shingles."""
+    """(class, places): the fragments in which each class, of the filter or of all, has shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.filter(pa.array(in_filter(words.value, batch.column("class").to_numpy().view(np.uint64))))
+            own = batch if words is None else batch.filter(pa.array(in_filter(words.value, batch.column("class").to_numpy().view(np.uint64))))
             places = [distinct(fragment_of(np.frombuffer(x.as_py(), np.uint64), fragments)).astype("<u4").tobytes() for x in own.column("hashes")]
             yield pa.RecordBatch.from_arrays([own.column("class"), pa.array(places, pa.binary())], ["class", "places"])
         give_back()
@@ -552,8 +562,8 @@ def class_links(docs: DataFrame, own: DataFrame, scratch: Scratch, k: int, perce
     able = partial.where("block is not null").groupBy("block").applyInArrow(_sum_block(percent), "class bigint").distinct()
     reps = own.where("class is not null").groupBy("class").agg(F.min("key").alias("key"))  # ids can be null, keys never are
     reps = scratch.table("able", reps.join(able, "class", "left_semi"))
-    words = spark.sparkContext.broadcast(key_filter(reps, "key"))
-    sets = scratch.table("sets", _candidates_sets(docs, k, percent, words, frequent), codec="none")
+    picked, words = only(docs, "key", reps, "key")
+    sets = scratch.table("sets", _candidates_sets(picked, k, percent, words, frequent), codec="none")
     scratch.drop("partial")
     total = int(sets.agg(F.sum("n")).first()[0] or 0)
     if not total:
@@ -573,9 +583,9 @@ def class_links(docs: DataFrame, own: DataFrame, scratch: Scratch, k: int, perce
         pairs = scratch.table(f"pairs-{step}", met.distinct())
         if pairs.isEmpty():
             continue
-        near = spark.sparkContext.broadcast(key_filter(pairs, "a", "b"))
-        left = _cut_sets(sets.select("class", "hashes"), parts, "hashes", [], near)
-        placed = pairs.select("a", "b").join(_places(sets, parts, near).withColumnRenamed("class", "a"), "a")
+        of_pairs, near = only(sets.select("class", "hashes"), "class", pairs, "a", "b")
+        left = _cut_sets(of_pairs, parts, "hashes", [], near)
+        placed = pairs.select("a", "b").join(_places(of_pairs, parts, near).withColumnRenamed("class", "a"), "a")
         counted = left.groupBy("fragment").cogroup(_spread(placed).groupBy("fragment")).applyInArrow(_count, "a bigint, b bigint, overlap bigint")
         counted = scratch.table(f"counted-{step}", counted.groupBy("a", "b").agg(F.sum("overlap").alias("overlap")).join(pairs, ["a", "b"]))
         release(spark)
