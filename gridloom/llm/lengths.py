@@ -20,7 +20,7 @@ from gridloom.llm.bpe import encoder
 from gridloom.runtime import Scratch, ship
 
 #: Lengths are summed by ranges of so many first, so that no task needs all of them.
-RANGE = 1024
+RANGE = 128
 
 
 def lengths(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
