@@ -97,9 +97,7 @@ class Grams:
         """The longest n-grams that end in a text, as strings, and how often."""
         n = np.bincount(self.ids[-1][self.live], minlength=len(self.at[-1]))
         full = np.flatnonzero(n)
-        places = self.at[-1][full]
-        places = np.where(places < N - 1, N - 1, places)  # cannot be: N - 1 edges begin the slice
-        window = self.points[places[:, None] + np.arange(1 - N, 1)]
+        window = self.points[self.at[-1][full][:, None] + np.arange(1 - N, 1)]  # the last place of each, which has N - 1 units before it
         return np.ascontiguousarray(window).view(f"<U{N}").ravel(), n[full]
 
     def before(self, k: int) -> np.ndarray:
