@@ -75,14 +75,14 @@ def decode_chunk(page: Page, chunk: int, raw: bytes, limits: Limits = Limits(),
     return out
 
 
-def planes_read(page: Page, limits: Limits = Limits(), first_plane_only: bool = False) -> int:
-    """How many planes of a page the limit of results holds: all, or else the first alone; none is an error."""
+def planes_read(page: Page, limit: int | None, first_plane_only: bool = False) -> int:
+    """How many planes of a page are read under a limit of bytes for whole images: all, or else the first alone; none is an error."""
     _, bands = page.color
     plane = page.width * page.height * S.sample_type(page.bits, page.format).itemsize * (1 if page.planar == 2 else bands)
     planes = bands if page.planar == 2 else 1
-    if first_plane_only or plane * planes > limits.decoded:
+    if first_plane_only or (limit is not None and plane * planes > limit):
         planes = 1
-    if plane * planes > limits.decoded:
+    if limit is not None and plane * planes > limit:
         raise RasterError("LimitsExceeded", plane * planes)
     return planes
 
@@ -91,7 +91,7 @@ def read_image(src: Source, page: Page, limits: Limits = Limits(), first_plane_o
     """The samples (height, width, bands) of a page, from all its chunks; of bands that lie apart only the first, if all are beyond the limit."""
     _, bands = page.color
     dtype = S.sample_type(page.bits, page.format)
-    planes = planes_read(page, limits, first_plane_only)
+    planes = planes_read(page, limits.decoded, first_plane_only)
     out = np.zeros((page.height, page.width, planes if page.planar == 2 else bands), dtype)
     for chunk in range(page.chunks):
         plane, x, y, w, h = page.place(chunk)

@@ -405,7 +405,7 @@ def queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]
         "white_is_zero": (read_back(_white_is_zero), picture_sql("16", value="[15, 255, 65535][k % 3 + 1] - v")),
         "lab_file": (read_back(_lab), picture_sql(bands=3, value="CASE WHEN b = 0 THEN v ELSE (v + 128) % 256 END")),
         "extra_samples": (read_back(_extra), picture_sql(bands=4, where="b < 3 OR k % 2 = 1")),
-        "plane_fallback": (read_back(_planar_strips, maxDecodedBytes=1000), picture_sql(bands=3, where="b = 0 OR 3 * w * h <= 1000")),
+        "plane_fallback": (read_back(_planar_strips, maxImageBytes=1000), picture_sql(bands=3, where="b = 0 OR 3 * w * h <= 1000")),
         "fax_files": (read_back(_fax), picture_sql(value="(x // 3 + y // 2 + k) % 2")),
         "jpeg_file": (read_back(_jpeg), picture_sql(bands=3, value="(k * 7 + x // 8 * 31 + y // 8 * 57 + b * 11) % 256")),
         "log_l_file": (read_back(_log_l, le), picture_sql("4000")),

@@ -34,7 +34,7 @@ from gridloom.sources.container import RasterError
 
 _SCHEMAS = {"files": scan.FILES, "pages": scan.PAGES, "tags": scan.TAG_ROWS, "directories": scan.DIRECTORIES, "chunks": scan.CHUNKS, "decoded": scan.DECODED, "samples": scan.SAMPLES}
 # option names come in lower case
-_NAMES = {x.lower(): x for x in ("maxDecodedBytes", "maxChunkBytes", "maxTagBytes", "firstIfdOffset", "referenceOrder", "firstPlaneOnly")}
+_NAMES = {x.lower(): x for x in ("maxDecodedBytes", "maxChunkBytes", "maxTagBytes", "maxImageBytes", "firstIfdOffset", "referenceOrder", "firstPlaneOnly")}
 #: Bytes of files, and files, that a partition has at most.
 PARTITION_BYTES, PARTITION_FILES = 128 << 20, 4096
 

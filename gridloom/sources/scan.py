@@ -39,7 +39,7 @@ SAMPLES = "path string, page_index int, x int, y int, band int, value double, ex
 
 @dataclass(frozen=True)
 class Options:
-    """How files are read: limits in bytes, mode, whether an unspecified extra sample may be alpha, another place to begin, and the byte-plane order of log-luminance runs."""
+    """How files are read: limits in bytes (of chunks and values; of whole pages only if ``image_limit`` is given), mode, whether an unspecified extra sample may be alpha, another place to begin, and the byte-plane order of log-luminance runs."""
 
     limits: Limits = field(default_factory=Limits)
     mode: str = "PERMISSIVE"
@@ -47,15 +47,16 @@ class Options:
     first_ifd: int | None = None
     reference_order: bool = False
     first_plane_only: bool = False
+    image_limit: int | None = None
 
     @classmethod
     def of(cls, **given) -> Options:
-        """From reader options: maxDecodedBytes, maxChunkBytes, maxTagBytes, mode, lenient, firstIfdOffset, referenceOrder, firstPlaneOnly."""
+        """From reader options: maxDecodedBytes, maxChunkBytes, maxTagBytes, maxImageBytes, mode, lenient, firstIfdOffset, referenceOrder, firstPlaneOnly."""
         d = Limits()
         limits = Limits(int(given.get("maxDecodedBytes", d.decoded)), int(given.get("maxChunkBytes", d.chunk)), int(given.get("maxTagBytes", d.tag)))
         yes = lambda k: str(given.get(k, "false")).lower() == "true"
-        first = given.get("firstIfdOffset")
-        return cls(limits, str(given.get("mode", "PERMISSIVE")).upper(), yes("lenient"), None if first is None else int(first), yes("referenceOrder"), yes("firstPlaneOnly"))
+        number = lambda k: None if given.get(k) is None else int(given[k])
+        return cls(limits, str(given.get("mode", "PERMISSIVE")).upper(), yes("lenient"), number("firstIfdOffset"), yes("referenceOrder"), yes("firstPlaneOnly"), number("maxImageBytes"))
 
 
 def load(spark: SparkSession, path: str, with_content: bool = True) -> DataFrame:
@@ -319,7 +320,7 @@ def _decoded_rows(path: str, src: Source, o: Options, wanted: set[int] | None =
             yield p
             continue
         try:
-            planes = planes_read(p, o.limits, o.first_plane_only)
+            planes = planes_read(p, o.image_limit, o.first_plane_only)
         except RasterError as e:
             yield {"path": path, "page_index": i, "error_kind": e.kind, "error_detail": e.detail}
             continue

@@ -428,3 +428,19 @@ def test_workspace_and_scratch(spark, tmp_path):
 
     with pytest.raises(ValueError, match="checkpoint"):
         runtime.scratch_root(Cluster())
+
+
+def test_large_pages_are_read_by_chunk(spark):
+    """Pages beyond the limit of results, whose chunks are not."""
+    from gridloom.operators.layout import image_file
+
+    image = (np.arange(12000) % 251).astype(np.uint8).reshape(100, 40, 3)
+    raw = image_file(image, 2, rows=2, planar=2)
+    df = spark.createDataFrame([("a", bytearray(raw))], "path string, content binary")
+    got = scan.samples(scan.decode(df, scan.Options.of(maxDecodedBytes=5000)))  # the lists of strips alone need that
+    assert got.count() == 12000 and got.agg({"value": "sum"}).first()[0] == image.sum()
+    bands = lambda limit: {r.band for r in scan.samples(scan.decode(df, scan.Options.of(maxImageBytes=limit))).collect()}
+    assert bands(12000) == {0, 1, 2} and bands(11999) == {0} == bands(4000) and not bands(3999)
+    assert scan.decode(df, scan.Options.of(maxImageBytes=3999)).first().error_kind == "LimitsExceeded"
+    src, head, (d,) = opened(raw)
+    assert read_image(src, read_page(src, head, d), Limits(decoded=11999)).shape == (100, 40, 1)
