@@ -127,6 +127,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(rows: DataFrame, by: str, per: int = 1000) -> DataFrame:
+    """Rows dealt out by a key over as many tasks as keep each to about ``per`` of them, whatever the layout of their files: a table of a few MB is one task to Spark, though each of its rows may stand for a whole picture."""
+    n = max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // per))
+    return rows.repartition(n, by)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that must not be broadcast: Spark guesses the size of what Arrow kernels make by that of their input, which may be far smaller."""
+    return df.hint("merge")
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of plans that are no longer held."""
     gc.collect()

@@ -35,6 +35,7 @@ TAG_ROWS = f"path string, page_index int, ifd_offset bigint, tag int, name strin
 CHUNKS = "path string, page_index int, chunk_index int, plane int, x0 bigint, y0 bigint, data_width int, data_height int, file_offset bigint, byte_count bigint, layout string, error_kind string, error_detail string"
 DECODED = "path string, page_index int, chunk_index int, plane int, x0 bigint, y0 bigint, data_width int, data_height int, bands int, dtype string, data binary, error_kind string, error_detail string"
 SAMPLES = "path string, page_index int, x int, y int, band int, value double, exact decimal(20,0)"
+PIXELS = "path string, page_index int, x int, y int, values array<double>, colors array<int>"
 
 
 @dataclass(frozen=True)
@@ -408,19 +409,103 @@ def sample_batches(r: dict, exact: bool, arrow: pa.Schema) -> Iterator[pa.Record
         )
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], least: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least so many: small chunks do not each cost a batch."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= least:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def samples(decoded: DataFrame, exact: bool = False) -> DataFrame:
     """A row per sample of decoded chunks; ``exact`` fills the decimal column, which 64-bit integers need."""
     ship(decoded.sparkSession)
     arrow = to_arrow_schema(StructType.fromDDL(SAMPLES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                yield from sample_batches(r, exact, arrow)
+        yield from _gathered(part for batch in batches for r in batch.to_pylist() for part in sample_batches(r, exact, arrow))
 
     return decoded.mapInArrow(run, SAMPLES)
 
 
+def pixels(table: DataFrame, options: Options = Options()) -> DataFrame:
+    """A row per pixel of whole files, with its bands as ``values`` and, on palette pages, ``colors`` (red, green, blue) by the page's own map.
+
+    Chunks of all planes at a place are decoded together, so neither bands nor
+    colours need a join. A band whose chunk failed is null, and so are the
+    colours of an index that the map does not have; pixels and pages of which
+    nothing could be read are left out.
+    """
+    ship(table.sparkSession)
+    arrow = to_arrow_schema(StructType.fromDDL(PIXELS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _gathered(part for batch in batches for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True) for part in _pixel_batches(path, content.as_py(), options, arrow))
+
+    return table.select("path", "content").mapInArrow(run, PIXELS)
+
+
+def _pixel_batches(path: str, content: bytes | None, o: Options, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    try:
+        with _Opened(path, content) as src:
+            for i, p in _valid_pages(path, src, o):
+                if isinstance(p, dict):
+                    if o.mode == "FAILFAST":
+                        raise RasterError(p["error_kind"], p["error_detail"])
+                    continue
+                try:
+                    planes = planes_read(p, o.image_limit, o.first_plane_only)
+                except RasterError:
+                    if o.mode == "FAILFAST":
+                        raise
+                    continue
+                for cell in range(p.across * p.down):
+                    yield from _cell_pixels(path, i, p, cell, planes, src, o, arrow)
+    except RasterError:
+        if o.mode == "FAILFAST":
+            raise
+
+
+def _cell_pixels(path: str, i: int, p: Page, cell: int, planes: int, src: Source, o: Options, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The pixels of the chunks that all planes have at one place, in batches of bounded size."""
+    bands: list[np.ndarray | None] = []
+    for plane in range(planes):
+        c = plane * p.across * p.down + cell
+        try:
+            a = decode_chunk(p, c, chunk_bytes(src, p, c, o.limits), o.limits, o.reference_order)
+            bands += list(a.reshape(-1, a.shape[2]).T)
+        except RasterError:
+            if o.mode == "FAILFAST":
+                raise
+            bands += [None] * (1 if p.planar == 2 else p.color[1])
+    read = [b for b in bands if b is not None]
+    if not read:
+        return
+    _, x0, y0, w, _ = p.place(cell)
+    for at in range(0, len(read[0]), 1 << 16):
+        parts = [None if b is None else b[at : at + (1 << 16)] for b in bands]
+        k = np.arange(at, min(len(read[0]), at + (1 << 16)))
+        same = pa.array(np.zeros(len(k), np.int64))
+        value = np.stack([np.zeros(len(k)) if b is None else b.astype(np.float64) for b in parts], -1)
+        lost = np.broadcast_to([b is None for b in parts], value.shape).ravel() if len(read) < len(bands) else None
+        values = pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1, dtype=np.int32) * len(bands)), pa.array(value.ravel(), mask=lost))
+        colors = pa.nulls(len(k), arrow.field("colors").type)
+        if p.color_map is not None and parts[0] is not None:
+            n = len(p.color_map) // 3
+            index = parts[0].astype(np.int64)
+            known = (index >= 0) & (index < n)
+            rgb = np.array(p.color_map[: 3 * n], np.int32).reshape(3, n).T[np.where(known, index, 0)] if n else np.zeros((len(k), 3), np.int32)
+            colors = pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1, dtype=np.int32) * 3), pa.array(rgb.ravel(), mask=np.repeat(~known, 3)))
+        columns = [pa.array([path]).take(same), pa.array(np.full(len(k), i, np.int32)), pa.array((x0 + k % w).astype(np.int32)), pa.array((y0 + k // w).astype(np.int32)), values, colors]
+        yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+
 IMAGES = "path string, page_index int, width bigint, height bigint, bands int, dtype string, data binary"
 
 
