@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.encode import RasterWriter, tag
+from gridloom.operators.samples import holding
 from gridloom.runtime import ship
 from gridloom.sources.container import RasterError
 
@@ -21,7 +22,7 @@ PAGE_COLUMNS = "file string, page_index int, width int, height int, bands int, d
 
 
 def encode_arrays(rows: DataFrame, values: str, dtype: str, path: F.Column | None = None, compression: int = 1, predictor: int = 1, big: bool = False, level: int = 0, bands: int = 1, color: str = "Gray", rows_per_strip: int | None = None) -> DataFrame:
-    """Each row's array as a file of one page, one row high: adds ``path`` and ``content``. Stays within its partition; null and empty arrays give no file."""
+    """Each row's array as a file of one page, one row high: adds ``path`` and ``content``. Stays within its partition; null and empty arrays give no file. A row with whole numbers beyond ``dtype`` is written in a wider type, not cut."""
     ship(rows.sparkSession)
     named = rows.withColumn("path", F.monotonically_increasing_id().cast("string") if path is None else path)
 
@@ -34,7 +35,7 @@ def encode_arrays(rows: DataFrame, values: str, dtype: str, path: F.Column | Non
                 out.append(None)
                 continue
             w = RasterWriter(big)
-            w.image(np.ascontiguousarray(flat[a:b]).astype(dtype).reshape(1, -1, bands), color, compression=compression, predictor=predictor, level=level, rows_per_strip=rows_per_strip)
+            w.image(np.ascontiguousarray(flat[a:b]).astype(holding(flat[a:b], dtype)).reshape(1, -1, bands), color, compression=compression, predictor=predictor, level=level, rows_per_strip=rows_per_strip)
             out.append(w.finish())
         return pa.array(out, pa.binary())
 

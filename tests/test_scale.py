@@ -69,3 +69,7 @@ def test_differences_and_back_keep_what_is_beyond_16_bits(spark, loud):
 @pytest.mark.parametrize("name", ["planar_samples", "coding_units"])
 def test_bands_apart_keep_what_is_beyond_16_bits(name, spark, loud):
     beyond(name, spark, loud)
+
+
+def test_arrays_keep_what_is_beyond_their_type(spark, loud):
+    beyond("rt_u16_hpred", spark, loud)
