@@ -129,8 +129,12 @@ def partitions(spark: SparkSession) -> int:
 
 def spread(rows: DataFrame, by: str, per: int = 1000) -> DataFrame:
     """Rows dealt out by a key over as many tasks as keep each to about ``per`` of them, whatever the layout of their files: a table of a few MB is one task to Spark, though each of its rows may stand for a whole picture."""
-    n = max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // per))
-    return rows.repartition(n, by)
+    return rows.repartition(tasks_for(rows, per), by)
+
+
+def tasks_for(rows: DataFrame, per: int = 1000) -> int:
+    """Tasks that have about ``per`` of these rows each."""
+    return max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // per))
 
 
 def shuffled(df: DataFrame) -> DataFrame:

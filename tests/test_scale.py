@@ -72,3 +72,7 @@ def test_bands_apart_keep_what_is_beyond_16_bits(spark, loud):
 
 def test_arrays_keep_what_is_beyond_their_type(spark, loud):
     beyond("rt_u16_hpred", spark, loud)
+
+
+def test_tag_sets_has_no_joins(spark):
+    assert "Join" not in plan(relations.tag_sets(spark, SF))
