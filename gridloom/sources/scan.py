@@ -533,3 +533,64 @@ def images(decoded: DataFrame) -> DataFrame:
 def coding_units(decoded: DataFrame) -> DataFrame:
     """Chunks of all planes at the same place, as a list ordered by plane."""
     return decoded.where("error_kind is null").groupBy("path", "page_index", "x0", "y0", "data_width", "data_height", "dtype").agg(F.transform(F.sort_array(F.collect_list(F.struct("plane", "data"))), lambda s: s["data"]).alias("planes"))
+
+
+_BLOCKS = "path string, page_index int, column bigint, row bigint, x0 bigint, y0 bigint, data_width int, data_height int, plane int, bands int, dtype string, data binary"
+AGREEMENT = "path string, page_index int, band int, n bigint, n_equal bigint, total bigint"
+
+
+def blocks(decoded: DataFrame, size: int = 64) -> DataFrame:
+    """Decoded chunks cut along a grid of squares that is the same for all layouts; ``column`` and ``row`` are the square's."""
+    ship(decoded.sparkSession)
+    arrow = to_arrow_schema(StructType.fromDDL(_BLOCKS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[dict] = []
+            for r in batch.to_pylist():
+                if r["data"] is None:
+                    continue
+                x0, y0, w, h = r["x0"], r["y0"], r["data_width"], r["data_height"]
+                a = np.frombuffer(r["data"], "<" + r["dtype"]).reshape(h, w, r["bands"])
+                for row in range(y0 // size, (y0 + h - 1) // size + 1):
+                    for column in range(x0 // size, (x0 + w - 1) // size + 1):
+                        x, y = max(x0, column * size), max(y0, row * size)
+                        part = a[y - y0 : (row + 1) * size - y0, x - x0 : (column + 1) * size - x0]
+                        out.append({"path": r["path"], "page_index": r["page_index"], "column": column, "row": row, "x0": x, "y0": y, "data_width": part.shape[1], "data_height": part.shape[0], "plane": r["plane"], "bands": r["bands"], "dtype": r["dtype"], "data": part.tobytes()})
+                        if len(out) == 256:
+                            yield pa.RecordBatch.from_pylist(out, arrow)
+                            out = []
+            if out:
+                yield pa.RecordBatch.from_pylist(out, arrow)
+
+    return decoded.mapInArrow(run, _BLOCKS)
+
+
+def agreement(one: DataFrame, other: DataFrame, size: int = 64) -> DataFrame:
+    """How two tables of decoded chunks, of any layout, agree: for each square of a page and band, the samples that either has, those that are equal, and the sum of the first's (null if it has none). Squares of both sides meet in a task, so chunks are moved in place of samples."""
+    arrow = to_arrow_schema(StructType.fromDDL(AGREEMENT))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        sides = [t.to_pylist() for t in (a, b)]
+        bands = max(r["plane"] + r["bands"] for rows in sides for r in rows)
+        kinds = [np.result_type(*(np.dtype(r["dtype"]) for r in rows)) if rows else np.dtype("u1") for rows in sides]
+        values = [np.zeros((size, size, bands), kind) for kind in kinds]
+        there = [np.zeros((size, size, bands), bool) for _ in sides]
+        for rows, value, has in zip(sides, values, there, strict=True):
+            for r in rows:
+                x, y, w, h = r["x0"] % size, r["y0"] % size, r["data_width"], r["data_height"]
+                at = np.s_[y : y + h, x : x + w, r["plane"] : r["plane"] + r["bands"]]
+                value[at] = np.frombuffer(r["data"], "<" + r["dtype"]).reshape(h, w, r["bands"])
+                has[at] = True
+        both = there[0] & there[1] & (values[0] == values[1])
+        first = (sides[0] or sides[1])[0]
+        out = []
+        for k in range(bands):
+            n = int((there[0] | there[1])[:, :, k].sum())
+            if n:
+                own = there[0][:, :, k]
+                out.append({"path": first["path"], "page_index": first["page_index"], "band": k, "n": n, "n_equal": int(both[:, :, k].sum()), "total": int(values[0][:, :, k][own].astype(np.int64).sum()) if own.any() else None})
+        return pa.Table.from_pylist(out, arrow)
+
+    by = ("path", "page_index", "column", "row")
+    return blocks(one, size).groupBy(*by).cogroup(blocks(other, size).groupBy(*by)).applyInArrow(run, AGREEMENT)

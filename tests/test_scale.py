@@ -94,3 +94,17 @@ def test_bands_side_by_side_are_not_sorted(spark):
 
 def test_mosaic_is_dealt_by_squares(spark):
     assert "REPARTITION_BY_NUM" in plan(images.mosaic(spark, SF)) and plan(images.mosaic(spark, SF)).count("Exchange hashpartitioning") == 1
+
+
+def test_agreement_of_layouts(spark):
+    a = np.arange(70 * 90 * 2, dtype="u2").reshape(70, 90, 2)
+    b = a.copy()
+    b[69, 80, 1] += 1
+    frame = lambda raw: scan.decode(spark.createDataFrame([("p", raw)], "path string, content binary"))
+    one, other = frame(bytes(image_file(a, tile=(16, 16)))), frame(bytes(image_file(b[:, :89], rows=7, planar=2)))
+    got = scan.agreement(one, other).groupBy("band").sum("n", "n_equal", "total").orderBy("band").collect()
+    assert [tuple(r) for r in got] == [(0, 6300, 6230, int(a[:, :, 0].sum(dtype=int))), (1, 6300, 6229, int(a[:, :, 1].sum(dtype=int)))]
+
+
+def test_layouts_are_not_joined_by_sample(spark):
+    assert "Join" not in plan(images.planar_vs_chunky(spark, SF))
