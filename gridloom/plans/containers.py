@@ -13,6 +13,7 @@ from gridloom.functions.domains import CODE
 from gridloom.operators.encode import COLORS, RasterWriter, tag
 from gridloom.operators.layout import image_file, lay_out
 from gridloom.plans.images import files_of, key, picture, picture_sql, read_back, sums
+from gridloom.runtime import shuffled
 from gridloom.sources import scan
 from gridloom.sources.container import directory_bytes
 
@@ -129,7 +130,7 @@ def pixel_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each pixel format that can be written, with its colour type as read."""
     files = files_of(spark, sf_dir, _formats)
     s = sums(scan.samples(scan.decode(files)))
-    return s.join(scan.pages(files).select(key().alias("s_suppkey"), "color_type", F.col("bits").cast("bigint").alias("bits")), "s_suppkey")
+    return s.join(shuffled(scan.pages(files).select(key().alias("s_suppkey"), "color_type", F.col("bits").cast("bigint").alias("bits"))), "s_suppkey")
 
 
 _NAMES = "[" + ", ".join(f"'{c}'" for c, _, _ in FORMATS) + "]"

@@ -116,3 +116,9 @@ def test_cube_groups_by_file_first(spark):
 
 def test_brightest_sorts_no_samples(spark):
     assert plan(relations.brightest(spark, SF)).count("HashAggregate") >= 2
+
+
+def test_pages_are_not_broadcast(spark):
+    queries = catalogue.queries()
+    for name in ("pixel_formats", "lenient_alpha", "expand_bits"):
+        assert "BroadcastExchange" not in plan(queries[name](spark, SF)), name
