@@ -127,3 +127,17 @@ def test_pages_are_not_broadcast(spark):
 def test_regions_are_dealt_over_tasks(spark):
     shown = plan(catalogue.region_join(spark, SF))
     assert "REPARTITION_BY_NUM" in shown and shown.count("Exchange hashpartitioning") == 1
+
+
+def test_pictures_are_dealt_over_tasks(spark):
+    files = images.files_of(spark, SF, images._tiles)
+    assert files.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_samples_of_small_chunks_share_batches(spark):
+    one = {"path": "p", "page_index": 0, "chunk_index": 0, "plane": 0, "x0": 0, "y0": 0, "data_width": 2, "data_height": 2, "bands": 1, "dtype": "u1", "data": b"abcd"}
+    rows = scan.samples(spark.createDataFrame([one | {"x0": 2 * k} for k in range(50)], scan.DECODED).coalesce(1))
+    assert rows.count() == 200 and rows.where("value = 97 and x % 2 = 0 and y = 0").count() == 50
+    import pyarrow as pa
+
+    assert [b.num_rows for b in scan._gathered(iter([pa.record_batch({"a": [1]})] * 5), 3)] == [3, 2]
