@@ -9,7 +9,9 @@ from gridloom.sources import scan
 
 
 def stream_files(spark: SparkSession, folder: str, glob: str = "*", files_per_trigger: int = 1000) -> DataFrame:
-    """Unbounded (path, content) of the files that come into a folder."""
+    """Unbounded (path, content) of the files that come into a folder. The session keeps fewer tasks for listing files: by default each file of a batch is a task, and a result sent to the driver."""
+    known = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    spark.conf.set(known, str(min(int(spark.conf.get(known)), spark.sparkContext.defaultParallelism)))
     return spark.readStream.format("binaryFile").option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_trigger).schema("path string, modificationTime timestamp, length bigint, content binary").load(folder).select("path", "content")
 
 

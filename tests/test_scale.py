@@ -142,3 +142,10 @@ def test_samples_of_small_chunks_share_batches(spark):
     import pyarrow as pa
 
     assert [b.num_rows for b in scan._gathered(iter([pa.record_batch({"a": [1]})] * 5), 3)] == [3, 2]
+
+
+def test_streams_list_files_in_few_tasks(spark, tmp_path):
+    from gridloom.streaming import ingest
+
+    ingest.stream_files(spark, str(tmp_path))
+    assert int(spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) <= spark.sparkContext.defaultParallelism
