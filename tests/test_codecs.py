@@ -91,6 +91,31 @@ def test_lzw_damage(raw, size, cut):
             assert lzw.decode(data, size) == out[:size]
 
 
+def test_lzw_small_data_are_decoded_as_large_ones(monkeypatch):
+    rng = np.random.default_rng(5)
+
+    def tried(data, size):
+        try:
+            return lzw.decode(data, size)
+        except RasterError as e:
+            return e.kind, e.detail
+
+    cases = []
+    for k in range(300):
+        raw = rng.integers(0, (1, 3, 20, 255)[k % 4], int(rng.integers(1, 600)), "u1", endpoint=True).tobytes()
+        data = bytearray(lzw.encode(raw))
+        if k % 3 == 1:
+            data[int(rng.integers(len(data)))] ^= int(rng.integers(1, 256))
+        elif k % 3 == 2:
+            data = data[: int(rng.integers(len(data)))]
+        cases.append((bytes(data), len(raw) + int(rng.integers(-3, 4)) * (k % 5 == 0)))
+    cases = [(data, max(0, size)) for data, size in cases if len(data) <= lzw.SMALL]
+    assert len(cases) > 200
+    got = [tried(*c) for c in cases]
+    monkeypatch.setattr(lzw, "SMALL", -1)
+    assert got == [tried(*c) for c in cases]
+
+
 def test_lzw_long_runs():
     for raw in (b"\0" * 300_000, b"ab" * 100_000, bytes(range(256)) * 300 + b"x" * 9000):
         assert lzw.decode(lzw.encode(raw), len(raw)) == raw
