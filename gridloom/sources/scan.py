@@ -409,6 +409,36 @@ def sample_batches(r: dict, exact: bool, arrow: pa.Schema) -> Iterator[pa.Record
         )
 
 
+def _samples_together(rows: list[dict], exact: bool, arrow: pa.Schema) -> pa.RecordBatch:
+    """The samples of several rows of ``decode`` of one type: small chunks do not each cost the calls."""
+    kind = np.dtype("<" + rows[0]["dtype"])
+    value = np.frombuffer(b"".join(r["data"] for r in rows), kind)
+    size = np.array([len(r["data"]) // kind.itemsize for r in rows])
+    own = np.repeat(np.arange(len(rows)), size)  # the row of each sample
+    of = lambda name: np.array([r[name] for r in rows], np.int64)[own]
+    pixel, band = np.divmod(np.arange(len(value)) - np.repeat(np.cumsum(size) - size, size), of("bands"))
+    y, x = np.divmod(pixel, of("data_width"))
+    whole = pa.array(value.astype(f"{kind.kind}8")).cast(arrow.field("exact").type) if exact and kind.kind in "ui" else pa.nulls(len(value), arrow.field("exact").type)
+    columns = [pa.array([r["path"] for r in rows], pa.string()).take(pa.array(own)), pa.array([r["page_index"] for r in rows], pa.int32()).take(pa.array(own)), *(pa.array(c.astype(np.int32)) for c in (of("x0") + x, of("y0") + y, of("plane") + band)), pa.array(value.astype(np.float64)), whole]
+    return pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+
+def _grouped(rows: Iterator[dict], most: int = 1 << 18) -> Iterator[list[dict]]:
+    """Rows of ``decode`` that have data, in runs of one type and of at most so many bytes; a longer row is alone."""
+    held: list[dict] = []
+    n = 0
+    for r in rows:
+        if r.get("data") is None:
+            continue
+        if held and (r["dtype"] != held[0]["dtype"] or n + len(r["data"]) > most):
+            yield held
+            held, n = [], 0
+        held.append(r)
+        n += len(r["data"])
+    if held:
+        yield held
+
+
 def _gathered(batches: Iterator[pa.RecordBatch], least: int = 1 << 14) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at least so many: small chunks do not each cost a batch."""
     held: list[pa.RecordBatch] = []
@@ -429,7 +459,8 @@ def samples(decoded: DataFrame, exact: bool = False) -> DataFrame:
     arrow = to_arrow_schema(StructType.fromDDL(SAMPLES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _gathered(part for batch in batches for r in batch.to_pylist() for part in sample_batches(r, exact, arrow))
+        rows = (r for batch in batches for r in batch.to_pylist())
+        yield from _gathered(part for some in _grouped(rows) for part in ([_samples_together(some, exact, arrow)] if len(some) > 1 else sample_batches(some[0], exact, arrow)))
 
     return decoded.mapInArrow(run, SAMPLES)
 

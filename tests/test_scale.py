@@ -144,6 +144,28 @@ def test_samples_of_small_chunks_share_batches(spark):
     assert [b.num_rows for b in scan._gathered(iter([pa.record_batch({"a": [1]})] * 5), 3)] == [3, 2]
 
 
+def test_samples_of_small_chunks_are_made_together():
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(scan.SAMPLES))
+    rng = np.random.default_rng(1)
+    rows = []
+    for k in range(40):
+        dtype, w, h, bands = ("u1", "i2", "u8", "f4")[k // 10], 1 + k % 7, 1 + k % 4, 1 + k % 3
+        data = rng.integers(0, 100, w * h * bands).astype("<" + dtype).tobytes()
+        rows.append({"path": f"p{k % 5}", "page_index": k % 2, "plane": k % 4, "x0": 16 * k, "y0": 3 * k, "data_width": w, "data_height": h, "bands": bands, "dtype": dtype, "data": data})
+    rows.insert(15, {"path": "lost", "data": None})
+    rows.insert(25, rows[24] | {"data": b"", "data_height": 0})
+    groups = list(scan._grouped(iter(rows), 400))
+    assert [r for g in groups for r in g] == [r for r in rows if r["data"] is not None] and len(groups) < 20
+    for exact in (False, True):
+        one = [b for r in rows for b in scan.sample_batches(r, exact, arrow)]
+        assert pa.Table.from_batches([scan._samples_together(g, exact, arrow) for g in groups]).equals(pa.Table.from_batches(one))
+    assert [len(g) for g in scan._grouped(iter([rows[0] | {"data": bytes(500)}] * 2), 400)] == [1, 1]
+
+
 def test_streams_list_files_in_few_tasks(spark, tmp_path):
     from gridloom.streaming import ingest
 
