@@ -433,3 +433,23 @@ def test_wrapping():
     assert S.invert(x, 12).tolist() == [[0, 4095, 4094]]
     y = np.array([[0xFFFFF, 0, 1]], np.uint32)
     assert (S.undo_horizontal(S.horizontal(y, 1, 20), 1, 20) == y).all()
+
+
+def test_jpeg_codes_of_any_length():
+    counts, symbols = bytes([0, 1, 1, 0, 1, 0, 0, 1, 1, 0, 0, 1, 0, 0, 0, 1]), b"abcdefg"
+    codes, code, k = [], 0, 0
+    for length, n in enumerate(counts, 1):
+        for _ in range(n):
+            codes.append(f"{code:0{length}b}")
+            code, k = code + 1, k + 1
+        code <<= 1
+    order = [0, 6, 1, 5, 2, 4, 3, 0, 6]
+    text = "".join(codes[i] for i in order)
+    bits = jpeg._Bits(int(text + "0" * (-len(text) % 8), 2).to_bytes(-(-len(text) // 8), "big"))
+    table = jpeg._codes(counts, symbols)
+    assert [bits.symbol(table) for _ in order] == [symbols[i] for i in order]
+    assert jpeg._codes(counts, symbols) is table  # made once for chunks with the same
+    with pytest.raises(RasterError):
+        jpeg._Bits(b"\xff" * 8).symbol(table)
+    with pytest.raises(IndexError):
+        jpeg._codes(counts, b"abc")
